@@ -1,0 +1,325 @@
+"""Grouped analytics, access joins, pricing and scalar-rule queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cartograph.functions import money as M
+from cartograph.functions import text as T
+from cartograph.operators import analytics as A
+from cartograph.plans.registry import register
+from cartograph.sources.shop import Shop
+
+AS_OF_ORDERS = "1998-08-01 00:00:00"
+AS_OF_EVENTS = "2024-01-31 00:00:00"
+
+
+def _dbl(c, name=None):
+    return F.col(c).cast("double").alias(name or c)
+
+
+def _cents_sql(s, n):
+    return f"CAST(floor((CAST({s} AS DOUBLE) * 200 + {n}) / ({n} * 2)) AS DOUBLE) / 100"
+
+
+@register("agg_1_platform_totals", oracle="""
+    SELECT (SELECT count(*) FROM shop_users) AS users,
+           (SELECT count(*) FROM shop_orders) AS orders,
+           (SELECT count(*) FROM shop_products) AS products""")
+def agg_1(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    return A.platform_totals(shop.users, shop.orders, shop.products)
+
+
+@register("agg_2_platform_revenue", oracle="""
+    SELECT CAST(coalesce(sum(total), 0) AS DOUBLE) AS revenue
+    FROM shop_orders WHERE status <> 'CANCELLED'""")
+def agg_2(spark, sf_dir):
+    return A.platform_revenue(Shop(spark, sf_dir).orders).select(_dbl("revenue"))
+
+
+@register("agg_3_seller_dashboard", bench=True, oracle="""
+    WITH rev AS (
+      SELECT p.seller_id, sum(i.quantity * i.unit_price) AS revenue
+      FROM shop_order_items i JOIN shop_orders o ON o.id = i.order_id AND o.status <> 'CANCELLED'
+      JOIN shop_products p ON p.id = i.product_id GROUP BY p.seller_id),
+    cnt AS (SELECT seller_id, count(*) AS product_count FROM shop_products GROUP BY seller_id)
+    SELECT s.id AS seller_id, s.store_name, CAST(s.rating_avg AS DOUBLE) AS rating_avg,
+           s.review_count, coalesce(c.product_count, 0) AS product_count,
+           CAST(coalesce(r.revenue, 0) AS DOUBLE) AS revenue, s.is_verified
+    FROM shop_sellers s LEFT JOIN cnt c ON c.seller_id = s.id LEFT JOIN rev r ON r.seller_id = s.id""")
+def agg_3(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    out = A.seller_dashboard(shop.sellers, shop.products, shop.orders, shop.order_items)
+    return out.select("seller_id", "store_name", _dbl("rating_avg"), "review_count",
+                      "product_count", _dbl("revenue"), "is_verified")
+
+
+@register("agg_4_seller_analytics", oracle=f"""
+    WITH lines AS (
+      SELECT p.seller_id, i.order_id, i.quantity * i.unit_price AS amount
+      FROM shop_order_items i
+      JOIN shop_orders o ON o.id = i.order_id AND o.status <> 'CANCELLED'
+        AND o.created_at >= TIMESTAMP '{AS_OF_ORDERS}' - INTERVAL 30 DAY
+        AND o.created_at < TIMESTAMP '{AS_OF_ORDERS}'
+      JOIN shop_products p ON p.id = i.product_id),
+    sales AS (SELECT seller_id, sum(amount) AS revenue_30d, count(DISTINCT order_id) AS orders_30d
+              FROM lines GROUP BY seller_id),
+    seen AS (SELECT p.seller_id, count(*) AS views_30d FROM shop_product_views v
+             JOIN shop_products p ON p.id = v.product_id
+             WHERE v.ts >= TIMESTAMP '{AS_OF_EVENTS}' - INTERVAL 30 DAY
+               AND v.ts < TIMESTAMP '{AS_OF_EVENTS}' GROUP BY p.seller_id)
+    SELECT s.id AS seller_id, CAST(coalesce(sales.revenue_30d, 0) AS DOUBLE) AS revenue_30d,
+           coalesce(sales.orders_30d, 0) AS orders_30d, coalesce(seen.views_30d, 0) AS views_30d
+    FROM shop_sellers s LEFT JOIN sales ON sales.seller_id = s.id
+    LEFT JOIN seen ON seen.seller_id = s.id""")
+def agg_4(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    out = A.seller_analytics(shop.sellers, shop.products, shop.orders, shop.order_items,
+                             shop.product_views, AS_OF_ORDERS, 30, views_as_of=AS_OF_EVENTS)
+    return out.select("seller_id", _dbl("revenue_30d"), "orders_30d", "views_30d")
+
+
+@register("agg_5_product_ratings", oracle=f"""
+    WITH r AS (SELECT product_id, sum(rating) AS s, count(*) AS n FROM shop_reviews
+               WHERE NOT is_hidden GROUP BY product_id)
+    SELECT p.id AS product_id, coalesce({_cents_sql('r.s', 'r.n')}, 0.0) AS rating_avg,
+           coalesce(r.n, 0) AS review_count
+    FROM shop_products p LEFT JOIN r ON r.product_id = p.id""")
+def agg_5(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    return A.product_ratings(shop.products, shop.reviews) \
+        .select("product_id", _dbl("rating_avg"), "review_count")
+
+
+@register("agg_6_seller_ratings", oracle=f"""
+    WITH r AS (SELECT p.seller_id, sum(rv.rating) AS s, count(*) AS n FROM shop_reviews rv
+               JOIN shop_products p ON p.id = rv.product_id
+               WHERE NOT rv.is_hidden GROUP BY p.seller_id)
+    SELECT s.id AS seller_id, coalesce({_cents_sql('r.s', 'r.n')}, 0.0) AS rating_avg,
+           coalesce(r.n, 0) AS review_count
+    FROM shop_sellers s LEFT JOIN r ON r.seller_id = s.id""")
+def agg_6(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    return A.seller_ratings(shop.sellers, shop.products, shop.reviews) \
+        .select("seller_id", _dbl("rating_avg"), "review_count")
+
+
+@register("jon_1_cart_lines", oracle="""
+    SELECT i.cart_id, i.product_id, p.name, CAST(p.price AS DOUBLE) AS current_price,
+           json_extract_string(p.images, '$[0].url') AS image_url, i.quantity
+    FROM shop_cart_items i JOIN shop_products p ON p.id = i.product_id""")
+def jon_1(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    return A.cart_lines(shop.cart_items, shop.products) \
+        .select("cart_id", "product_id", "name", _dbl("current_price"), "image_url", "quantity")
+
+
+@register("agg_7_cart_totals", bench=True, oracle="""
+    SELECT i.cart_id, CAST(sum(i.quantity) AS BIGINT) AS item_count,
+           CAST(sum(p.price * i.quantity) AS DOUBLE) AS subtotal
+    FROM shop_cart_items i JOIN shop_products p ON p.id = i.product_id GROUP BY i.cart_id""")
+def agg_7(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    return A.cart_totals(shop.cart_items, shop.products) \
+        .select("cart_id", "item_count", _dbl("subtotal"))
+
+
+@register("agg_8_account_counters", oracle="""
+    SELECT u.id AS user_id,
+           coalesce((SELECT count(*) FROM shop_orders o WHERE o.user_id = u.id), 0) AS orders_count,
+           coalesce((SELECT count(*) FROM shop_wishlists w WHERE w.user_id = u.id), 0) AS wishlist_count,
+           coalesce((SELECT count(*) FROM shop_reviews r WHERE r.user_id = u.id), 0) AS reviews_count
+    FROM shop_users u""")
+def agg_8(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    return A.account_counters(shop.users, shop.orders, shop.wishlists, shop.reviews)
+
+
+@register("agg_9_helpful_votes", oracle="""
+    SELECT review_id, count(DISTINCT user_id) AS helpful_votes
+    FROM shop_helpful_votes GROUP BY review_id""")
+def agg_9(spark, sf_dir):
+    return A.helpful_votes(Shop(spark, sf_dir).helpful_votes)
+
+
+@register("agg_10_promo_uses", oracle="""
+    SELECT promo_id, count(*) AS uses_count FROM shop_orders
+    WHERE promo_id IS NOT NULL GROUP BY promo_id""")
+def agg_10(spark, sf_dir):
+    return A.promo_uses(Shop(spark, sf_dir).orders)
+
+
+@register("agg_12_decrement_stock", oracle="""
+    SELECT p.id, CAST(greatest(0, p.stock_qty - coalesce(s.sold, 0)) AS INT) AS stock_qty
+    FROM shop_products p
+    LEFT JOIN (SELECT product_id, sum(quantity) AS sold FROM shop_cart_items
+               GROUP BY product_id) s ON s.product_id = p.id""")
+def agg_12(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    return A.decrement_stock(shop.products, shop.cart_items).select("id", "stock_qty")
+
+
+@register("jon_2_authorise_review_deletes", oracle="""
+    SELECT q.request_id, q.review_id, q.caller_id, t.reason,
+           coalesce(t.reason IN ('admin', 'author', 'seller'), false) AS allowed
+    FROM shop_review_requests q
+    LEFT JOIN (
+      SELECT q2.request_id,
+             CASE WHEN r.id IS NULL THEN 'not_found'
+                  WHEN u.role = 'ADMIN' THEN 'admin'
+                  WHEN r.user_id = q2.caller_id THEN 'author'
+                  WHEN s.user_id = q2.caller_id THEN 'seller' END AS reason
+      FROM shop_review_requests q2
+      LEFT JOIN shop_reviews r ON r.id = q2.review_id
+      LEFT JOIN shop_products p ON p.id = r.product_id
+      LEFT JOIN shop_sellers s ON s.id = p.seller_id
+      LEFT JOIN shop_users u ON u.id = q2.caller_id) t ON t.request_id = q.request_id""")
+def jon_2(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    req = shop.review_requests.select("request_id", "review_id", "caller_id")
+    return A.authorise_review_deletes(req, shop.reviews, shop.products, shop.sellers, shop.users)
+
+
+@register("jon_4_authorise_order_access", oracle="""
+    SELECT q.request_id, q.order_id, q.caller_id, o.id IS NOT NULL AS found,
+           o.id IS NOT NULL AND (o.user_id = q.caller_id OR coalesce(u.role, '') = 'ADMIN') AS allowed
+    FROM shop_order_access_requests q
+    LEFT JOIN shop_orders o ON o.id = q.order_id
+    LEFT JOIN shop_users u ON u.id = q.caller_id""")
+def jon_4(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    req = shop.order_access_requests.select("request_id", "order_id", "caller_id")
+    return A.authorise_order_access(req, shop.orders, shop.users)
+
+
+@register("jon_5_existing", oracle="""
+    SELECT request_id, email FROM shop_registrations r
+    WHERE EXISTS (SELECT 1 FROM shop_users u WHERE u.email = r.email)""")
+def jon_5_existing(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    return A.existing(shop.registrations.select("request_id", "email"), shop.users, "email")
+
+
+@register("jon_5_missing", oracle="""
+    SELECT request_id, email FROM shop_registrations r
+    WHERE NOT EXISTS (SELECT 1 FROM shop_users u WHERE u.email = r.email)""")
+def jon_5_missing(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    return A.missing(shop.registrations.select("request_id", "email"), shop.users, "email")
+
+
+# ----------------------------------------------------------- pricing rules --
+@register("prc_1_delivery_fee", oracle="""
+    SELECT id, delivery_type,
+           CASE WHEN upper(delivery_type) = 'EXPRESS' THEN 9.99
+                WHEN upper(delivery_type) = 'SAME_DAY' THEN 19.99 ELSE 0.0 END::DOUBLE AS delivery_fee
+    FROM shop_orders""")
+def prc_1(spark, sf_dir):
+    o = Shop(spark, sf_dir).orders
+    return o.select("id", "delivery_type", M.delivery_fee("delivery_type").cast("double")
+                    .alias("delivery_fee"))
+
+
+@register("prc_2_delivery_date", oracle="""
+    SELECT id, strftime(CAST(created_at AS DATE)
+               + CASE WHEN delivery_type = 'STANDARD' THEN 3 ELSE 1 END, '%Y-%m-%d') AS delivery_date
+    FROM shop_orders""")
+def prc_2(spark, sf_dir):
+    o = Shop(spark, sf_dir).orders
+    return o.select("id", F.date_format(M.delivery_date("delivery_type", "created_at"), "yyyy-MM-dd")
+                    .alias("delivery_date"))
+
+
+PROMO_JOIN_SQL = """
+    SELECT o.id AS order_id, p.code, o.total, o.created_at, p.discount_type, p.discount_value,
+           p.is_active, p.expires_at, p.max_uses, p.uses_count, p.min_order
+    FROM shop_orders o JOIN shop_promo_codes p ON p.id = o.promo_id"""
+
+
+def _orders_with_promo(shop):
+    promos = F.broadcast(shop.promo_codes.withColumnRenamed("id", "promo_id"))
+    return shop.orders.join(promos, "promo_id").withColumnRenamed("id", "order_id")
+
+
+@register("prc_3_promo_is_valid", oracle=f"""
+    SELECT order_id, code,
+           is_active AND (expires_at IS NULL OR expires_at >= created_at)
+             AND (max_uses IS NULL OR uses_count < max_uses) AND total >= min_order AS valid
+    FROM ({PROMO_JOIN_SQL}) t""")
+def prc_3(spark, sf_dir):
+    x = _orders_with_promo(Shop(spark, sf_dir))
+    return x.select("order_id", "code", M.promo_is_valid("total", "created_at").alias("valid"))
+
+
+@register("prc_4_promo_discount", oracle=f"""
+    SELECT order_id, code,
+           CAST(CASE WHEN discount_type = 'PERCENT' THEN round(total * discount_value * 0.01, 2)
+                     ELSE least(discount_value, total) END AS DOUBLE) AS discount
+    FROM ({PROMO_JOIN_SQL}) t""")
+def prc_4(spark, sf_dir):
+    x = _orders_with_promo(Shop(spark, sf_dir))
+    return x.select("order_id", "code", M.promo_discount("total").cast("double").alias("discount"))
+
+
+# ------------------------------------------------------------ scalar rules --
+@register("scl_1_slugify", oracle="""
+    SELECT id, CASE WHEN s = '' THEN 'product' ELSE s END AS slug FROM (
+      SELECT id, regexp_replace(regexp_replace(lower(description), '[^a-z0-9]+', '-', 'g'),
+                                '^-|-$', '', 'g') AS s
+      FROM shop_products) t""")
+def scl_1(spark, sf_dir):
+    return Shop(spark, sf_dir).products.select("id", T.slugify("description").alias("slug"))
+
+
+@register("scl_3_split_name", oracle="""
+    SELECT profile_id,
+           CASE WHEN full_name IS NULL OR trim(full_name) = '' THEN split_part(email, '@', 1)
+                ELSE split_part(trim(full_name), ' ', 1) END AS first_name,
+           CASE WHEN full_name IS NULL OR trim(full_name) = '' OR strpos(trim(full_name), ' ') = 0
+                THEN '' ELSE substr(trim(full_name), strpos(trim(full_name), ' ') + 1) END AS last_name
+    FROM shop_profiles""")
+def scl_3(spark, sf_dir):
+    p = Shop(spark, sf_dir).profiles
+    return p.select("profile_id", T.first_name("full_name", "email").alias("first_name"),
+                    T.last_name("full_name").alias("last_name"))
+
+
+@register("scl_4_normalise_email", oracle="""
+    SELECT profile_id, lower(trim(email)) AS email FROM shop_profiles""")
+def scl_4(spark, sf_dir):
+    return Shop(spark, sf_dir).profiles.select("profile_id", T.normalise_email("email").alias("email"))
+
+
+@register("scl_5_shipping_address", oracle="""
+    SELECT r.request_id,
+           CASE WHEN json_exists(r.shipping_address, '$.name')
+                THEN json_extract_string(r.shipping_address, '$.name')
+                ELSE u.first_name || ' ' || u.last_name END AS recipient_name,
+           CASE WHEN json_exists(r.shipping_address, '$.street')
+                THEN json_extract_string(r.shipping_address, '$.street') ELSE 'N/A' END AS address_line1,
+           CASE WHEN json_exists(r.shipping_address, '$.city')
+                THEN json_extract_string(r.shipping_address, '$.city') ELSE 'N/A' END AS city,
+           CASE WHEN json_exists(r.shipping_address, '$.zipCode')
+                THEN json_extract_string(r.shipping_address, '$.zipCode') ELSE '00000' END AS postal_code,
+           'US' AS country
+    FROM shop_order_requests r JOIN shop_users u ON u.id = r.user_id""")
+def scl_5(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    u = shop.users.select(F.col("id").alias("user_id"),
+                          F.concat_ws(" ", "first_name", "last_name").alias("_full"))
+    x = shop.order_requests.join(u, "user_id")
+    return x.select("request_id", M.shipping_address("shipping_address", "_full").alias("a")) \
+        .select("request_id", "a.*")
+
+
+@register("scl_6_parse_enum", oracle="""
+    SELECT request_id, upper(delivery_type) AS delivery_type,
+           coalesce(upper(delivery_type) IN ('STANDARD', 'EXPRESS'), false) AS valid
+    FROM shop_order_requests""")
+def scl_6(spark, sf_dir):
+    from cartograph.operators.changes import parse_enum
+    ok, bad = parse_enum(Shop(spark, sf_dir).order_requests.select("request_id", "delivery_type"),
+                         "delivery_type", M.DELIVERY_TYPES)
+    return ok.withColumn("valid", F.lit(True)).unionByName(bad.select(
+        "request_id", F.upper("delivery_type").alias("delivery_type"), F.lit(False).alias("valid")))

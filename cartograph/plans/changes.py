@@ -1,0 +1,457 @@
+"""Bulk change jobs over request batches derived from the event table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cartograph.functions import text as T
+from cartograph.operators import changes as C
+from cartograph.operators.analytics import authorise_review_deletes
+from cartograph.operators.tokens import match_tokens
+from cartograph.plans.registry import register
+from cartograph.sources.shop import Shop
+
+AS_OF_CHECKOUT = "2024-02-01 00:00:00"
+NEVER = C.NEVER
+
+
+def _dbl(c, name=None):
+    return F.col(c).cast("double").alias(name or c)
+
+
+def _place(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    return C.place_orders(shop.carts, shop.cart_items, shop.products, shop.users,
+                          shop.order_requests, AS_OF_CHECKOUT)
+
+
+CHECKOUT_SQL = """
+    WITH req AS (
+      SELECT r.*, upper(coalesce(r.delivery_type, 'STANDARD')) AS dt,
+             coalesce(upper(coalesce(r.delivery_type, 'STANDARD')) IN ('STANDARD', 'EXPRESS'), false)
+               AS valid
+      FROM shop_order_requests r),
+    cart AS (
+      SELECT c.id AS cart_id, c.user_id, count(i.product_id) AS n_lines,
+             sum(i.unit_price * i.quantity) AS subtotal
+      FROM shop_carts c LEFT JOIN shop_cart_items i ON i.cart_id = c.id GROUP BY c.id, c.user_id),
+    win AS (SELECT user_id, min(seq) AS win_seq FROM req WHERE valid GROUP BY user_id),
+    decided AS (
+      SELECT req.*, cart.cart_id, cart.subtotal,
+             CASE WHEN cart.cart_id IS NULL THEN 'CART_NOT_FOUND'
+                  WHEN coalesce(cart.n_lines, 0) = 0 THEN 'CART_EMPTY'
+                  WHEN req.seq > win.win_seq THEN 'CART_EMPTY'
+                  WHEN NOT req.valid THEN 'INVALID_DELIVERY_TYPE' END AS reason
+      FROM req LEFT JOIN cart ON cart.user_id = req.user_id
+      LEFT JOIN win ON win.user_id = req.user_id)"""
+
+
+@register("chg_1_place_orders", bench=True, oracle=CHECKOUT_SQL + """
+    SELECT d.request_id AS id, d.user_id, d.cart_id, CAST(d.subtotal AS DOUBLE) AS subtotal,
+           CAST(CASE WHEN d.dt = 'EXPRESS' THEN 9.99 ELSE 0 END AS DOUBLE) AS delivery_fee,
+           CAST(d.subtotal + CASE WHEN d.dt = 'EXPRESS' THEN 9.99 ELSE 0 END AS DOUBLE) AS total,
+           d.dt AS delivery_type, 'CONFIRMED' AS status,
+           strftime(DATE '2024-02-01' + CASE WHEN d.dt = 'STANDARD' THEN 3 ELSE 1 END, '%Y-%m-%d')
+               AS estimated_delivery_date,
+           CASE WHEN json_exists(d.shipping_address, '$.name')
+                THEN json_extract_string(d.shipping_address, '$.name')
+                ELSE u.first_name || ' ' || u.last_name END AS recipient_name,
+           CASE WHEN json_exists(d.shipping_address, '$.city')
+                THEN json_extract_string(d.shipping_address, '$.city') ELSE 'N/A' END AS city
+    FROM decided d LEFT JOIN shop_users u ON u.id = d.user_id WHERE d.reason IS NULL""")
+def chg_1_orders(spark, sf_dir):
+    orders = _place(spark, sf_dir)[0]
+    return orders.select("id", "user_id", "cart_id", _dbl("subtotal"), _dbl("delivery_fee"),
+                         _dbl("total"), "delivery_type", "status",
+                         F.date_format("estimated_delivery_date", "yyyy-MM-dd")
+                         .alias("estimated_delivery_date"),
+                         F.col("address.recipient_name").alias("recipient_name"),
+                         F.col("address.city").alias("city"))
+
+
+@register("chg_1_order_items", oracle=CHECKOUT_SQL + """
+    SELECT d.request_id AS order_id, i.product_id, coalesce(p.name, 'Unknown Product') AS product_name,
+           i.quantity, CAST(i.unit_price AS DOUBLE) AS unit_price
+    FROM decided d JOIN shop_cart_items i ON i.cart_id = d.cart_id
+    LEFT JOIN shop_products p ON p.id = i.product_id WHERE d.reason IS NULL""")
+def chg_1_items(spark, sf_dir):
+    return _place(spark, sf_dir)[1].select("order_id", "product_id", "product_name", "quantity",
+                                           _dbl("unit_price"))
+
+
+@register("chg_1_stock_after", oracle=CHECKOUT_SQL + """,
+    sold AS (SELECT i.product_id, sum(i.quantity) AS q FROM decided d
+             JOIN shop_cart_items i ON i.cart_id = d.cart_id WHERE d.reason IS NULL GROUP BY 1)
+    SELECT p.id, CAST(greatest(0, p.stock_qty - coalesce(sold.q, 0)) AS INT) AS stock_qty
+    FROM shop_products p LEFT JOIN sold ON sold.product_id = p.id""")
+def chg_1_stock(spark, sf_dir):
+    return _place(spark, sf_dir)[2].select("id", "stock_qty")
+
+
+@register("chg_1_rejects", oracle=CHECKOUT_SQL + """
+    SELECT request_id, user_id, reason FROM decided WHERE reason IS NOT NULL""")
+def chg_1_rejects(spark, sf_dir):
+    return _place(spark, sf_dir)[4]
+
+
+@register("chg_2_cancel_orders", oracle="""
+    WITH acc AS (
+      SELECT q.request_id, q.seq, q.order_id, q.caller_id, o.status, o.id IS NOT NULL AS found,
+             o.id IS NOT NULL AND (o.user_id = q.caller_id OR coalesce(u.role, '') = 'ADMIN') AS allowed
+      FROM shop_order_access_requests q LEFT JOIN shop_orders o ON o.id = q.order_id
+      LEFT JOIN shop_users u ON u.id = q.caller_id),
+    f AS (SELECT order_id, min(seq) AS first_seq FROM acc WHERE allowed GROUP BY order_id)
+    SELECT a.request_id, a.order_id, a.caller_id,
+           CASE WHEN NOT a.found THEN 'NOT_FOUND' WHEN NOT a.allowed THEN 'FORBIDDEN'
+                WHEN a.seq = f.first_seq AND a.status IN ('CONFIRMED', 'PROCESSING') THEN 'CANCELLED'
+                ELSE 'CONFLICT' END AS outcome,
+           CASE WHEN NOT a.found OR NOT a.allowed THEN NULL
+                WHEN a.seq = f.first_seq AND a.status IN ('CONFIRMED', 'PROCESSING') THEN NULL
+                WHEN a.status IN ('CONFIRMED', 'PROCESSING') AND a.seq > f.first_seq THEN 'CANCELLED'
+                ELSE a.status END AS blocking_status
+    FROM acc a LEFT JOIN f ON f.order_id = a.order_id""")
+def chg_2(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    return C.cancel_orders(shop.orders, shop.users, shop.order_access_requests)[1]
+
+
+STATUS_SQL = """
+    WITH ok AS (SELECT r.order_id, upper(r.status) AS status, r.seq FROM shop_status_updates r
+                WHERE upper(r.status) IN ('CONFIRMED', 'PROCESSING', 'SHIPPED', 'OUT_FOR_DELIVERY',
+                                          'DELIVERED', 'CANCELLED')
+                  AND r.order_id IN (SELECT id FROM shop_orders)),
+    last AS (SELECT order_id, arg_max(status, seq) AS new_status FROM ok GROUP BY order_id)"""
+
+
+@register("chg_3_set_status", oracle=STATUS_SQL + """
+    SELECT o.id, coalesce(last.new_status, o.status) AS status
+    FROM shop_orders o LEFT JOIN last ON last.order_id = o.id""")
+def chg_3(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    return C.set_status(shop.orders, shop.status_updates)[0].select("id", "status")
+
+
+@register("chg_3_rejects", oracle="""
+    SELECT request_id, order_id, 'invalid status' AS reason FROM shop_status_updates
+    WHERE NOT coalesce(upper(status) IN ('CONFIRMED', 'PROCESSING', 'SHIPPED', 'OUT_FOR_DELIVERY',
+                                         'DELIVERED', 'CANCELLED'), false)""")
+def chg_3_rejects(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    return C.set_status(shop.orders, shop.status_updates)[1]
+
+
+@register("chg_4_fold_cart", oracle=f"""
+    WITH ev AS (SELECT seq, cart_id, product_id, lower(action) AS action, quantity, price
+                FROM shop_cart_events
+                WHERE NOT (lower(action) IN ('add', 'set') AND quantity <= 0)),
+    base AS (SELECT cart_id, product_id, CAST(sum(quantity) AS INT) AS quantity,
+                    min(unit_price) AS price FROM shop_cart_items GROUP BY 1, 2),
+    line_ev AS (SELECT cart_id, product_id, CAST(seq AS BIGINT) AS seq, action, quantity, price
+                FROM ev WHERE action <> 'clear'
+                UNION ALL
+                SELECT cart_id, product_id, CAST({NEVER} AS BIGINT), 'add', quantity, price FROM base),
+    clears AS (SELECT cart_id, max(seq) AS clear_seq FROM ev WHERE action = 'clear' GROUP BY 1),
+    rem AS (SELECT cart_id, product_id, max(seq) FILTER (WHERE action = 'remove') AS rm
+            FROM line_ev GROUP BY 1, 2),
+    kills AS (SELECT r.cart_id, r.product_id,
+                     greatest(coalesce(r.rm, {NEVER - 1}), coalesce(c.clear_seq, {NEVER - 1})) AS kill
+              FROM rem r LEFT JOIN clears c ON c.cart_id = r.cart_id),
+    live AS (SELECT l.*, k.kill FROM line_ev l JOIN kills k USING (cart_id, product_id)
+             WHERE l.seq > k.kill),
+    firsts AS (SELECT cart_id, product_id,
+                      min(seq) FILTER (WHERE action = 'add') AS first_add,
+                      arg_min(price, seq) FILTER (WHERE action = 'add') AS unit_price,
+                      max(seq) FILTER (WHERE action = 'set') AS set_seq,
+                      arg_max(quantity, seq) FILTER (WHERE action = 'set') AS set_q
+               FROM live GROUP BY 1, 2),
+    valid AS (SELECT cart_id, product_id, first_add, unit_price,
+                     CASE WHEN set_seq > first_add THEN set_seq END AS vs,
+                     CASE WHEN set_seq > first_add THEN set_q END AS vq
+              FROM firsts WHERE first_add IS NOT NULL),
+    adds AS (SELECT l.cart_id, l.product_id, sum(l.quantity) AS adds
+             FROM live l JOIN valid v USING (cart_id, product_id)
+             WHERE l.action = 'add' AND l.seq > coalesce(v.vs, l.kill) GROUP BY 1, 2)
+    SELECT v.cart_id, v.product_id, CAST(coalesce(v.vq, 0) + coalesce(a.adds, 0) AS INT) AS quantity,
+           CAST(v.unit_price AS DOUBLE) AS unit_price
+    FROM valid v LEFT JOIN adds a USING (cart_id, product_id)""")
+def chg_4(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    items, _ = C.fold_cart(shop.cart_items, shop.cart_events)
+    return items.select("cart_id", "product_id", "quantity", _dbl("unit_price"))
+
+
+@register("chg_4_rejects", oracle="""
+    SELECT seq, cart_id, product_id, lower(action) AS action, 'quantity must be positive' AS reason
+    FROM shop_cart_events WHERE lower(action) IN ('add', 'set') AND quantity <= 0""")
+def chg_4_rejects(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    return C.fold_cart(shop.cart_items, shop.cart_events)[1]
+
+
+@register("chg_5_apply_flags", oracle="""
+    WITH last AS (SELECT user_id, arg_max(value, seq) AS v FROM shop_flag_changes GROUP BY user_id)
+    SELECT u.id, coalesce(last.v, u.is_suspended) AS is_suspended
+    FROM shop_users u LEFT JOIN last ON last.user_id = u.id""")
+def chg_5(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    out, _ = C.apply_flags(shop.users, shop.flag_changes, "id", "is_suspended",
+                           change_key="user_id")
+    return out.select("id", "is_suspended")
+
+
+def _patch_sql(key, col):
+    return (f"CASE WHEN max(seq) FILTER (WHERE json_exists(body, '$.{key}')) IS NULL THEN NULL "
+            f"ELSE struct_extract(arg_max({{'v': json_extract_string(body, '$.{key}')}}, seq) "
+            f"FILTER (WHERE json_exists(body, '$.{key}')), 'v') END AS {col}, "
+            f"max(seq) FILTER (WHERE json_exists(body, '$.{key}')) IS NOT NULL AS has_{col}")
+
+
+@register("chg_6_apply_patches", oracle=f"""
+    WITH p AS (SELECT user_id, {_patch_sql('firstName', 'first_name')},
+                      {_patch_sql('lastName', 'last_name')}, {_patch_sql('phone', 'phone')},
+                      {_patch_sql('avatarUrl', 'avatar_url')}
+               FROM shop_profile_patches GROUP BY user_id)
+    SELECT u.id,
+           CASE WHEN coalesce(p.has_first_name, false) THEN p.first_name ELSE u.first_name END AS first_name,
+           CASE WHEN coalesce(p.has_last_name, false) THEN p.last_name ELSE u.last_name END AS last_name,
+           CASE WHEN coalesce(p.has_phone, false) THEN p.phone ELSE u.phone END AS phone,
+           CASE WHEN coalesce(p.has_avatar_url, false) THEN p.avatar_url ELSE u.avatar_url END AS avatar_url
+    FROM shop_users u LEFT JOIN p ON p.user_id = u.id""")
+def chg_6(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    out, _ = C.apply_patches(shop.users, shop.profile_patches, "id", patch_key="user_id")
+    return out.select("id", "first_name", "last_name", "phone", "avatar_url")
+
+
+@register("chg_7_update_products", oracle="""
+    WITH own AS (SELECT p.id AS product_id, u.email AS owner_email FROM shop_products p
+                 JOIN shop_sellers s ON s.id = p.seller_id JOIN shop_users u ON u.id = s.user_id),
+    ok AS (SELECT q.* FROM shop_product_updates q
+           JOIN own ON own.product_id = q.product_id AND own.owner_email = q.caller_email),
+    last AS (SELECT product_id, arg_max({'name': name, 'description': description, 'price': price,
+                                         'stock_qty': stock_qty, 'status': status}, seq) AS u
+             FROM ok GROUP BY product_id)
+    SELECT p.id,
+           CASE WHEN last.u IS NULL THEN p.name ELSE struct_extract(last.u, 'name') END AS name,
+           CASE WHEN last.u IS NULL THEN p.description
+                ELSE struct_extract(last.u, 'description') END AS description,
+           CAST(CASE WHEN last.u IS NULL THEN p.price ELSE struct_extract(last.u, 'price') END
+                AS DOUBLE) AS price,
+           CASE WHEN last.u IS NULL THEN p.stock_qty ELSE struct_extract(last.u, 'stock_qty') END
+               AS stock_qty,
+           CASE WHEN last.u IS NULL THEN p.status ELSE struct_extract(last.u, 'status') END AS status
+    FROM shop_products p LEFT JOIN last ON last.product_id = p.id""")
+def chg_7(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    out, _ = C.update_products(shop.products, shop.sellers, shop.users, shop.product_updates)
+    return out.select("id", "name", "description", _dbl("price"), "stock_qty", "status")
+
+
+@register("chg_8_delete_authorised", oracle="""
+    WITH allowed AS (
+      SELECT q.review_id FROM shop_review_requests q
+      JOIN shop_reviews r ON r.id = q.review_id
+      LEFT JOIN shop_products p ON p.id = r.product_id
+      LEFT JOIN shop_sellers s ON s.id = p.seller_id
+      LEFT JOIN shop_users u ON u.id = q.caller_id
+      WHERE u.role = 'ADMIN' OR r.user_id = q.caller_id OR s.user_id = q.caller_id)
+    SELECT id, product_id FROM shop_reviews WHERE id NOT IN (SELECT review_id FROM allowed)""")
+def chg_8(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    req = shop.review_requests.select("request_id", "review_id", "caller_id")
+    auth = authorise_review_deletes(req, shop.reviews, shop.products, shop.sellers, shop.users)
+    return C.delete_authorised(shop.reviews, auth.where("allowed"), "id", "review_id") \
+        .select("id", "product_id")
+
+
+ERASE_SQL = """
+    WITH req AS (SELECT DISTINCT user_id FROM shop_flag_changes WHERE value),
+    restricted AS (SELECT user_id FROM req WHERE user_id IN (SELECT user_id FROM shop_orders)),
+    du AS (SELECT id FROM shop_users WHERE id IN (SELECT user_id FROM req)
+           AND id NOT IN (SELECT user_id FROM restricted)),
+    ds AS (SELECT id FROM shop_sellers WHERE user_id IN (SELECT id FROM du)),
+    dc AS (SELECT id FROM shop_carts WHERE user_id IN (SELECT id FROM du)),
+    dp AS (SELECT id FROM shop_products WHERE seller_id IN (SELECT id FROM ds)),
+    dr AS (SELECT id FROM shop_reviews WHERE user_id IN (SELECT id FROM du)
+           OR product_id IN (SELECT id FROM dp))"""
+
+
+@register("chg_9_erase_users", oracle=ERASE_SQL + """
+    SELECT 'users' AS table_name, count(*) AS remaining FROM shop_users
+      WHERE id NOT IN (SELECT id FROM du)
+    UNION ALL SELECT 'seller_profiles', count(*) FROM shop_sellers WHERE id NOT IN (SELECT id FROM ds)
+    UNION ALL SELECT 'carts', count(*) FROM shop_carts WHERE id NOT IN (SELECT id FROM dc)
+    UNION ALL SELECT 'products', count(*) FROM shop_products WHERE id NOT IN (SELECT id FROM dp)
+    UNION ALL SELECT 'reviews', count(*) FROM shop_reviews WHERE id NOT IN (SELECT id FROM dr)
+    UNION ALL SELECT 'cart_items', count(*) FROM shop_cart_items
+      WHERE cart_id NOT IN (SELECT id FROM dc) AND product_id NOT IN (SELECT id FROM dp)
+    UNION ALL SELECT 'wishlists', count(*) FROM shop_wishlists
+      WHERE user_id NOT IN (SELECT id FROM du) AND product_id NOT IN (SELECT id FROM dp)
+    UNION ALL SELECT 'helpful_votes', count(*) FROM shop_helpful_votes
+      WHERE user_id NOT IN (SELECT id FROM du) AND review_id NOT IN (SELECT id FROM dr)
+    UNION ALL SELECT 'orders', count(*) FROM shop_orders
+    UNION ALL SELECT 'order_items_product_nulled', count(*) FROM shop_order_items
+      WHERE product_id IN (SELECT id FROM dp)""")
+def chg_9(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    tables = {"users": shop.users, "seller_profiles": shop.sellers, "carts": shop.carts,
+              "products": shop.products, "reviews": shop.reviews, "cart_items": shop.cart_items,
+              "wishlists": shop.wishlists, "helpful_votes": shop.helpful_votes,
+              "orders": shop.orders, "order_items": shop.order_items}
+    req = shop.flag_changes.where("value").select("user_id")
+    out, _ = C.erase_users(tables, req)
+    counts = [out[t].select(F.lit(t).alias("table_name")) for t in
+              ("users", "seller_profiles", "carts", "products", "reviews", "cart_items",
+               "wishlists", "helpful_votes", "orders")]
+    counts.append(out["order_items"].where(F.col("product_id").isNull())
+                  .select(F.lit("order_items_product_nulled").alias("table_name")))
+    stacked = counts[0]
+    for c in counts[1:]:
+        stacked = stacked.unionByName(c)
+    names = spark.createDataFrame([(n,) for n in
+                                   ("users", "seller_profiles", "carts", "products", "reviews",
+                                    "cart_items", "wishlists", "helpful_votes", "orders",
+                                    "order_items_product_nulled")], "table_name string")
+    per = stacked.groupBy("table_name").agg(F.count(F.lit(1)).alias("remaining"))
+    return names.join(per, "table_name", "left") \
+        .select("table_name", F.coalesce("remaining", F.lit(0)).alias("remaining"))
+
+
+@register("chg_9_restricted", oracle=ERASE_SQL + """
+    SELECT user_id, 'orders' AS blocked_by FROM restricted""")
+def chg_9_restricted(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    tables = {"users": shop.users, "orders": shop.orders}
+    req = shop.flag_changes.where("value").select("user_id")
+    return C.erase_users(tables, req)[1]
+
+
+REG_SQL = """
+    WITH f AS (
+      SELECT r.*, concat_ws(',',
+        CASE WHEN email IS NULL OR trim(email) = ''
+                  OR NOT regexp_matches(email, '^[^@\\s]+@[^@\\s]+$') THEN 'email' END,
+        CASE WHEN first_name IS NULL OR trim(first_name) = '' OR length(first_name) > 100
+             THEN 'firstName' END,
+        CASE WHEN last_name IS NULL OR trim(last_name) = '' OR length(last_name) > 100
+             THEN 'lastName' END,
+        CASE WHEN password IS NULL OR trim(password) = '' OR length(password) < 8
+             THEN 'password' END,
+        CASE WHEN role IS NULL THEN 'role' END) AS fields
+      FROM shop_registrations r),
+    firsts AS (SELECT email, min(seq) AS first_seq FROM f WHERE fields = '' GROUP BY email),
+    decided AS (
+      SELECT f.request_id, f.email, f.fields,
+             CASE WHEN f.fields <> '' THEN 'Validation failed'
+                  WHEN f.email IN (SELECT email FROM shop_users) OR f.seq > firsts.first_seq
+                    THEN 'Email already registered'
+                  WHEN f.role = 'ADMIN' AND NOT coalesce(f.admin_code = 'letmein', false)
+                    THEN 'Invalid admin access code'
+                  WHEN f.role = 'SELLER' AND (f.store_name IS NULL OR trim(f.store_name) = '')
+                    THEN 'Store name is required for seller registration' END AS error
+      FROM f LEFT JOIN firsts ON firsts.email = f.email)"""
+
+
+@register("chg_10_validate_registrations", oracle=REG_SQL + """
+    SELECT request_id, email, error, fields FROM decided""")
+def chg_10(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    ok, bad = C.validate_registrations(shop.registrations, shop.users, "letmein")
+    return ok.select("request_id", "email", F.lit(None).cast("string").alias("error"),
+                     F.lit("").alias("fields")) \
+        .unionByName(bad.select("request_id", "email", "error",
+                                F.array_join(F.array_sort(F.map_keys("field_errors")), ",")
+                                .alias("fields")))
+
+
+@register("chg_11_intake_reviews", oracle="""
+    SELECT q.request_id, q.product_id, TRY_CAST(coalesce(q.rating_text, '5') AS SMALLINT) AS rating,
+           CASE WHEN p.id IS NULL THEN 'Product not found'
+                WHEN TRY_CAST(coalesce(q.rating_text, '5') AS SMALLINT) IS NULL
+                  THEN 'rating is not a number'
+                WHEN TRY_CAST(coalesce(q.rating_text, '5') AS SMALLINT) NOT BETWEEN 1 AND 5
+                  THEN 'rating out of range' END AS reason
+    FROM shop_review_requests q LEFT JOIN shop_products p ON p.id = q.product_id""")
+def chg_11(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    ok, bad = C.intake_reviews(shop.review_requests, shop.products)
+    return ok.select(F.col("id").alias("request_id"), "product_id", "rating",
+                     F.lit(None).cast("string").alias("reason")) \
+        .unionByName(bad.join(shop.review_requests.select(
+            "request_id", F.expr("try_cast(coalesce(rating_text, '5') AS SMALLINT)").alias("rating")),
+            "request_id").select("request_id", "product_id", "rating", "reason"))
+
+
+@register("chg_13_find_or_create_users", oracle="""
+    WITH new AS (SELECT * FROM shop_profiles p
+                 WHERE NOT EXISTS (SELECT 1 FROM shop_users u WHERE u.email = p.email)),
+    firsts AS (SELECT email, arg_min({'profile_id': profile_id, 'full_name': full_name,
+                                      'avatar_url': avatar_url}, seq) AS p
+               FROM new GROUP BY email),
+    t AS (SELECT email, struct_extract(p, 'profile_id') AS profile_id,
+                 struct_extract(p, 'full_name') AS full_name,
+                 struct_extract(p, 'avatar_url') AS avatar_url FROM firsts)
+    SELECT profile_id, email,
+           CASE WHEN full_name IS NULL OR trim(full_name) = '' THEN split_part(email, '@', 1)
+                ELSE split_part(trim(full_name), ' ', 1) END AS first_name,
+           CASE WHEN full_name IS NULL OR trim(full_name) = '' OR strpos(trim(full_name), ' ') = 0
+                THEN '' ELSE substr(trim(full_name), strpos(trim(full_name), ' ') + 1) END AS last_name,
+           avatar_url, 'CUSTOMER' AS role, true AS email_verified
+    FROM t""")
+def chg_13(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    return C.find_or_create_users(shop.profiles, shop.users)
+
+
+@register("snk_1_upsert", oracle="""
+    WITH ch AS (SELECT CASE WHEN seq % 10 = 0 THEN product_id + 1000000000 ELSE product_id END AS id,
+                       name, price, seq FROM shop_product_updates),
+    last AS (SELECT id, arg_max({'name': name, 'price': price}, seq) AS r FROM ch GROUP BY id)
+    SELECT id, name, CAST(price AS DOUBLE) AS price FROM shop_products
+    WHERE id NOT IN (SELECT id FROM last)
+    UNION ALL
+    SELECT id, struct_extract(r, 'name'), CAST(struct_extract(r, 'price') AS DOUBLE) FROM last""")
+def snk_1(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    base = shop.products.select("id", "name", "price")
+    changes = shop.product_updates.select(
+        F.when(F.col("seq") % 10 == 0, F.col("product_id") + 1000000000)
+         .otherwise(F.col("product_id")).alias("id"), "name", "price", "seq")
+    return C.upsert(base, changes, ["id"]).select("id", "name", _dbl("price"))
+
+
+@register("src_2_resolve_keys", oracle="""
+    SELECT w.row_id, u.id AS user_id, p.id AS product_id
+    FROM shop_incoming_wishlists w JOIN shop_users u ON u.email = w.email
+    JOIN shop_products p ON p.slug = w.slug""")
+def src_2(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    rows = shop.incoming_wishlists
+    by_user, _ = C.resolve_keys(rows, shop.users, "email", "user_id")
+    both, _ = C.resolve_keys(by_user, shop.products, "slug", "product_id")
+    return both.select("row_id", "user_id", "product_id")
+
+
+@register("src_2_rejects", oracle="""
+    SELECT row_id, 'unknown email' AS reason FROM shop_incoming_wishlists w
+    WHERE NOT EXISTS (SELECT 1 FROM shop_users u WHERE u.email = w.email)""")
+def src_2_rejects(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    _, bad = C.resolve_keys(shop.incoming_wishlists, shop.users, "email", "user_id")
+    return bad.select("row_id", "reason")
+
+
+@register("jon_6_match_tokens", oracle="""
+    WITH m AS (
+      SELECT a.attempt_id, a.user_id, a.purpose, a.attempted_at, t.token_id,
+             coalesce(t.token_id IS NOT NULL AND a.code = t.code
+                      AND a.attempted_at <= t.issued_at + INTERVAL 15 MINUTE, false) AS valid
+      FROM shop_token_attempts a ASOF LEFT JOIN shop_tokens_issued t
+        ON a.user_id = t.user_id AND a.purpose = t.purpose AND a.attempted_at >= t.issued_at),
+    firsts AS (SELECT token_id, arg_min(attempt_id, attempted_at) AS first_attempt
+               FROM m WHERE valid GROUP BY token_id)
+    SELECT m.*, coalesce(m.valid AND m.attempt_id = f.first_attempt, false) AS matched
+    FROM m LEFT JOIN firsts f ON f.token_id = m.token_id""")
+def jon_6(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    return match_tokens(shop.tokens_issued, shop.token_attempts)

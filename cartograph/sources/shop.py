@@ -193,6 +193,107 @@ VIEWS: dict[str, str] = {
                      (2, 'FREESHIP', 'FIXED', 9.99, 25.00, 500, '1998-06-30 00:00:00', true),
                      (3, 'WELCOME20', 'PERCENT', 20.00, 50.00, NULL, '1999-06-30 00:00:00', true))
              AS t(id, code, discount_type, discount_value, min_order, max_uses, expires_at, is_active)""",
+    "shop_registrations": """
+        SELECT event_id AS request_id, event_id AS seq,
+               CASE k % 5 WHEN 0 THEN 'user' || CAST(user_id AS STRING) || '@shop.test'
+                          WHEN 1 THEN 'new' || CAST(user_id AS STRING) || '@shop.test'
+                          WHEN 2 THEN 'new' || CAST(event_id AS STRING) || '@shop.test'
+                          WHEN 3 THEN 'not-an-email' ELSE NULL END AS email,
+               CASE WHEN k % 7 = 0 THEN ' ' ELSE 'First' || CAST(k AS STRING) END AS first_name,
+               CASE WHEN k % 11 = 0 THEN NULL ELSE 'Last' END AS last_name,
+               CASE WHEN k % 6 = 0 THEN 'short' ELSE 'password-' || CAST(k AS STRING) END AS password,
+               CASE k % 4 WHEN 0 THEN 'SELLER' WHEN 1 THEN 'ADMIN' ELSE 'CUSTOMER' END AS role,
+               CASE WHEN k % 8 = 0 THEN NULL WHEN k % 8 = 4 THEN '  '
+                    ELSE 'Store ' || CAST(k AS STRING) END AS store_name,
+               CASE WHEN k % 3 = 0 THEN 'letmein' ELSE 'nope' END AS admin_code
+        FROM {shop_events} WHERE event_type = 'signup'""",
+    "shop_profiles": """
+        SELECT event_id AS profile_id, event_id AS seq,
+               CASE k % 4 WHEN 0 THEN 'user' || CAST(user_id AS STRING) || '@shop.test'
+                          WHEN 1 THEN ' User' || CAST(user_id AS STRING) || '@Shop.test'
+                          ELSE 'social' || CAST(k AS STRING) || '@mail.test' END AS email,
+               CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN '   ' WHEN 2 THEN '  Ann  Lee Smith '
+                          WHEN 3 THEN 'Solo' ELSE 'Kim ' || CAST(k AS STRING) END AS full_name,
+               CASE WHEN k % 2 = 0 THEN NULL ELSE '/a/' || CAST(k AS STRING) || '.png' END AS avatar_url
+        FROM {shop_events} WHERE event_type = 'click'""",
+    "shop_review_requests": """
+        SELECT event_id AS request_id, event_id AS seq, user_id AS caller_id,
+               CASE k % 3 WHEN 0 THEN user_id
+                          WHEN 1 THEN event_id % (SELECT count(*) FROM {documents})
+                          ELSE -1 END AS review_id,
+               CASE WHEN k % 4 = 0 THEN NULL ELSE CAST(k % 7 AS STRING) END AS rating_text,
+               event_id % (SELECT count(*) FROM {part}) AS product_id
+        FROM {shop_events} WHERE event_type = 'purchase'""",
+    "shop_order_access_requests": """
+        SELECT e.event_id AS request_id, e.event_id AS seq, e.user_id AS caller_id,
+               CASE WHEN e.k % 2 = 0 THEN coalesce(f.first_order, -1)
+                    ELSE e.event_id % (SELECT count(*) FROM {orders}) END AS order_id
+        FROM {shop_events} e
+        LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS first_order FROM {orders}
+                   GROUP BY o_custkey) f ON f.o_custkey = e.user_id
+        WHERE e.event_type = 'view'""",
+    "shop_product_requests": """
+        SELECT e.event_id AS request_id, e.event_id AS seq,
+               'user' || CAST(e.user_id AS STRING) || '@shop.test' AS caller_email,
+               CASE e.k % 5 WHEN 0 THEN p.p_name WHEN 1 THEN upper(p.p_name) || '!'
+                            WHEN 2 THEN '***' WHEN 3 THEN replace(p.p_name, ' ', '-') || '-1'
+                            ELSE p.p_name || ' ' || CAST(e.k % 3 AS STRING) END AS name,
+               CASE e.k % 3 WHEN 0 THEN lower(p.p_type) WHEN 1 THEN 'no-such' ELSE NULL END
+                   AS category_slug,
+               CAST(1 AS BIGINT) AS category_id,
+               CAST(p.p_retailprice AS DECIMAL(10,2)) AS price
+        FROM {shop_events} e
+        JOIN {part} p ON p.p_partkey = e.event_id % (SELECT count(*) FROM {part})
+        WHERE e.event_type = 'view' AND e.k % 4 = 0""",
+    "shop_product_updates": """
+        SELECT event_id AS request_id, event_id AS seq,
+               event_id % (SELECT count(*) FROM {part}) AS product_id,
+               'user' || CAST(user_id AS STRING) || '@shop.test' AS caller_email,
+               'Renamed ' || CAST(k AS STRING) AS name,
+               CASE WHEN k % 4 = 0 THEN NULL ELSE 'Updated ' || CAST(k AS STRING) END AS description,
+               CAST(CAST(k * 1000 + 99 AS DOUBLE) / 100 AS DECIMAL(10,2)) AS price,
+               CAST(k AS INT) AS stock_qty,
+               CASE WHEN k % 3 = 0 THEN 'DRAFT' ELSE 'LIVE' END AS status
+        FROM {shop_events} WHERE event_type = 'purchase'""",
+    "shop_incoming_wishlists": """
+        SELECT e.event_id AS row_id,
+               CASE WHEN e.k % 5 = 0 THEN 'ghost' ELSE 'user' END
+                   || CAST(e.user_id AS STRING) || '@shop.test' AS email,
+               CASE WHEN e.k % 7 = 0 THEN 'no-such-slug'
+                    ELSE replace(p.p_name, ' ', '-') || '-' || CAST(p.p_partkey AS STRING) END AS slug
+        FROM {shop_events} e
+        JOIN {part} p ON p.p_partkey = e.event_id % (SELECT count(*) FROM {part})
+        WHERE e.event_type = 'view'""",
+    "shop_flag_changes": """
+        SELECT event_id AS change_id, event_id AS seq, user_id, k % 2 = 0 AS value
+        FROM {shop_events} WHERE event_type = 'error' AND k % 3 = 0""",
+    "shop_profile_patches": """
+        SELECT event_id AS patch_id, event_id AS seq, user_id,
+               CASE k % 5 WHEN 0 THEN '{{"phone": "+1-222-' || CAST(k AS STRING) || '"}}'
+                          WHEN 1 THEN '{{"phone": null, "firstName": "Pat"}}'
+                          WHEN 2 THEN '{{"lastName": "Lee' || CAST(k AS STRING) || '", "avatarUrl": null}}'
+                          WHEN 3 THEN '{{}}'
+                          ELSE '{{"firstName": "Sam' || CAST(k AS STRING) || '"}}' END AS body
+        FROM {shop_events} WHERE event_type = 'click'""",
+    "shop_status_updates": """
+        SELECT event_id AS request_id, event_id AS seq,
+               event_id % (SELECT count(*) FROM {orders}) AS order_id,
+               CASE k % 7 WHEN 0 THEN 'shipped' WHEN 1 THEN 'OUT_FOR_DELIVERY' WHEN 2 THEN 'Delivered'
+                          WHEN 3 THEN 'CANCELLED' WHEN 4 THEN 'PROCESSING' WHEN 5 THEN 'LOST'
+                          ELSE 'CONFIRMED' END AS status,
+               ts AS changed_at, user_id AS changed_by
+        FROM {shop_events} WHERE event_type = 'error'""",
+    "shop_cart_events": """
+        SELECT e.seq, o.o_custkey AS cart_id, l.l_partkey AS product_id,
+               CASE e.k % 9 WHEN 0 THEN 'remove' WHEN 1 THEN 'set' WHEN 2 THEN 'clear'
+                            WHEN 3 THEN 'set' ELSE 'add' END AS action,
+               CASE WHEN e.k % 9 = 3 THEN 0 - e.k % 2 ELSE 1 + e.k % 4 END AS quantity,
+               CAST(CAST(e.k * 100 + 5 AS DOUBLE) / 100 AS DECIMAL(10,2)) AS price
+        FROM (SELECT event_id AS seq, k,
+                     event_id % (SELECT count(*) FROM {orders}) AS okey
+              FROM {shop_events} WHERE event_type IN ('click', 'view', 'purchase')) e
+        JOIN {orders} o ON o.o_orderkey = e.okey
+        JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey AND l.l_linenumber = 1""",
 }
 
 

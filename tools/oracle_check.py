@@ -11,6 +11,7 @@ import time
 sys.path.insert(0, __file__.rsplit("/tools/", 1)[0])
 
 import duckdb  # noqa: E402
+import pandas as pd  # noqa: E402
 
 from cartograph.plans.registry import load_all  # noqa: E402
 from cartograph.session import get_session  # noqa: E402
@@ -20,11 +21,13 @@ ALL_TABLES = DRIVER_TABLES + ("embeddings", "pages", "benchmark", "conversations
 
 
 def norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return ("~null",)
     if isinstance(v, float):
         if math.isnan(v):
             return ("~null",)
+        if v.is_integer() and abs(v) < 2**53:
+            return ("i", int(v))
         return ("f", float(f"{v:.6g}"))
     if hasattr(v, "item") and not isinstance(v, (list, dict)):
         try:
@@ -40,7 +43,7 @@ def norm(v):
     if isinstance(v, bool):
         return ("b", v)
     if isinstance(v, int):
-        return ("f", float(f"{float(v):.6g}")) if abs(v) > 2**53 else ("i", v)
+        return ("i", v)
     if hasattr(v, "isoformat"):
         s = v.isoformat()
         return ("t", s.replace("T", " ")[:26].rstrip("0").rstrip(".") if " " in s or "T" in s else s)
