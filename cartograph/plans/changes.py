@@ -455,3 +455,24 @@ def src_2_rejects(spark, sf_dir):
 def jon_6(spark, sf_dir):
     shop = Shop(spark, sf_dir)
     return match_tokens(shop.tokens_issued, shop.token_attempts)
+
+
+@register("scl_2_assign_slugs")
+def scl_2(spark, sf_dir):
+    """Unique slugs for the product requests against all existing slugs
+    (order-dependent loop; checked against a plain-Python replay in tests)."""
+    from cartograph.operators.slugs import assign_slugs
+    shop = Shop(spark, sf_dir)
+    new = shop.product_requests.select("request_id", "seq", T.slugify("name").alias("base"))
+    return assign_slugs(new, shop.products.select("slug"))
+
+
+@register("chg_12_create_products")
+def chg_12(spark, sf_dir):
+    """Bulk product creation (seller by e-mail, category by slug, SCL-2 slugs)."""
+    from cartograph.operators.slugs import create_products
+    shop = Shop(spark, sf_dir)
+    new, _ = create_products(shop.product_requests, shop.products, shop.categories,
+                             shop.sellers, shop.users)
+    return new.select("id", "seller_id", "category_id", "name", "slug",
+                      F.col("price").cast("double").alias("price"))
