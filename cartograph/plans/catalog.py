@@ -66,11 +66,11 @@ def fil_2(spark, sf_dir):
 
 
 @register("fil_3_optional_filters", oracle=f"""
-    SELECT {PRODUCT_OUT_SQL} FROM shop_products WHERE price >= 1000 AND stock_qty > 0""")
+    SELECT {PRODUCT_OUT_SQL} FROM shop_products WHERE price >= 990 AND stock_qty > 0""")
 def fil_3(spark, sf_dir):
     shop = Shop(spark, sf_dir)
     return _product_out(C.optional_filters(shop.products, shop.categories, category=None,
-                                           min_price=1000, max_price=None, stock=True))
+                                           min_price=990, max_price=None, stock=True))
 
 
 @register("fil_4_in_category", oracle="""

@@ -1,0 +1,93 @@
+"""Full-text queries: postings over the documents table, all-terms matching,
+and the catalogue search (FTS-1, FTS-2, FTS-4)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cartograph.functions.text import lexemes_sql
+from cartograph.operators import catalog as C
+from cartograph.operators import search as S
+from cartograph.plans.registry import register
+from cartograph.sources.shop import Shop
+from cartograph.sources.tables import load_table
+
+DOC_LEX = lexemes_sql("text")
+
+
+@register("fts_1_build_postings", bench=True, oracle=f"""
+    SELECT DISTINCT unnest({DOC_LEX}) AS term, doc_id FROM documents""")
+def fts_1(spark, sf_dir):
+    return S.build_postings(load_table(spark, sf_dir, "documents"), "doc_id", ["text"])
+
+
+@register("fts_1_term_frequency", oracle=f"""
+    SELECT term, count(*) AS docs FROM (SELECT DISTINCT unnest({DOC_LEX}) AS term, doc_id
+                                        FROM documents) t GROUP BY term""")
+def fts_1_df(spark, sf_dir):
+    p = S.build_postings(load_table(spark, sf_dir, "documents"), "doc_id", ["text"])
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
+
+
+@register("fts_2_match_all_terms", bench=True, oracle=f"""
+    WITH q AS (SELECT item_id AS query_id, {lexemes_sql('text')} AS v FROM benchmark),
+    d AS (SELECT doc_id, {DOC_LEX} AS v FROM documents)
+    SELECT q.query_id, d.doc_id FROM q, d
+    WHERE len(q.v) > 0 AND list_has_all(d.v, q.v)""")
+def fts_2(spark, sf_dir):
+    postings = S.build_postings(load_table(spark, sf_dir, "documents"), "doc_id", ["text"])
+    queries = load_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return S.match_all_terms(postings, queries)
+
+
+@register("fts_2_search_events", oracle=f"""
+    WITH q AS (SELECT event_id AS query_id, {lexemes_sql('query')} AS v FROM shop_search_events),
+    d AS (SELECT id AS doc_id, {lexemes_sql("coalesce(name, '') || ' ' || coalesce(description, '')")}
+                 AS v FROM shop_products)
+    SELECT q.query_id, d.doc_id FROM q, d WHERE len(q.v) > 0 AND list_has_all(d.v, q.v)""")
+def fts_2_events(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    postings = S.build_postings(shop.products, "id", ["name", "description"])
+    queries = shop.search_events.select(F.col("event_id").alias("query_id"),
+                                        F.col("query").alias("text"))
+    return S.match_all_terms(postings, queries)
+
+
+SEARCH_Q = "Red Rings"
+_PROD_LEX = lexemes_sql("coalesce(name, '') || ' ' || coalesce(description, '')")
+_Q_LEX = lexemes_sql(f"'{SEARCH_Q}'")
+SEARCH_WHERE = f"""
+    is_active AND status = 'LIVE'
+    AND ((len({_Q_LEX}) > 0 AND list_has_all({_PROD_LEX}, {_Q_LEX}))
+         OR lower(name) LIKE '%{SEARCH_Q.lower()}%')
+    AND stock_qty > 0"""
+
+
+@register("fts_4_search_products", oracle=f"""
+    SELECT id, name, CAST(price AS DOUBLE) AS price, stock_qty, CAST(rating_avg AS DOUBLE) AS rating_avg
+    FROM shop_products WHERE {SEARCH_WHERE}
+    ORDER BY rating_avg DESC, id ASC LIMIT 20""")
+def fts_4(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    hits = C.search_products(shop.products, shop.categories, q=SEARCH_Q, sort="rating", stock=True)
+    return hits.select("id", "name", F.col("price").cast("double").alias("price"), "stock_qty",
+                       F.col("rating_avg").cast("double").alias("rating_avg"))
+
+
+@register("fts_4_search_total", oracle=f"""
+    SELECT count(*) AS total FROM shop_products WHERE {SEARCH_WHERE}""")
+def fts_4_total(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    return C.page_total(C.search_filter(shop.products, shop.categories, q=SEARCH_Q, stock=True))
+
+
+@register("fts_4_search_category", oracle="""
+    SELECT id, name FROM shop_products
+    WHERE is_active AND status = 'LIVE'
+      AND category_id = (SELECT id FROM shop_categories WHERE slug = 'economy')
+      AND price >= 950 AND price <= 999
+    ORDER BY created_at DESC NULLS FIRST, rating_avg DESC, id ASC LIMIT 20""")
+def fts_4_cat(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    return C.search_products(shop.products, shop.categories, q=None, category="economy",
+                             sort="newest", min_price=950, max_price=999).select("id", "name")
