@@ -1,0 +1,85 @@
+"""Batch twins of the streaming rules (STR-1, STR-3, STR-4, STR-5).
+
+The streaming forms live in :mod:`cartograph.streaming`; tests run them on
+the same tables and compare with these batch results. STR-2's batch twin is
+``jon_6_match_tokens``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cartograph.plans.registry import register
+from cartograph.sources.shop import Shop
+from cartograph.streaming.feed import merge_current, status_history
+from cartograph.streaming.lockout import lockouts_batch
+from cartograph.streaming.windows import rate_violations_batch, trending_windows_batch
+
+
+@register("str_1_lockouts")
+def str_1(spark, sf_dir):
+    """Outcome of every login attempt under the lockout fold (sequential per
+    user; checked against a plain-Python fold in tests)."""
+    shop = Shop(spark, sf_dir)
+    return lockouts_batch(shop.logins, shop.users)
+
+
+@register("str_1_locks_per_user")
+def str_1_locks(spark, sf_dir):
+    """Number of locks each user ran into (from the lockout fold)."""
+    shop = Shop(spark, sf_dir)
+    out = lockouts_batch(shop.logins, shop.users)
+    return out.where(F.col("outcome") == "LOCKED_NOW").groupBy("user_id") \
+        .agg(F.count(F.lit(1)).alias("locks"))
+
+
+@register("str_3_rate_violations", oracle="""
+    SELECT user_id, date_trunc('minute', ts) AS window_start, count(*) AS requests
+    FROM shop_logins GROUP BY 1, 2 HAVING count(*) > 10""")
+def str_3(spark, sf_dir):
+    return rate_violations_batch(Shop(spark, sf_dir).logins, 10)
+
+
+@register("str_3_rate_violations_limit1", oracle="""
+    SELECT user_id, date_trunc('minute', ts) AS window_start, count(*) AS requests
+    FROM shop_logins GROUP BY 1, 2 HAVING count(*) > 1""")
+def str_3_1(spark, sf_dir):
+    return rate_violations_batch(Shop(spark, sf_dir).logins, 1)
+
+
+@register("str_4_status_history", oracle="""
+    SELECT order_id, upper(status) AS status, seq, changed_at, changed_by
+    FROM shop_status_updates
+    WHERE upper(status) IN ('CONFIRMED', 'PROCESSING', 'SHIPPED', 'OUT_FOR_DELIVERY',
+                            'DELIVERED', 'CANCELLED')""")
+def str_4_history(spark, sf_dir):
+    return status_history(Shop(spark, sf_dir).status_updates)
+
+
+@register("str_4_status_current", oracle="""
+    WITH h AS (SELECT order_id, upper(status) AS status, seq FROM shop_status_updates
+               WHERE upper(status) IN ('CONFIRMED', 'PROCESSING', 'SHIPPED', 'OUT_FOR_DELIVERY',
+                                       'DELIVERED', 'CANCELLED')),
+    base AS (SELECT id AS order_id, status, CAST(-1 AS BIGINT) AS seq FROM shop_orders),
+    allrows AS (SELECT * FROM base UNION ALL SELECT * FROM h)
+    SELECT order_id, arg_max(status, seq) AS status, max(seq) AS seq FROM allrows GROUP BY order_id""")
+def str_4_current(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    base = shop.orders.select(F.col("id").alias("order_id"), "status",
+                              F.lit(-1).cast("bigint").alias("seq"),
+                              F.col("created_at").alias("changed_at"))
+    return merge_current(base, status_history(shop.status_updates)).select("order_id", "status", "seq")
+
+
+@register("str_5_trending_windows", oracle="""
+    WITH t AS (SELECT lower(trim(query)) AS term, user_id, searched_at AS ts FROM shop_search_events
+               WHERE lower(trim(query)) <> ''),
+    w AS (SELECT time_bucket(INTERVAL 10 MINUTE, ts) - to_minutes(CAST(r.k * 10 AS BIGINT))
+                   AS window_start, term, user_id
+          FROM t, range(0, 6) r(k)),
+    per AS (SELECT window_start, term, count(DISTINCT user_id) AS users FROM w GROUP BY 1, 2)
+    SELECT window_start, term, users, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY users DESC, term) AS rank
+      FROM per) x WHERE rank <= 8""")
+def str_5(spark, sf_dir):
+    return trending_windows_batch(Shop(spark, sf_dir).search_events)

@@ -310,10 +310,13 @@ def view_deps(name: str) -> list[str]:
 class Shop:
     """Lazily built shop DataFrames for one folder of driver tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str,
+                 overrides: dict[str, DataFrame] | None = None):
+        """``overrides`` replaces driver tables by other frames, e.g. the
+        events table by a streaming frame, so the same views feed a stream."""
         self.spark = spark
         self.sf_dir = sf_dir
-        self._frames: dict[str, DataFrame] = {}
+        self._frames: dict[str, DataFrame] = dict(overrides or {})
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:
