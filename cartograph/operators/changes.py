@@ -451,19 +451,22 @@ def validate_registrations(requests: DataFrame, users: DataFrame, admin_code: st
         entries.append(F.struct(F.lit(field).alias("k"), msg.alias("v")))
     errs = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"].isNotNull()))
     x = requests.withColumn("field_errors", errs)
+    code_ok = (F.col("admin_code") == F.lit(admin_code)) if admin_code is not None else F.lit(False)
+    admin_bad = (F.col("role") == "ADMIN") & ~F.coalesce(code_ok, F.lit(False))
+    store_bad = (F.col("role") == "SELLER") & blank("store_name")
+    # a request that passes every check not involving other requests is the
+    # one that registers its e-mail; the first such request (by seq) wins
+    alone_ok = (F.size("field_errors") == 0) & ~F.coalesce(admin_bad, F.lit(False)) \
+        & ~F.coalesce(store_bad, F.lit(False))
     taken = users.select(F.col("email").alias("_e")).distinct().withColumn("_taken", F.lit(True))
-    first_req = x.where(F.size("field_errors") == 0).groupBy("email").agg(F.min("seq").alias("_first"))
+    first_req = x.where(alone_ok).groupBy("email").agg(F.min("seq").alias("_first"))
     x = x.join(taken, x["email"] == taken["_e"], "left").drop("_e") \
         .join(first_req, "email", "left")
-    code_ok = F.lit(admin_code).isNotNull() & (F.col("admin_code") == F.lit(admin_code)) \
-        if admin_code is not None else F.lit(False)
     error = (F.when(F.size("field_errors") > 0, F.lit("Validation failed"))
               .when(F.coalesce(F.col("_taken"), F.lit(False)) | (F.col("seq") > F.col("_first")),
                     F.lit("Email already registered"))
-              .when((F.col("role") == "ADMIN") & ~F.coalesce(code_ok, F.lit(False)),
-                    F.lit("Invalid admin access code"))
-              .when((F.col("role") == "SELLER") & blank("store_name"),
-                    F.lit("Store name is required for seller registration")))
+              .when(admin_bad, F.lit("Invalid admin access code"))
+              .when(store_bad, F.lit("Store name is required for seller registration")))
     x = x.withColumn("error", error).drop("_taken", "_first")
     accepted = x.where(F.col("error").isNull()).select(
         "request_id", "email", "first_name", "last_name", "role",

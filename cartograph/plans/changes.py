@@ -339,7 +339,11 @@ REG_SQL = """
              THEN 'password' END,
         CASE WHEN role IS NULL THEN 'role' END) AS fields
       FROM shop_registrations r),
-    firsts AS (SELECT email, min(seq) AS first_seq FROM f WHERE fields = '' GROUP BY email),
+    firsts AS (SELECT email, min(seq) AS first_seq FROM f
+               WHERE fields = ''
+                 AND NOT (role = 'ADMIN' AND NOT coalesce(admin_code = 'letmein', false))
+                 AND NOT (role = 'SELLER' AND (store_name IS NULL OR trim(store_name) = ''))
+               GROUP BY email),
     decided AS (
       SELECT f.request_id, f.email, f.fields,
              CASE WHEN f.fields <> '' THEN 'Validation failed'

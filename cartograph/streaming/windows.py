@@ -15,15 +15,16 @@ RATE_WINDOW = "1 minute"
 
 
 def event_time(df: DataFrame, col: str = "ts") -> DataFrame:
-    """Event time as ``timestamp`` (session zone UTC), as watermarks need."""
-    return df.withColumn(col, F.col(col).cast("timestamp"))
+    """Event time as ``timestamp_ltz`` (session zone UTC), as watermarks need
+    (plain ``timestamp`` means NTZ under the session rules)."""
+    return df.withColumn(col, F.col(col).cast("timestamp_ltz"))
 
 
 def rate_violations_batch(requests: DataFrame, limit: int = RATE_LIMIT,
                           window: str = RATE_WINDOW) -> DataFrame:
     """STR-3 batch twin: users with more than ``limit`` requests in a
     tumbling ``window``."""
-    w = F.window(F.col("ts").cast("timestamp"), window)
+    w = F.window(F.col("ts").cast("timestamp_ltz"), window)
     return requests.groupBy("user_id", w.alias("w")).agg(F.count(F.lit(1)).alias("requests")) \
         .where(F.col("requests") > limit) \
         .select("user_id", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "requests")
@@ -52,7 +53,7 @@ def trending_windows_batch(searches: DataFrame, window: str = TREND_WINDOW,
     the per-window top-k uses a ranked window (Spark plans a partial
     ``WindowGroupLimit`` before the shuffle)."""
     terms = searches.select(F.lower(F.trim("query")).alias("term"), "user_id",
-                            F.col("searched_at").cast("timestamp").alias("ts")) \
+                            F.col("searched_at").cast("timestamp_ltz").alias("ts")) \
         .where(F.col("term") != "")
     per = terms.groupBy(F.window("ts", window, slide).alias("w"), "term") \
         .agg(F.countDistinct("user_id").alias("users"))
@@ -71,7 +72,7 @@ def trending_pairs(searches: DataFrame, window: str = TREND_WINDOW, slide: str =
     """STR-5 stream, stateful part: distinct (window, term, user) triples,
     emitted when the watermark closes the window (append mode)."""
     x = searches.select(F.lower(F.trim("query")).alias("term"), "user_id",
-                        F.col("searched_at").cast("timestamp").alias("ts")) \
+                        F.col("searched_at").cast("timestamp_ltz").alias("ts")) \
         .where(F.col("term") != "").withWatermark("ts", lateness)
     return x.groupBy(F.window("ts", window, slide).alias("w"), "term", "user_id").count()
 
