@@ -114,9 +114,11 @@ def lexemes(text) -> Column:
     """FTS-1 document vector as an array: tokens, stop words removed, stemmed,
     de-duplicated (PostgreSQL ``to_tsvector`` keeps positions; matching with
     ``@@`` only needs presence)."""
-    stop = F.array(*[F.lit(s) for s in STOP_WORDS])
-    kept = F.filter(tokens(text), lambda t: ~F.array_contains(stop, t))
-    return F.array_distinct(F.transform(kept, stem))
+    # array_except is hash based (one probe per token) and also drops the
+    # empty tokens a leading separator leaves, so "" joins the stop list
+    stop = F.array(*[F.lit(s) for s in STOP_WORDS + [""]])
+    raw = F.split(F.lower(F.coalesce(_col(text), F.lit(""))), TOKEN_SPLIT)
+    return F.array_distinct(F.transform(F.array_except(raw, stop), stem))
 
 
 def lexemes_sql(text_sql: str) -> str:

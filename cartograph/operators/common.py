@@ -72,3 +72,24 @@ def ts_lit(value) -> Column:
     if isinstance(value, Column):
         return value
     return F.to_timestamp_ntz(F.lit(str(value)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a frame whose scan yields fewer partitions than the
+    cluster has cores (a small file with one row group), before CPU-heavy
+    per-row work such as tokenising. Large inputs already have many splits
+    and pass through unchanged, so no shuffle is added at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as parquet under the session's shared checkpoint folder
+    and read it back: cuts the lineage (a lost executor re-reads files
+    instead of recomputing) and later reads are columnar with pruning."""
+    import uuid
+
+    from cartograph.session import checkpoint_dir
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stash/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartograph.functions.text import lexemes
-from cartograph.operators.common import small
+from cartograph.operators.common import small, spread
 
 
 def document_text(*cols: str):
@@ -29,7 +29,7 @@ def build_postings(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFr
     """FTS-1: one ``(term, doc_id)`` row per distinct lexeme of each document.
     Map-only (no shuffle): every document is tokenised where it lies."""
     vec = lexemes(document_text(*text_cols))
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(vec).alias("term"))
+    return spread(docs).select(F.col(id_col).alias("doc_id"), F.explode(vec).alias("term"))
 
 
 def write_postings(postings: DataFrame, path: str) -> None:
@@ -48,10 +48,33 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
 def match_all_terms(postings: DataFrame, queries: DataFrame, id_col: str = "query_id",
                     text_col: str = "text") -> DataFrame:
     """FTS-2: (query_id, doc_id) for every document holding all lexemes of the
-    query; a query without lexemes (only stop words) matches nothing. The
-    query-term side is broadcast when its size is checked to be small; the
-    per-(query, document) term count is pre-aggregated map-side."""
-    qt = query_terms(queries, id_col, text_col)
-    hits = postings.join(small(qt), "term")
-    counted = hits.groupBy("query_id", "doc_id", "n_terms").agg(F.count(F.lit(1)).alias("_m"))
-    return counted.where(F.col("_m") == F.col("n_terms")).select("query_id", "doc_id")
+    query; a query without lexemes (only stop words) matches nothing.
+
+    * Queries with the same lexeme set are answered once and joined back at
+      the end, so repeated searches cost one match.
+    * Each set starts from its rarest lexeme (document frequency from one
+      partial-aggregated pass over the postings): only documents holding that
+      lexeme are candidates, and only candidates are checked for the other
+      lexemes with a semi join on ``(term, doc_id)``. Common words never fan
+      out against every set that contains them.
+    Small sides are broadcast only after a size check.
+    """
+    keyed = queries.select(F.col(id_col).alias("query_id"),
+                           F.array_sort(lexemes(F.col(text_col))).alias("qset")) \
+        .where(F.size("qset") > 0)
+    sets = keyed.select("qset").distinct()
+    terms = sets.select("qset", F.size("qset").alias("n_terms"), F.explode("qset").alias("term"))
+    freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    ranked = terms.join(freq, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rarest = ranked.groupBy("qset", "n_terms").agg(
+        F.min(F.struct("df", "term")).alias("_r")) \
+        .where(F.col("_r.df") > 0) \
+        .select("qset", "n_terms", F.col("_r.term").alias("term"))
+    candidates = postings.join(small(rarest), "term").select("qset", "n_terms", "doc_id")
+    single = candidates.where(F.col("n_terms") == 1).select("qset", "doc_id")
+    multi = candidates.where(F.col("n_terms") > 1)
+    to_check = multi.join(terms.select("qset", "term"), "qset")
+    present = to_check.join(postings.select("term", "doc_id"), ["term", "doc_id"], "left_semi")
+    verified = present.groupBy("qset", "doc_id", "n_terms").agg(F.count(F.lit(1)).alias("_m")) \
+        .where(F.col("_m") == F.col("n_terms")).select("qset", "doc_id")
+    return keyed.join(single.unionByName(verified), "qset").select("query_id", "doc_id")

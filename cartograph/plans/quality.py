@@ -162,7 +162,7 @@ def dq_6(spark, sf_dir):
 DECIMAL_RULES = [("orders", "o_totalprice", 10, 2, "o_orderkey"),
                  ("part", "p_retailprice", 10, 2, "p_partkey"),
                  ("customer", "c_acctbal", 10, 2, "c_custkey"),
-                 ("lineitem", "l_extendedprice", 6, 2, "l_orderkey")]
+                 ("lineitem", "l_extendedprice", 10, 2, "l_orderkey")]
 
 
 def _dec_sql(t, c, p, s, k):

@@ -307,6 +307,20 @@ def view_deps(name: str) -> list[str]:
     return found
 
 
+# sf_dir -> folder holding the views written as parquet (see ``materialize``)
+_MATERIALIZED: dict[str, str] = {}
+
+
+def materialize(spark: SparkSession, sf_dir: str, path: str, names=None) -> None:
+    """Write the shop views of ``sf_dir`` once as parquet tables under
+    ``path`` (a shared folder) and read them from there afterwards, as a
+    deployment would keep them as tables. Views are written parents first."""
+    shop = Shop(spark, sf_dir)
+    for name in _ordered_views(list(names or VIEWS)):
+        shop[name].write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+    _MATERIALIZED[sf_dir] = path
+
+
 class Shop:
     """Lazily built shop DataFrames for one folder of driver tables."""
 
@@ -320,13 +334,19 @@ class Shop:
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:
-            if name in VIEWS:
+            stored = _MATERIALIZED.get(self.sf_dir)
+            if name in VIEWS and stored and not self._streaming():
+                self._frames[name] = self.spark.read.parquet(f"{stored.rstrip('/')}/{name}")
+            elif name in VIEWS:
                 deps = {d: self[d] for d in view_deps(name)}
                 self._frames[name] = self.spark.sql(VIEWS[name], **deps)
             else:
                 self._frames[name] = load_table(self.spark, self.sf_dir, name)
         return self._frames[name]
 
+    def _streaming(self) -> bool:
+        return any(df.isStreaming for df in self._frames.values())
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
