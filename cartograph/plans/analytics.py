@@ -323,3 +323,45 @@ def scl_6(spark, sf_dir):
                          "delivery_type", M.DELIVERY_TYPES)
     return ok.withColumn("valid", F.lit(True)).unionByName(bad.select(
         "request_id", F.upper("delivery_type").alias("delivery_type"), F.lit(False).alias("valid")))
+
+
+@register("prc_5_quote_promos", oracle="""
+    SELECT r.request_id, r.code,
+           CASE WHEN upper(r.code) IN ('BABY10', 'FREESHIP', 'WELCOME20') THEN upper(r.code) END
+               AS quoted_code,
+           CAST(CASE upper(r.code) WHEN 'BABY10' THEN 10 WHEN 'FREESHIP' THEN 9.99
+                                   WHEN 'WELCOME20' THEN 20 END AS DOUBLE) AS discount,
+           CASE upper(r.code) WHEN 'FREESHIP' THEN 'FIXED' WHEN 'BABY10' THEN 'PERCENT'
+                              WHEN 'WELCOME20' THEN 'PERCENT' END AS discount_type,
+           coalesce(upper(r.code) IN ('BABY10', 'FREESHIP', 'WELCOME20'), false) AS valid
+    FROM shop_promo_requests r""")
+def prc_5(spark, sf_dir):
+    from cartograph.operators.pricing import quote_promos
+    req = Shop(spark, sf_dir).promo_requests.select("request_id", "code")
+    return quote_promos(req, strict=False).select(
+        "request_id", "code", "quoted_code", _dbl("discount"), "discount_type", "valid")
+
+
+AS_OF_PROMO = "1998-06-30 00:00:00"
+
+
+@register("prc_5_quote_promos_strict", oracle=f"""
+    WITH x AS (
+      SELECT r.request_id, r.code, r.subtotal, p.code AS quoted_code, p.discount_type,
+             coalesce(p.is_active AND (p.expires_at IS NULL OR p.expires_at >= TIMESTAMP '{AS_OF_PROMO}')
+                      AND (p.max_uses IS NULL OR p.uses_count < p.max_uses)
+                      AND r.subtotal >= p.min_order, false) AS valid,
+             p.discount_value
+      FROM shop_promo_requests r LEFT JOIN shop_promo_codes p ON lower(r.code) = lower(p.code))
+    SELECT request_id, code, quoted_code,
+           CAST(CASE WHEN valid THEN CASE WHEN discount_type = 'PERCENT'
+                                          THEN round(subtotal * discount_value * 0.01, 2)
+                                          ELSE least(discount_value, subtotal) END END AS DOUBLE) AS discount,
+           discount_type, valid
+    FROM x""")
+def prc_5_strict(spark, sf_dir):
+    from cartograph.operators.pricing import quote_promos
+    shop = Shop(spark, sf_dir)
+    req = shop.promo_requests.select("request_id", "code", "subtotal")
+    return quote_promos(req, shop.promo_codes, strict=True, as_of=AS_OF_PROMO).select(
+        "request_id", "code", "quoted_code", _dbl("discount"), "discount_type", "valid")

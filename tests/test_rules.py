@@ -367,3 +367,31 @@ def test_slug_family_rule(spark):
     df = spark.createDataFrame([("a-1-2",), ("a",), ("b-x-3",)], "s string")
     assert [r.f for r in df.select(T.slug_family("s").alias("f")).collect()] == ["a", "a", "b-x"]
     assert re.sub(r"(-[0-9]+)+$", "", "a-1-2") == "a"
+
+
+def test_active_faqs_and_categories_order(spark):
+    faqs = spark.createDataFrame([(1, "Returns?", 3, True), (2, "Shipping?", 1, True),
+                                  (3, "Old", 2, False)],
+                                 "id long, question string, sort_order int, is_active boolean")
+    assert [r.id for r in C.active_faqs(faqs).collect()] == [2, 1]
+    cats = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "id long, sort_order int")
+    assert [r.id for r in C.ordered_categories(cats).collect()] == [2, 3, 1]
+
+
+def test_quote_promos_modes(spark):
+    from cartograph.operators.pricing import quote_promos
+    req = spark.createDataFrame([(1, "baby10", Decimal("40.00")), (2, " BABY10", Decimal("40.00")),
+                                 (3, "FreeShip", Decimal("5.00")), (4, None, Decimal("1.00"))],
+                                "request_id long, code string, subtotal decimal(10,2)")
+    lenient = {r.request_id: (r.quoted_code, r.discount, r.discount_type, r.valid)
+               for r in quote_promos(req, strict=False).collect()}
+    assert lenient == {1: ("BABY10", Decimal("10.00"), "PERCENT", True), 2: (None, None, None, False),
+                       3: ("FREESHIP", Decimal("9.99"), "FIXED", True), 4: (None, None, None, False)}
+    promos = spark.createDataFrame(
+        [("BABY10", "PERCENT", Decimal("10.00"), Decimal("30.00"), 1000, 0, TS(2024, 1, 1), True),
+         ("FREESHIP", "FIXED", Decimal("9.99"), Decimal("25.00"), 500, 0, TS(2024, 1, 1), True)],
+        "code string, discount_type string, discount_value decimal(10,2), min_order decimal(10,2), "
+        "max_uses int, uses_count int, expires_at timestamp_ntz, is_active boolean")
+    strict = {r.request_id: (r.discount, r.valid) for r in
+              quote_promos(req, promos, strict=True, as_of="2024-01-01 00:00:00").collect()}
+    assert strict == {1: (Decimal("4.00"), True), 2: (None, False), 3: (None, False), 4: (None, False)}
