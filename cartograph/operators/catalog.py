@@ -223,27 +223,29 @@ def suggest(products: DataFrame, prefixes: DataFrame, k: int = SUGGESTION_LIMIT,
     """FTS-5: for many prefixes at once, up to ``k`` distinct names of active
     products (drafts included) that start with the prefix, case-insensitive.
     A prefix whose trimmed length is under 2 gets nothing; the untrimmed text
-    is what is matched. Names are ranked by name (the reference has no order).
-
-    Plain prefixes are an equi-join on ``(length, text)`` against the prefixes
-    of each distinct lower-cased name, so no prefix is compared with every
-    name; prefixes holding ``%`` or ``_`` keep LIKE semantics through a
-    (size-checked) broadcast of those prefixes.
+    is what is matched; ``%`` and ``_`` in a prefix stay LIKE wildcards.
+    Names are ranked by name (the reference has no order).
+
+    Every prefix is equi-joined on its literal head (the text before the
+    first wildcard) to the prefixes of each distinct lower-cased name, so no
+    prefix is compared with every name; wildcard prefixes are then filtered
+    with LIKE. Distinct prefixes are matched once and the top ``k`` per
+    prefix (a partial ``WindowGroupLimit`` before the shuffle) are joined
+    back to the requests.
     """
     reqs = prefixes.where(F.length(F.trim(F.col(prefix_col))) >= MIN_PREFIX) \
         .select(F.col(id_col), F.col(prefix_col), F.lower(F.col(prefix_col)).alias("_lp"))
-    wanted = reqs.select("_lp").distinct()
+    wanted = reqs.select("_lp").distinct() \
+        .withColumn("_head", F.regexp_extract("_lp", "^([^%_\\\\]*)", 1)) \
+        .withColumn("_wild", F.col("_head") != F.col("_lp"))
     names = products.where(F.col("is_active")).select("name").distinct() \
         .withColumn("_ln", F.lower("name"))
-    is_wild = F.col("_lp").rlike("[%_\\\\]")
-    name_prefixes = names.select(
-        "name", "_ln", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_ln"), F.lit(1)))).alias("_n")) \
-        .select("name", F.expr("substring(_ln, 1, _n)").alias("_lp"))
-    hit_plain = wanted.where(~is_wild).join(name_prefixes, "_lp")
-    hit_wild = names.join(small(wanted.where(is_wild)),
-                          F.expr("_ln LIKE concat(_lp, '%')")) \
-        .select("_lp", "name")
-    hits = hit_plain.unionByName(hit_wild).distinct()
+    name_heads = names.select(
+        "name", "_ln", F.explode(F.sequence(F.lit(0), F.length("_ln"))).alias("_n")) \
+        .select("name", "_ln", F.expr("substring(_ln, 1, _n)").alias("_head"))
+    hits = wanted.join(name_heads, "_head") \
+        .where(~F.col("_wild") | F.expr("_ln LIKE concat(_lp, '%')")) \
+        .select("_lp", "name").distinct()
     w = Window.partitionBy("_lp").orderBy(F.col("name"))
     top = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return reqs.join(top, "_lp").select(id_col, prefix_col, "name", "rank")

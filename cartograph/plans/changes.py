@@ -447,7 +447,9 @@ def src_2_rejects(spark, sf_dir):
 
 @register("jon_6_match_tokens", oracle="""
     WITH m AS (
-      SELECT a.attempt_id, a.user_id, a.purpose, a.attempted_at, t.token_id,
+      SELECT a.attempt_id, a.user_id, a.purpose, a.attempted_at,
+             CASE WHEN a.attempted_at <= t.issued_at + INTERVAL 15 MINUTE THEN t.token_id END
+                 AS token_id,
              coalesce(t.token_id IS NOT NULL AND a.code = t.code
                       AND a.attempted_at <= t.issued_at + INTERVAL 15 MINUTE, false) AS valid
       FROM shop_token_attempts a ASOF LEFT JOIN shop_tokens_issued t

@@ -4,8 +4,9 @@ Codes and attempts arrive as one stream of events keyed by (user, purpose).
 ``applyInPandasWithState`` keeps the code in force per key (id, code, issue
 time, consumed flag); each micro-batch is replayed in (time, kind, id) order:
 an issue replaces the code in force (voiding the previous one), an attempt
-is valid when its code equals the code in force within the lifetime, and the
-first valid attempt consumes the code. The batch twin is
+is valid when its code equals the code in force within its lifetime (a code
+past its lifetime is reported as none), and the first valid attempt consumes
+the code. The batch twin is
 :func:`cartograph.operators.tokens.match_tokens`.
 """
 
@@ -48,13 +49,14 @@ def match_tokens_stream(events: DataFrame, ttl_minutes: int = TTL_MINUTES) -> Da
             if kind == 0:
                 tid, code, issued_us, consumed = int(rid), rcode, int(ts_us[j]), False
                 continue
-            valid = tid is not None and rcode == code and ts_us[j] <= issued_us + ttl_us
+            fresh = tid is not None and ts_us[j] <= issued_us + ttl_us
+            valid = fresh and rcode == code
             matched = bool(valid and not consumed)
             if matched:
                 consumed = True
             out["attempt_id"].append(int(rid))
             out["attempted_at"].append(rows["ts"].iat[j])
-            out["token_id"].append(tid)
+            out["token_id"].append(tid if fresh else None)
             out["valid"].append(bool(valid))
             out["matched"].append(matched)
         if tid is not None:

@@ -232,7 +232,7 @@ def test_match_tokens_edges(spark):
         "attempt_id long, user_id long, attempted_at timestamp_ntz, purpose string, code string")
     got = {r.attempt_id: (r.token_id, r.valid, r.matched) for r in match_tokens(issued, attempts).collect()}
     assert got == {10: (1, True, True), 11: (1, True, False), 12: (2, False, False),
-                   13: (3, True, True), 14: (2, False, False), 15: (None, False, False)}
+                   13: (3, True, True), 14: (None, False, False), 15: (None, False, False)}
 
 
 def _lockout_python(rows, verified, suspended):
@@ -395,3 +395,19 @@ def test_quote_promos_modes(spark):
     strict = {r.request_id: (r.discount, r.valid) for r in
               quote_promos(req, promos, strict=True, as_of="2024-01-01 00:00:00").collect()}
     assert strict == {1: (Decimal("4.00"), True), 2: (None, False), 3: (None, False), 4: (None, False)}
+
+
+def test_match_tokens_across_time_slices(spark):
+    t = TS(2024, 1, 1, 10, 14, 59)
+    issued = spark.createDataFrame([(1, 7, t, "P", "111111"), (2, 8, t, "P", "222222"),
+                                    (3, 8, TS(2024, 1, 1, 10, 20), "P", "333333")],
+                                   "token_id long, user_id long, issued_at timestamp_ntz, purpose string, code string")
+    attempts = spark.createDataFrame([
+        (10, 7, TS(2024, 1, 1, 10, 29, 59), "P", "111111"),   # exactly at expiry, next slice
+        (11, 7, TS(2024, 1, 1, 10, 30, 0), "P", "111111"),    # one second late (already used anyway)
+        (12, 8, TS(2024, 1, 1, 10, 29, 0), "P", "222222"),    # voided by the 10:20 re-issue
+        (13, 8, TS(2024, 1, 1, 10, 35, 0), "P", "333333")],   # code 3 still in force
+        "attempt_id long, user_id long, attempted_at timestamp_ntz, purpose string, code string")
+    got = {r.attempt_id: (r.token_id, r.valid, r.matched) for r in match_tokens(issued, attempts).collect()}
+    assert got == {10: (1, True, True), 11: (None, False, False), 12: (3, False, False),
+                   13: (3, True, True)}
