@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A side is broadcast only when it is proven to hold at most this many rows.
@@ -93,3 +93,27 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stash/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def cumulative_sum(df: DataFrame, keys: list[str], order: list[str], value, out: str,
+                   partitions: int | None = None) -> DataFrame:
+    """Running sum of ``value`` per ``keys`` in ``order`` (inclusive), without
+    putting a hot key into one task: rows are range-partitioned by
+    (keys, order), so one key's rows spread over consecutive partitions; the
+    window runs per (partition, key), and each (partition, key) adds the
+    totals of the same key in earlier partitions (a small table of
+    partition x key totals). ``order`` must make rows unique within a key."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    v = value if isinstance(value, Column) else F.col(value)
+    x = df.withColumn("_v", v).repartitionByRange(n, *[F.col(c) for c in keys + order]) \
+        .withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid", *keys).orderBy(*order) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("_local", F.sum("_v").over(w))
+    totals = x.groupBy("_pid", *keys).agg(F.sum("_v").alias("_t"))
+    before = Window.partitionBy(*keys).orderBy("_pid") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *keys, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    return x.join(offsets, ["_pid", *keys]) \
+        .withColumn(out, F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off", "_v")

@@ -9,8 +9,9 @@ interact and are solved independently:
   the hot ``product`` family of nameless items) is solved without any loop:
   the ``r``-th new row (by ``seq``) gets the ``r``-th free candidate index,
   which is ``r + #{j : g_j <= r}`` where ``g_j = t_j - j`` over the taken
-  indices ``t_0 < t_1 < ...``. Ranks and the running count are window
-  functions over sorted rows, so the family is streamed, never gathered;
+  indices ``t_0 < t_1 < ...``. Ranks and the running count are computed
+  with :func:`cumulative_sum`, which range-partitions the rows, so even a
+  base holding a third of all requests is spread over many tasks;
 * a family holding several bases (``a`` and ``a-1`` both requested) replays
   the reference loop per family with ``cogroup().applyInPandas`` over the new
   rows and the family's existing slugs, with a next-suffix counter per base.
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartograph.functions.text import slug_family, slugify
+from cartograph.operators.common import cumulative_sum
 
 SLUG_OUT = "request_id long, slug string"
 
@@ -75,17 +77,14 @@ def assign_slugs(new: DataFrame, existing: DataFrame, seq: str = "seq",
                                 "^([1-9][0-9]*)$", 1)))
     t = taken.join(only, "family").select("base", idx.try_cast("long").alias("t")) \
         .where(F.col("t").isNotNull())
-    tw = Window.partitionBy("base").orderBy("t")
-    gaps = t.withColumn("g", F.col("t") - (F.row_number().over(tw) - 1)) \
-        .select("base", F.col("g").alias("v"), F.lit(0).alias("kind"),
+    # ranks and running counts per base, spread over tasks even for a hot base
+    gaps = cumulative_sum(t, ["base"], ["t"], F.lit(1), "_j") \
+        .select("base", (F.col("t") - (F.col("_j") - 1)).alias("v"), F.lit(0).alias("kind"),
                 F.lit(None).cast("long").alias("request_id"))
-    rw = Window.partitionBy("base").orderBy("seq", "request_id")
-    ranked = single.withColumn("r", F.row_number().over(rw) - 1) \
-        .select("base", F.col("r").alias("v"), F.lit(1).alias("kind"), "request_id")
-    cw = Window.partitionBy("base").orderBy("v", "kind", "request_id") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = gaps.unionByName(ranked) \
-        .withColumn("_before", F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(cw)) \
+    ranked = cumulative_sum(single, ["base"], ["seq", "request_id"], F.lit(1), "_r") \
+        .select("base", (F.col("_r") - 1).alias("v"), F.lit(1).alias("kind"), "request_id")
+    counted = cumulative_sum(gaps.unionByName(ranked), ["base"], ["v", "kind", "request_id"],
+                             F.when(F.col("kind") == 0, 1).otherwise(0), "_before") \
         .where(F.col("kind") == 1)
     fast = counted.select("request_id",
                           _candidate(F.col("base"), F.col("v") + F.col("_before")).alias("slug"))

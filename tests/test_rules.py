@@ -411,3 +411,30 @@ def test_match_tokens_across_time_slices(spark):
     got = {r.attempt_id: (r.token_id, r.valid, r.matched) for r in match_tokens(issued, attempts).collect()}
     assert got == {10: (1, True, True), 11: (None, False, False), 12: (3, False, False),
                    13: (3, True, True)}
+
+
+def test_cumulative_sum_hot_key_over_partitions(spark):
+    from cartograph.operators.common import cumulative_sum
+    rows = [("hot", i, 1) for i in range(3000)] + [("cold", i, 2) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, s long, v long")
+    got = {(r.k, r.s): r.c for r in cumulative_sum(df, ["k"], ["s"], "v", "c", partitions=7).collect()}
+    assert got[("hot", 0)] == 1 and got[("hot", 2999)] == 3000
+    assert got[("cold", 49)] == 100
+    assert all(got[("hot", i)] == i + 1 for i in range(3000))
+
+
+def test_assign_slugs_hot_base_matches_loop(spark):
+    existing = ["product", "product-2", "product-5", "product-40", "product-07", "other"]
+    new = spark.createDataFrame([(i, 1000 - i, "product") for i in range(600)],
+                                "request_id long, seq long, base string")
+    got = {r.request_id: r.slug for r in assign_slugs(
+        new, spark.createDataFrame([(s,) for s in existing], "slug string")).collect()}
+    taken, exp = set(existing), {}
+    for i in sorted(range(600), key=lambda i: 1000 - i):
+        s, c = "product", 1
+        while s in taken:
+            s = f"product-{c}"
+            c += 1
+        taken.add(s)
+        exp[i] = s
+    assert got == exp
