@@ -102,12 +102,15 @@ def cumulative_sum(df: DataFrame, keys: list[str], order: list[str], value, out:
     (keys, order), so one key's rows spread over consecutive partitions; the
     window runs per (partition, key), and each (partition, key) adds the
     totals of the same key in earlier partitions (a small table of
-    partition x key totals). ``order`` must make rows unique within a key."""
+    partition x key totals). The partitioned rows are stored once (see
+    :func:`stash`). ``order`` must make rows unique within a key."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = value if isinstance(value, Column) else F.col(value)
-    x = df.withColumn("_v", v).repartitionByRange(n, *[F.col(c) for c in keys + order]) \
-        .withColumn("_pid", F.spark_partition_id())
+    # range bounds come from sampling, so the partition of every row is fixed
+    # once (stored) before the two passes below read it
+    x = stash(df.withColumn("_v", v).repartitionByRange(n, *[F.col(c) for c in keys + order])
+              .withColumn("_pid", F.spark_partition_id()), "cumsum")
     w = Window.partitionBy("_pid", *keys).orderBy(*order) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumn("_local", F.sum("_v").over(w))

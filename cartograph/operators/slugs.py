@@ -71,7 +71,7 @@ def assign_slugs(new: DataFrame, existing: DataFrame, seq: str = "seq",
 
     # -- single-base families: rank arithmetic
     only = bases.where(F.col("_nb") == 1).select("family", F.col("_only").alias("base"))
-    idx = F.when(F.col("slug") == F.col("base"), F.lit(0)).otherwise(
+    idx = F.when(F.col("slug") == F.col("base"), F.lit("0")).otherwise(
         F.when(F.col("slug").startswith(F.concat(F.col("base"), F.lit("-"))),
                F.regexp_extract(F.substring(F.col("slug"), F.length("base") + 2, 1 << 20),
                                 "^([1-9][0-9]*)$", 1)))
