@@ -59,11 +59,12 @@ def in_stock(df: DataFrame, flag=None) -> DataFrame:
 
 def in_category(products: DataFrame, categories: DataFrame, slug=None) -> DataFrame:
     """FIL-4: products of the category whose slug is ``slug``; an unknown slug
-    gives no rows. The one-slug category side is broadcast."""
+    gives no rows. The chosen category (one row when slugs are unique) is
+    broadcast after a size check."""
     if slug is None:
         return products
     chosen = categories.where(F.col("slug") == F.lit(slug)).select(F.col("id").alias("_cat"))
-    return products.join(F.broadcast(chosen), products["category_id"] == F.col("_cat"), "left_semi")
+    return products.join(small(chosen), products["category_id"] == F.col("_cat"), "left_semi")
 
 
 def optional_filters(df: DataFrame, categories: DataFrame | None = None, category=None,

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartograph.functions.text import slug_family, slugify
-from cartograph.operators.common import cumulative_sum
+from cartograph.operators.common import cumulative_sum, small
 
 SLUG_OUT = "request_id long, slug string"
 
@@ -112,8 +112,7 @@ def create_products(requests: DataFrame, products: DataFrame, categories: DataFr
         "request_id", F.when(F.col("seller_id").isNull(), F.lit("Seller profile not found"))
         .otherwise(F.lit("name is required")).alias("reason"))
     ok = x.where(F.col("seller_id").isNotNull() & F.col("name").isNotNull())
-    cats = F.broadcast(categories.select(F.col("slug").alias("category_slug"),
-                                         F.col("id").alias("_cat")))
+    cats = small(categories.select(F.col("slug").alias("category_slug"), F.col("id").alias("_cat")))
     ok = ok.join(cats, "category_slug", "left") \
         .withColumn("category_id", F.coalesce("_cat", "category_id")).drop("_cat") \
         .withColumn("base", slugify("name"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cartograph.functions import money as M
 from cartograph.functions import text as T
 from cartograph.operators import analytics as A
+from cartograph.operators.common import small
 from cartograph.plans.registry import register
 from cartograph.sources.shop import Shop
 
@@ -238,7 +239,7 @@ PROMO_JOIN_SQL = """
 
 
 def _orders_with_promo(shop):
-    promos = F.broadcast(shop.promo_codes.withColumnRenamed("id", "promo_id"))
+    promos = small(shop.promo_codes.withColumnRenamed("id", "promo_id"))
     return shop.orders.join(promos, "promo_id").withColumnRenamed("id", "order_id")
 
 
