@@ -7,6 +7,7 @@ Every job in the library runs with the same few session rules:
 * ANSI mode on, so overflows and bad casts fail instead of turning into nulls;
 * adaptive query execution with skew-join splitting, so a hot key (a seller or
   user holding a third of all rows) is split at runtime;
+* streaming state kept in RocksDB, off the executor heap;
 * no web UI.
 
 ``checkpoint_dir`` reads ``spark.checkpoint.dir`` from the session. Only when
@@ -29,6 +30,10 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # streaming state (lockout counters, codes in force, window counts) in
+    # RocksDB instead of executor heap
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
