@@ -57,11 +57,32 @@ def get_session(master: str | None = None, app: str = "cartograph",
 
 
 def apply_session_rules(spark: SparkSession) -> None:
-    """Apply the runtime-settable rules to a session made elsewhere."""
+    """Apply the runtime-settable rules to a session made elsewhere, and make
+    the library importable by the Python workers."""
     for key, value in SESSION_DEFAULTS.items():
         if key.startswith("spark.ui."):
             continue
         spark.conf.set(key, value)
+    ship_library(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_library(spark: SparkSession) -> None:
+    """Send this package to the executors once per application (``addPyFile``,
+    as ``--py-files`` would), so Arrow UDFs that call library helpers can
+    import them on any worker."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="cartograph-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "cartograph"), "zip",
+                                  root_dir=os.path.dirname(pkg), base_dir=os.path.basename(pkg))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
