@@ -1,20 +1,25 @@
 """SCL-2 unique slugs in bulk, and CHG-12 bulk product creation.
 
 The reference assigns ``base``, ``base-1``, ``base-2`` ... , the first one not
-taken, one product at a time. Every candidate of a base shares the base's
-*family* (the slug without trailing ``-digits`` groups), so families never
-interact and are solved independently:
-
-* a family in which all new rows share one base (the common case, including
-  the hot ``product`` family of nameless items) is solved without any loop:
-  the ``r``-th new row (by ``seq``) gets the ``r``-th free candidate index,
-  which is ``r + #{j : g_j <= r}`` where ``g_j = t_j - j`` over the taken
-  indices ``t_0 < t_1 < ...``. Ranks and the running count are computed
-  with :func:`cumulative_sum`, which range-partitions the rows, so even a
-  base holding a third of all requests is spread over many tasks;
-* a family holding several bases (``a`` and ``a-1`` both requested) replays
-  the reference loop per family with ``cogroup().applyInPandas`` over the new
-  rows and the family's existing slugs, with a next-suffix counter per base.
+taken, one product at a time, in request order. Done in bulk:
+
+* Candidates of one base are indices ``0, 1, 2, ...`` (``base``, ``base-1``,
+  ...). Two different bases share a candidate only when one is the other
+  plus ``-N`` (``a-1`` is candidate 1 of ``a``). So the only contested slugs
+  are such child bases: the child's first request takes it unless a request
+  of the parent reached index ``N`` earlier.
+* Contests are settled from small facts per requested base: its first
+  ``seq``, the number of existing slugs below ``N`` and the ``seq`` of the
+  parent's request at the few ranks that can reach ``N``. One small
+  ``applyInPandas`` per family walks the contests (one row per requested
+  base, never the requests themselves), parents before children and by
+  ``N``.
+* Every base then has a fixed set of blocked indices (existing slugs plus
+  contests lost). The ``r``-th request of the base (by ``seq``) gets the
+  ``r``-th free index, ``r + #{j : g_j <= r}`` with ``g_j = t_j - j`` over
+  the blocked indices ``t_0 < t_1 < ...``. Ranks and running counts come
+  from :func:`cumulative_sum`, which range-partitions rows, so a base
+  holding a third of all requests is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -26,33 +31,49 @@ from pyspark.sql import functions as F
 from cartograph.functions.text import slug_family, slugify
 from cartograph.operators.common import cumulative_sum, small
 
-SLUG_OUT = "request_id long, slug string"
+# a slug ending in "-N" (N without a leading zero): candidate N of the rest
+TAIL = r"^(.+)-([1-9][0-9]*)$"
+CLAIMS_OUT = "base string, t long"
 
 
 def _candidate(base, index):
     return F.when(index == 0, base).otherwise(F.concat(base, F.lit("-"), index.cast("string")))
 
 
-def _loop_family(new: pd.DataFrame, existing: pd.DataFrame) -> pd.DataFrame:
-    """The reference loop over one family (rows in ``seq`` order)."""
-    taken = set(existing["slug"].tolist())
-    next_i: dict[str, int] = {}
-    out_ids, out_slugs = [], []
-    for rid, base in new.sort_values(["seq", "request_id"])[["request_id", "base"]].itertuples(
-            index=False, name=None):
-        if base not in taken:
-            slug = base
+def _split_tail(col):
+    parent = F.regexp_extract(col, TAIL, 1)
+    n = F.regexp_extract(col, TAIL, 2).try_cast("long")
+    return parent, n
+
+
+def _settle_family(links: pd.DataFrame) -> pd.DataFrame:
+    """Contests of one family. A row per child base: parent, child, n, the
+    child's first request (seq, id), child_taken, below (existing parent
+    slugs under n) and seqs (the parent's request (seq, id) by rank, only the
+    ranks that can matter). Requests are ordered by (seq, request id)."""
+    blocked: dict[str, set] = {}
+    out_b, out_t = [], []
+    links = links.assign(_plen=links["parent"].str.len()).sort_values(["_plen", "parent", "n"])
+    for p, c, n, s_c, id_c, c_taken, below, seqs in links[
+            ["parent", "child", "n", "child_first_seq", "child_first_id", "child_taken", "below",
+             "seqs"]].itertuples(index=False, name=None):
+        if c_taken:
+            continue
+        extra = blocked.get(p, set())
+        k = int(n) - int(below) - sum(1 for x in extra if x < n)
+        by_rank = {int(e["rank"]): (int(e["seq"]), int(e["request_id"])) for e in seqs} \
+            if seqs is not None else {}
+        at_k = by_rank.get(k)
+        if at_k is not None and at_k < (int(s_c), int(id_c)):
+            blocked.setdefault(c, set()).add(0)       # parent reached it first
+            out_b.append(c)
+            out_t.append(0)
         else:
-            i = next_i.get(base, 1)
-            while f"{base}-{i}" in taken:
-                i += 1
-            slug = f"{base}-{i}"
-            next_i[base] = i + 1
-        taken.add(slug)
-        out_ids.append(rid)
-        out_slugs.append(slug)
-    return pd.DataFrame({"request_id": pd.Series(out_ids, dtype="int64"),
-                         "slug": pd.Series(out_slugs, dtype="object")})
+            blocked.setdefault(p, set()).add(int(n))  # the child's own first request
+            out_b.append(p)
+            out_t.append(int(n))
+    return pd.DataFrame({"base": pd.Series(out_b, dtype="object"),
+                         "t": pd.Series(out_t, dtype="int64")})
 
 
 def assign_slugs(new: DataFrame, existing: DataFrame, seq: str = "seq",
@@ -60,41 +81,72 @@ def assign_slugs(new: DataFrame, existing: DataFrame, seq: str = "seq",
     """Unique slug per new row. ``new``: request_id, ``seq``, ``base`` (an
     already slugified name); ``existing``: ``slug``. Returns request_id, slug."""
     rows = new.select(F.col("request_id").cast("long").alias("request_id"),
-                      F.col(seq).cast("long").alias("seq"), F.col(base_col).alias("base")) \
-        .withColumn("family", slug_family("base"))
-    taken = existing.select("slug").where(F.col("slug").isNotNull()).distinct() \
-        .withColumn("family", slug_family("slug"))
-    bases = rows.groupBy("family").agg(F.countDistinct("base").alias("_nb"),
-                                       F.first("base").alias("_only"))
-    single = rows.join(bases.where(F.col("_nb") == 1).select("family"), "family", "left_semi")
-    multi = rows.join(bases.where(F.col("_nb") > 1).select("family"), "family", "left_semi")
-
-    # -- single-base families: rank arithmetic
-    only = bases.where(F.col("_nb") == 1).select("family", F.col("_only").alias("base"))
-    idx = F.when(F.col("slug") == F.col("base"), F.lit("0")).otherwise(
-        F.when(F.col("slug").startswith(F.concat(F.col("base"), F.lit("-"))),
-               F.regexp_extract(F.substring(F.col("slug"), F.length("base") + 2, 1 << 20),
-                                "^([1-9][0-9]*)$", 1)))
-    t = taken.join(only, "family").select("base", idx.try_cast("long").alias("t")) \
-        .where(F.col("t").isNotNull())
-    # ranks and running counts per base, spread over tasks even for a hot base
-    gaps = cumulative_sum(t, ["base"], ["t"], F.lit(1), "_j") \
+                      F.col(seq).cast("long").alias("seq"), F.col(base_col).alias("base"))
+    bases = rows.groupBy("base").agg(F.min(F.struct("seq", "request_id")).alias("_f")) \
+        .select("base", F.col("_f.seq").alias("first_seq"), F.col("_f.request_id").alias("first_id"))
+    base_keys = bases.select("base")
+
+    # existing slugs as (base, index): s is index 0 of s and index N of its parent
+    taken = existing.select("slug").where(F.col("slug").isNotNull()).distinct()
+    t_parent, t_n = _split_tail(F.col("slug"))
+    t_idx = taken.select(F.col("slug").alias("base"), F.lit(0).cast("long").alias("t")) \
+        .unionByName(taken.select(t_parent.alias("base"), t_n.alias("t")).where(F.col("t").isNotNull())) \
+        .join(base_keys, "base", "left_semi").distinct()
+
+    # requested bases that are the "-N" of another requested base
+    c_parent, c_n = _split_tail(F.col("base"))
+    links = bases.select(F.col("base").alias("child"), F.col("first_seq").alias("child_first_seq"),
+                         F.col("first_id").alias("child_first_id"), c_parent.alias("parent"),
+                         c_n.alias("n")) \
+        .where(F.col("n").isNotNull()) \
+        .join(base_keys.withColumnRenamed("base", "parent"), "parent", "left_semi")
+    links = links.join(t_idx.where(F.col("t") == 0).select(F.col("base").alias("child"))
+                       .withColumn("child_taken", F.lit(True)), "child", "left") \
+        .withColumn("child_taken", F.coalesce("child_taken", F.lit(False)))
+    # One running count per base serves two purposes (one pass, group ``g``):
+    # g=0: existing parent slugs below each contested n (link entries, kind 0,
+    #      sort before existing entries, kind 1, at equal index);
+    # g=1: the rank of every request by (seq, request id).
+    probe = links.select(F.col("parent").alias("base"), F.lit(0).alias("g"), F.col("n").alias("o1"),
+                         F.lit(0).cast("long").alias("o2"), F.col("child").alias("o3"),
+                         F.lit(0).alias("_w")) \
+        .unionByName(t_idx.select("base", F.lit(0).alias("g"), F.col("t").alias("o1"),
+                                  F.lit(1).cast("long").alias("o2"),
+                                  F.lit(None).cast("string").alias("o3"), F.lit(1).alias("_w"))) \
+        .unionByName(rows.select("base", F.lit(1).alias("g"), F.col("seq").alias("o1"),
+                                 F.col("request_id").alias("o2"), F.lit(None).cast("string").alias("o3"),
+                                 F.lit(1).alias("_w")))
+    counts = cumulative_sum(probe, ["base", "g"], ["o1", "o2", "o3"], "_w", "_c")
+    below = counts.where((F.col("g") == 0) & (F.col("o2") == 0)) \
+        .select(F.col("o3").alias("child"), F.col("_c").alias("below"))
+    ranked = counts.where(F.col("g") == 1).select(
+        "base", (F.col("_c") - 1).alias("rank"), F.col("o1").alias("seq"), F.col("o2").alias("request_id"))
+    links = links.join(below, "child")
+    # ranks of the parent that can reach n: [n - below - earlier - 1, n - below]
+    earlier = Window.partitionBy("parent").orderBy("n")
+    links = links.withColumn("_earlier", F.row_number().over(earlier) - 1) \
+        .withColumn("_hi", F.col("n") - F.col("below"))
+    wanted = links.select("child", "parent", F.explode(F.sequence(
+        F.greatest(F.col("_hi") - F.col("_earlier") - 1, F.lit(0)), F.greatest(F.col("_hi"), F.lit(0))))
+        .alias("rank"))
+    seqs = wanted.join(ranked.withColumnRenamed("base", "parent"), ["parent", "rank"]) \
+        .groupBy("child").agg(F.collect_list(F.struct("rank", "seq", "request_id")).alias("seqs"))
+    links = links.join(seqs, "child", "left").withColumn("family", slug_family("parent"))
+    lost = links.select("family", "parent", "child", "n", "child_first_seq", "child_first_id",
+                        "child_taken", "below", "seqs").groupBy("family").applyInPandas(_settle_family, CLAIMS_OUT)
+
+    # blocked indices per base, then the r-th free index for the r-th request
+    blocked = t_idx.unionByName(lost).distinct()
+    gaps = cumulative_sum(blocked, ["base"], ["t"], F.lit(1), "_j") \
         .select("base", (F.col("t") - (F.col("_j") - 1)).alias("v"), F.lit(0).alias("kind"),
                 F.lit(None).cast("long").alias("request_id"))
-    ranked = cumulative_sum(single, ["base"], ["seq", "request_id"], F.lit(1), "_r") \
-        .select("base", (F.col("_r") - 1).alias("v"), F.lit(1).alias("kind"), "request_id")
-    counted = cumulative_sum(gaps.unionByName(ranked), ["base"], ["v", "kind", "request_id"],
+    ranks = ranked.select("base", F.col("rank").alias("v"), F.lit(1).alias("kind"), "request_id")
+    counted = cumulative_sum(gaps.unionByName(ranks), ["base"], ["v", "kind", "request_id"],
                              F.when(F.col("kind") == 0, 1).otherwise(0), "_before") \
         .where(F.col("kind") == 1)
-    fast = counted.select("request_id",
+    return counted.select("request_id",
                           _candidate(F.col("base"), F.col("v") + F.col("_before")).alias("slug"))
 
-    # -- multi-base families: the loop, one family at a time
-    fam_taken = taken.join(multi.select("family").distinct(), "family", "left_semi")
-    slow = multi.select("family", "request_id", "seq", "base").groupBy("family").cogroup(
-        fam_taken.groupBy("family")).applyInPandas(_loop_family, SLUG_OUT)
-    return fast.unionByName(slow)
-
 
 def create_products(requests: DataFrame, products: DataFrame, categories: DataFrame,
                     sellers: DataFrame, users: DataFrame):

@@ -438,3 +438,32 @@ def test_assign_slugs_hot_base_matches_loop(spark):
         taken.add(s)
         exp[i] = s
     assert got == exp
+
+
+def _slug_loop(existing, requests):
+    taken, out = set(existing), {}
+    for rid, _, base in sorted(requests, key=lambda r: (r[1], r[0])):
+        s, c = base, 1
+        while s in taken:
+            s = f"{base}-{c}"
+            c += 1
+        taken.add(s)
+        out[rid] = s
+    return out
+
+
+def test_assign_slugs_random_families_match_loop(spark):
+    rnd = random.Random(11)
+    pool = ["a", "a-1", "a-2", "a-1-1", "a-1-2", "a-3", "a-10", "b", "b-1", "b-1-1", "product", "product-1"]
+    existing_pool = pool + ["a-4", "a-1-3", "b-2", "a-01", "product-2"]
+    reqs, ex, rid = [], [], 0
+    for case in range(120):
+        prefix = f"c{case}"
+        ex += [f"{prefix}{e}" for e in rnd.sample(existing_pool, rnd.randint(0, 6))]
+        for _ in range(rnd.randint(1, 25)):
+            reqs.append((rid, rnd.randint(0, 6), f"{prefix}{rnd.choice(pool)}"))
+            rid += 1
+    new = spark.createDataFrame(reqs, "request_id long, seq long, base string")
+    got = {r.request_id: r.slug for r in assign_slugs(
+        new, spark.createDataFrame([(s,) for s in ex], "slug string")).collect()}
+    assert got == _slug_loop(ex, reqs)
