@@ -35,10 +35,6 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def money(c, precision: int = 10) -> Column:
-    return _col(c).cast(f"decimal({precision},2)")
-
-
 def delivery_fee(delivery_type) -> Column:
     """PRC-1: EXPRESS 9.99; SAME_DAY 19.99 (unreachable after the enum
     check, kept for the rule's sake); else 0."""

@@ -13,11 +13,12 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartograph.functions.json import first_image_url
 from cartograph.functions.money import ORDER_STATUSES, stock_state, tracking_eta
 from cartograph.functions.text import lexemes, like_pattern_contains
 from cartograph.operators.common import page, small, ts_lit
 
+# Fixed values from the reference: default page size, suggestions returned,
+# shortest suggestion prefix (trimmed length).
 DEFAULT_PAGE_SIZE = 20
 SUGGESTION_LIMIT = 10
 MIN_PREFIX = 2
@@ -284,8 +285,3 @@ def trending(searches: DataFrame, as_of, window: str = "7 days", k: int = 8) ->
         .where(F.col("term") != "")
     counted = terms.groupBy("term").agg(F.countDistinct("user_id").alias("users"))
     return counted.orderBy(F.col("users").desc(), F.col("term")).limit(k)
-
-
-def cart_image(products: DataFrame) -> DataFrame:
-    """SRC-3 on the products frame: first image URL or null."""
-    return products.withColumn("image_url", first_image_url("images"))

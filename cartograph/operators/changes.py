@@ -22,11 +22,6 @@ from cartograph.operators.common import small, ts_lit
 NEVER = -(2 ** 62)  # a seq before every request
 
 
-def _reject(df: DataFrame, reason, *cols) -> DataFrame:
-    r = reason if isinstance(reason, Column) else F.lit(reason)
-    return df.select(*cols, r.alias("reason"))
-
-
 # ---------------------------------------------------------------- loading --
 def resolve_keys(rows: DataFrame, dim: DataFrame, natural_key: str, id_col: str,
                  dim_key: str | None = None, dim_id: str = "id"):
@@ -418,6 +413,8 @@ def erase_users(tables: dict, user_ids: DataFrame, fks=USER_FKS, keys: dict | No
 
 
 # ------------------------------------------------------------ registration --
+# Fixed values from the reference's registration checks: shortest password,
+# longest name; the e-mail check is a local@domain shape.
 EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+$"
 MIN_PASSWORD = 8
 MAX_NAME = 100

@@ -38,13 +38,6 @@ def write_postings(postings: DataFrame, path: str) -> None:
     postings.sortWithinPartitions("term").write.mode("overwrite").parquet(path)
 
 
-def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
-    """Distinct lexemes of each query with the query's lexeme count."""
-    vec = lexemes(F.col(text_col))
-    return queries.select(F.col(id_col).alias("query_id"), vec.alias("_v")) \
-        .select("query_id", F.size("_v").alias("n_terms"), F.explode("_v").alias("term"))
-
-
 def match_all_terms(postings: DataFrame, queries: DataFrame, id_col: str = "query_id",
                     text_col: str = "text") -> DataFrame:
     """FTS-2: (query_id, doc_id) for every document holding all lexemes of the

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value from the reference: lifetime of a one-time code.
 TOKEN_TTL_MINUTES = 15
 
 

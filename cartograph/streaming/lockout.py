@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+# Fixed values from the reference: failures before a lock, lock length.
 MAX_FAILURES = 5
 LOCK_MINUTES = 15
 

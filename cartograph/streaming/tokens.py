@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-TTL_MINUTES = 15
+TTL_MINUTES = 15  # fixed value: lifetime of a one-time code
 MATCH_OUT = ("attempt_id long, user_id long, purpose string, attempted_at timestamp_ntz, "
              "token_id long, valid boolean, matched boolean")
 TOKEN_STATE = "token_id long, code string, issued_us long, consumed boolean"

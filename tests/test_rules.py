@@ -5,7 +5,6 @@ import random
 import re
 from decimal import Decimal
 
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from cartograph.functions import money as M
@@ -467,3 +466,22 @@ def test_assign_slugs_random_families_match_loop(spark):
     got = {r.request_id: r.slug for r in assign_slugs(
         new, spark.createDataFrame([(s,) for s in ex], "slug string")).collect()}
     assert got == _slug_loop(ex, reqs)
+
+
+def test_sinks_rewrite_and_postings_layout(spark, scratch):
+    import os
+    from cartograph.operators.search import build_postings, write_postings
+    from cartograph.streaming.sources import table_stream
+    path = os.path.join(scratch, "snap")
+    df = spark.createDataFrame([(1, "a", 0), (2, "b", 1)], "id long, v string, part int")
+    CH.write_snapshot(df, path, ["part"])
+    CH.write_snapshot(df.where("part = 1").withColumn("v", F.lit("z")), path, ["part"])
+    got = {r.id: r.v for r in spark.read.parquet(path).collect()}
+    assert got == {1: "a", 2: "z"}          # only partition 1 was rewritten
+    docs = spark.createDataFrame([(1, "Red rings ring"), (2, "blue")], "doc_id long, text string")
+    ppath = os.path.join(scratch, "postings")
+    write_postings(build_postings(docs, "doc_id", ["text"]), ppath)
+    assert sorted((r.term, r.doc_id) for r in spark.read.parquet(ppath).collect()) == \
+        [("blue", 2), ("red", 1), ("ring", 1)]
+    from conftest import SF_SMALL
+    assert table_stream(spark, SF_SMALL, "events").isStreaming
