@@ -10,10 +10,15 @@ next failure locks again at once.
 The fold is order-dependent and not a window sum. Both forms run it over rows
 sorted by (user, time, event id):
 
-* batch twin :func:`lockouts_batch`: hash-partition by user, sort within
-  partitions, then ``mapInPandas`` streams each partition's sorted rows
-  batch by batch, carrying one user's state across batch boundaries. Memory
-  is one Arrow batch plus one state, whatever the size of a user's history;
+* batch twin :func:`lockouts_batch`: a success with no failure of the same
+  user in the 15 minutes before cannot be locked, so it resets the state
+  whatever came before. These safe resets cut each user's history into
+  independent segments (found with time-sliced windows and a distributed
+  running count). Segments are hash-partitioned, sorted within partitions,
+  and folded by ``mapInPandas`` batch by batch, carrying the state across
+  batch boundaries. Memory is one Arrow batch plus one state. Only a
+  segment without any safe success (an account failing without pause) is
+  still read by one task;
 * stream :func:`lockouts`: ``applyInPandasWithState`` keyed by user, the
   state being (counter, locked_until); each micro-batch is folded in time
   order on top of the stored state.
@@ -25,10 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from cartograph.operators.common import cumulative_sum
+
 # Fixed values from the reference: failures before a lock, lock length.
 MAX_FAILURES = 5
 LOCK_MINUTES = 15
@@ -39,23 +46,28 @@ STATE_SCHEMA = "failed int, locked_until_us long"
 
 
 
-def _fold(rows: pd.DataFrame, failed: int, locked_until_us, max_failures: int, lock_us: int):
-    """Fold one user's rows (already in order). Returns outputs and state."""
+def _fold_rows(rows: pd.DataFrame, starts: np.ndarray, failed: int, locked_until_us,
+               max_failures: int, lock_us: int):
+    """Fold rows already in order; ``starts[i]`` marks the first row of a new
+    key (state reset). The state before the first row is ``(failed,
+    locked_until_us)``. Returns the output frame and the state after."""
     n = len(rows)
     outcome = np.empty(n, dtype=object)
     failed_out = np.empty(n, dtype=np.int32)
-    locked_out = np.empty(n, dtype=object)
+    locked_out = np.full(n, np.nan)
     ts_us = rows["ts"].values.astype("datetime64[us]").astype(np.int64)
-    success = rows["success"].values
-    suspended = rows["is_suspended"].values
-    verified = rows["email_verified"].values
+    success = rows["success"].values.astype(bool)
+    suspended = rows["is_suspended"].values.astype(bool)
+    verified = rows["email_verified"].values.astype(bool)
     for i in range(n):
+        if starts[i]:
+            failed, locked_until_us = 0, None
         t = ts_us[i]
         if locked_until_us is not None and locked_until_us > t:
             outcome[i] = "LOCKED"
-        elif bool(suspended[i]):
+        elif suspended[i]:
             outcome[i] = "SUSPENDED"
-        elif not bool(verified[i]):
+        elif not verified[i]:
             outcome[i] = "UNVERIFIED"
         elif success[i]:
             if failed > 0:
@@ -70,15 +82,22 @@ def _fold(rows: pd.DataFrame, failed: int, locked_until_us, max_failures: int, l
             else:
                 outcome[i] = "FAILED"
         failed_out[i] = failed
-        locked_out[i] = None if locked_until_us is None else locked_until_us
-    locked_ts = pd.to_datetime(pd.Series(locked_out, dtype="float64"), unit="us")
+        if locked_until_us is not None:
+            locked_out[i] = locked_until_us
     out = pd.DataFrame({"event_id": rows["event_id"].values.astype(np.int64),
                         "user_id": rows["user_id"].values.astype(np.int64),
                         "ts": rows["ts"].values, "outcome": outcome,
-                        "failed_attempts": failed_out, "locked_until": locked_ts.values})
+                        "failed_attempts": failed_out,
+                        "locked_until": pd.to_datetime(locked_out, unit="us")})
     return out, failed, locked_until_us
 
 
+def _fold(rows: pd.DataFrame, failed: int, locked_until_us, max_failures: int, lock_us: int):
+    """Fold one key's rows (already in order) from the given state."""
+    return _fold_rows(rows, np.zeros(len(rows), dtype=bool), failed, locked_until_us,
+                      max_failures, lock_us)
+
+
 def _attach_account(attempts: DataFrame, users: DataFrame) -> DataFrame:
     acct = users.select(F.col("id").alias("user_id"), "email_verified", "is_suspended")
     return attempts.select("event_id", "user_id", "ts", "success").join(acct, "user_id", "left") \
@@ -86,30 +105,57 @@ def _attach_account(attempts: DataFrame, users: DataFrame) -> DataFrame:
         .withColumn("is_suspended", F.coalesce("is_suspended", F.lit(False)))
 
 
+def _safe_resets(x: DataFrame, lock_minutes: int) -> DataFrame:
+    """Flag successes that no lock can cover: no failure of the same user in
+    the ``lock_minutes`` before (a lock needs a counted failure at most that
+    long ago). Such a success always resets the state, so it starts an
+    independent segment. The last earlier failure is found per (user, time
+    slice of ``lock_minutes``), carrying in the previous slice's last failure,
+    so one user's history is spread over its slices."""
+    width = lock_minutes * 60 * 1_000_000
+    ev = x.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp_ltz"))) \
+        .withColumn("_b", F.floor(F.col("_us") / F.lit(width)).cast("long"))
+    fails = ev.where(~F.col("success"))
+    carried = fails.groupBy("user_id", "_b").agg(F.max(F.struct("_us", "event_id")).alias("_f")) \
+        .select("user_id", (F.col("_b") + 1).alias("_b"), F.col("_f._us").alias("_prev_us"))
+    w = Window.partitionBy("user_id", "_b").orderBy("_us", "event_id") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    in_slice = ev.withColumn("_last_us", F.max(F.when(~F.col("success"), F.col("_us"))).over(w))
+    x2 = in_slice.join(carried, ["user_id", "_b"], "left")
+    last_fail = F.greatest(F.col("_last_us"), F.col("_prev_us"))
+    safe = F.col("success") & (last_fail.isNull() | (last_fail + F.lit(width) <= F.col("_us")))
+    return x2.withColumn("_safe", safe).drop("_us", "_b", "_last_us", "_prev_us")
+
+
 def lockouts_batch(attempts: DataFrame, users: DataFrame, max_failures: int = MAX_FAILURES,
                    lock_minutes: int = LOCK_MINUTES, partitions: int | None = None) -> DataFrame:
     """Batch twin: one output row per attempt with its outcome and the state
-    after it. ``attempts``: event_id, user_id, ts, success."""
+    after it. ``attempts``: event_id, user_id, ts, success.
+
+    A user's history is cut at safe resets (see :func:`_safe_resets`) into
+    segments numbered with a distributed running count; each
+    (user, segment) is folded on its own, streaming sorted rows through
+    ``mapInPandas`` with the state carried across Arrow batches."""
     lock_us = lock_minutes * 60 * 1_000_000
-    x = _attach_account(attempts, users)
-    x = (x.repartition(partitions, "user_id") if partitions else x.repartition("user_id")) \
-        .sortWithinPartitions("user_id", "ts", "event_id")
+    x = _safe_resets(_attach_account(attempts, users), lock_minutes)
+    x = cumulative_sum(x, ["user_id"], ["ts", "event_id"],
+                       F.when(F.col("_safe"), 1).otherwise(0), "segment").drop("_safe")
+    keys = ["user_id", "segment"]
+    x = (x.repartition(partitions, *keys) if partitions else x.repartition(*keys)) \
+        .sortWithinPartitions("user_id", "segment", "ts", "event_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, failed, locked = None, 0, None
+        last_key, failed, locked = None, 0, None
         for pdf in batches:
             if pdf.empty:
                 continue
-            outs = []
-            starts = np.flatnonzero(np.r_[True, pdf["user_id"].values[1:] != pdf["user_id"].values[:-1]])
-            bounds = list(starts) + [len(pdf)]
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                uid = pdf["user_id"].iat[a]
-                if uid != current:
-                    current, failed, locked = uid, 0, None
-                out, failed, locked = _fold(pdf.iloc[a:b], failed, locked, max_failures, lock_us)
-                outs.append(out)
-            yield pd.concat(outs, ignore_index=True)
+            u = pdf["user_id"].values.astype(np.int64)
+            g = pdf["segment"].values.astype(np.int64)
+            starts = np.r_[True, (u[1:] != u[:-1]) | (g[1:] != g[:-1])]
+            starts[0] = last_key != (u[0], g[0])
+            out, failed, locked = _fold_rows(pdf, starts, failed, locked, max_failures, lock_us)
+            last_key = (u[-1], g[-1])
+            yield out
 
     return x.mapInPandas(run, ATTEMPT_OUT)
 

@@ -491,3 +491,23 @@ def test_sinks_rewrite_and_postings_layout(spark, scratch):
         [("blue", 2), ("red", 1), ("ring", 1)]
     from conftest import SF_SMALL
     assert table_stream(spark, SF_SMALL, "events").isStreaming
+
+
+def test_lockout_segments_match_fold_on_random_histories(spark):
+    rnd = random.Random(5)
+    t0 = TS(2024, 1, 1)
+    rows, ver, sus, eid = [], {}, {}, 0
+    for uid in range(40):
+        ver[uid] = rnd.random() > 0.1
+        sus[uid] = rnd.random() < 0.05
+        minute = 0
+        for _ in range(rnd.randint(0, 70)):
+            minute += rnd.choice([0, 1, 2, 3, 7, 15, 16, 30])
+            rows.append((eid, uid, t0 + dt.timedelta(minutes=minute, seconds=rnd.choice([0, 0, 30])),
+                         rnd.random() < 0.3))
+            eid += 1
+    users = spark.createDataFrame([(u, ver[u], sus[u]) for u in ver],
+                                  "id long, email_verified boolean, is_suspended boolean")
+    att = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, success boolean")
+    got = {r.event_id: r.outcome for r in lockouts_batch(att, users, partitions=6).collect()}
+    assert got == _lockout_python(rows, ver, sus)
