@@ -456,11 +456,14 @@ def src_2_rejects(spark, sf_dir):
         ON a.user_id = t.user_id AND a.purpose = t.purpose AND a.attempted_at >= t.issued_at),
     firsts AS (SELECT token_id, arg_min(attempt_id, attempted_at) AS first_attempt
                FROM m WHERE valid GROUP BY token_id)
-    SELECT m.*, coalesce(m.valid AND m.attempt_id = f.first_attempt, false) AS matched
+    SELECT m.attempt_id, m.user_id, m.purpose, m.attempted_at, coalesce(m.token_id, -1) AS token_id,
+           m.valid, coalesce(m.valid AND m.attempt_id = f.first_attempt, false) AS matched
     FROM m LEFT JOIN firsts f ON f.token_id = m.token_id""")
 def jon_6(spark, sf_dir):
+    """Code matching; an attempt without a code in force shows token_id -1."""
     shop = Shop(spark, sf_dir)
-    return match_tokens(shop.tokens_issued, shop.token_attempts)
+    return match_tokens(shop.tokens_issued, shop.token_attempts) \
+        .withColumn("token_id", F.coalesce("token_id", F.lit(-1).cast("bigint")))
 
 
 @register("scl_2_assign_slugs")
