@@ -160,7 +160,15 @@ VIEWS: dict[str, str] = {
         SELECT event_id AS attempt_id, user_id, ts AS attempted_at,
                CASE WHEN k % 3 = 0 THEN 'PASSWORD_RESET' ELSE 'EMAIL_VERIFY' END AS purpose,
                lpad(CAST(k % 10 AS STRING), 6, '0') AS code
-        FROM {shop_events} WHERE event_type IN ('click', 'purchase')""",
+        FROM {shop_events} WHERE event_type IN ('click', 'purchase')
+        UNION ALL
+        -- follow-up entries typed 0 to 19 minutes after each signup, with the
+        -- signup's code or a neighbouring one
+        SELECT event_id + 1000000000 AS attempt_id, user_id,
+               ts + (k % 20) * INTERVAL '1' MINUTE AS attempted_at,
+               CASE WHEN k % 2 = 0 THEN 'EMAIL_VERIFY' ELSE 'PASSWORD_RESET' END AS purpose,
+               lpad(CAST((k + event_id % 2) % 10 AS STRING), 6, '0') AS code
+        FROM {shop_events} WHERE event_type = 'signup'""",
     "shop_order_requests": """
         SELECT event_id AS request_id, user_id, ts AS requested_at, event_id AS seq,
                CASE k % 4 WHEN 0 THEN 'express' WHEN 1 THEN 'SAME_DAY'
