@@ -511,3 +511,26 @@ def test_lockout_segments_match_fold_on_random_histories(spark):
     att = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, success boolean")
     got = {r.event_id: r.outcome for r in lockouts_batch(att, users, partitions=6).collect()}
     assert got == _lockout_python(rows, ver, sus)
+
+
+def test_quality_checks_find_each_violation(spark):
+    from cartograph.operators import quality as Q
+    rows = spark.createDataFrame(
+        [(1, "a@x", 3, "LIVE", "x" * 5, 12.5, 2), (2, None, 7, "GONE", "y" * 300, 123456789012.0, 2),
+         (3, "a@x", None, None, None, None, 99)],
+        "id long, email string, rating int, status string, name string, price double, cat long")
+    parents = spark.createDataFrame([(2,)], "id long")
+    got = Q.stack_violations(
+        Q.not_null(rows, "t", ["email", "rating"]),
+        Q.check(rows, "t", "rating_1_5", F.col("rating").between(1, 5), value=F.col("rating")),
+        Q.unique(rows, "t", ["email"]),
+        Q.orphans(rows, "t", "cat", parents, parent_table="p"),
+        Q.domain(rows, "t", "status", ["LIVE", "DRAFT"]),
+        Q.max_length(rows, "t", "name", 255),
+        Q.decimal_fit(rows, "t", "price", 10, 2),
+        Q.drift(spark.createDataFrame([(1, 3), (2, 5)], "id long, n int"),
+                spark.createDataFrame([(1, 3), (2, 4)], "id long, n int"), "t", ["id"], ["n"]))
+    found = sorted((r.rule, r.key) for r in got.collect())
+    assert found == sorted([("not_null:email", "2"), ("not_null:rating", "3"), ("check:rating_1_5", "2"),
+                            ("unique:email", "a@x"), ("fk:cat->p", "3"), ("domain:status", "2"),
+                            ("length:name>255", "2"), ("decimal:price(10,2)", "2"), ("drift:n", "2")])
