@@ -46,24 +46,25 @@ def _split_tail(col):
     return parent, n
 
 
-def _settle_family(links: pd.DataFrame) -> pd.DataFrame:
-    """Contests of one family. A row per child base: parent, child, n, the
-    child's first request (seq, id), child_taken, below (existing parent
-    slugs under n) and seqs (the parent's request (seq, id) by rank, only the
-    ranks that can matter). Requests are ordered by (seq, request id)."""
+def _settle_family(links: pd.DataFrame, seqs: pd.DataFrame) -> pd.DataFrame:
+    """Contests of one family. ``links``: a row per child base (parent,
+    child, n, the child's first request (seq, id), child_taken, below =
+    existing parent slugs under n). ``seqs``: the parent's request
+    (seq, id) at the ranks that can matter. Requests are ordered by
+    (seq, request id); parents are settled before their children."""
+    at = {(p, int(r)): (int(q), int(i)) for p, r, q, i in
+          seqs[["of_parent", "rank", "seq", "request_id"]].itertuples(index=False, name=None)}
     blocked: dict[str, set] = {}
     out_b, out_t = [], []
     links = links.assign(_plen=links["parent"].str.len()).sort_values(["_plen", "parent", "n"])
-    for p, c, n, s_c, id_c, c_taken, below, seqs in links[
-            ["parent", "child", "n", "child_first_seq", "child_first_id", "child_taken", "below",
-             "seqs"]].itertuples(index=False, name=None):
+    for p, c, n, s_c, id_c, c_taken, below in links[
+            ["parent", "child", "n", "child_first_seq", "child_first_id", "child_taken",
+             "below"]].itertuples(index=False, name=None):
         if c_taken:
             continue
         extra = blocked.get(p, set())
         k = int(n) - int(below) - sum(1 for x in extra if x < n)
-        by_rank = {int(e["rank"]): (int(e["seq"]), int(e["request_id"])) for e in seqs} \
-            if seqs is not None else {}
-        at_k = by_rank.get(k)
+        at_k = at.get((p, k))
         if at_k is not None and at_k < (int(s_c), int(id_c)):
             blocked.setdefault(c, set()).add(0)       # parent reached it first
             out_b.append(c)
@@ -126,14 +127,26 @@ def assign_slugs(new: DataFrame, existing: DataFrame, seq: str = "seq",
     earlier = Window.partitionBy("parent").orderBy("n")
     links = links.withColumn("_earlier", F.row_number().over(earlier) - 1) \
         .withColumn("_hi", F.col("n") - F.col("below"))
-    wanted = links.select("child", "parent", F.explode(F.sequence(
-        F.greatest(F.col("_hi") - F.col("_earlier") - 1, F.lit(0)), F.greatest(F.col("_hi"), F.lit(0))))
-        .alias("rank"))
-    seqs = wanted.join(ranked.withColumnRenamed("base", "parent"), ["parent", "rank"]) \
-        .groupBy("child").agg(F.collect_list(F.struct("rank", "seq", "request_id")).alias("seqs"))
-    links = links.join(seqs, "child", "left").withColumn("family", slug_family("parent"))
+    # parent ranks that can matter: per parent, the union of the children's
+    # windows, merged into disjoint intervals first so that the rows fetched
+    # are bounded by the largest contested index, not by pairs of children
+    win = links.select("parent", F.greatest(F.col("_hi") - F.col("_earlier") - 1, F.lit(0)).alias("lo"),
+                       "_hi", "child")
+    by_lo = Window.partitionBy("parent").orderBy("lo", "_hi", "child")
+    reach = F.max("_hi").over(by_lo.rowsBetween(Window.unboundedPreceding, -1))
+    starts_new = F.when(F.col("lo") > F.coalesce(reach, F.lit(-2)) + 1, 1).otherwise(0)
+    merged = win.withColumn("_new", starts_new) \
+        .withColumn("_grp", F.sum("_new").over(by_lo.rowsBetween(Window.unboundedPreceding, 0))) \
+        .groupBy("parent", "_grp").agg(F.min("lo").alias("lo"), F.max("_hi").alias("hi"))
+    wanted = merged.select("parent", F.explode(F.sequence("lo", "hi")).alias("rank"))
+    parent_seqs = wanted.join(ranked.withColumnRenamed("base", "parent"), ["parent", "rank"]) \
+        .withColumn("family", slug_family("parent"))
+    links = links.withColumn("family", slug_family("parent"))
     lost = links.select("family", "parent", "child", "n", "child_first_seq", "child_first_id",
-                        "child_taken", "below", "seqs").groupBy("family").applyInPandas(_settle_family, CLAIMS_OUT)
+                        "child_taken", "below").groupBy("family") \
+        .cogroup(parent_seqs.select("family", F.col("parent").alias("of_parent"), "rank", "seq",
+                                    "request_id").groupBy("family")) \
+        .applyInPandas(_settle_family, CLAIMS_OUT)
 
     # blocked indices per base, then the r-th free index for the r-th request
     blocked = t_idx.unionByName(lost).distinct()

@@ -534,3 +534,14 @@ def test_quality_checks_find_each_violation(spark):
     assert found == sorted([("not_null:email", "2"), ("not_null:rating", "3"), ("check:rating_1_5", "2"),
                             ("unique:email", "a@x"), ("fk:cat->p", "3"), ("domain:status", "2"),
                             ("length:name>255", "2"), ("decimal:price(10,2)", "2"), ("drift:n", "2")])
+
+
+def test_assign_slugs_many_numbered_children(spark):
+    rnd = random.Random(3)
+    bases = ["item"] + [f"item-{i}" for i in range(1, 300)]
+    reqs = [(i, rnd.randint(0, 50), rnd.choice(bases[:1] * 200 + bases)) for i in range(900)]
+    existing = ["item", "item-3", "item-7", "item-250", "item-2-1"]
+    new = spark.createDataFrame(reqs, "request_id long, seq long, base string")
+    got = {r.request_id: r.slug for r in assign_slugs(
+        new, spark.createDataFrame([(s,) for s in existing], "slug string")).collect()}
+    assert got == _slug_loop(existing, reqs)
