@@ -20,7 +20,10 @@ from cartograph.operators.changes import parse_enum
 from cartograph.streaming.sources import checkpoint_location
 from cartograph.streaming.windows import trending_pairs, trending_top_k
 
-CURRENT_BUCKETS = 64
+# Buckets of the current-status table. Each micro-batch rewrites only the
+# buckets it touches, so size this so that a bucket stays small (for
+# billions of orders: thousands of buckets).
+CURRENT_BUCKETS = 1024
 
 
 def status_history(updates: DataFrame) -> DataFrame:
@@ -40,11 +43,11 @@ def merge_current(current: DataFrame, history_rows: DataFrame) -> DataFrame:
 
 
 def _write_batch(spark: SparkSession, batch: DataFrame, batch_id: int, history_path: str,
-                 current_path: str) -> None:
+                 current_path: str, buckets: int = CURRENT_BUCKETS) -> None:
     rows = status_history(batch).withColumn("batch_id", F.lit(batch_id))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("batch_id").parquet(history_path)
-    touched = rows.select((F.col("order_id") % CURRENT_BUCKETS).alias("bucket")).distinct()
+    touched = rows.select((F.col("order_id") % buckets).alias("bucket")).distinct()
     try:
         stored = spark.read.parquet(current_path).join(touched, "bucket", "left_semi")
     except Exception:  # noqa: BLE001 - first batch: no current table yet
@@ -55,18 +58,25 @@ def _write_batch(spark: SparkSession, batch: DataFrame, batch_id: int, history_p
     else:
         merged = merge_current(fresh.limit(0), fresh)
     # reading and overwriting the same folder: cut the lineage first
-    merged = merged.withColumn("bucket", F.col("order_id") % CURRENT_BUCKETS).checkpoint()
+    merged = merged.withColumn("bucket", F.col("order_id") % buckets).checkpoint()
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("bucket").parquet(current_path)
 
 
 def order_status_feed(updates: DataFrame, history_path: str, current_path: str,
-                      name: str = "order_status_feed", trigger_once: bool = False) -> StreamingQuery:
+                      name: str = "order_status_feed", trigger_once: bool = False,
+                      buckets: int = CURRENT_BUCKETS) -> StreamingQuery:
     """Start the feed over a streaming frame of updates
-    (request_id, order_id, status, seq, changed_at, changed_by)."""
+    (request_id, order_id, status, seq, changed_at, changed_by).
+
+    When updates touch most buckets in every micro-batch, the rewrite costs
+    about the size of the current table each time. The alternative is
+    append-only: keep each batch's latest rows as their own partition, let
+    readers take ``max_by(seq)`` (:func:`merge_current`) over base plus
+    deltas, and fold the deltas into the base in a periodic compaction job."""
     spark = updates.sparkSession
     w = updates.writeStream.foreachBatch(
-        lambda df, bid: _write_batch(spark, df, bid, history_path, current_path)) \
+        lambda df, bid: _write_batch(spark, df, bid, history_path, current_path, buckets)) \
         .option("checkpointLocation", checkpoint_location(spark, name)).queryName(name)
     if trigger_once:
         w = w.trigger(availableNow=True)
