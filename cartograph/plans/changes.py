@@ -134,7 +134,12 @@ def chg_3(spark, sf_dir):
 @register("chg_3_rejects", oracle="""
     SELECT request_id, order_id, 'invalid status' AS reason FROM shop_status_updates
     WHERE NOT coalesce(upper(status) IN ('CONFIRMED', 'PROCESSING', 'SHIPPED', 'OUT_FOR_DELIVERY',
-                                         'DELIVERED', 'CANCELLED'), false)""")
+                                         'DELIVERED', 'CANCELLED'), false)
+    UNION ALL
+    SELECT request_id, order_id, 'order not found' AS reason FROM shop_status_updates
+    WHERE upper(status) IN ('CONFIRMED', 'PROCESSING', 'SHIPPED', 'OUT_FOR_DELIVERY', 'DELIVERED',
+                            'CANCELLED')
+      AND order_id NOT IN (SELECT id FROM shop_orders)""")
 def chg_3_rejects(spark, sf_dir):
     shop = Shop(spark, sf_dir)
     return C.set_status(shop.orders, shop.status_updates)[1]

@@ -545,3 +545,22 @@ def test_assign_slugs_many_numbered_children(spark):
     got = {r.request_id: r.slug for r in assign_slugs(
         new, spark.createDataFrame([(s,) for s in existing], "slug string")).collect()}
     assert got == _slug_loop(existing, reqs)
+
+
+def test_set_status_and_cancel_rules(spark):
+    orders = spark.createDataFrame([(1, 10, "CONFIRMED"), (2, 10, "DELIVERED"), (3, 11, "PROCESSING")],
+                                   "id long, user_id long, status string")
+    users = spark.createDataFrame([(10, "CUSTOMER"), (11, "CUSTOMER"), (99, "ADMIN")], "id long, role string")
+    reqs = spark.createDataFrame([(1, 1, 1, 10), (2, 2, 1, 10), (3, 3, 2, 10), (4, 4, 3, 10),
+                                  (5, 5, 3, 99), (6, 6, 7, 10)],
+                                 "request_id long, seq long, order_id long, caller_id long")
+    new_orders, outcomes = CH.cancel_orders(orders, users, reqs)
+    got = {r.request_id: (r.outcome, r.blocking_status) for r in outcomes.collect()}
+    assert got == {1: ("CANCELLED", None), 2: ("CONFLICT", "CANCELLED"), 3: ("CONFLICT", "DELIVERED"),
+                   4: ("FORBIDDEN", None), 5: ("CANCELLED", None), 6: ("NOT_FOUND", None)}
+    assert {r.id: r.status for r in new_orders.collect()} == {1: "CANCELLED", 2: "DELIVERED", 3: "CANCELLED"}
+    ups = spark.createDataFrame([(1, 1, 1, "shipped"), (2, 2, 1, "Delivered"), (3, 3, 2, "LOST"),
+                                 (4, 4, 9, "SHIPPED")], "request_id long, seq long, order_id long, status string")
+    after, rejects = CH.set_status(orders, ups)
+    assert {r.id: r.status for r in after.collect()} == {1: "DELIVERED", 2: "DELIVERED", 3: "PROCESSING"}
+    assert {r.request_id: r.reason for r in rejects.collect()} == {3: "invalid status", 4: "order not found"}
