@@ -104,19 +104,35 @@ def cumulative_sum(df: DataFrame, keys: list[str], order: list[str], value, out:
     totals of the same key in earlier partitions (a small table of
     partition x key totals). The partitioned rows are stored once (see
     :func:`stash`). ``order`` must make rows unique within a key."""
+    return cumulative_sums(df, keys, order, {out: value}, partitions)
+
+
+def cumulative_sums(df: DataFrame, keys: list[str], order: list[str], outputs: dict,
+                    partitions: int | None = None) -> DataFrame:
+    """Several running sums in one pass: ``outputs`` maps an output column to
+    its value (column name or Column). See :func:`cumulative_sum`."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v = value if isinstance(value, Column) else F.col(value)
+    vals = {f"_v{i}": (v if isinstance(v, Column) else F.col(v)) for i, v in enumerate(outputs.values())}
+    outs = dict(zip(outputs.keys(), vals.keys()))
+    x = df
+    for name, col in vals.items():
+        x = x.withColumn(name, col)
     # range bounds come from sampling, so the partition of every row is fixed
     # once (stored) before the two passes below read it
-    x = stash(df.withColumn("_v", v).repartitionByRange(n, *[F.col(c) for c in keys + order])
+    x = stash(x.repartitionByRange(n, *[F.col(c) for c in keys + order])
               .withColumn("_pid", F.spark_partition_id()), "cumsum")
     w = Window.partitionBy("_pid", *keys).orderBy(*order) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("_local", F.sum("_v").over(w))
-    totals = x.groupBy("_pid", *keys).agg(F.sum("_v").alias("_t"))
+    for name in vals:
+        x = x.withColumn(f"{name}_l", F.sum(name).over(w))
+    totals = x.groupBy("_pid", *keys).agg(*[F.sum(name).alias(f"{name}_t") for name in vals])
     before = Window.partitionBy(*keys).orderBy("_pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *keys, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
-    return x.join(offsets, ["_pid", *keys]) \
-        .withColumn(out, F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off", "_v")
+    offsets = totals.select("_pid", *keys, *[F.coalesce(F.sum(f"{name}_t").over(before), F.lit(0))
+                                             .alias(f"{name}_o") for name in vals])
+    x = x.join(offsets, ["_pid", *keys])
+    for out, name in outs.items():
+        x = x.withColumn(out, F.col(f"{name}_o") + F.col(f"{name}_l"))
+    drop = ["_pid"] + [c for name in vals for c in (name, f"{name}_l", f"{name}_o")]
+    return x.drop(*drop)

@@ -16,9 +16,10 @@ sorted by (user, time, event id):
   independent segments (found with time-sliced windows and a distributed
   running count). Segments are hash-partitioned, sorted within partitions,
   and folded by ``mapInPandas`` batch by batch, carrying the state across
-  batch boundaries. Memory is one Arrow batch plus one state. Only a
-  segment without any safe success (an account failing without pause) is
-  still read by one task;
+  batch boundaries. Memory is one Arrow batch plus one state. A segment
+  longer than ``jump_threshold`` (an account failing without pause) is
+  folded by pointer doubling instead (:mod:`.lockout_jumps`), so no task
+  reads a whole long history;
 * stream :func:`lockouts`: ``applyInPandasWithState`` keyed by user, the
   state being (counter, locked_until); each micro-batch is folded in time
   order on top of the stored state.
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from cartograph.operators.common import cumulative_sum
+from cartograph.streaming.lockout_jumps import fold_by_jumps
 
 # Fixed values from the reference: failures before a lock, lock length.
 MAX_FAILURES = 5
@@ -127,8 +129,14 @@ def _safe_resets(x: DataFrame, lock_minutes: int) -> DataFrame:
     return x2.withColumn("_safe", safe).drop("_us", "_b", "_last_us", "_prev_us")
 
 
+# Segments longer than this are folded by pointer doubling (no single task
+# reads them); shorter ones stream through one task each.
+JUMP_THRESHOLD = 1_000_000
+
+
 def lockouts_batch(attempts: DataFrame, users: DataFrame, max_failures: int = MAX_FAILURES,
-                   lock_minutes: int = LOCK_MINUTES, partitions: int | None = None) -> DataFrame:
+                   lock_minutes: int = LOCK_MINUTES, partitions: int | None = None,
+                   jump_threshold: int = JUMP_THRESHOLD) -> DataFrame:
     """Batch twin: one output row per attempt with its outcome and the state
     after it. ``attempts``: event_id, user_id, ts, success.
 
@@ -141,6 +149,10 @@ def lockouts_batch(attempts: DataFrame, users: DataFrame, max_failures: int = MA
     x = cumulative_sum(x, ["user_id"], ["ts", "event_id"],
                        F.when(F.col("_safe"), 1).otherwise(0), "segment").drop("_safe")
     keys = ["user_id", "segment"]
+    long_segments = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) \
+        .where(F.col("_n") > jump_threshold).select(*keys)
+    jumped = fold_by_jumps(x.join(long_segments, keys, "left_semi"), max_failures, lock_minutes)
+    x = x.join(long_segments, keys, "left_anti")
     x = (x.repartition(partitions, *keys) if partitions else x.repartition(*keys)) \
         .sortWithinPartitions("user_id", "segment", "ts", "event_id")
 
@@ -157,7 +169,7 @@ def lockouts_batch(attempts: DataFrame, users: DataFrame, max_failures: int = MA
             last_key = (u[-1], g[-1])
             yield out
 
-    return x.mapInPandas(run, ATTEMPT_OUT)
+    return x.mapInPandas(run, ATTEMPT_OUT).unionByName(jumped)
 
 
 def lockouts(attempts: DataFrame, users: DataFrame, max_failures: int = MAX_FAILURES,

@@ -1,0 +1,151 @@
+"""STR-1 for very large segments: the lockout fold as a path, marked by
+pointer doubling, so no user's history is read by a single task.
+
+Within a segment (state starts at no failures, no lock) the fold visits two
+kinds of steps:
+
+* ``R(i)``: counting from attempt ``i``. Every attempt is counted; the lock
+  falls on the first failure ``f >= i + 4`` that ends a run of 5 failures
+  (``run(f) >= 5``); the next attempt decided is ``D(f)``, the first one at
+  or after ``t(f) + 15 minutes``. So ``R(i) -> K(D(f))``.
+* ``K(j)``: attempt ``j`` is decided while the counter is 5 or more. A
+  failure locks again, ``K(j) -> K(D(j))``; a success resets,
+  ``K(j) -> R(j + 1)``.
+
+Every step has one successor with a larger position, so the fold is the path
+from ``R(1)``. Positions, runs, the next 5-run and ``D`` come from
+distributed running counts (:func:`cumulative_sums`), the path from pointer
+doubling (each round: extend the marked set by the current jump, then square
+the jump), and each attempt's outcome from the last path step at or before
+it. Path steps are at most about two per 15 minutes of a history (two
+decided attempts in the locked regime are 15 minutes apart), so the small
+per-path windows never hold a long history.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from cartograph.operators.common import cumulative_sums, stash
+
+G = ["user_id", "segment"]
+
+
+def fold_by_jumps(x: DataFrame, max_failures: int, lock_minutes: int) -> DataFrame:
+    """Outcomes for the attempts of ``x`` (user_id, segment, event_id, ts,
+    success, email_verified, is_suspended), in the output shape of the
+    sequential fold."""
+    lock = F.expr(f"INTERVAL {lock_minutes} MINUTES")
+    idle = x.where(~F.col("email_verified") | F.col("is_suspended")).select(
+        "event_id", "user_id", "ts",
+        F.when(F.col("is_suspended"), F.lit("SUSPENDED")).otherwise(F.lit("UNVERIFIED")).alias("outcome"),
+        F.lit(0).alias("failed_attempts"), F.lit(None).cast("timestamp_ntz").alias("locked_until"))
+    act = x.where(F.col("email_verified") & ~F.col("is_suspended")) \
+        .select(*G, "event_id", "ts", "success")
+
+    # pass A: position, successes so far, and D (first attempt >= t + lock)
+    probes = act.select(*G, (F.col("ts") + lock).alias("_time"), F.lit(0).alias("_kind"),
+                        F.col("event_id").alias("_eid"), F.lit(0).alias("_ve"), F.lit(0).alias("_vs"))
+    evs = act.select(*G, F.col("ts").alias("_time"), F.lit(1).alias("_kind"), F.col("event_id").alias("_eid"),
+                     F.lit(1).alias("_ve"), F.when(F.col("success"), 1).otherwise(0).alias("_vs"))
+    a = cumulative_sums(probes.unionByName(evs), G, ["_time", "_kind", "_eid"],
+                        {"_cnt": "_ve", "_cs": "_vs"})
+    pos = a.where(F.col("_kind") == 1).select(*G, F.col("_eid").alias("event_id"),
+                                              F.col("_cnt").alias("pos"), F.col("_cs").alias("sc"))
+    dnext = a.where(F.col("_kind") == 0).select(*G, F.col("_eid").alias("event_id"),
+                                                (F.col("_cnt") + 1).alias("d"))
+    e = act.join(pos, [*G, "event_id"]).join(dnext, [*G, "event_id"])
+    # run of failures ending at each attempt
+    s_at = e.where("success").select(*G, "sc", F.col("pos").alias("_spos"))
+    e = e.join(s_at, [*G, "sc"], "left") \
+        .withColumn("run", F.col("pos") - F.coalesce(F.col("_spos"), F.lit(0))).drop("_spos", "sc")
+    e = stash(e, "lock_events")
+    # pass B: the next attempt (at or after each position) ending a 5-run
+    r5 = F.when(F.col("run") >= max_failures, 1).otherwise(0)
+    b = cumulative_sums(e.select(*G, "pos", r5.alias("_r5")), G, ["pos"], {"_c5": "_r5"})
+    runs = b.where(F.col("_r5") == 1).select(*G, F.col("_c5").alias("_rank"), F.col("pos").alias("nr5"))
+    nr5 = b.select(*G, "pos", (F.col("_c5") - F.col("_r5") + 1).alias("_rank")) \
+        .join(runs, [*G, "_rank"], "left").select(*G, "pos", "nr5")
+    size = e.groupBy(*G).agg(F.max("pos").alias("n"))
+
+    # steps and their successors; node id 2*pos (R) or 2*pos + 1 (K); END = 2*(n+1)
+    at = e.select(*G, "pos", "d", "success", "ts")
+    lock_at = nr5.select(*G, (F.col("pos") - (max_failures - 1)).alias("pos"), F.col("nr5").alias("f")) \
+        .where(F.col("pos") >= 1)
+    r_nodes = e.select(*G, "pos").join(lock_at, [*G, "pos"], "left") \
+        .join(at.select(*G, F.col("pos").alias("f"), F.col("d").alias("_df")), [*G, "f"], "left") \
+        .select(*G, (F.col("pos") * 2).alias("v"),
+                F.when(F.col("f").isNull(), F.lit(None)).otherwise(F.col("_df") * 2 + 1).alias("_j"))
+    k_nodes = at.select(*G, (F.col("pos") * 2 + 1).alias("v"),
+                        F.when(F.col("success"), (F.col("pos") + 1) * 2)
+                         .otherwise(F.col("d") * 2 + 1).alias("_j"))
+    end = size.select(*G, ((F.col("n") + 1) * 2).alias("v"), ((F.col("n") + 1) * 2).alias("_j"))
+    jump = r_nodes.unionByName(k_nodes).join(size, G) \
+        .withColumn("j", F.when(F.col("_j").isNull() | (F.col("_j") >= (F.col("n") + 1) * 2),
+                                (F.col("n") + 1) * 2).otherwise(F.col("_j"))) \
+        .select(*G, "v", "j").unionByName(end.select(*G, "v", F.col("_j").alias("j")))
+    jump = stash(jump, "lock_jump")
+
+    # pointer doubling from R(1): P <- P + J(P); J <- J o J, until P is closed
+    path = stash(size.select(*G, F.lit(2).cast("long").alias("v")), "lock_path")
+    count = path.count()
+    while True:
+        reached = path.join(jump, [*G, "v"]).select(*G, F.col("j").alias("v"))
+        grown = stash(path.unionByName(reached).distinct(), "lock_path")
+        new_count = grown.count()
+        path = grown
+        if new_count == count:
+            break
+        count = new_count
+        j2 = jump.select(*G, F.col("v").alias("_m"), F.col("j").alias("_j2"))
+        jump = stash(jump.withColumnRenamed("j", "_m").join(j2, [*G, "_m"])
+                     .select(*G, "v", F.col("_j2").alias("j")), "lock_jump")
+
+    # path steps with what the outcome rules need
+    steps = path.join(size, G).where(F.col("v") < (F.col("n") + 1) * 2) \
+        .select(*G, "v", (F.col("v") % 2).alias("kind"), F.floor(F.col("v") / 2).cast("long").alias("pos"))
+    steps = steps.join(lock_at.select(*G, "pos", "f"), [*G, "pos"], "left") \
+        .join(at.select(*G, F.col("pos").alias("f"), F.col("ts").alias("t_f")), [*G, "f"], "left") \
+        .join(at.select(*G, "pos", F.col("success").alias("s_step"), F.col("ts").alias("t_step")),
+              [*G, "pos"], "left")
+    # counter on decided failures: 5, 6, ... since the last counting step
+    w = Window.partitionBy(*G).orderBy("v")
+    steps = steps.withColumn("_rid", F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(w)) \
+        .withColumn("_kf", F.sum(F.when((F.col("kind") == 1) & ~F.col("s_step"), 1).otherwise(0))
+                    .over(Window.partitionBy(*G, "_rid").orderBy("v"))) \
+        .withColumn("k_failed", F.lit(max_failures) + F.col("_kf"))
+    # each attempt governed by the last step at or before it
+    c = cumulative_sums(
+        steps.select(*G, "pos", F.lit(0).alias("_kind"), "v", F.lit(1).alias("_one"))
+        .unionByName(e.select(*G, "pos", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("v"),
+                              F.lit(0).alias("_one"))),
+        G, ["pos", "_kind", "v"], {"_rank": "_one"})
+    ranked_steps = c.where(F.col("_kind") == 0).select(*G, "_rank", "v")
+    gov = c.where(F.col("_kind") == 1).select(*G, "pos", "_rank") \
+        .join(ranked_steps, [*G, "_rank"]).join(
+            steps.select(*G, "v", "kind", F.col("pos").alias("i"), "f", "t_f", "s_step", "t_step",
+                         "k_failed"), [*G, "v"])
+    x2 = e.join(gov, [*G, "pos"])
+    p, i, f = F.col("pos"), F.col("i"), F.col("f")
+    counting = (F.col("kind") == 0) & (f.isNull() | (p < f))
+    locked_r = (F.col("kind") == 0) & f.isNotNull() & (p >= f)
+    outcome = (F.when(counting & F.col("success"), F.lit("OK"))
+                .when(counting, F.lit("FAILED"))
+                .when(locked_r & (p == f), F.lit("LOCKED_NOW"))
+                .when(locked_r, F.lit("LOCKED"))
+                .when(F.col("s_step"), F.lit("OK"))
+                .when(p == i, F.lit("LOCKED_NOW"))
+                .otherwise(F.lit("LOCKED")))
+    failed = (F.when(counting & F.col("success"), F.lit(0))
+               .when(counting, F.least(F.col("run"), p - i + 1))
+               .when(locked_r, F.lit(max_failures))
+               .when(F.col("s_step"), F.lit(0))
+               .otherwise(F.col("k_failed")))
+    until = (F.when(counting, F.lit(None).cast("timestamp_ntz"))
+              .when(locked_r, F.col("t_f") + lock)
+              .when(F.col("s_step"), F.lit(None).cast("timestamp_ntz"))
+              .otherwise(F.col("t_step") + lock))
+    busy = x2.select("event_id", "user_id", "ts", outcome.alias("outcome"),
+                     failed.cast("int").alias("failed_attempts"), until.alias("locked_until"))
+    return busy.unionByName(idle)

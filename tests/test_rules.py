@@ -564,3 +564,45 @@ def test_set_status_and_cancel_rules(spark):
     after, rejects = CH.set_status(orders, ups)
     assert {r.id: r.status for r in after.collect()} == {1: "DELIVERED", 2: "DELIVERED", 3: "PROCESSING"}
     assert {r.request_id: r.reason for r in rejects.collect()} == {3: "invalid status", 4: "order not found"}
+
+
+import pytest  # noqa: E402
+
+
+@pytest.mark.parametrize("seed", [9, 21])
+def test_lockout_pointer_doubling_matches_fold(spark, seed):
+    rnd = random.Random(seed)
+    t0 = TS(2024, 1, 1)
+    rows, ver, sus, eid = [], {}, {}, 0
+    for uid in range(25):
+        ver[uid] = rnd.random() > 0.1
+        sus[uid] = rnd.random() < 0.05
+        minute = 0
+        # user 0 is a bot: a long history of mostly failures
+        for _ in range(400 if uid == 0 else rnd.randint(0, 80)):
+            minute += rnd.choice([0, 1, 2, 3, 5, 7, 14, 15, 16, 30])
+            rows.append((eid, uid, t0 + dt.timedelta(minutes=minute, seconds=rnd.choice([0, 0, 30])),
+                         rnd.random() < 0.15))
+            eid += 1
+    users = spark.createDataFrame([(u, ver[u], sus[u]) for u in ver],
+                                  "id long, email_verified boolean, is_suspended boolean")
+    att = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, success boolean")
+    by_jumps = lockouts_batch(att, users, jump_threshold=0)
+    by_fold = lockouts_batch(att, users)
+    cols = ["event_id", "outcome", "failed_attempts", "locked_until"]
+    a = sorted(tuple(r[c] for c in cols) for r in by_jumps.collect())
+    b = sorted(tuple(r[c] for c in cols) for r in by_fold.collect())
+    assert len(a) == len(rows)
+    assert a == b
+    assert {r[0]: r[1] for r in a} == _lockout_python(rows, ver, sus)
+
+
+def test_lockout_pointer_doubling_on_events(spark):
+    from conftest import SF_MID
+    from cartograph.sources.shop import Shop
+    shop = Shop(spark, SF_MID)
+    cols = ["event_id", "outcome", "failed_attempts", "locked_until"]
+    a = sorted(tuple(r[c] for c in cols) for r in
+               lockouts_batch(shop.logins, shop.users, jump_threshold=0).collect())
+    b = sorted(tuple(r[c] for c in cols) for r in lockouts_batch(shop.logins, shop.users).collect())
+    assert a == b
