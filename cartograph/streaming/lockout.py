@@ -151,8 +151,10 @@ def lockouts_batch(attempts: DataFrame, users: DataFrame, max_failures: int = MA
     keys = ["user_id", "segment"]
     long_segments = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) \
         .where(F.col("_n") > jump_threshold).select(*keys)
-    jumped = fold_by_jumps(x.join(long_segments, keys, "left_semi"), max_failures, lock_minutes)
-    x = x.join(long_segments, keys, "left_anti")
+    jumped = None
+    if long_segments.limit(1).count():       # the doubling rounds run only when needed
+        jumped = fold_by_jumps(x.join(long_segments, keys, "left_semi"), max_failures, lock_minutes)
+        x = x.join(long_segments, keys, "left_anti")
     x = (x.repartition(partitions, *keys) if partitions else x.repartition(*keys)) \
         .sortWithinPartitions("user_id", "segment", "ts", "event_id")
 
@@ -169,7 +171,8 @@ def lockouts_batch(attempts: DataFrame, users: DataFrame, max_failures: int = MA
             last_key = (u[-1], g[-1])
             yield out
 
-    return x.mapInPandas(run, ATTEMPT_OUT).unionByName(jumped)
+    folded = x.mapInPandas(run, ATTEMPT_OUT)
+    return folded if jumped is None else folded.unionByName(jumped)
 
 
 def lockouts(attempts: DataFrame, users: DataFrame, max_failures: int = MAX_FAILURES,
