@@ -490,3 +490,18 @@ def chg_12(spark, sf_dir):
                              shop.sellers, shop.users)
     return new.select("id", "seller_id", "category_id", "name", "slug",
                       F.col("price").cast("double").alias("price"))
+
+
+@register("chg_8_delete_products", oracle="""
+    WITH own AS (SELECT p.id AS product_id, u.email AS owner_email FROM shop_products p
+                 JOIN shop_sellers s ON s.id = p.seller_id JOIN shop_users u ON u.id = s.user_id),
+    allowed AS (SELECT q.product_id FROM shop_product_updates q
+                JOIN own ON own.product_id = q.product_id AND own.owner_email = q.caller_email)
+    SELECT id, name FROM shop_products WHERE id NOT IN (SELECT product_id FROM allowed)""")
+def chg_8_products(spark, sf_dir):
+    """Product deletes by their owner (other callers are ignored)."""
+    shop = Shop(spark, sf_dir)
+    own = C.owned_products(shop.products, shop.sellers, shop.users)
+    reqs = shop.product_updates.select("product_id", "caller_email")
+    allowed = reqs.join(own, "product_id").where(F.col("owner_email") == F.col("caller_email"))
+    return C.delete_authorised(shop.products, allowed, "id", "product_id").select("id", "name")
