@@ -256,6 +256,17 @@ def apply_flags(base: DataFrame, changes: DataFrame, key: str, flag_col: str,
     return out, rejects
 
 
+def flag_from_body(changes: DataFrame, key: str, default: bool = True, body: str = "body"):
+    """CHG-5 request bodies: the flag named ``key`` from a JSON object; a
+    missing key takes ``default`` (the reference's ``getOrDefault``), a key
+    present with null is a reject. Returns ``(changes with value, rejects)``."""
+    m = F.from_json(F.col(body), "map<string,boolean>")
+    has = F.coalesce(F.map_contains_key(m, key), F.lit(False))
+    x = changes.withColumn("value", F.when(has, m[key]).otherwise(F.lit(default)))
+    return x.where(F.col("value").isNotNull()), \
+        x.where(F.col("value").isNull()).withColumn("reason", F.lit(f"{key} is null"))
+
+
 # JSON body key -> column (the four fields a profile update may change).
 PROFILE_FIELDS = {"firstName": "first_name", "lastName": "last_name",
                   "phone": "phone", "avatarUrl": "avatar_url"}

@@ -505,3 +505,20 @@ def chg_8_products(spark, sf_dir):
     reqs = shop.product_updates.select("product_id", "caller_email")
     allowed = reqs.join(own, "product_id").where(F.col("owner_email") == F.col("caller_email"))
     return C.delete_authorised(shop.products, allowed, "id", "product_id").select("id", "name")
+
+
+@register("chg_5_feature_products", oracle="""
+    WITH ch AS (SELECT product_id, seq,
+                       CASE WHEN json_exists(body, '$.featured')
+                            THEN CAST(json_extract_string(body, '$.featured') AS BOOLEAN)
+                            ELSE true END AS v
+                FROM shop_feature_changes),
+    last AS (SELECT product_id, arg_max(v, seq) AS v FROM ch WHERE v IS NOT NULL GROUP BY product_id)
+    SELECT p.id, coalesce(last.v, p.is_featured) AS is_featured
+    FROM shop_products p LEFT JOIN last ON last.product_id = p.id""")
+def chg_5_feature(spark, sf_dir):
+    """Featured flag from request bodies (missing key: true; null: reject)."""
+    shop = Shop(spark, sf_dir)
+    ok, _ = C.flag_from_body(shop.feature_changes, "featured")
+    out, _ = C.apply_flags(shop.products, ok, "id", "is_featured", change_key="product_id")
+    return out.select("id", "is_featured")

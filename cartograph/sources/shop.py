@@ -302,6 +302,12 @@ VIEWS: dict[str, str] = {
               FROM {shop_events} WHERE event_type IN ('click', 'view', 'purchase')) e
         JOIN {orders} o ON o.o_orderkey = e.okey
         JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey AND l.l_linenumber = 1""",
+    "shop_feature_changes": """
+        SELECT event_id AS change_id, event_id AS seq,
+               event_id % (SELECT count(*) FROM {part}) AS product_id,
+               CASE k % 4 WHEN 0 THEN '{{}}' WHEN 1 THEN '{{"featured": false}}'
+                          WHEN 2 THEN '{{"featured": true}}' ELSE '{{"featured": null}}' END AS body
+        FROM {shop_events} WHERE event_type = 'click'""",
 }
 
 
