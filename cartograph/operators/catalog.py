@@ -172,6 +172,14 @@ def search_vector(df: DataFrame) -> Column:
     return lexemes(text)
 
 
+def with_search_vector(products: DataFrame) -> DataFrame:
+    """The products frame with its FTS-1 ``search_vector`` column, to be
+    written once with the table (the reference keeps it as a stored
+    generated column); :func:`search_filter` uses it when present instead of
+    tokenising every product for every search."""
+    return products.withColumn("search_vector", search_vector(products))
+
+
 def matches_all_terms(vector: Column, q: str) -> Column:
     """FTS-2 for one query: every lexeme of ``q`` is in ``vector``; a query
     with no lexeme (only stop words) matches nothing."""

@@ -606,3 +606,13 @@ def test_lockout_pointer_doubling_on_events(spark):
                lockouts_batch(shop.logins, shop.users, jump_threshold=0).collect())
     b = sorted(tuple(r[c] for c in cols) for r in lockouts_batch(shop.logins, shop.users).collect())
     assert a == b
+
+
+def test_stored_search_vector_gives_same_hits(spark):
+    from conftest import SF_SMALL
+    from cartograph.sources.shop import Shop
+    shop = Shop(spark, SF_SMALL)
+    plain = C.search_filter(shop.products, shop.categories, q="Red Rings", stock=True)
+    stored = C.search_filter(C.with_search_vector(shop.products), shop.categories, q="Red Rings", stock=True)
+    assert sorted(r.id for r in plain.collect()) == sorted(r.id for r in stored.collect())
+    assert plain.count() > 0
