@@ -522,3 +522,20 @@ def chg_5_feature(spark, sf_dir):
     ok, _ = C.flag_from_body(shop.feature_changes, "featured")
     out, _ = C.apply_flags(shop.products, ok, "id", "is_featured", change_key="product_id")
     return out.select("id", "is_featured")
+
+
+@register("chg_5_hide_reviews", oracle="""
+    WITH ch AS (SELECT review_id, seq,
+                       CASE WHEN json_exists(body, '$.hidden')
+                            THEN CAST(json_extract_string(body, '$.hidden') AS BOOLEAN)
+                            ELSE true END AS v
+                FROM shop_hide_changes),
+    last AS (SELECT review_id, arg_max(v, seq) AS v FROM ch WHERE v IS NOT NULL GROUP BY review_id)
+    SELECT r.id, coalesce(last.v, r.is_hidden) AS is_hidden
+    FROM shop_reviews r LEFT JOIN last ON last.review_id = r.id""")
+def chg_5_hide(spark, sf_dir):
+    """Review hidden flag from request bodies (missing key: true; null: reject)."""
+    shop = Shop(spark, sf_dir)
+    ok, _ = C.flag_from_body(shop.hide_changes, "hidden")
+    out, _ = C.apply_flags(shop.reviews, ok, "id", "is_hidden", change_key="review_id")
+    return out.select("id", "is_hidden")

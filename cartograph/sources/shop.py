@@ -308,6 +308,12 @@ VIEWS: dict[str, str] = {
                CASE k % 4 WHEN 0 THEN '{{}}' WHEN 1 THEN '{{"featured": false}}'
                           WHEN 2 THEN '{{"featured": true}}' ELSE '{{"featured": null}}' END AS body
         FROM {shop_events} WHERE event_type = 'click'""",
+    "shop_hide_changes": """
+        SELECT event_id AS change_id, event_id AS seq,
+               event_id % (SELECT count(*) FROM {documents}) AS review_id,
+               CASE k % 4 WHEN 0 THEN '{{"hidden": false}}' WHEN 1 THEN '{{}}'
+                          WHEN 2 THEN '{{"hidden": null}}' ELSE '{{"hidden": true}}' END AS body
+        FROM {shop_events} WHERE event_type = 'error'""",
 }
 
 
