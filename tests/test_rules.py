@@ -616,3 +616,16 @@ def test_stored_search_vector_gives_same_hits(spark):
     stored = C.search_filter(C.with_search_vector(shop.products), shop.categories, q="Red Rings", stock=True)
     assert sorted(r.id for r in plain.collect()) == sorted(r.id for r in stored.collect())
     assert plain.count() > 0
+
+
+def test_upsert_and_resolve_keys(spark):
+    base = spark.createDataFrame([(1, "a", 10), (2, "b", 20)], "id long, name string, qty int")
+    changes = spark.createDataFrame([(2, "b1", 21, 5), (2, "b2", 22, 7), (3, "c", 30, 1)],
+                                    "id long, name string, qty int, seq long")
+    got = {r.id: (r.name, r.qty) for r in CH.upsert(base, changes, ["id"]).collect()}
+    assert got == {1: ("a", 10), 2: ("b2", 22), 3: ("c", 30)}
+    users = spark.createDataFrame([(7, "ann@x.io")], "id long, email string")
+    rows = spark.createDataFrame([(1, "ann@x.io"), (2, "ANN@x.io"), (3, None)], "row_id long, email string")
+    ok, bad = CH.resolve_keys(rows, users, "email", "user_id")
+    assert [(r.row_id, r.user_id) for r in ok.collect()] == [(1, 7)]
+    assert sorted(r.row_id for r in bad.collect()) == [2, 3]
