@@ -10,9 +10,9 @@ Every job in the library runs with the same few session rules:
 * streaming state kept in RocksDB, off the executor heap;
 * no web UI.
 
-``checkpoint_dir`` reads ``spark.checkpoint.dir`` from the session. Only when
-it is unset (local tests) does it pick a scratch folder; on a cluster the
-setting must name a shared folder.
+``checkpoint_dir`` reads ``spark.checkpoint.dir`` from the session. Only a
+local session without it gets a scratch folder; on a cluster the setting must
+name a shared folder, else an error says so.
 """
 
 from __future__ import annotations
@@ -88,13 +88,21 @@ def ship_library(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Reads ``spark.checkpoint.dir``; sets a scratch folder only when unset.
+    Reads ``spark.checkpoint.dir``. When it is unset, a local session gets a
+    scratch folder of its own (kept for the life of the application); on a
+    cluster the setting is required, because a folder of one machine is not
+    visible to the others.
     """
+    sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    scratch = tempfile.mkdtemp(prefix="cartograph-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    spark.sparkContext.setCheckpointDir(scratch)
-    return scratch
+    if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if sc.applicationId not in _SCRATCH:
+            _SCRATCH[sc.applicationId] = tempfile.mkdtemp(prefix="cartograph-ckpt-")
+        configured = _SCRATCH[sc.applicationId]
+    sc.setCheckpointDir(configured)
+    return configured
+
+
+_SCRATCH: dict[str, str] = {}
