@@ -114,7 +114,7 @@ def coded(count: int, bits: int, bands: int):
 
 def tile_links(threshold: float, count: int, errors: float):
     """applyInPandas on a tile: links counted and a tree of them, per member."""
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         dim, band, left, right = int(key[0]), int(key[1]), int(key[3]), int(key[4])
         pdf = pdf.sort_values("cid")
         cid, copies = pdf["cid"].to_numpy(), pdf["copies"].to_numpy()

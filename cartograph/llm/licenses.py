@@ -111,11 +111,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts_
     every = marks(set().union(*starts.values()))
     x = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
     x = x.withColumn("h", let(F.col("w"), hashes)).where(F.arrays_overlap("h", every))
-    cuts = F.concat(*[F.filter(
-        F.transform(F.sequence(F.lit(0), F.size("h") - 1, F.lit(m)),
-                    lambda s, m=m: F.struct(F.lit(m).alias("m"), s.alias("at"), F.slice(F.col("h"), s + 1, 2 * m).alias("h"))),
-        lambda c, v=frozenset(v): F.arrays_overlap(c["h"], marks(v))) for m, v in sorted(starts.items())])
-    windows = x.select("id", "w", F.explode(cuts).alias("c")).select("id", "c.m", "c.at", "c.h", F.slice(
+
+    def cuts(m: int, own: Column) -> Column:
+        """Windows for templates of ``m`` shingles that hold one of ``own``."""
+        window = lambda at: F.struct(F.lit(m).alias("m"), at.alias("at"), F.slice(F.col("h"), at + 1, 2 * m).alias("h"))
+        every_m = F.sequence(F.lit(0), F.size("h") - 1, F.lit(m))
+        return F.filter(F.transform(every_m, window), lambda c: F.arrays_overlap(c["h"], own))
+
+    found = F.concat(*[cuts(m, marks(v)) for m, v in sorted(starts.items())])
+    windows = x.select("id", "w", F.explode(found).alias("c")).select("id", "c.m", "c.at", "c.h", F.slice(
         F.col("w"), F.col("c.at") + 1, F.size("c.h") + SHINGLE - 1).alias("w"))
     sketch = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: minimum(F.col("h"), j)["v"])
     hits = windows.select("id", "m", "at", "w", F.posexplode(sketch).alias("band", "value")) \
@@ -138,8 +142,8 @@ k AS (SELECT DISTINCT license, m, {cut} FROM (SELECT *, unnest(range(1, m + 1))
 n AS (SELECT license, count(*) AS n FROM k GROUP BY license),
 d AS (SELECT row_number() OVER () AS r, doc_id, {words("text")} AS w FROM {docs}),
 p AS (SELECT r, doc_id, i - 1 AS p, {cut} FROM (SELECT *, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM d)),
-h AS (SELECT r, doc_id, license, m, s, p // m * m AS at FROM p JOIN k USING (s)),
-a AS (SELECT r, doc_id, license, s, unnest(CASE WHEN at >= m THEN [at, at - m] ELSE [at] END) AS at FROM h),
-c AS (SELECT r, doc_id, license, at, count(DISTINCT s) / any_value(n) AS share FROM a JOIN n USING (license) GROUP BY ALL)
-SELECT doc_id, license, max(share) AS containment, CAST(min(at) AS BIGINT) AS at_word FROM c
+h AS (SELECT r, doc_id, license, m, s, p // m * m AS st FROM p JOIN k USING (s)),
+a AS (SELECT r, doc_id, license, s, unnest(CASE WHEN st >= m THEN [st, st - m] ELSE [st] END) AS st FROM h),
+c AS (SELECT r, doc_id, license, st, count(DISTINCT s) / any_value(n) AS share FROM a JOIN n USING (license) GROUP BY ALL)
+SELECT doc_id, license, max(share) AS containment, CAST(min(st) AS BIGINT) AS at_word FROM c
 WHERE share >= {LEAST} GROUP BY doc_id, license"""

@@ -188,7 +188,7 @@ def oracle(docs: str = "documents") -> str:
     base = f"(n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words)"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, {words} AS w,
-                  list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '{WORD_CHAR}')) AS li
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD_CHAR}')) AS li
            FROM {docs}),
 v AS (SELECT r, i, w[i:i + {WINDOW - 1}] AS run FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d)),
 t AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, run) AS n FROM v) WHERE n > 1),
@@ -198,7 +198,7 @@ c AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
              CAST(length(text) - length(regexp_replace(text, '{SYMBOLS}', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(len(li) - len(list_distinct(li)) AS BIGINT) AS n_dup_lines,
              CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(len(li) AS BIGINT) AS n_lines,
-             CAST(len(list_filter(range(2, len(w) + 1), i -> w[i] = w[i - 1])) AS BIGINT) AS n_stutter,
+             CAST(len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS BIGINT) AS n_stutter,
              CAST(length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS BIGINT) AS n_capitals
       FROM d LEFT JOIN y USING (r)),
 sk AS (SELECT lang, source, rate, (value >> greatest(length(bin(value)) - 8, 0)) << greatest(length(bin(value)) - 8, 0) AS bucket,
