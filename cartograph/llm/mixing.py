@@ -71,6 +71,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     x = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
                     F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")).cast("binary")).alias("shuffle"),
                     *extra)
+    scratch = Scratch(docs.sparkSession, "mixing")
+    x = scratch.save(x, "sizes")  # the texts are read once
     per_source = x.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     n, budget = per_source.agg(F.sum("n"), F.sum("source_size")).first()
     ranges = -(-(n or 0) // RANGE_DOCS) or 1
@@ -81,6 +83,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     queued = x.withColumn("slot", F.floor(head * F.lit(ranges).cast("long") / F.lit(float(1 << 32))).cast("long"))
     queued = running_sum(queued, "size", "done", ["source_no"], "slot",
                          ["shuffle", F.col("id").asc_nulls_last(), "size"])
+    queued = scratch.save(queued, "queued")
     copies = queued.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))) \
         .withColumn("finish", (F.col("epoch").cast("long") * F.col("source_size") + F.col("done")).cast("double")
                     / F.col("target")) \
