@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from cartograph.llm.common import Scratch
 from cartograph.llm.tokens import encoder, runs
@@ -97,22 +98,24 @@ def places(patterns: list[tuple[int, list[int]]]) -> dict[int, np.ndarray]:
     return {n: np.array(rows, np.int64) for n, rows in found.items()}
 
 
-def pieces_of(path: str, end: int, capacity: int):
-    """mapInArrow: (id, text) to encoded pieces with their rank inside the task."""
+def pieces_of(path: str, end: int, capacity: int, width: int):
+    """mapInArrow: (id, text) to encoded pieces with their rank inside the task;
+    ``ids`` take ``width`` bytes each, their checksum is that of four bytes."""
     schema = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                         ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("rank", pa.int64())])
 
     def run(batches):
         encode, task, seen = encoder(path, end), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
-            ids, texts = b.column("id").to_pylist(), b.column("text").to_pylist()
+            ids, texts = b.column("id").to_pylist(), b.column("text")
             for lo, hi in runs(texts):
                 rows = []
                 for doc, tokens in zip(ids[lo:hi], encode.batch(texts[lo:hi])):
                     for k, start in enumerate(range(0, len(tokens), capacity)):
                         part = tokens[start:start + capacity].astype("<u4").tobytes()
                         n = len(part) // 4
-                        rows.append((doc, k, start, n, part, zlib.crc32(part), task, int(seen[n])))
+                        rows.append((doc, k, start, n, part if width == 4 else tokens[start:start + capacity].astype("<u2").tobytes(),
+                                     zlib.crc32(part), task, int(seen[n])))
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
     return run
@@ -139,12 +142,13 @@ def placed_by(table: dict[int, np.ndarray]):
 class Packed:
     """Result of :func:`pack`: ``pieces`` with their place, ``ids`` with tokens."""
 
-    def __init__(self, pieces: DataFrame, encoded: DataFrame, id_col: str):
-        self.pieces, self.encoded, self.id_col = pieces, encoded, id_col
+    def __init__(self, pieces: DataFrame, encoded: DataFrame, id_col: str, width: int):
+        self.pieces, self.encoded, self.id_col, self.width = pieces, encoded, id_col, width
 
     def sequences(self) -> DataFrame:
         """``(sequence_id, ids, pieces)``: the packed sequences, ids as
-        little-endian 32-bit integers. Assumes ids that name one document."""
+        little-endian integers of ``width`` bytes (2 if the vocabulary allows).
+        Assumes ids that name one document."""
         key = [self.id_col, "piece"]
         x = self.pieces.join(self.encoded.select(*key, "ids"), key)
         parts = F.array_sort(F.collect_list(F.struct("offset", *key, "ids")))
@@ -164,8 +168,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     how the input is split into tasks; the plan itself does not.
     """
     scratch = Scratch(docs.sparkSession, "packing")
+    width = 2 if max(end + 1, Tokenizer.from_file(tokenizer).get_vocab_size()) <= 1 << 16 else 4
     x = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = scratch.save(x.mapInArrow(pieces_of(tokenizer, end, capacity),
+    rows = scratch.save(x.mapInArrow(pieces_of(tokenizer, end, capacity, width),
                                      "id long, piece int, start long, length long, ids binary, ids_crc32 long, task int, rank long"),
                         "pieces")
     per_task = rows.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
@@ -175,4 +180,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     before = per_task.select("length", "task", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
     keyed = rows.select("id", "piece", "start", "length", "ids_crc32", "task", "rank").join(before, ["length", "task"])
     out = keyed.mapInArrow(placed_by(table), "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return Packed(out.withColumnRenamed("id", id_col), rows.withColumnRenamed("id", id_col), id_col)
+    return Packed(out.withColumnRenamed("id", id_col), rows.withColumnRenamed("id", id_col), id_col, width)

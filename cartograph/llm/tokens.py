@@ -1,32 +1,61 @@
 """Token ids by the tokenizers library, inside Arrow batches.
 
-White-space separated text repeats its words, and a byte-pair encoder treats a
-word with its leading space on its own. So a text is cut before every single
-space that precedes a visible character, the pieces not seen before are encoded
-by the library in one batch, and a document's ids are put together from the
-pieces. ``tests/llm/test_tokens.py`` holds this against encoding whole texts.
-
-The cut is exact for the two kinds of tokenizer used here: their
-pre-tokenizers never form a token that holds a visible character followed by
-white space, they look behind nothing, and the only look-ahead concerns runs
-of white space, which the cut leaves whole. NFC and lower-casing character by
-character do not reach over a space.
+A byte-pair encoder first splits a text into words, with or without their
+leading space, and runs of marks, digits and white space, and encodes each on
+its own; texts repeat them. So the texts of a batch are cut where such a part
+surely ends, the different parts are found by Arrow's dictionary encoding, and
+the ids of the documents are put together from those of the parts with numpy.
+
+The cuts are before a space that precedes a visible character, between an ASCII
+or Latin-1 letter and an ASCII mark, and around a line end between visible
+characters. Parts that are all letters or all marks go to the library's model,
+other parts are encoded whole, and so is a text with a space before other white
+space, or at its end. ``tests/llm/test_tokens.py`` holds this against encoding
+whole texts.
+
+The cuts are exact for the two kinds of tokenizer used here, byte-level ones
+that split letters, digits and marks, with or without lower-casing: they never
+form a token of a visible character followed by white space, nor of a letter
+followed by a mark, they look behind nothing, and their only look-ahead concerns
+runs of white space, none of which is cut. NFC and lower-casing character by
+character reach over no space and leave composed Latin-1 letters apart from
+their case.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from itertools import chain
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-CUT = re.compile(r" (?=\S)")
-#: Pieces kept between batches; past this many the table starts again.
-KEPT_PIECES = 300_000
-#: Longer pieces are encoded but not kept.
+#: White space, as RE2 writes it.
+SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: What no cut is made in: a space at the end or before white space, and the
+#: character that marks a part without a leading space.
+UNCUT = f" ($|[{SPACES}])|\x01"
+LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+LETTERS = re.compile(f"[{LATIN}]+").fullmatch
+#: ASCII marks without the apostrophe, which starts contractions.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+CUTS = ((f"([{LATIN}])([{re.escape(MARKS)}])", "\\1 \x01\\2"),
+        (f"([^{SPACES}])\n([^{SPACES}])", "\\1 \x01\n \x01\\2"))
+LEAD, NONE = pa.scalar("\x01", pa.large_string()), pa.scalar("", pa.large_string())
+#: Parts kept between batches; past this many the table starts again.
+KEPT = 500_000
+#: Longer parts are not kept.
 KEPT_LENGTH = 64
 
+# Byte-level tokenizers write a byte that is no visible Latin-1 character as
+# the next character from U+0100 on.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_REST = [b for b in range(256) if b not in _PLAIN]
+BYTES = {b: chr(256 + i) for i, b in enumerate(_REST)}
+
 
 class Encoder:
     """Ids of texts by the tokenizer file ``path``; ``end`` is put after each."""
@@ -36,30 +65,86 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.end = (end,)
-
-    def _learn(self, cut: list[list[str]]) -> dict:
-        known = self.pieces
-        if len(known) > KEPT_PIECES:
+        self.lower = "Lowercase" in json.dumps(json.loads(self.tokenizer.to_str())["normalizer"])
+        # the lower-casing kind drops spaces, the other takes one into the token
+        self.space = "" if self.lower else BYTES[32]
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {}
+        self.end = array("I", [end]).tobytes()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(texts), 20_000):
+            out += [array("I", e.ids).tobytes()
+                    for e in self.tokenizer.encode_batch_fast(texts[i:i + 20_000], add_special_tokens=False)]
+        return out
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of different parts; one that starts with \\x01 follows no space."""
+        known = self.known
+        if len(known) > KEPT:
             known.clear()
-        new = list(dict.fromkeys(p for text in cut for p in text if p not in known))
-        rare = {}
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                (known if len(p) <= KEPT_LENGTH else rare)[p] = tuple(e.ids)
-        return rare
-
-    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        found = list(map(known.get, parts))
+        tokenize, space, whole = self.model.tokenize, self.space, []
+        for i, ids in enumerate(found):
+            if ids is not None:
+                continue
+            p = parts[i]
+            lead, text = ("", p[1:]) if p[:1] == "\x01" else (space, p)
+            if LETTERS(text):
+                text = text.lower() if self.lower else text
+                if not text.isascii():  # an ASCII letter stands for itself
+                    text = text.encode().decode("latin-1").translate(BYTES)
+            elif text.strip(MARKS):
+                whole.append(i)
+                continue
+            elif not text:
+                found[i] = known[p] = b""
+                continue
+            ids = found[i] = array("I", [t.id for t in tokenize(lead + text)]).tobytes()
+            if len(p) <= KEPT_LENGTH:
+                known[p] = ids
+        texts = [parts[i][1:] if parts[i][0] == "\x01" else " " + parts[i] for i in whole]
+        for i, ids in zip(whole, self._whole(texts)):
+            found[i] = ids
+            if len(parts[i]) <= KEPT_LENGTH:
+                known[parts[i]] = ids
+        return found
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (null: empty), the end id after each, and the
+        place where each text's ids end."""
+        n = len(texts)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        texts = texts.fill_null("").cast(pa.large_string())
+        uncut = pc.match_substring_regex(texts, UNCUT)
+        odd = np.flatnonzero(uncut.to_numpy(zero_copy_only=False))
+        marked = pc.if_else(uncut, NONE, texts) if len(odd) else texts
+        for pattern, put in CUTS:
+            marked = pc.replace_substring_regex(marked, pattern, put)
+        cut = pc.split_pattern(pc.binary_join_element_wise(LEAD, marked, NONE), " ")
+        first = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        table = self._parts(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        at = coded.indices.to_numpy().astype(np.int64)
+        at[first[odd]] = len(table) + np.arange(len(odd))
+        table += self._whole([texts[int(i)].as_py() for i in odd])
+        table.append(self.end)
+        last = np.append(first[1:], len(at))
+        at = np.insert(at, last, len(table) - 1)
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        start = np.cumsum(size) - size
+        each = size[at]
+        end = np.cumsum(each)
+        place = np.repeat((start[at] - (end - each)).astype(np.int32), each)  # a batch has far under 2 ** 31 ids
+        place += np.arange(len(place), dtype=np.int32)
+        return np.frombuffer(b"".join(table), "<u4")[place], end[last + np.arange(n)]
+
+    def batch(self, texts) -> list[np.ndarray]:
         """One uint32 array of ids, the end id included, for every text."""
-        cut = []
-        for t in texts:
-            head, *rest = CUT.split(t or "")
-            cut.append([head, *map(" ".__add__, rest)] if head else list(map(" ".__add__, rest)))
-        rare = self._learn(cut)
-        look = self.pieces.__getitem__ if not rare else lambda p: rare[p] if p in rare else self.pieces[p]
-        return [np.fromiter(chain(chain.from_iterable(map(look, pieces)), self.end), np.uint32) for pieces in cut]
+        ids, ends = self.flat(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        return np.split(ids, ends[:-1]) if len(ends) else []
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -72,16 +157,16 @@ def encoder(path: str, end: int = 0) -> Encoder:
     return _ENCODERS[path, end]
 
 
-#: Characters encoded at once; bounds the memory of a batch of long texts.
-CHARS = 4 << 20
+#: Bytes of text encoded at once; bounds the memory of a batch of long texts.
+TEXT_BYTES = 8 << 20
 
 
-def runs(texts: list[str | None]):
-    """Index ranges of ``texts`` of about ``CHARS`` characters."""
+def runs(texts: pa.Array):
+    """Index ranges of ``texts`` of about ``TEXT_BYTES``."""
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "") + 1
-        if size >= CHARS:
+    for i, n in enumerate(pc.binary_length(texts.fill_null("")).to_pylist()):
+        size += n + 1
+        if size >= TEXT_BYTES:
             yield start, i + 1
             start, size = i + 1, 0
     if start < len(texts):

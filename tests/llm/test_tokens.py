@@ -130,7 +130,7 @@ def test_packing_edges_and_sequences(spark):
     docs, used = check_packing(got, None)
     assert sorted(len(v) for v in docs.values()) == [1, 1, 3, 3]
     seqs = {r.sequence_id: r for r in packing.pack(df.where("doc_id = 9 or doc_id = 4"), public_tokenizers.path(FILES[1])).sequences().collect()}
-    assert sum(len(r.ids) // 4 for r in seqs.values()) == 5001 + len(whole(FILES[1], "b text"))
+    assert sum(len(r.ids) // 2 for r in seqs.values()) == 5001 + len(whole(FILES[1], "b text"))
     assert packing.pack(df.limit(0), public_tokenizers.path(FILES[1])).pieces.count() == 0
 
 
