@@ -85,8 +85,8 @@ def codes(x: np.ndarray, count: int, bits: int, bands: int):
     return signs, factors
 
 
-def coded(count: int, bits: int, bands: int):
-    """mapInArrow: (cid, vector) to (cid, dim, signs, factors, keys)."""
+def coded(count: int, bits: int, bands: int, kind: str):
+    """mapInArrow: (cid, vector) to (cid, dim, vector as ``kind``, code, factors, keys)."""
     schema = pa.schema([("cid", pa.int64()), ("dim", pa.int32()), ("vector", pa.binary()), ("code", pa.binary()),
                         ("factors", pa.binary()), ("keys", pa.list_(pa.int32()))])
 
@@ -100,26 +100,27 @@ def coded(count: int, bits: int, bands: int):
                 own = np.flatnonzero(dims == dim)
                 for i in range(0, len(own), 4096):
                     at = own[i:i + 4096]
-                    x = unit(np.array([vectors[j] for j in at]))
+                    raw = np.array([vectors[j] for j in at], kind)
+                    x = unit(raw)
                     signs, factors = codes(x, count, bits, bands)
                     keys = signs[:, :bits * bands].reshape(len(at), bands, bits) @ weights
                     packed = np.packbits(signs[:, :count * dim], axis=1)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cid[at]), pa.array([dim] * len(at), pa.int32()), pa.array([r.tobytes() for r in x], pa.binary()),
+                        [pa.array(cid[at]), pa.array([dim] * len(at), pa.int32()), pa.array([r.tobytes() for r in raw], pa.binary()),
                          pa.array([r.tobytes() for r in packed], pa.binary()),
                          pa.array([r.tobytes() for r in factors.astype(np.float32)], pa.binary()),
                          pa.array(keys.astype(np.int32).tolist(), pa.list_(pa.int32()))], schema=schema)
     return run
 
 
-def tile_links(threshold: float, count: int, errors: float):
+def tile_links(threshold: float, count: int, errors: float, kind: str):
     """applyInPandas on a tile: links counted and a tree of them, per member."""
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         dim, band, left, right = int(key[0]), int(key[1]), int(key[3]), int(key[4])
         pdf = pdf.sort_values("cid")
         cid, copies = pdf["cid"].to_numpy(), pdf["copies"].to_numpy()
         part = pdf["part"].to_numpy()
-        x = np.frombuffer(b"".join(pdf["vector"]), np.float64).reshape(-1, dim)
+        x = unit(np.frombuffer(b"".join(pdf["vector"]), kind).reshape(-1, dim))
         code = np.frombuffer(b"".join(pdf["code"]), np.uint8).reshape(len(x), -1)
         factors = np.frombuffer(b"".join(pdf["factors"]), np.float32).reshape(len(x), count)
         keys = np.stack(pdf["keys"].to_numpy())[:, :band]
@@ -181,6 +182,8 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "vectors")
+    # what the buckets shuffle is as wide as the input
+    kind = "<f4" if rows.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
     own = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     good = own.where(valid(F.col("vector")))
     # stored, so that the number of a class is the same wherever it is read
@@ -189,7 +192,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     bits = max(LEAST_BITS, math.ceil(math.log2(max(1, classes.count()) / BUCKET)))
     bands = bands_for(bits, threshold)
     code = scratch.save(classes.select("cid", "vector").mapInArrow(
-        coded(ROTATIONS, bits, bands), "cid long, dim int, vector binary, code binary, factors binary, keys array<int>"), "codes")
+        coded(ROTATIONS, bits, bands, kind), "cid long, dim int, vector binary, code binary, factors binary, keys array<int>"), "codes")
     keyed = code.select("cid", "dim", F.posexplode("keys").alias("band", "key"))
     by = ["dim", "band", "key"]
     sizes = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1") \
@@ -201,7 +204,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     payload = code.drop("dim").join(classes.select("cid", "copies"), "cid")
     found = scratch.save(
         tiles.join(payload, "cid").groupBy(*by, "left", "right")
-        .applyInPandas(tile_links(threshold, ROTATIONS, ERRORS), "cid long, root long, links long"), "links")
+        .applyInPandas(tile_links(threshold, ROTATIONS, ERRORS, kind), "cid long, root long, links long"), "links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     label = components(found.where("cid != root").select(F.col("cid").alias("a"), F.col("root").alias("b")), scratch)
     nodes = classes.join(links, "cid", "left").join(label.withColumnRenamed("node", "cid"), "cid", "left") \
