@@ -44,24 +44,38 @@ def slug_family(slug) -> Column:
     return F.regexp_replace(_col(slug), "(-[0-9]+)+$", "")
 
 
+# White space and control characters, which the rules trim and count as blank.
+BLANK = r"^[\x00-\x20]*$"
+
+
+def trim(c) -> Column:
+    """Text without white space and control characters at either end."""
+    return F.regexp_replace(_col(c), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
+def is_blank(c) -> Column:
+    """Null, empty, or only white space and control characters."""
+    return _col(c).isNull() | _col(c).rlike(BLANK)
+
+
 def normalise_email(c) -> Column:
     """SCL-4: trim, then lower-case."""
-    return F.lower(F.trim(_col(c)))
+    return F.lower(trim(c))
 
 
 def first_name(full, email) -> Column:
     """SCL-3: text before the first space of the trimmed name; when blank,
     the part of the e-mail before ``@``."""
-    parts = F.split(F.trim(_col(full)), " ", 2)
+    parts = F.split(trim(full), " ", 2)
     first = F.get(parts, 0)
     fallback = F.substring_index(_col(email), "@", 1)
-    return F.when(_col(full).isNull() | (F.trim(_col(full)) == ""), fallback) \
+    return F.when(is_blank(full) | (first == ""), fallback) \
         .otherwise(F.coalesce(first, fallback))
 
 
 def last_name(full) -> Column:
     """SCL-3: text after the first space of the trimmed name, else ``''``."""
-    parts = F.split(F.trim(_col(full)), " ", 2)
+    parts = F.split(trim(full), " ", 2)
     return F.coalesce(F.get(parts, 1), F.lit(""))
 
 

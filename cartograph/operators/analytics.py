@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartograph.functions.json import first_image_url
-from cartograph.operators.common import small, ts_lit
+from cartograph.operators.common import ts_lit
 
 
 def rounded_mean_cents(total: Column, count: Column) -> Column:
@@ -134,7 +134,7 @@ def cart_lines(items: DataFrame, products: DataFrame) -> DataFrame:
     p = products.select(F.col("id").alias("product_id"), "name",
                         F.col("price").alias("current_price"),
                         first_image_url("images").alias("image_url"))
-    return items.join(small(p), "product_id") \
+    return items.join(p, "product_id") \
         .select("cart_id", "product_id", "name", "current_price", "image_url", "quantity")
 
 
@@ -185,8 +185,8 @@ def decrement_stock(products: DataFrame, lines: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ access joins --
 def authorise_review_deletes(requests: DataFrame, reviews: DataFrame, products: DataFrame,
                              sellers: DataFrame, users: DataFrame) -> DataFrame:
-    """JON-2: a caller may delete a review when admin, its author, or the
-    seller who owns the reviewed product. ``reason`` says which (first match
+    """JON-2: a caller may delete a review when admin, its author, or a user
+    with the role SELLER who owns the reviewed product. ``reason`` says which (first match
     in that order); ``allowed`` is false otherwise or when the review is
     missing (``reason = 'not_found'``)."""
     r = reviews.select(F.col("id").alias("review_id"), F.col("user_id").alias("author_id"),
@@ -201,7 +201,7 @@ def authorise_review_deletes(requests: DataFrame, reviews: DataFrame, products:
     reason = (F.when(F.col("author_id").isNull(), F.lit("not_found"))
                .when(F.col("caller_role") == "ADMIN", F.lit("admin"))
                .when(F.col("author_id") == F.col("caller_id"), F.lit("author"))
-               .when(F.col("owner_id") == F.col("caller_id"), F.lit("seller")))
+               .when((F.col("caller_role") == "SELLER") & (F.col("owner_id") == F.col("caller_id")), F.lit("seller")))
     return x.select("request_id", "review_id", "caller_id", reason.alias("reason")) \
         .withColumn("allowed", F.col("reason").isin("admin", "author", "seller")
                     & F.col("reason").isNotNull())
@@ -221,11 +221,11 @@ def authorise_order_access(requests: DataFrame, orders: DataFrame, users: DataFr
 
 def existing(keys: DataFrame, table: DataFrame, on: str, table_on: str | None = None) -> DataFrame:
     """JON-5: key rows whose key is already taken in ``table`` (semi join)."""
-    t = table.select(F.col(table_on or on).alias("_k")).distinct()
+    t = table.select(F.col(table_on or on).alias("_k"))
     return keys.join(t, keys[on] == t["_k"], "left_semi")
 
 
 def missing(keys: DataFrame, table: DataFrame, on: str, table_on: str | None = None) -> DataFrame:
     """JON-5: key rows whose key is free (anti join; a null key is free)."""
-    t = table.select(F.col(table_on or on).alias("_k")).distinct()
+    t = table.select(F.col(table_on or on).alias("_k"))
     return keys.join(t, keys[on] == t["_k"], "left_anti")

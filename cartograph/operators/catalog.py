@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartograph.functions.money import ORDER_STATUSES, stock_state, tracking_eta
-from cartograph.functions.text import lexemes, like_pattern_contains
-from cartograph.operators.common import page, small, ts_lit
+from cartograph.functions.text import lexemes, like_pattern_contains, trim
+from cartograph.operators.common import page, ts_lit
 
 # Fixed values from the reference: default page size, suggestions returned,
 # shortest suggestion prefix (trimmed length).
@@ -60,12 +60,12 @@ def in_stock(df: DataFrame, flag=None) -> DataFrame:
 
 def in_category(products: DataFrame, categories: DataFrame, slug=None) -> DataFrame:
     """FIL-4: products of the category whose slug is ``slug``; an unknown slug
-    gives no rows. The chosen category (one row when slugs are unique) is
-    broadcast after a size check."""
+    gives no rows. AQE broadcasts the
+    chosen category (one row when slugs are unique)."""
     if slug is None:
         return products
     chosen = categories.where(F.col("slug") == F.lit(slug)).select(F.col("id").alias("_cat"))
-    return products.join(small(chosen), products["category_id"] == F.col("_cat"), "left_semi")
+    return products.join(chosen, products["category_id"] == F.col("_cat"), "left_semi")
 
 
 def optional_filters(df: DataFrame, categories: DataFrame | None = None, category=None,
@@ -233,7 +233,8 @@ def suggest(products: DataFrame, prefixes: DataFrame, k: int = SUGGESTION_LIMIT,
     """FTS-5: for many prefixes at once, up to ``k`` distinct names of active
     products (drafts included) that start with the prefix, case-insensitive.
     A prefix whose trimmed length is under 2 gets nothing; the untrimmed text
-    is what is matched; ``%`` and ``_`` in a prefix stay LIKE wildcards.
+    is what is matched; ``%`` and ``_`` in a prefix stay LIKE wildcards, a
+    backslash stands for itself.
     Names are ranked by name (the reference has no order).
 
     Every prefix is equi-joined on its literal head (the text before the
@@ -243,18 +244,20 @@ def suggest(products: DataFrame, prefixes: DataFrame, k: int = SUGGESTION_LIMIT,
     prefix (a partial ``WindowGroupLimit`` before the shuffle) are joined
     back to the requests.
     """
-    reqs = prefixes.where(F.length(F.trim(F.col(prefix_col))) >= MIN_PREFIX) \
+    reqs = prefixes.where(F.length(trim(prefix_col)) >= MIN_PREFIX) \
         .select(F.col(id_col), F.col(prefix_col), F.lower(F.col(prefix_col)).alias("_lp"))
     wanted = reqs.select("_lp").distinct() \
-        .withColumn("_head", F.regexp_extract("_lp", "^([^%_\\\\]*)", 1)) \
+        .withColumn("_head", F.regexp_extract("_lp", "^([^%_]*)", 1)) \
         .withColumn("_wild", F.col("_head") != F.col("_lp"))
     names = products.where(F.col("is_active")).select("name").distinct() \
         .withColumn("_ln", F.lower("name"))
-    name_heads = names.select(
-        "name", "_ln", F.explode(F.sequence(F.lit(0), F.length("_ln"))).alias("_n")) \
+    # heads of the lengths asked for (at most the longest prefix), no others
+    lengths = wanted.agg(F.coalesce(F.collect_set(F.length("_head")), F.array().cast("array<int>"))).scalar()
+    name_heads = names.withColumn("_ns", lengths) \
+        .select("name", "_ln", F.explode(F.filter("_ns", lambda n: n <= F.length("_ln"))).alias("_n")) \
         .select("name", "_ln", F.expr("substring(_ln, 1, _n)").alias("_head"))
     hits = wanted.join(name_heads, "_head") \
-        .where(~F.col("_wild") | F.expr("_ln LIKE concat(_lp, '%')")) \
+        .where(~F.col("_wild") | F.like("_ln", F.concat(F.replace("_lp", F.lit("\\"), F.lit("\\\\")), F.lit("%")))) \
         .select("_lp", "name").distinct()
     w = Window.partitionBy("_lp").orderBy(F.col("name"))
     top = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -289,7 +292,7 @@ def trending(searches: DataFrame, as_of, window: str = "7 days", k: int = 8) ->
     end = ts_lit(as_of)
     start = end - F.expr(f"INTERVAL {window}")
     recent = searches.where((F.col("searched_at") >= start) & (F.col("searched_at") < end))
-    terms = recent.select(F.lower(F.trim("query")).alias("term"), "user_id") \
+    terms = recent.select(F.lower(trim("query")).alias("term"), "user_id") \
         .where(F.col("term") != "")
     counted = terms.groupBy("term").agg(F.countDistinct("user_id").alias("users"))
     return counted.orderBy(F.col("users").desc(), F.col("term")).limit(k)

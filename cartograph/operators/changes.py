@@ -11,13 +11,13 @@ key is reduced map-side before the shuffle and no group is gathered whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartograph.functions import money as M
 from cartograph.functions import text as T
 from cartograph.operators.analytics import authorise_order_access, decrement_stock
-from cartograph.operators.common import small, ts_lit
+from cartograph.operators.common import stash, ts_lit
 
 NEVER = -(2 ** 62)  # a seq before every request
 
@@ -28,7 +28,6 @@ def resolve_keys(rows: DataFrame, dim: DataFrame, natural_key: str, id_col: str,
     """SRC-2: fill ``id_col`` from ``dim`` by natural key (e-mail, slug).
     Returns ``(resolved, rejects)``; a row whose key is unknown is a reject."""
     d = dim.select(F.col(dim_key or natural_key).alias("_nk"), F.col(dim_id).alias(id_col))
-    d = small(d)
     resolved = rows.join(d, rows[natural_key] == d["_nk"], "inner").drop("_nk")
     rejects = rows.join(d, rows[natural_key] == d["_nk"], "left_anti") \
         .withColumn("reason", F.lit(f"unknown {natural_key}"))
@@ -58,9 +57,15 @@ def latest(changes: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """SNK-1: insert keys that are new, overwrite keys that exist; the last
-    change per key wins. ``changes`` carries the base columns plus ``seq``."""
-    last = latest(changes, keys, seq).select(*base.columns)
-    return base.join(last.select(*keys), keys, "left_anti").unionByName(last)
+    change per key wins. A change whose key is null in any part is a new row
+    of its own and always inserted. ``changes`` carries the base columns plus
+    ``seq``."""
+    keyed = F.lit(True)
+    for k in keys:
+        keyed = keyed & F.col(k).isNotNull()
+    last = latest(changes.where(keyed), keys, seq).select(*base.columns)
+    new = changes.where(~keyed).select(*base.columns)
+    return base.join(last.select(*keys), keys, "left_anti").unionByName(last).unionByName(new)
 
 
 def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -75,7 +80,7 @@ def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = No
 
 # ------------------------------------------------------------ place orders --
 def place_orders(carts: DataFrame, items: DataFrame, products: DataFrame, users: DataFrame,
-                 requests: DataFrame, as_of):
+                 requests: DataFrame, as_of, orders: DataFrame | None = None):
     """CHG-1 (flagship): check out carts for a batch of requests.
 
     ``requests``: request_id, user_id, seq, delivery_type, shipping_address.
@@ -85,9 +90,11 @@ def place_orders(carts: DataFrame, items: DataFrame, products: DataFrame, users:
     invalid types before that are ``INVALID_DELIVERY_TYPE``. An order:
     subtotal = sum(snapshot unit price x qty), fee PRC-1, discount 0,
     total = subtotal + fee - discount, status CONFIRMED, delivery date
-    PRC-2, address SCL-5; its id is the request id. Lines copy the product
-    name ('Unknown Product' when the product is gone); stock is lowered by
-    AGG-12 and never blocks a sale; the cart is emptied.
+    PRC-2, address SCL-5. Its id follows the largest id of the existing
+    ``orders`` in order of the request id (without ``orders`` it is the
+    request id). Lines copy the product name ('Unknown Product' when the
+    product is gone) and the variant, where the cart lines have one; stock is
+    lowered by AGG-12 and never blocks a sale; the cart is emptied.
 
     Returns ``(orders, order_items, products, cart_items, rejects)``.
     """
@@ -114,8 +121,12 @@ def place_orders(carts: DataFrame, items: DataFrame, products: DataFrame, users:
     fee = M.delivery_fee(F.col("_dt"))
     subtotal = F.col("_subtotal").cast("decimal(12,2)")
     discount = F.lit(0).cast("decimal(12,2)")
-    orders = won.join(full, "user_id", "left").select(
-        F.col("request_id").alias("id"), "user_id", "cart_id",
+    new_id = F.col("request_id")
+    if orders is not None:
+        new_id = orders.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).scalar() + 1 + new_id \
+            - requests.agg(F.min("request_id").cast("bigint")).scalar()
+    placed = won.join(full, "user_id", "left").select(
+        new_id.alias("id"), "user_id", "cart_id",
         subtotal.alias("subtotal"), fee.alias("delivery_fee"), discount.alias("discount"),
         (subtotal + fee - discount).cast("decimal(12,2)").alias("total"),
         F.col("_dt").alias("delivery_type"), F.lit("CONFIRMED").alias("status"),
@@ -123,15 +134,15 @@ def place_orders(carts: DataFrame, items: DataFrame, products: DataFrame, users:
         M.shipping_address("shipping_address", "_full").alias("address"),
         ts_lit(as_of).alias("created_at"))
 
-    taken = orders.select(F.col("id").alias("order_id"), "cart_id")
+    taken = placed.select(F.col("id").alias("order_id"), "cart_id")
     names = products.select(F.col("id").alias("product_id"), F.col("name").alias("_pname"))
     lines = items.join(taken, "cart_id")
     order_items = lines.join(names, "product_id", "left").select(
-        "order_id", "product_id", F.coalesce("_pname", F.lit("Unknown Product")).alias("product_name"),
-        "quantity", "unit_price")
+        "order_id", "product_id", *(["variant_id"] if "variant_id" in items.columns else []),
+        F.coalesce("_pname", F.lit("Unknown Product")).alias("product_name"), "quantity", "unit_price")
     new_products = decrement_stock(products, lines.select("product_id", "quantity"))
     new_items = items.join(taken.select("cart_id"), "cart_id", "left_anti")
-    return orders, order_items, new_products, new_items, rejects
+    return placed, order_items, new_products, new_items, rejects
 
 
 # ---------------------------------------------------------- order changes --
@@ -183,62 +194,81 @@ def set_status(orders: DataFrame, requests: DataFrame, seq: str = "seq"):
 
 
 # ---------------------------------------------------------------- cart fold --
-def fold_cart(items: DataFrame, events: DataFrame, seq: str = "seq"):
-    """CHG-4: apply add / set / remove / clear events to cart lines.
+CART_ACTIONS = ("add", "set", "remove", "clear")
 
-    Exact window form of the sequential fold, per (cart, product):
-    ``kill`` = last remove of the line or clear of its cart; adds after
-    ``kill`` are kept; a set counts when it comes after the first kept add
-    and its quantity is positive; quantity = last such set (or 0) + adds after
-    it; price = price of the first kept add; no kept add -> no line. Existing
-    lines count as an add before every event. Adds and sets with quantity
-    0 or less are rejected up front. Variants are ignored (merge by product).
 
-    ``events``: seq, cart_id, product_id (null for clear), action, quantity,
-    price. Returns ``(items, rejects)``.
+def judge_cart_events(items: DataFrame, events: DataFrame, products: DataFrame | None = None,
+                      seq: str = "seq") -> DataFrame:
+    """Every cart event, and every stored line as an ``add`` before all events,
+    with the line's fate: ``reason`` (null: the event takes effect), ``_kill``
+    (seq of the last remove of the line or clear of its cart), ``_set`` (the
+    last set in effect after it).
+
+    One exchange by cart: the windows over (cart, product) reuse it.
     """
-    act = F.lower(F.col("action"))
-    ev = events.withColumn("action", act)
-    bad = ev.where(F.col("action").isin("add", "set") & (F.col("quantity") <= 0))
-    rejects = bad.select(seq, "cart_id", "product_id", "action",
-                         F.lit("quantity must be positive").alias("reason"))
-    ev = ev.where(~(F.col("action").isin("add", "set") & (F.col("quantity") <= 0)))
+    s = F.col(seq)
     # duplicate lines of one product are merged first: quantities summed,
     # lowest unit price kept
     start = items.groupBy("cart_id", "product_id").agg(
         F.sum("quantity").cast("int").alias("quantity"), F.min("unit_price").alias("price")) \
-        .select("cart_id", "product_id", F.lit(NEVER).cast("bigint").alias(seq),
-                F.lit("add").alias("action"), "quantity", "price")
-    line_ev = ev.where(F.col("action") != "clear") \
-        .select("cart_id", "product_id", F.col(seq).cast("bigint").alias(seq), "action",
-                "quantity", "price").unionByName(start)
-    clears = ev.where(F.col("action") == "clear").groupBy("cart_id") \
-        .agg(F.max(F.col(seq).cast("bigint")).alias("_clear"))
-    s = F.col(seq)
-    kills = line_ev.groupBy("cart_id", "product_id").agg(
-        F.max(F.when(F.col("action") == "remove", s)).alias("_remove")) \
-        .join(clears, "cart_id", "left") \
-        .select("cart_id", "product_id",
-                F.coalesce(F.greatest("_remove", "_clear"), F.lit(NEVER - 1)).alias("_kill"))
-    live = line_ev.join(kills, ["cart_id", "product_id"]).where(s > F.col("_kill"))
-    is_add = F.col("action") == "add"
-    is_set = F.col("action") == "set"
-    firsts = live.groupBy("cart_id", "product_id").agg(
-        F.min(F.when(is_add, s)).alias("_first"),
-        F.min_by(F.when(is_add, F.col("price")), F.when(is_add, s)).alias("unit_price"),
-        F.max_by(F.struct(s.alias("s"), F.col("quantity").alias("q")),
-                 F.when(is_set, s)).alias("_set"))
-    firsts = firsts.where(F.col("_first").isNotNull()) \
-        .withColumn("_set", F.when(F.col("_set.s") > F.col("_first"), F.col("_set")))
-    after = live.join(firsts.select("cart_id", "product_id", F.col("_set.s").alias("_set_s")),
-                      ["cart_id", "product_id"])
-    adds_after = after.where(is_add & (s > F.coalesce(F.col("_set_s"), F.col("_kill")))) \
-        .groupBy("cart_id", "product_id").agg(F.sum("quantity").alias("_adds"))
-    new_items = firsts.join(adds_after, ["cart_id", "product_id"], "left").select(
-        "cart_id", "product_id",
-        (F.coalesce(F.col("_set.q"), F.lit(0)) + F.coalesce(F.col("_adds"), F.lit(0)))
-        .cast("int").alias("quantity"),
-        "unit_price")
+        .select(F.lit(NEVER).cast("bigint").alias(seq), "cart_id", "product_id",
+                F.lit("add").alias("action"), "quantity", "price", F.lit(True).alias("_stored"))
+    ev = events.select(s.cast("bigint").alias(seq), "cart_id", "product_id",
+                       F.lower("action").alias("action"), "quantity", "price", F.lit(False).alias("_stored"))
+    known = F.col("product_id").isNotNull()
+    if products is not None:
+        ids = products.select(F.col("id").alias("_pid"))
+        ev = ev.join(ids, ev["product_id"] == ids["_pid"], "left")
+        known = F.col("_pid").isNotNull()
+    no_action = ~F.coalesce(F.col("action").isin(*CART_ACTIONS), F.lit(False))
+    no_cart = F.col("cart_id").isNull()
+    no_quantity = F.col("action").isin("add", "set") & ~F.coalesce(F.col("quantity") > 0, F.lit(False))
+    reason = (F.when(no_action, F.lit("INVALID_ACTION")).when(no_cart, F.lit("CART_NOT_FOUND"))
+               .when((F.col("action") != "clear") & ~known, F.lit("PRODUCT_NOT_FOUND"))
+               .when(no_quantity, F.lit("INVALID_QUANTITY")))
+    ev = ev.withColumn("reason", reason).drop("_pid")
+    x = ev.unionByName(start.withColumn("reason", F.lit(None).cast("string")))
+    ok = F.col("reason").isNull()
+    cart, line = Window.partitionBy("cart_id"), Window.partitionBy("cart_id", "product_id")
+    so_far = Window.unboundedPreceding, Window.currentRow
+    clear = F.when(ok & (F.col("action") == "clear"), s)
+    x = x.repartition("cart_id") \
+        .withColumn("_clear", F.max(clear).over(cart.orderBy(seq).rowsBetween(*so_far))) \
+        .withColumn("_last_clear", F.max(clear).over(cart))
+    when = lambda a: F.when(ok & (F.col("action") == a), s)
+    before = line.orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    gone = F.coalesce(F.greatest(F.max(when("remove")).over(before), F.col("_clear")), F.lit(NEVER - 1))
+    x = x.withColumn("_held", F.coalesce(F.max(when("add")).over(before) > gone, F.lit(False)))
+    x = x.withColumn("reason", F.when(ok & F.col("action").isin("set", "remove") & ~F.col("_held"),
+                                      F.lit("LINE_NOT_FOUND")).otherwise(F.col("reason")))
+    kill = F.greatest(F.max(when("remove")).over(line), F.col("_last_clear"))
+    x = x.withColumn("_kill", F.coalesce(kill, F.lit(NEVER - 1)))
+    return x.withColumn("_set", F.max(F.when(s > F.col("_kill"), when("set"))).over(line))
+
+
+def fold_cart(items: DataFrame, events: DataFrame, seq: str = "seq", products: DataFrame | None = None):
+    """CHG-4: apply add / set / remove / clear events to cart lines.
+
+    ``events``: seq, cart_id, product_id (null for clear), action, quantity,
+    price. Every event takes effect or is a reject with one of the reasons
+    INVALID_ACTION, CART_NOT_FOUND, PRODUCT_NOT_FOUND (null, or not among
+    ``products`` if given), INVALID_QUANTITY (null, 0 or less) or
+    LINE_NOT_FOUND (set or remove of a line the cart does not hold then).
+    Of a line, what comes after its last remove or its cart's last clear
+    counts: quantity = last set (or 0) + the adds after it, price = price of
+    the first add. Variants are ignored (merge by product). An event's cart is
+    the caller's own, as the reference takes it.
+
+    Returns ``(items, rejects)``.
+    """
+    x = judge_cart_events(items, events, products, seq)
+    s, is_add = F.col(seq), F.col("action") == "add"
+    rejects = x.where(F.col("reason").isNotNull()).select(seq, "cart_id", "product_id", "action", "reason")
+    live = x.where(F.col("reason").isNull() & (s > F.col("_kill")) & F.col("action").isin("add", "set"))
+    counted = F.when(F.coalesce(s >= F.col("_set"), F.lit(True)), F.col("quantity"))
+    new_items = live.groupBy("cart_id", "product_id").agg(
+        F.sum(counted).cast("int").alias("quantity"),
+        F.min_by(F.when(is_add, F.col("price")), F.when(is_add, s)).alias("unit_price"))
     return new_items, rejects
 
 
@@ -258,13 +288,31 @@ def apply_flags(base: DataFrame, changes: DataFrame, key: str, flag_col: str,
 
 def flag_from_body(changes: DataFrame, key: str, default: bool = True, body: str = "body"):
     """CHG-5 request bodies: the flag named ``key`` from a JSON object; a
-    missing key takes ``default`` (the reference's ``getOrDefault``), a key
-    present with null is a reject. Returns ``(changes with value, rejects)``."""
-    m = F.from_json(F.col(body), "map<string,boolean>")
-    has = F.coalesce(F.map_contains_key(m, key), F.lit(False))
-    x = changes.withColumn("value", F.when(has, m[key]).otherwise(F.lit(default)))
-    return x.where(F.col("value").isNotNull()), \
-        x.where(F.col("value").isNull()).withColumn("reason", F.lit(f"{key} is null"))
+    missing key takes ``default`` (the reference's ``getOrDefault``), other
+    keys are ignored. A body that is no JSON object (UNREADABLE_BODY) and a
+    value other than true or false, null included (NOT_A_BOOLEAN), are
+    rejects. Returns ``(changes with value, rejects)``."""
+    m = F.from_json(F.col(body), "map<string,string>")
+    text = F.lower(m[key])
+    value = F.when(~F.map_contains_key(m, key), F.lit(default)).when(text == "true", F.lit(True)) \
+        .when(text == "false", F.lit(False))
+    x = changes.withColumn("value", value).withColumn(
+        "reason", F.when(m.isNull(), F.lit("UNREADABLE_BODY")).when(value.isNull(), F.lit("NOT_A_BOOLEAN")))
+    return x.where(F.col("reason").isNull()).drop("reason"), x.where(F.col("reason").isNotNull())
+
+
+def verify_emails(users: DataFrame, requests: DataFrame):
+    """CHG-5: set ``email_verified`` for the users of ``requests`` (caller_email).
+    Returns ``(users, outcomes)``: per request VERIFIED, ALREADY_VERIFIED (the
+    flag was set before the batch) or USER_NOT_FOUND."""
+    known = users.select(F.col("email").alias("caller_email"), F.col("email_verified").alias("_was"))
+    x = requests.join(known, "caller_email", "left")
+    outcomes = x.select("request_id", "caller_email", F.when(F.col("_was").isNull(), F.lit("USER_NOT_FOUND"))
+                        .when(F.col("_was"), F.lit("ALREADY_VERIFIED")).otherwise(F.lit("VERIFIED")).alias("outcome"))
+    asked = requests.select(F.col("caller_email").alias("email")).distinct().withColumn("_asked", F.lit(True))
+    out = users.join(asked, "email", "left") \
+        .withColumn("email_verified", F.col("email_verified") | F.coalesce("_asked", F.lit(False))).drop("_asked")
+    return out.select(*users.columns), outcomes
 
 
 # JSON body key -> column (the four fields a profile update may change).
@@ -272,23 +320,38 @@ PROFILE_FIELDS = {"firstName": "first_name", "lastName": "last_name",
                   "phone": "phone", "avatarUrl": "avatar_url"}
 
 
+# Columns of the fields above that may not be null.
+PROFILE_REQUIRED = ("first_name", "last_name")
+
+
 def apply_patches(base: DataFrame, patches: DataFrame, key: str, fields: dict = PROFILE_FIELDS,
-                  seq: str = "seq", patch_key: str | None = None, body: str = "body"):
+                  seq: str = "seq", patch_key: str | None = None, body: str = "body",
+                  required: tuple = PROFILE_REQUIRED):
     """CHG-6: sparse patches from JSON bodies. Only named fields change; a
     field present with null overwrites with null. Successive patches merge
-    by ``seq``: per field, the last patch naming it wins. Patches for unknown
-    keys are rejects. Returns ``(base, rejects)``."""
+    by ``seq``: per field, the last patch naming it wins. Rejects: patches for
+    unknown keys (UNKNOWN_KEY), bodies that are no JSON object
+    (UNREADABLE_BODY) and patches that set a ``required`` column to null
+    (NULL_NOT_ALLOWED), which change nothing at all. Returns ``(base,
+    rejects)``."""
     pk = patch_key or key
     m = F.from_json(F.col(body), "map<string,string>")
-    p = patches.select(F.col(pk).alias(key), F.col(seq).alias("_seq"), m.alias("_m"))
+    x = patches.withColumn("_m", m)
+    nulls = F.lit(False)
+    for name, col in fields.items():
+        if col in required:
+            nulls = nulls | (F.map_contains_key("_m", name) & F.col("_m")[name].isNull())
+    ids = base.select(F.col(key).alias("_id")).withColumn("_known", F.lit(True))
+    x = x.join(ids, x[pk] == ids["_id"], "left").withColumn(
+        "reason", F.when(F.col("_known").isNull(), F.lit("UNKNOWN_KEY"))
+        .when(F.col("_m").isNull(), F.lit("UNREADABLE_BODY")).when(nulls, F.lit("NULL_NOT_ALLOWED")))
+    rejects = x.where(F.col("reason").isNotNull()).select(*patches.columns, "reason")
+    p = x.where(F.col("reason").isNull()).select(F.col(pk).alias(key), F.col(seq).alias("_seq"), "_m")
     aggs = []
     for name, col in fields.items():
-        present = F.coalesce(F.map_contains_key("_m", name), F.lit(False))
         aggs.append(F.max_by(F.struct(F.col("_m")[name].alias("v")),
-                             F.when(present, F.col("_seq"))).alias(f"_p_{col}"))
+                             F.when(F.map_contains_key("_m", name), F.col("_seq"))).alias(f"_p_{col}"))
     last = p.groupBy(key).agg(*aggs)
-    rejects = patches.join(base.select(F.col(key).alias(pk)), pk, "left_anti") \
-        .withColumn("reason", F.lit(f"unknown {key}"))
     out = base.join(last, key, "left")
     for col in fields.values():
         out = out.withColumn(col, F.when(F.col(f"_p_{col}").isNotNull(), F.col(f"_p_{col}.v"))
@@ -298,6 +361,8 @@ def apply_patches(base: DataFrame, patches: DataFrame, key: str, fields: dict =
 
 # ------------------------------------------------------- owner-filtered edits --
 PRODUCT_UPDATE_FIELDS = ("name", "description", "price", "stock_qty", "status")
+# Those of them that may not be null.
+PRODUCT_REQUIRED = ("name", "price", "stock_qty", "status")
 
 
 def owned_products(products: DataFrame, sellers: DataFrame, users: DataFrame) -> DataFrame:
@@ -310,17 +375,20 @@ def owned_products(products: DataFrame, sellers: DataFrame, users: DataFrame) ->
 
 def update_products(products: DataFrame, sellers: DataFrame, users: DataFrame,
                     updates: DataFrame, seq: str = "seq"):
-    """CHG-7: full patch of five fields (nulls included) when the caller's
-    e-mail is the product owner's; the last allowed update per product wins;
-    others are rejects (``not found`` / ``not owner``). Returns
-    ``(products, rejects)``."""
+    """CHG-7: full patch of five fields when the caller's e-mail is the product
+    owner's; the last allowed update per product wins; others are rejects
+    (PRODUCT_NOT_FOUND, NOT_OWNER, or NULL_NOT_ALLOWED for a null in a column
+    that takes none). Returns ``(products, rejects)``."""
     own = owned_products(products, sellers, users)
     x = updates.join(own, "product_id", "left")
-    ok = x.where(F.col("owner_email") == F.col("caller_email"))
-    rejects = x.where(F.col("owner_email").isNull() | (F.col("owner_email") != F.col("caller_email"))) \
-        .select("request_id", "product_id",
-                F.when(F.col("owner_email").isNull(), F.lit("not found"))
-                 .otherwise(F.lit("not owner")).alias("reason"))
+    nulls = F.lit(False)
+    for f in PRODUCT_REQUIRED:
+        nulls = nulls | F.col(f).isNull()
+    x = x.withColumn("reason", F.when(F.col("owner_email").isNull(), F.lit("PRODUCT_NOT_FOUND"))
+                     .when(~F.col("owner_email").eqNullSafe(F.col("caller_email")), F.lit("NOT_OWNER"))
+                     .when(nulls, F.lit("NULL_NOT_ALLOWED")))
+    ok = x.where(F.col("reason").isNull())
+    rejects = x.where(F.col("reason").isNotNull()).select("request_id", "product_id", "reason")
     last = ok.groupBy("product_id").agg(
         F.max_by(F.struct(*PRODUCT_UPDATE_FIELDS), seq).alias("_u"))
     out = products.join(last.withColumnRenamed("product_id", "id"), "id", "left")
@@ -332,7 +400,7 @@ def update_products(products: DataFrame, sellers: DataFrame, users: DataFrame,
 def delete_authorised(base: DataFrame, authorised: DataFrame, key: str = "id",
                       auth_key: str | None = None) -> DataFrame:
     """CHG-8: remove the rows whose key was authorised for deletion."""
-    a = authorised.select(F.col(auth_key or key).alias(key)).distinct()
+    a = authorised.select(F.col(auth_key or key).alias(key))
     return base.join(a, key, "left_anti")
 
 
@@ -340,17 +408,26 @@ def delete_authorised(base: DataFrame, authorised: DataFrame, key: str = "id",
 # Foreign keys that reach users, as data: (child, fk column, parent, action).
 USER_FKS = (
     ("seller_profiles", "user_id", "users", "CASCADE"),
+    ("addresses", "user_id", "users", "CASCADE"),
     ("carts", "user_id", "users", "CASCADE"),
     ("reviews", "user_id", "users", "CASCADE"),
     ("wishlists", "user_id", "users", "CASCADE"),
     ("helpful_votes", "user_id", "users", "CASCADE"),
+    ("search_history", "user_id", "users", "CASCADE"),
+    ("verification_tokens", "user_id", "users", "CASCADE"),
+    ("notifications", "user_id", "users", "CASCADE"),
+    ("device_tokens", "user_id", "users", "CASCADE"),
     ("orders", "user_id", "users", "RESTRICT"),
+    ("orders", "address_id", "addresses", "RESTRICT"),
+    ("order_status_history", "changed_by", "users", "SET NULL"),
     ("products", "seller_id", "seller_profiles", "CASCADE"),
+    ("review_responses", "seller_id", "seller_profiles", "CASCADE"),
     ("cart_items", "cart_id", "carts", "CASCADE"),
     ("cart_items", "product_id", "products", "CASCADE"),
     ("reviews", "product_id", "products", "CASCADE"),
     ("wishlists", "product_id", "products", "CASCADE"),
     ("order_items", "product_id", "products", "SET NULL"),
+    ("review_responses", "review_id", "reviews", "CASCADE"),
     ("helpful_votes", "review_id", "reviews", "CASCADE"),
 )
 
@@ -377,49 +454,65 @@ def _parent_first(fks) -> list[str]:
 
 
 def erase_users(tables: dict, user_ids: DataFrame, fks=USER_FKS, keys: dict | None = None):
-    """CHG-9: delete users and follow the foreign-key actions. A user
-    referenced by a RESTRICT child (an order) is refused and reported.
-    Tables are walked parent before child: ``left_anti`` against the doomed
-    parent keys keeps the rows that survive each CASCADE, the removed keys
-    become the doomed set of the next level, SET NULL blanks the column.
-    Returns ``(tables, restricted)``; tables absent from ``tables`` are
-    skipped."""
+    """CHG-9: delete users and follow the foreign-key actions. A user is
+    refused and reported when a RESTRICT child references them or a row of
+    theirs (an order their address) that would go with them.
+
+    Tables are walked parent before child. The keys that go from a table are
+    the rows that reference keys that went from its parents (``left_semi``);
+    they are stored once and used by the table itself and by its children, so
+    every table is scanned once per foreign key and once for its result. SET
+    NULL blanks the column. Tables absent from ``tables`` are skipped.
+    Returns ``(tables, restricted)``."""
     keys = keys or {}
-    ids = user_ids.select(F.col("user_id").alias("id")).distinct()
-    restricted = None
+    ids = user_ids.select(F.col("user_id").alias("id")).where(F.col("id").isNotNull()).distinct()
+    ids = stash(ids, "erase-asked")
+    hits = []
     for child, fk, parent, action in fks:
-        if parent == "users" and action == "RESTRICT" and child in tables:
-            hit = ids.join(tables[child].select(F.col(fk).alias("id")).distinct(), "id", "left_semi") \
-                .select(F.col("id").alias("user_id"), F.lit(child).alias("blocked_by"))
-            restricted = hit if restricted is None else restricted.unionByName(hit)
-    if restricted is not None:
+        if action != "RESTRICT" or child not in tables or fk not in tables[child].columns:
+            continue
+        refs = tables[child].select(F.col(fk).alias("id"))
+        if parent != "users":
+            # the users whose own rows of ``parent`` the child refers to
+            up = next((f for c, f, p, act in fks if c == parent and p == "users" and act == "CASCADE"), None)
+            if up is None or parent not in tables:
+                continue
+            refs = tables[parent].select(F.col(keys.get(parent, "id")).alias("id"), F.col(up).alias("_owner")) \
+                .join(refs, "id", "left_semi").select(F.col("_owner").alias("id"))
+        hits.append(ids.join(refs, "id", "left_semi")
+                    .select(F.col("id").alias("user_id"), F.lit(child).alias("blocked_by")))
+    restricted = user_ids.limit(0).select("user_id", F.lit("").alias("blocked_by"))
+    if hits:
+        restricted = hits[0]
+        for h in hits[1:]:
+            restricted = restricted.unionByName(h)
+        restricted = restricted.distinct()
         ids = ids.join(restricted.select(F.col("user_id").alias("id")), "id", "left_anti")
+    doomed = {"users": stash(ids, "erase-users")}
     out = dict(tables)
-    doomed: dict[str, DataFrame] = {}
+    parents = {p for _, _, p, _ in fks}
     for t in _parent_first(fks):
         if t not in tables:
             continue
-        df = tables[t]
-        pk = keys.get(t, "id")
-        if t == "users":
-            kept = df.join(ids.select(F.col("id").alias(pk)), pk, "left_anti")
+        df, pk = tables[t], keys.get(t, "id")
+        ways = [(fk, doomed[p]) for c, fk, p, action in fks if c == t and action == "CASCADE" and p in doomed]
+        if t != "users" and t in parents and ways:
+            gone = None
+            for fk, d in ways:
+                part = df.join(d.withColumnRenamed("id", fk), fk, "left_semi").select(F.col(pk).alias("id"))
+                gone = part if gone is None else gone.unionByName(part)
+            doomed[t] = stash(gone.distinct(), f"erase-{t}")
+        if t in doomed:
+            out[t] = df.join(doomed[t].withColumnRenamed("id", pk), pk, "left_anti")
         else:
-            kept = df
-            for child, fk, parent, action in fks:
-                if child == t and action == "CASCADE" and parent in doomed:
-                    kept = kept.join(doomed[parent].select(F.col("id").alias(fk)), fk, "left_anti")
-        if pk in df.columns:
-            doomed[t] = df.select(pk).join(kept.select(pk), pk, "left_anti") \
-                .select(F.col(pk).alias("id"))
-        out[t] = kept
+            for fk, d in ways:
+                out[t] = out[t].join(d.withColumnRenamed("id", fk), fk, "left_anti")
     for child, fk, parent, action in fks:
         if action == "SET NULL" and child in out and parent in doomed:
             d = doomed[parent].select(F.col("id").alias("_dead")).withColumn("_x", F.lit(True))
             out[child] = out[child].join(d, out[child][fk] == d["_dead"], "left") \
                 .withColumn(fk, F.when(F.col("_x"), F.lit(None)).otherwise(F.col(fk))) \
                 .drop("_dead", "_x")
-    if restricted is None:
-        restricted = user_ids.limit(0).select(F.col("user_id"), F.lit("").alias("blocked_by"))
     return out, restricted
 
 
@@ -429,27 +522,27 @@ def erase_users(tables: dict, user_ids: DataFrame, fks=USER_FKS, keys: dict | No
 EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+$"
 MIN_PASSWORD = 8
 MAX_NAME = 100
+ROLES = ("CUSTOMER", "SELLER", "ADMIN")
+DEFAULT_ROLE = "CUSTOMER"
 
 
 def validate_registrations(requests: DataFrame, users: DataFrame, admin_code: str | None):
     """CHG-10: field checks first (all failing fields together in
     ``field_errors``), then, in order: e-mail taken (by an existing user or an
     earlier request of the batch), admin code, store name for sellers.
-    Accepted rows become users (unverified) and, for sellers, a profile.
-    Returns ``(accepted, rejects)``."""
-    blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c)) == "")
-    # field -> first failing message, in the order the checks are listed
+    A null role is CUSTOMER. Accepted rows become users (unverified) and, for
+    sellers, a row of ``profiles`` (request_id, email, store_name). Returns
+    ``(accepted, rejects)``; :func:`seller_profiles` takes the profiles."""
+    blank = T.is_blank
+    # field -> code of the first failing check
     checks = {
-        "firstName": [(blank("first_name"), "First name is required"),
-                      (F.length("first_name") > MAX_NAME, "size must be between 1 and 100")],
-        "lastName": [(blank("last_name"), "Last name is required"),
-                     (F.length("last_name") > MAX_NAME, "size must be between 1 and 100")],
-        "email": [(blank("email"), "must not be blank"),
-                  (~F.col("email").rlike(EMAIL_PATTERN), "Invalid email address")],
-        "password": [(blank("password"), "must not be blank"),
-                     (F.length("password") < MIN_PASSWORD, "Password must be at least 8 characters")],
-        "role": [(F.col("role").isNull(), "must not be null")],
+        "firstName": [(blank("first_name"), "MISSING"), (F.length("first_name") > MAX_NAME, "TOO_LONG")],
+        "lastName": [(blank("last_name"), "MISSING"), (F.length("last_name") > MAX_NAME, "TOO_LONG")],
+        "email": [(blank("email"), "MISSING"), (~F.col("email").rlike(EMAIL_PATTERN), "NOT_AN_EMAIL")],
+        "password": [(blank("password"), "MISSING"), (F.length("password") < MIN_PASSWORD, "TOO_SHORT")],
+        "role": [(~F.col("role").isin(*ROLES), "UNKNOWN")],
     }
+    requests = requests.withColumn("role", F.coalesce("role", F.lit(DEFAULT_ROLE)))
     entries = []
     for field, rules in checks.items():
         msg = None
@@ -470,11 +563,11 @@ def validate_registrations(requests: DataFrame, users: DataFrame, admin_code: st
     first_req = x.where(alone_ok).groupBy("email").agg(F.min("seq").alias("_first"))
     x = x.join(taken, x["email"] == taken["_e"], "left").drop("_e") \
         .join(first_req, "email", "left")
-    error = (F.when(F.size("field_errors") > 0, F.lit("Validation failed"))
+    error = (F.when(F.size("field_errors") > 0, F.lit("INVALID_FIELDS"))
               .when(F.coalesce(F.col("_taken"), F.lit(False)) | (F.col("seq") > F.col("_first")),
-                    F.lit("Email already registered"))
-              .when(admin_bad, F.lit("Invalid admin access code"))
-              .when(store_bad, F.lit("Store name is required for seller registration")))
+                    F.lit("EMAIL_TAKEN"))
+              .when(admin_bad, F.lit("ADMIN_CODE_WRONG"))
+              .when(store_bad, F.lit("STORE_NAME_MISSING")))
     x = x.withColumn("error", error).drop("_taken", "_first")
     accepted = x.where(F.col("error").isNull()).select(
         "request_id", "email", "first_name", "last_name", "role",
@@ -484,34 +577,66 @@ def validate_registrations(requests: DataFrame, users: DataFrame, admin_code: st
     return accepted, rejects
 
 
-def intake_reviews(requests: DataFrame, products: DataFrame):
-    """CHG-11: the product must exist; rating text defaults to 5, must parse
-    as a whole number in 1..5. Intake never carries an order, so the
-    (user, product, order) guard never fires. Returns ``(reviews, rejects)``."""
-    rating = F.expr("try_cast(coalesce(rating_text, '5') AS SMALLINT)")
+def seller_profiles(accepted: DataFrame) -> DataFrame:
+    """CHG-10: the seller profiles that accepted registrations create."""
+    return accepted.where(F.col("role") == "SELLER").select(
+        F.col("request_id").alias("user_request_id"), "email", "store_name", F.lit(False).alias("is_verified"))
+
+
+def intake_reviews(requests: DataFrame, products: DataFrame, reviews: DataFrame | None = None):
+    """CHG-11: the product must exist; rating text defaults to 5 and must be a
+    whole number in 1..5, without white space. Title and text are carried
+    where the requests have them. Intake never carries an order, so the (user,
+    product, order) guard never fires. New ids follow the largest id of
+    ``reviews`` in order of the request id (without ``reviews`` the request id
+    stays the id). Returns ``(reviews, rejects)``."""
+    written = F.coalesce(F.col("rating_text"), F.lit("5"))
+    rating = F.when(written.rlike("^[+-]?[0-9]+$"), written.try_cast("smallint"))
     x = requests.withColumn("rating", rating) \
         .join(products.select(F.col("id").alias("product_id")).withColumn("_p", F.lit(True)),
               "product_id", "left")
-    reason = (F.when(F.col("_p").isNull(), F.lit("Product not found"))
-               .when(F.col("rating").isNull(), F.lit("rating is not a number"))
-               .when((F.col("rating") < 1) | (F.col("rating") > 5), F.lit("rating out of range")))
+    reason = (F.when(F.col("_p").isNull(), F.lit("PRODUCT_NOT_FOUND"))
+               .when(F.col("rating").isNull(), F.lit("RATING_NOT_A_NUMBER"))
+               .when((F.col("rating") < 1) | (F.col("rating") > 5), F.lit("RATING_OUT_OF_RANGE")))
     x = x.withColumn("reason", reason).drop("_p")
+    carried = [F.col(c) if c in requests.columns else F.lit(None).cast("string").alias(c) for c in ("title", "text")]
     ok = x.where(F.col("reason").isNull()).select(
         F.col("request_id").alias("id"), F.col("caller_id").alias("user_id"), "product_id",
-        F.lit(None).cast("bigint").alias("order_id"), "rating", F.lit(False).alias("is_hidden"))
-    return ok, x.where(F.col("reason").isNotNull()).select("request_id", "product_id", "reason")
+        F.lit(None).cast("bigint").alias("order_id"), "rating", *carried, F.lit(False).alias("is_hidden"))
+    if reviews is not None:
+        ok = new_ids(ok, reviews)
+    return ok, x.where(F.col("reason").isNotNull()).select("request_id", "product_id", "rating", "reason")
+
+
+def new_ids(rows: DataFrame, table: DataFrame, id_col: str = "id") -> DataFrame:
+    """Replace the request ids in ``id_col`` by ids above the largest of
+    ``table``: that id + 1 + request id - smallest request id. The order of
+    requests is kept, no id is used twice, and no global rank is needed."""
+    top = table.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("bigint")).scalar()
+    low = rows.agg(F.min(id_col).cast("bigint")).scalar()
+    return rows.withColumn(id_col, top + 1 + F.col(id_col) - low)
 
 
-def find_or_create_users(profiles: DataFrame, users: DataFrame) -> DataFrame:
+def find_or_create_users(profiles: DataFrame, users: DataFrame):
     """CHG-13: users for a batch of social sign-ins. A known e-mail finds its
     user; an unknown one creates a CUSTOMER (verified) from its first profile
-    by ``seq``, names split by SCL-3. Returns the created users."""
-    new = profiles.join(users.select(F.col("email")), "email", "left_anti")
-    first = new.groupBy("email").agg(F.min_by(F.struct("profile_id", "full_name", "avatar_url"),
-                                              "seq").alias("_p"))
-    return first.select(
+    by ``seq``, names split by SCL-3. A null or blank e-mail (NO_EMAIL) and a
+    suspended user (SUSPENDED) are refused. Returns ``(created, found,
+    rejects)``: new users, ``(profile_id, user_id)`` of the profiles that
+    found one, and refused profiles."""
+    u = users.select(F.col("id").alias("user_id"), F.col("email").alias("_email"), F.col("is_suspended").alias("_out"))
+    x = profiles.join(u, profiles["email"] == u["_email"], "left")
+    x = x.withColumn("reason", F.when(T.is_blank("email"), F.lit("NO_EMAIL"))
+                     .when(F.coalesce("_out", F.lit(False)), F.lit("SUSPENDED")))
+    rejects = x.where(F.col("reason").isNotNull()).select("profile_id", "email", "reason")
+    ok = x.where(F.col("reason").isNull())
+    found = ok.where(F.col("user_id").isNotNull()).select("profile_id", "user_id")
+    first = ok.where(F.col("user_id").isNull()).groupBy("email").agg(
+        F.min_by(F.struct("profile_id", "full_name", "avatar_url"), "seq").alias("_p"))
+    created = first.select(
         F.col("_p.profile_id").alias("profile_id"), "email",
         T.first_name(F.col("_p.full_name"), F.col("email")).alias("first_name"),
         T.last_name(F.col("_p.full_name")).alias("last_name"),
         F.col("_p.avatar_url").alias("avatar_url"),
         F.lit("CUSTOMER").alias("role"), F.lit(True).alias("email_verified"))
+    return created, found, rejects

@@ -1,26 +1,11 @@
-"""Small helpers shared by the operators: sized broadcast, ordering, paging."""
+"""Small helpers shared by the operators: ordering, paging, stored tables,
+running sums."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A side is broadcast only when it is proven to hold at most this many rows.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (bounded check: the
-    count stops mattering past ``max_rows + 1``)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its size is checked to be small, else ``df``
-    unchanged, leaving the join to a shuffle (sort-merge) plan and AQE."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
-
-
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -74,15 +59,6 @@ def ts_lit(value) -> Column:
     return F.to_timestamp_ntz(F.lit(str(value)))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a frame whose scan yields fewer partitions than the
-    cluster has cores (a small file with one row group), before CPU-heavy
-    per-row work such as tokenising. Large inputs already have many splits
-    and pass through unchanged, so no shuffle is added at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet under the session's shared checkpoint folder
     and read it back: cuts the lineage (a lost executor re-reads files
@@ -92,7 +68,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     from cartograph.session import checkpoint_dir
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stash/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._stash_path = path
+    return out
+
+
+def drop_stash(df: DataFrame) -> None:
+    """Delete the files behind a frame that :func:`stash` returned, once
+    nothing reads them any more."""
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stash_path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def cumulative_sum(df: DataFrame, keys: list[str], order: list[str], value, out: str,

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartograph.functions.money import QUOTED_PROMOS, promo_discount, promo_is_valid
-from cartograph.operators.common import small, ts_lit
+from cartograph.operators.common import ts_lit
 
 
 def quote_promos(requests: DataFrame, promos: DataFrame | None = None, strict: bool = True,
@@ -39,7 +39,7 @@ def quote_promos(requests: DataFrame, promos: DataFrame | None = None, strict: b
         raise ValueError("strict quotes need the promo table and as_of")
     p = promos.select(F.lower("code").alias("_lc"), F.col("code").alias("quoted_code"), "discount_type",
                       "discount_value", "min_order", "max_uses", "uses_count", "expires_at", "is_active")
-    x = requests.join(small(p), F.lower(F.col(code_col)) == F.col("_lc"), "left")
+    x = requests.join(p, F.lower(F.col(code_col)) == F.col("_lc"), "left")
     valid = F.coalesce(promo_is_valid(F.col(subtotal_col), ts_lit(as_of)), F.lit(False))
     return x.select(*requests.columns, "quoted_code",
                     F.when(valid, promo_discount(F.col(subtotal_col))).alias("discount"),

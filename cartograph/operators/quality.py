@@ -60,7 +60,7 @@ def unique(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
 def orphans(child: DataFrame, table: str, fk: str, parent: DataFrame, pk: str = "id",
             key="id", parent_table: str = "") -> DataFrame:
     """DQ-4: child rows whose non-null foreign key has no parent."""
-    p = parent.select(F.col(pk).alias("_pk")).distinct()
+    p = parent.select(F.col(pk).alias("_pk"))
     lost = child.where(F.col(fk).isNotNull()).join(p, child[fk] == p["_pk"], "left_anti")
     return _out(lost, table, f"fk:{fk}->{parent_table}", _key(key), F.col(fk))
 

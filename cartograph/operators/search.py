@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartograph.functions.text import lexemes
-from cartograph.operators.common import small, spread
 
 
 def document_text(*cols: str):
@@ -29,7 +28,7 @@ def build_postings(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFr
     """FTS-1: one ``(term, doc_id)`` row per distinct lexeme of each document.
     Map-only (no shuffle): every document is tokenised where it lies."""
     vec = lexemes(document_text(*text_cols))
-    return spread(docs).select(F.col(id_col).alias("doc_id"), F.explode(vec).alias("term"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode(vec).alias("term"))
 
 
 def write_postings(postings: DataFrame, path: str) -> None:
@@ -50,7 +49,6 @@ def match_all_terms(postings: DataFrame, queries: DataFrame, id_col: str = "quer
       lexeme are candidates, and only candidates are checked for the other
       lexemes with a semi join on ``(term, doc_id)``. Common words never fan
       out against every set that contains them.
-    Small sides are broadcast only after a size check.
     """
     keyed = queries.select(F.col(id_col).alias("query_id"),
                            F.array_sort(lexemes(F.col(text_col))).alias("qset")) \
@@ -63,7 +61,7 @@ def match_all_terms(postings: DataFrame, queries: DataFrame, id_col: str = "quer
         F.min(F.struct("df", "term")).alias("_r")) \
         .where(F.col("_r.df") > 0) \
         .select("qset", "n_terms", F.col("_r.term").alias("term"))
-    candidates = postings.join(small(rarest), "term").select("qset", "n_terms", "doc_id")
+    candidates = postings.join(rarest, "term").select("qset", "n_terms", "doc_id")
     single = candidates.where(F.col("n_terms") == 1).select("qset", "doc_id")
     multi = candidates.where(F.col("n_terms") > 1)
     to_check = multi.join(terms.select("qset", "term"), "qset")

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartograph.functions.text import slug_family, slugify
-from cartograph.operators.common import cumulative_sum, small
+from cartograph.operators.changes import new_ids
+from cartograph.operators.common import cumulative_sum
 
 # a slug ending in "-N" (N without a leading zero): candidate N of the rest
 TAIL = r"^(.+)-([1-9][0-9]*)$"
@@ -130,8 +131,11 @@ def assign_slugs(new: DataFrame, existing: DataFrame, seq: str = "seq",
     # parent ranks that can matter: per parent, the union of the children's
     # windows, merged into disjoint intervals first so that the rows fetched
     # are bounded by the largest contested index, not by pairs of children
-    win = links.select("parent", F.greatest(F.col("_hi") - F.col("_earlier") - 1, F.lit(0)).alias("lo"),
-                       "_hi", "child")
+    # and by the number of requests the parent has
+    held = rows.groupBy(F.col("base").alias("parent")).agg((F.count(F.lit(1)) - 1).alias("_last"))
+    win = links.join(held, "parent").select(
+        "parent", F.greatest(F.col("_hi") - F.col("_earlier") - 1, F.lit(0)).alias("lo"),
+        F.least("_hi", "_last").alias("_hi"), "child").where("lo <= _hi")
     by_lo = Window.partitionBy("parent").orderBy("lo", "_hi", "child")
     reach = F.max("_hi").over(by_lo.rowsBetween(Window.unboundedPreceding, -1))
     starts_new = F.when(F.col("lo") > F.coalesce(reach, F.lit(-2)) + 1, 1).otherwise(0)
@@ -167,22 +171,27 @@ def create_products(requests: DataFrame, products: DataFrame, categories: DataFr
     e-mail (no seller profile: reject); a known ``category_slug`` replaces the
     given category, an unknown one leaves it; the slug is SCL-1 of the name,
     made unique by SCL-2 against existing products and earlier requests; a
-    request without a name is rejected. New ids are the request ids.
-    Returns ``(new_products, rejects)``."""
+    request without a name is rejected. Other columns of the requests that
+    products have are carried, a missing or null status is LIVE and a missing
+    or null ``is_active`` true. New ids follow the largest product id in order
+    of the request id. Returns ``(new_products, rejects)``."""
     acct = sellers.select(F.col("id").alias("seller_id"), F.col("user_id").alias("_uid")) \
         .join(users.select(F.col("id").alias("_uid"), F.col("email").alias("caller_email")), "_uid") \
         .drop("_uid")
     x = requests.join(acct, "caller_email", "left")
     rejects = x.where(F.col("seller_id").isNull() | F.col("name").isNull()).select(
-        "request_id", F.when(F.col("seller_id").isNull(), F.lit("Seller profile not found"))
-        .otherwise(F.lit("name is required")).alias("reason"))
+        "request_id", F.when(F.col("seller_id").isNull(), F.lit("SELLER_NOT_FOUND"))
+        .otherwise(F.lit("NAME_MISSING")).alias("reason"))
     ok = x.where(F.col("seller_id").isNotNull() & F.col("name").isNotNull())
-    cats = small(categories.select(F.col("slug").alias("category_slug"), F.col("id").alias("_cat")))
+    cats = categories.select(F.col("slug").alias("category_slug"), F.col("id").alias("_cat"))
     ok = ok.join(cats, "category_slug", "left") \
         .withColumn("category_id", F.coalesce("_cat", "category_id")).drop("_cat") \
         .withColumn("base", slugify("name"))
     slugs = assign_slugs(ok.select("request_id", "seq", "base"), products.select("slug"))
-    new = ok.join(slugs, "request_id").select(
-        F.col("request_id").alias("id"), "seller_id", "category_id", "name", "slug", "price",
-        F.lit("LIVE").alias("status"), F.lit(True).alias("is_active"))
-    return new, rejects
+    default = {"status": F.lit("LIVE"), "is_active": F.lit(True)}
+    fixed = ["seller_id", "category_id", "name", "slug", "price"]
+    for c, value in default.items():
+        ok = ok.withColumn(c, F.coalesce(F.col(c), value) if c in ok.columns else value)
+    carried = [c for c in ok.columns if c in {*products.columns, *default} and c not in fixed and c != "id"]
+    new = ok.join(slugs, "request_id").select(F.col("request_id").alias("id"), *fixed, *carried)
+    return new_ids(new, products), rejects

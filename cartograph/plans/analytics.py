@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from cartograph.functions import money as M
 from cartograph.functions import text as T
 from cartograph.operators import analytics as A
-from cartograph.operators.common import small
 from cartograph.plans.registry import register
 from cartograph.sources.shop import Shop
 
@@ -170,7 +169,7 @@ def agg_12(spark, sf_dir):
              CASE WHEN r.id IS NULL THEN 'not_found'
                   WHEN u.role = 'ADMIN' THEN 'admin'
                   WHEN r.user_id = q2.caller_id THEN 'author'
-                  WHEN s.user_id = q2.caller_id THEN 'seller' END AS reason
+                  WHEN u.role = 'SELLER' AND s.user_id = q2.caller_id THEN 'seller' END AS reason
       FROM shop_review_requests q2
       LEFT JOIN shop_reviews r ON r.id = q2.review_id
       LEFT JOIN shop_products p ON p.id = r.product_id
@@ -239,7 +238,7 @@ PROMO_JOIN_SQL = """
 
 
 def _orders_with_promo(shop):
-    promos = small(shop.promo_codes.withColumnRenamed("id", "promo_id"))
+    promos = shop.promo_codes.withColumnRenamed("id", "promo_id")
     return shop.orders.join(promos, "promo_id").withColumnRenamed("id", "order_id")
 
 
@@ -273,21 +272,19 @@ def scl_1(spark, sf_dir):
     return Shop(spark, sf_dir).products.select("id", T.slugify("description").alias("slug"))
 
 
-@register("scl_3_split_name", oracle="""
+@register("scl_3_split_name", oracle=r"""
     SELECT profile_id,
-           CASE WHEN full_name IS NULL OR trim(full_name) = '' THEN split_part(email, '@', 1)
-                ELSE split_part(trim(full_name), ' ', 1) END AS first_name,
-           CASE WHEN full_name IS NULL OR trim(full_name) = '' OR strpos(trim(full_name), ' ') = 0
-                THEN '' ELSE substr(trim(full_name), strpos(trim(full_name), ' ') + 1) END AS last_name
-    FROM shop_profiles""")
+           CASE WHEN coalesce(n, '') = '' THEN split_part(email, '@', 1) ELSE split_part(n, ' ', 1) END AS first_name,
+           CASE WHEN coalesce(strpos(n, ' '), 0) = 0 THEN '' ELSE substr(n, strpos(n, ' ') + 1) END AS last_name
+    FROM (SELECT *, regexp_replace(full_name, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS n FROM shop_profiles)""")
 def scl_3(spark, sf_dir):
     p = Shop(spark, sf_dir).profiles
     return p.select("profile_id", T.first_name("full_name", "email").alias("first_name"),
                     T.last_name("full_name").alias("last_name"))
 
 
-@register("scl_4_normalise_email", oracle="""
-    SELECT profile_id, lower(trim(email)) AS email FROM shop_profiles""")
+@register("scl_4_normalise_email", oracle=r"""
+    SELECT profile_id, lower(regexp_replace(email, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')) AS email FROM shop_profiles""")
 def scl_4(spark, sf_dir):
     return Shop(spark, sf_dir).profiles.select("profile_id", T.normalise_email("email").alias("email"))
 

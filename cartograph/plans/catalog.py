@@ -270,13 +270,9 @@ def trd_1(spark, sf_dir):
     return C.trending(Shop(spark, sf_dir).search_events, AS_OF_EVENTS, "7 days", 8)
 
 
-@register("src_1_typed_scan", oracle="""
-    SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate FROM orders
-    WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'""")
+@register("src_1_typed_scan", oracle="SELECT * FROM orders")
 def src_1(spark, sf_dir):
-    return load_table(spark, sf_dir, "orders") \
-        .where(F.col("o_orderdate") >= F.to_timestamp_ntz(F.lit("1998-01-01 00:00:00"))) \
-        .select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    return load_table(spark, sf_dir, "orders")
 
 
 @register("src_3_first_image_url", oracle="""

@@ -48,7 +48,10 @@ def dq_1(spark, sf_dir):
     WHERE NOT (user_id IS NOT NULL)
     UNION ALL
     SELECT 'shop_products', 'check:stock_not_negative', CAST(id AS VARCHAR),
-           CAST(stock_qty AS VARCHAR) FROM shop_products WHERE NOT (stock_qty >= 0)""")
+           CAST(stock_qty AS VARCHAR) FROM shop_products WHERE NOT (stock_qty >= 0)
+    UNION ALL
+    SELECT 'shop_cart_events', 'check:quantity_positive', CAST(seq AS VARCHAR),
+           CAST(quantity AS VARCHAR) FROM shop_cart_events WHERE NOT (quantity > 0)""")
 def dq_2(spark, sf_dir):
     shop = Shop(spark, sf_dir)
     return Q.stack_violations(
@@ -60,7 +63,9 @@ def dq_2(spark, sf_dir):
                 key=["order_id", "line_no"], value=F.col("quantity")),
         Q.check(shop.carts, "shop_carts", "cart_owner", F.col("user_id").isNotNull()),
         Q.check(shop.products, "shop_products", "stock_not_negative", F.col("stock_qty") >= 0,
-                value=F.col("stock_qty")))
+                value=F.col("stock_qty")),
+        Q.check(shop.cart_events, "shop_cart_events", "quantity_positive", F.col("quantity") > 0,
+                key="seq", value=F.col("quantity")))
 
 
 def _uniq_sql(table, keys):
@@ -97,8 +102,15 @@ FK_RULES = [("shop_reviews", "product_id", "shop_products", "id"),
             ("shop_orders", "promo_id", "shop_promo_codes", "id"),
             ("shop_wishlists", "product_id", "shop_products", "id"),
             ("shop_helpful_votes", "review_id", "shop_reviews", "id"),
-            ("shop_helpful_votes", "user_id", "shop_users", "id")]
-FK_KEYS = {"shop_order_items": ["order_id", "line_no"], "shop_wishlists": ["user_id", "product_id"],
+            ("shop_helpful_votes", "user_id", "shop_users", "id"),
+            ("shop_carts", "user_id", "shop_users", "id"),
+            ("shop_cart_items", "cart_id", "shop_carts", "id"),
+            ("shop_cart_items", "product_id", "shop_products", "id"),
+            ("shop_sellers", "user_id", "shop_users", "id"),
+            ("shop_status_updates", "order_id", "shop_orders", "id"),
+            ("shop_status_updates", "changed_by", "shop_users", "id")]
+FK_KEYS = {"shop_cart_items": ["src_order", "line_no"], "shop_status_updates": ["request_id"],
+           "shop_order_items": ["order_id", "line_no"], "shop_wishlists": ["user_id", "product_id"],
            "shop_helpful_votes": ["user_id", "review_id"]}
 
 
@@ -122,19 +134,22 @@ DOMAIN_RULES = [("shop_orders", "status", M.ORDER_STATUSES),
                 ("shop_orders", "delivery_type", M.DELIVERY_TYPES),
                 ("shop_products", "status", M.PRODUCT_STATUSES),
                 ("shop_users", "role", M.USER_ROLES),
-                ("shop_promo_codes", "discount_type", M.DISCOUNT_TYPES)]
+                ("shop_promo_codes", "discount_type", M.DISCOUNT_TYPES),
+                ("shop_status_updates", "status", M.ORDER_STATUSES)]
+DOMAIN_KEYS = {"shop_status_updates": "request_id"}
 
 
 def _dom_sql(t, c, values):
     vs = ", ".join(f"'{v}'" for v in values)
-    return (f"SELECT '{t}' AS table_name, 'domain:{c}' AS rule, CAST(id AS VARCHAR) AS key, "
+    k = DOMAIN_KEYS.get(t, "id")
+    return (f"SELECT '{t}' AS table_name, 'domain:{c}' AS rule, CAST({k} AS VARCHAR) AS key, "
             f"{c} AS value FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN ({vs})")
 
 
 @register("dq_5_domain", oracle="\nUNION ALL ".join(_dom_sql(*r) for r in DOMAIN_RULES))
 def dq_5(spark, sf_dir):
     shop = Shop(spark, sf_dir)
-    return Q.stack_violations(*[Q.domain(shop[t], t, c, v) for t, c, v in DOMAIN_RULES])
+    return Q.stack_violations(*[Q.domain(shop[t], t, c, v, key=DOMAIN_KEYS.get(t, "id")) for t, c, v in DOMAIN_RULES])
 
 
 LENGTH_RULES = [("shop_users", "email", 255), ("shop_users", "first_name", 100),
@@ -142,7 +157,7 @@ LENGTH_RULES = [("shop_users", "email", 255), ("shop_users", "first_name", 100),
                 ("shop_products", "name", 255), ("shop_products", "slug", 255),
                 ("shop_products", "sku", 100), ("shop_reviews", "title", 255),
                 ("shop_search_events", "query", 255), ("shop_sellers", "store_name", 255),
-                ("shop_categories", "slug", 100)]
+                ("shop_categories", "slug", 100), ("shop_reviews", "text", 5000)]
 LENGTH_KEYS = {"shop_search_events": "event_id"}
 
 
@@ -162,7 +177,9 @@ def dq_6(spark, sf_dir):
 DECIMAL_RULES = [("orders", "o_totalprice", 10, 2, "o_orderkey"),
                  ("part", "p_retailprice", 10, 2, "p_partkey"),
                  ("customer", "c_acctbal", 10, 2, "c_custkey"),
-                 ("lineitem", "l_extendedprice", 10, 2, "l_orderkey")]
+                 ("lineitem", "l_extendedprice", 10, 2, "l_orderkey"),
+                 # a narrower column than the tables have, which large orders overflow
+                 ("orders", "o_totalprice", 7, 2, "o_orderkey")]
 
 
 def _dec_sql(t, c, p, s, k):
@@ -186,7 +203,13 @@ def dq_7(spark, sf_dir):
                                               AS DOUBLE) / 100, 0) AS DECIMAL(3,2)) AS rating_avg,
                    coalesce(r.n, 0) AS review_count
             FROM shop_products p LEFT JOIN r ON r.product_id = p.id),
-    uses AS (SELECT promo_id, count(*) AS n FROM shop_orders WHERE promo_id IS NOT NULL GROUP BY 1)
+    uses AS (SELECT promo_id, count(*) AS n FROM shop_orders WHERE promo_id IS NOT NULL GROUP BY 1),
+    sr AS (SELECT s.id, coalesce(t.n, 0) AS n,
+                  CAST(coalesce(CAST(floor((CAST(t.s AS DOUBLE) * 200 + t.n) / (t.n * 2)) AS DOUBLE) / 100, 0)
+                       AS DECIMAL(3,2)) AS rating_avg
+           FROM shop_sellers s LEFT JOIN (SELECT p.seller_id, sum(r.s) AS s, sum(r.n) AS n FROM r
+             JOIN shop_products p ON p.id = r.product_id GROUP BY 1) t ON t.seller_id = s.id),
+    votes AS (SELECT review_id, count(DISTINCT user_id) AS n FROM shop_helpful_votes GROUP BY 1)
     SELECT 'shop_products' AS table_name, 'drift:rating_avg' AS rule, CAST(p.id AS VARCHAR) AS key,
            CAST(p.rating_avg AS VARCHAR) || ' != ' || CAST(rec.rating_avg AS VARCHAR) AS value
     FROM shop_products p JOIN rec ON rec.id = p.id WHERE p.rating_avg <> rec.rating_avg
@@ -198,13 +221,32 @@ def dq_7(spark, sf_dir):
     SELECT 'shop_promo_codes', 'drift:uses_count', CAST(c.id AS VARCHAR),
            CAST(c.uses_count AS VARCHAR) || ' != ' || coalesce(CAST(u.n AS VARCHAR), 'null')
     FROM shop_promo_codes c LEFT JOIN uses u ON u.promo_id = c.id
-    WHERE u.n IS NULL OR c.uses_count <> u.n""")
+    WHERE u.n IS NULL OR c.uses_count <> u.n
+    UNION ALL
+    SELECT 'shop_sellers', 'drift:rating_avg', CAST(s.id AS VARCHAR),
+           CAST(s.rating_avg AS VARCHAR) || ' != ' || CAST(sr.rating_avg AS VARCHAR)
+    FROM shop_sellers s JOIN sr ON sr.id = s.id WHERE s.rating_avg <> sr.rating_avg
+    UNION ALL
+    SELECT 'shop_sellers', 'drift:review_count', CAST(s.id AS VARCHAR),
+           CAST(s.review_count AS VARCHAR) || ' != ' || CAST(sr.n AS VARCHAR)
+    FROM shop_sellers s JOIN sr ON sr.id = s.id WHERE s.review_count <> sr.n
+    UNION ALL
+    SELECT 'shop_reviews', 'drift:helpful_votes', CAST(r.id AS VARCHAR),
+           CAST(r.helpful_votes AS VARCHAR) || ' != ' || coalesce(CAST(v.n AS VARCHAR), 'null')
+    FROM shop_reviews r LEFT JOIN votes v ON v.review_id = r.id
+    WHERE v.n IS NULL OR r.helpful_votes <> v.n""")
 def dq_8(spark, sf_dir):
     shop = Shop(spark, sf_dir)
     rec = A.product_ratings(shop.products, shop.reviews).withColumnRenamed("product_id", "id") \
         .withColumn("review_count", F.col("review_count").cast("int"))
     uses = A.promo_uses(shop.orders).withColumnRenamed("promo_id", "id") \
         .withColumn("uses_count", F.col("uses_count").cast("int"))
+    sellers = A.seller_ratings(shop.sellers, shop.products, shop.reviews).withColumnRenamed("seller_id", "id") \
+        .withColumn("review_count", F.col("review_count").cast("int"))
+    votes = A.helpful_votes(shop.helpful_votes).withColumnRenamed("review_id", "id") \
+        .withColumn("helpful_votes", F.col("helpful_votes").cast("int"))
     return Q.stack_violations(
         Q.drift(shop.products, rec, "shop_products", ["id"], ["rating_avg", "review_count"]),
-        Q.drift(shop.promo_codes, uses, "shop_promo_codes", ["id"], ["uses_count"]))
+        Q.drift(shop.promo_codes, uses, "shop_promo_codes", ["id"], ["uses_count"]),
+        Q.drift(shop.sellers, sellers, "shop_sellers", ["id"], ["rating_avg", "review_count"]),
+        Q.drift(shop.reviews, votes, "shop_reviews", ["id"], ["helpful_votes"]))

@@ -16,15 +16,37 @@ from cartograph.streaming.lockout import lockouts_batch
 from cartograph.streaming.windows import rate_violations_batch, trending_windows_batch
 
 
-@register("str_1_lockouts")
+LOCKOUT_SQL = """
+    WITH RECURSIVE a AS (
+      SELECT l.event_id, l.user_id, l.ts, l.success, coalesce(u.email_verified, false) AS verified,
+             coalesce(u.is_suspended, false) AS suspended,
+             row_number() OVER (PARTITION BY l.user_id ORDER BY l.ts, l.event_id) AS rn
+      FROM shop_logins l LEFT JOIN shop_users u ON u.id = l.user_id),
+    f(user_id, rn, event_id, ts, outcome, failed, until) AS (
+      SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS TIMESTAMP), CAST(NULL AS VARCHAR),
+             0, CAST(NULL AS TIMESTAMP) FROM a
+      UNION ALL
+      SELECT user_id, rn, event_id, ts, outcome,
+             CASE WHEN outcome = 'OK' THEN 0 WHEN outcome IN ('FAILED', 'LOCKED_NOW') THEN failed + 1 ELSE failed END,
+             CASE WHEN outcome = 'LOCKED_NOW' THEN ts + INTERVAL 15 MINUTE
+                  WHEN outcome = 'OK' AND failed > 0 THEN NULL ELSE until END
+      FROM (SELECT a.user_id, a.rn, a.event_id, a.ts, f.failed, f.until,
+                   CASE WHEN f.until > a.ts THEN 'LOCKED' WHEN a.suspended THEN 'SUSPENDED'
+                        WHEN NOT a.verified THEN 'UNVERIFIED' WHEN a.success THEN 'OK'
+                        WHEN f.failed + 1 >= 5 THEN 'LOCKED_NOW' ELSE 'FAILED' END AS outcome
+            FROM f JOIN a ON a.user_id = f.user_id AND a.rn = f.rn + 1))"""
+
+
+@register("str_1_lockouts", oracle=LOCKOUT_SQL + """
+    SELECT event_id, user_id, ts, outcome, failed AS failed_attempts, until AS locked_until FROM f WHERE rn > 0""")
 def str_1(spark, sf_dir):
-    """Outcome of every login attempt under the lockout fold (sequential per
-    user; checked against a plain-Python fold in tests)."""
+    """Outcome of every login attempt under the lockout fold."""
     shop = Shop(spark, sf_dir)
     return lockouts_batch(shop.logins, shop.users)
 
 
-@register("str_1_locks_per_user")
+@register("str_1_locks_per_user", oracle=LOCKOUT_SQL + """
+    SELECT user_id, count(*) AS locks FROM f WHERE outcome = 'LOCKED_NOW' GROUP BY user_id""")
 def str_1_locks(spark, sf_dir):
     """Number of locks each user ran into (from the lockout fold)."""
     shop = Shop(spark, sf_dir)

@@ -45,7 +45,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN c.c_custkey % 2 = 0 THEN NULL
                     ELSE '/avatars/' || CAST(c.c_custkey AS STRING) || '.png' END AS avatar_url,
                CASE WHEN c.c_custkey % 97 = 1 THEN 'ADMIN'
-                    WHEN s.s_suppkey IS NOT NULL THEN 'SELLER'
+                    WHEN s.s_suppkey IS NOT NULL AND c.c_custkey % 5 <> 2 THEN 'SELLER'
                     ELSE 'CUSTOMER' END AS role,
                c.c_acctbal >= 0 AS email_verified,
                (c.c_mktsegment = 'AUTOMOBILE' AND c.c_acctbal < 0) AS is_suspended
@@ -79,7 +79,10 @@ VIEWS: dict[str, str] = {
         LEFT JOIN (SELECT l_partkey, min(l_suppkey) AS seller_id, min(l_shipdate) AS created_at
                    FROM {lineitem} GROUP BY l_partkey) f ON f.l_partkey = p.p_partkey""",
     "shop_orders": """
-        SELECT o.o_orderkey AS id, o.o_custkey AS user_id,
+        -- one user in ten has no orders (the one before has them), so that
+        -- erasure meets users it may delete
+        SELECT o.o_orderkey AS id,
+               CASE WHEN o.o_custkey % 10 = 3 THEN o.o_custkey - 1 ELSE o.o_custkey END AS user_id,
                CASE WHEN o.o_orderstatus = 'O' THEN 'CONFIRMED'
                     WHEN o.o_orderstatus = 'P' AND o.o_orderkey % 3 = 0 THEN 'SHIPPED'
                     WHEN o.o_orderstatus = 'P' THEN 'PROCESSING'
@@ -187,7 +190,8 @@ VIEWS: dict[str, str] = {
     "shop_prefix_requests": """
         SELECT event_id AS request_id,
                CASE WHEN event_id % 10 = 7 THEN 'r_'
-                    ELSE substr(query, 1, 2 + CAST(event_id % 3 AS INT)) END AS prefix
+                    ELSE substr(query, 1, 2 + CAST(event_id % 3 AS INT)) END
+                   || CASE WHEN event_id % 50 = 3 THEN chr(92) ELSE '' END AS prefix
         FROM {shop_search_events}""",
     # The reference's three seeded promo codes (fixed values); expiry dates
     # are set inside the order history so that some orders fall after them.
@@ -207,11 +211,11 @@ VIEWS: dict[str, str] = {
                           WHEN 1 THEN 'new' || CAST(user_id AS STRING) || '@shop.test'
                           WHEN 2 THEN 'new' || CAST(event_id AS STRING) || '@shop.test'
                           WHEN 3 THEN 'not-an-email' ELSE NULL END AS email,
-               CASE WHEN k % 7 = 0 THEN ' ' ELSE 'First' || CAST(k AS STRING) END AS first_name,
+               CASE WHEN k % 7 = 0 THEN chr(9) ELSE 'First' || CAST(k AS STRING) END AS first_name,
                CASE WHEN k % 11 = 0 THEN NULL ELSE 'Last' END AS last_name,
                CASE WHEN k % 6 = 0 THEN 'short' ELSE 'password-' || CAST(k AS STRING) END AS password,
-               CASE k % 4 WHEN 0 THEN 'SELLER' WHEN 1 THEN 'ADMIN' ELSE 'CUSTOMER' END AS role,
-               CASE WHEN k % 8 = 0 THEN NULL WHEN k % 8 = 4 THEN '  '
+               CASE k % 4 WHEN 0 THEN 'SELLER' WHEN 1 THEN 'ADMIN' WHEN 2 THEN 'CUSTOMER' END AS role,
+               CASE WHEN k % 16 = 0 THEN NULL WHEN k % 16 = 4 THEN ' ' || chr(10) || ''
                     ELSE 'Store ' || CAST(k AS STRING) END AS store_name,
                CASE WHEN k % 3 = 0 THEN 'letmein' ELSE 'nope' END AS admin_code
         FROM {shop_events} WHERE event_type = 'signup'""",
@@ -219,17 +223,24 @@ VIEWS: dict[str, str] = {
         SELECT event_id AS profile_id, event_id AS seq,
                CASE k % 4 WHEN 0 THEN 'user' || CAST(user_id AS STRING) || '@shop.test'
                           WHEN 1 THEN ' User' || CAST(user_id AS STRING) || '@Shop.test'
+                          WHEN 2 THEN CASE WHEN k % 3 = 0 THEN NULL WHEN k % 3 = 1 THEN chr(9) || ' '
+                                           ELSE 'social' || CAST(k AS STRING) || '@mail.test' END
                           ELSE 'social' || CAST(k AS STRING) || '@mail.test' END AS email,
-               CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN '   ' WHEN 2 THEN '  Ann  Lee Smith '
+               CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' || chr(9) || chr(10) WHEN 2 THEN chr(9) || ' Ann  Lee Smith '
                           WHEN 3 THEN 'Solo' ELSE 'Kim ' || CAST(k AS STRING) END AS full_name,
                CASE WHEN k % 2 = 0 THEN NULL ELSE '/a/' || CAST(k AS STRING) || '.png' END AS avatar_url
         FROM {shop_events} WHERE event_type = 'click'""",
     "shop_review_requests": """
-        SELECT event_id AS request_id, event_id AS seq, user_id AS caller_id,
+        SELECT event_id AS request_id, event_id AS seq,
+               CASE WHEN k % 3 = 1 AND k % 2 = 0
+                    THEN (SELECT min(s.user_id) FROM {shop_sellers} s) + k % 8 ELSE user_id END AS caller_id,
                CASE k % 3 WHEN 0 THEN user_id
                           WHEN 1 THEN event_id % (SELECT count(*) FROM {documents})
                           ELSE -1 END AS review_id,
-               CASE WHEN k % 4 = 0 THEN NULL ELSE CAST(k % 7 AS STRING) END AS rating_text,
+               CASE WHEN k % 4 = 0 THEN NULL WHEN k % 9 = 1 THEN ' 4 ' WHEN k % 9 = 2 THEN 'four'
+                    ELSE CAST(k % 7 AS STRING) END AS rating_text,
+               'Title ' || CAST(k AS STRING) AS title,
+               CASE WHEN k % 5 = 0 THEN NULL ELSE 'Text ' || CAST(k AS STRING) END AS text,
                event_id % (SELECT count(*) FROM {part}) AS product_id
         FROM {shop_events} WHERE event_type = 'purchase'""",
     "shop_order_access_requests": """
@@ -249,15 +260,19 @@ VIEWS: dict[str, str] = {
                CASE e.k % 3 WHEN 0 THEN lower(p.p_type) WHEN 1 THEN 'no-such' ELSE NULL END
                    AS category_slug,
                CAST(1 AS BIGINT) AS category_id,
-               CAST(p.p_retailprice AS DECIMAL(10,2)) AS price
+               CAST(p.p_retailprice AS DECIMAL(10,2)) AS price,
+               CASE WHEN e.k % 6 = 0 THEN NULL ELSE 'New ' || p.p_name END AS description,
+               'NEW-' || CAST(e.event_id AS STRING) AS sku, CAST(e.k AS INT) AS stock_qty,
+               CASE e.k % 4 WHEN 0 THEN NULL WHEN 1 THEN 'DRAFT' ELSE 'LIVE' END AS status
         FROM {shop_events} e
         JOIN {part} p ON p.p_partkey = e.event_id % (SELECT count(*) FROM {part})
         WHERE e.event_type = 'view'""",
     "shop_product_updates": """
         SELECT event_id AS request_id, event_id AS seq,
                event_id % (SELECT count(*) FROM {part}) AS product_id,
-               'user' || CAST(user_id AS STRING) || '@shop.test' AS caller_email,
-               'Renamed ' || CAST(k AS STRING) AS name,
+               'user' || CAST(CASE WHEN k % 3 = 0 THEN user_id ELSE k % (SELECT count(*) FROM {supplier}) END
+                              AS STRING) || '@shop.test' AS caller_email,
+               CASE WHEN k % 11 = 0 THEN NULL ELSE 'Renamed ' || CAST(k AS STRING) END AS name,
                CASE WHEN k % 4 = 0 THEN NULL ELSE 'Updated ' || CAST(k AS STRING) END AS description,
                CAST(CAST(k * 1000 + 99 AS DOUBLE) / 100 AS DECIMAL(10,2)) AS price,
                CAST(k AS INT) AS stock_qty,
@@ -277,10 +292,11 @@ VIEWS: dict[str, str] = {
         FROM {shop_events} WHERE event_type = 'error'""",
     "shop_profile_patches": """
         SELECT event_id AS patch_id, event_id AS seq, user_id,
-               CASE k % 5 WHEN 0 THEN '{{"phone": "+1-222-' || CAST(k AS STRING) || '"}}'
+               CASE k % 8 WHEN 0 THEN '{{"phone": "+1-222-' || CAST(k AS STRING) || '"}}'
                           WHEN 1 THEN '{{"phone": null, "firstName": "Pat"}}'
                           WHEN 2 THEN '{{"lastName": "Lee' || CAST(k AS STRING) || '", "avatarUrl": null}}'
-                          WHEN 3 THEN '{{}}'
+                          WHEN 3 THEN '{{}}' WHEN 5 THEN 'name=Pat'
+                          WHEN 6 THEN '{{"firstName": null, "phone": "1"}}' WHEN 7 THEN '{{"nick": "x"}}'
                           ELSE '{{"firstName": "Sam' || CAST(k AS STRING) || '"}}' END AS body
         FROM {shop_events} WHERE event_type = 'click'""",
     "shop_status_updates": """
@@ -292,27 +308,32 @@ VIEWS: dict[str, str] = {
                ts AS changed_at, user_id AS changed_by
         FROM {shop_events} WHERE event_type = 'error'""",
     "shop_cart_events": """
-        SELECT e.seq, o.o_custkey AS cart_id, l.l_partkey AS product_id,
-               CASE e.k % 9 WHEN 0 THEN 'remove' WHEN 1 THEN 'set' WHEN 2 THEN 'clear'
-                            WHEN 3 THEN 'set' ELSE 'add' END AS action,
-               CASE WHEN e.k % 9 = 3 THEN 0 - e.k % 2 ELSE 1 + e.k % 4 END AS quantity,
+        SELECT e.seq, o.o_custkey AS cart_id,
+               CASE WHEN e.k % 13 = 7 THEN -1 WHEN e.k % 13 = 2 THEN NULL ELSE l.l_partkey END AS product_id,
+               CASE e.k % 13 WHEN 0 THEN 'remove' WHEN 1 THEN 'set' WHEN 2 THEN 'clear'
+                             WHEN 3 THEN 'SET' WHEN 4 THEN 'move' WHEN 5 THEN NULL ELSE 'add' END AS action,
+               CASE e.k % 13 WHEN 3 THEN 0 - e.k % 2 WHEN 6 THEN NULL ELSE 1 + e.k % 4 END AS quantity,
                CAST(CAST(e.k * 100 + 5 AS DOUBLE) / 100 AS DECIMAL(10,2)) AS price
         FROM (SELECT event_id AS seq, k,
                      event_id % (SELECT count(*) FROM {orders}) AS okey
               FROM {shop_events} WHERE event_type IN ('click', 'view', 'purchase')) e
         JOIN {orders} o ON o.o_orderkey = e.okey
-        JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey AND l.l_linenumber = 1""",
+        JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey AND l.l_linenumber = 1 + e.k % 3""",
     "shop_feature_changes": """
         SELECT event_id AS change_id, event_id AS seq,
                event_id % (SELECT count(*) FROM {part}) AS product_id,
-               CASE k % 4 WHEN 0 THEN '{{}}' WHEN 1 THEN '{{"featured": false}}'
-                          WHEN 2 THEN '{{"featured": true}}' ELSE '{{"featured": null}}' END AS body
+               CASE k % 8 WHEN 0 THEN '{{}}' WHEN 1 THEN '{{"featured": false}}'
+                          WHEN 2 THEN '{{"featured": true}}' WHEN 3 THEN '{{"featured": null}}'
+                          WHEN 4 THEN '{{"featured": false, "note": "x"}}' WHEN 5 THEN 'featured'
+                          WHEN 6 THEN '{{"featured": "soon"}}' ELSE NULL END AS body
         FROM {shop_events} WHERE event_type = 'click'""",
     "shop_hide_changes": """
         SELECT event_id AS change_id, event_id AS seq,
                event_id % (SELECT count(*) FROM {documents}) AS review_id,
-               CASE k % 4 WHEN 0 THEN '{{"hidden": false}}' WHEN 1 THEN '{{}}'
-                          WHEN 2 THEN '{{"hidden": null}}' ELSE '{{"hidden": true}}' END AS body
+               CASE k % 7 WHEN 0 THEN '{{"hidden": false}}' WHEN 1 THEN '{{}}'
+                          WHEN 2 THEN '{{"hidden": null}}' WHEN 3 THEN '{{"hidden": true}}'
+                          WHEN 4 THEN '{{"hidden": false, "by": 7}}' WHEN 5 THEN '{{"hidden'
+                          ELSE '{{"hidden": 3}}' END AS body
         FROM {shop_events} WHERE event_type = 'error'""",
 }
 
@@ -406,6 +427,8 @@ def with_views(body: str) -> str:
         text = VIEWS[n].format(**{d: d for d in view_deps(n)})
         ctes.append(f"{n} AS ({text.strip()})")
     body = body.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body

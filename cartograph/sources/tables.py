@@ -1,8 +1,8 @@
 """SRC-1: typed table scans.
 
 Each driver table is read with an explicit schema, so no file is sampled for
-inference and a file that drifts from the contract fails at scan time instead
-of producing silently different columns. Parquet keeps column pruning and
+inference; a file that lacks a column of the contract or holds it in another
+type raises an error before it is scanned. Parquet keeps column pruning and
 filter pushdown, which Catalyst applies to everything built on these frames.
 """
 
@@ -36,6 +36,7 @@ DRIVER_SCHEMAS: dict[str, T.StructType] = {
     "events": _schema(("event_id", L), ("ts", TS), ("user_id", L), ("event_type", S),
                       ("value", D), ("props", S)),
     "documents": _schema(("doc_id", L), ("text", S), ("lang", S), ("source", S), ("n_chars", L)),
+    "benchmark": _schema(("item_id", L), ("text", S)),
     "labels": _schema(("doc_id", L), ("quality", I), ("toxic", I)),
 }
 
@@ -47,11 +48,30 @@ def table_path(sf_dir: str, name: str) -> str:
 def load_table(spark: SparkSession, sf_dir: str, name: str,
                schema: T.StructType | None = None) -> DataFrame:
     """Read one table with its fixed schema (SRC-1)."""
-    schema = schema or DRIVER_SCHEMAS.get(name)
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.parquet(table_path(sf_dir, name))
+    schema, path = schema or DRIVER_SCHEMAS.get(name), table_path(sf_dir, name)
+    if schema is None:
+        return spark.read.parquet(path)
+    check_schema(spark, path, schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+_CHECKED: set[tuple] = set()
+
+
+def check_schema(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """Raise when the files at ``path`` lack a column of ``schema`` or hold it
+    in another type. Reads a footer, once per application and path; columns
+    beyond the contract are allowed."""
+    key = (spark.sparkContext.applicationId, path, schema.simpleString())
+    if key in _CHECKED:
+        return
+    found = {f.name: f.dataType for f in spark.read.parquet(path).schema}
+    wrong = [f"{f.name}: {f.dataType.simpleString()} expected, "
+             f"{found[f.name].simpleString() if f.name in found else 'no column'} found"
+             for f in schema if found.get(f.name) != f.dataType]
+    if wrong:
+        raise ValueError(f"{path} does not fit its contract: " + "; ".join(wrong))
+    _CHECKED.add(key)
 
 
 def load_jdbc(spark: SparkSession, url: str, table: str, partition_column: str,

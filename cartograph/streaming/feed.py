@@ -42,16 +42,22 @@ def merge_current(current: DataFrame, history_rows: DataFrame) -> DataFrame:
         .select("order_id", "_r.status", "_r.seq", "_r.changed_at")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, asked of the file system it lies in."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _write_batch(spark: SparkSession, batch: DataFrame, batch_id: int, history_path: str,
                  current_path: str, buckets: int = CURRENT_BUCKETS) -> None:
     rows = status_history(batch).withColumn("batch_id", F.lit(batch_id))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("batch_id").parquet(history_path)
     touched = rows.select((F.col("order_id") % buckets).alias("bucket")).distinct()
-    try:
-        stored = spark.read.parquet(current_path).join(touched, "bucket", "left_semi")
-    except Exception:  # noqa: BLE001 - first batch: no current table yet
-        stored = None
+    # only a path that does not exist means "first batch"; any other error fails
+    # the batch and leaves the current table as it is
+    stored = spark.read.parquet(current_path).join(touched, "bucket", "left_semi") \
+        if path_exists(spark, current_path) else None
     fresh = rows.drop("batch_id", "changed_by")
     if stored is not None:
         merged = merge_current(stored.drop("bucket"), fresh)

@@ -14,29 +14,25 @@ sorted by (user, time, event id):
   user in the 15 minutes before cannot be locked, so it resets the state
   whatever came before. These safe resets cut each user's history into
   independent segments (found with time-sliced windows and a distributed
-  running count). Segments are hash-partitioned, sorted within partitions,
-  and folded by ``mapInPandas`` batch by batch, carrying the state across
-  batch boundaries. Memory is one Arrow batch plus one state. A segment
-  longer than ``jump_threshold`` (an account failing without pause) is
-  folded by pointer doubling instead (:mod:`.lockout_jumps`), so no task
-  reads a whole long history;
-* stream :func:`lockouts`: ``applyInPandasWithState`` keyed by user, the
-  state being (counter, locked_until); each micro-batch is folded in time
-  order on top of the stored state.
+  running count). Segments of any length are folded by pointer doubling
+  (:mod:`.lockout_jumps`): column expressions and joins, no task reads a
+  whole history;
+* stream :func:`lockouts`: keyed state per user, the counter and the end of
+  the lock; rows wait for the watermark and are folded in time order
+  (:mod:`.replay`).
+
+A row with ``reset`` (a password reset) clears the counter and the lock.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from cartograph.operators.common import cumulative_sum
 from cartograph.streaming.lockout_jumps import fold_by_jumps
+from cartograph.streaming.replay import LATENESS, replay, times
 
 # Fixed values from the reference: failures before a lock, lock length.
 MAX_FAILURES = 5
@@ -44,71 +40,17 @@ LOCK_MINUTES = 15
 
 ATTEMPT_OUT = ("event_id long, user_id long, ts timestamp_ntz, outcome string, "
                "failed_attempts int, locked_until timestamp_ntz")
-STATE_SCHEMA = "failed int, locked_until_us long"
-
-
-
-def _fold_rows(rows: pd.DataFrame, starts: np.ndarray, failed: int, locked_until_us,
-               max_failures: int, lock_us: int):
-    """Fold rows already in order; ``starts[i]`` marks the first row of a new
-    key (state reset). The state before the first row is ``(failed,
-    locked_until_us)``. Returns the output frame and the state after."""
-    n = len(rows)
-    outcome = np.empty(n, dtype=object)
-    failed_out = np.empty(n, dtype=np.int32)
-    locked_out = np.full(n, np.nan)
-    ts_us = rows["ts"].values.astype("datetime64[us]").astype(np.int64)
-    success = rows["success"].values.astype(bool)
-    suspended = rows["is_suspended"].values.astype(bool)
-    verified = rows["email_verified"].values.astype(bool)
-    for i in range(n):
-        if starts[i]:
-            failed, locked_until_us = 0, None
-        t = ts_us[i]
-        if locked_until_us is not None and locked_until_us > t:
-            outcome[i] = "LOCKED"
-        elif suspended[i]:
-            outcome[i] = "SUSPENDED"
-        elif not verified[i]:
-            outcome[i] = "UNVERIFIED"
-        elif success[i]:
-            if failed > 0:
-                failed = 0
-                locked_until_us = None
-            outcome[i] = "OK"
-        else:
-            failed += 1
-            if failed >= max_failures:
-                locked_until_us = int(t) + lock_us
-                outcome[i] = "LOCKED_NOW"
-            else:
-                outcome[i] = "FAILED"
-        failed_out[i] = failed
-        if locked_until_us is not None:
-            locked_out[i] = locked_until_us
-    out = pd.DataFrame({"event_id": rows["event_id"].values.astype(np.int64),
-                        "user_id": rows["user_id"].values.astype(np.int64),
-                        "ts": rows["ts"].values, "outcome": outcome,
-                        "failed_attempts": failed_out,
-                        "locked_until": pd.to_datetime(locked_out, unit="us")})
-    return out, failed, locked_until_us
-
-
-def _fold(rows: pd.DataFrame, failed: int, locked_until_us, max_failures: int, lock_us: int):
-    """Fold one key's rows (already in order) from the given state."""
-    return _fold_rows(rows, np.zeros(len(rows), dtype=bool), failed, locked_until_us,
-                      max_failures, lock_us)
-
-
 def _attach_account(attempts: DataFrame, users: DataFrame) -> DataFrame:
     acct = users.select(F.col("id").alias("user_id"), "email_verified", "is_suspended")
-    return attempts.select("event_id", "user_id", "ts", "success").join(acct, "user_id", "left") \
+    reset = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in attempts.columns else F.lit(False)
+    return attempts.select("event_id", "user_id", "ts", F.coalesce("success", F.lit(False)).alias("success"),
+                           reset.alias("reset")).join(acct, "user_id", "left") \
         .withColumn("email_verified", F.coalesce("email_verified", F.lit(False))) \
         .withColumn("is_suspended", F.coalesce("is_suspended", F.lit(False)))
 
 
 def _safe_resets(x: DataFrame, lock_minutes: int) -> DataFrame:
-    """Flag successes that no lock can cover: no failure of the same user in
+    """Flag password resets, and successes that no lock can cover: no failure of the same user in
     the ``lock_minutes`` before (a lock needs a counted failure at most that
     long ago). Such a success always resets the state, so it starts an
     independent segment. The last earlier failure is found per (user, time
@@ -117,83 +59,65 @@ def _safe_resets(x: DataFrame, lock_minutes: int) -> DataFrame:
     width = lock_minutes * 60 * 1_000_000
     ev = x.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp_ltz"))) \
         .withColumn("_b", F.floor(F.col("_us") / F.lit(width)).cast("long"))
-    fails = ev.where(~F.col("success"))
+    fails = ev.where(~F.col("success") & ~F.col("reset"))
     carried = fails.groupBy("user_id", "_b").agg(F.max(F.struct("_us", "event_id")).alias("_f")) \
         .select("user_id", (F.col("_b") + 1).alias("_b"), F.col("_f._us").alias("_prev_us"))
     w = Window.partitionBy("user_id", "_b").orderBy("_us", "event_id") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    in_slice = ev.withColumn("_last_us", F.max(F.when(~F.col("success"), F.col("_us"))).over(w))
+    in_slice = ev.withColumn("_last_us", F.max(F.when(~F.col("success") & ~F.col("reset"), F.col("_us"))).over(w))
     x2 = in_slice.join(carried, ["user_id", "_b"], "left")
     last_fail = F.greatest(F.col("_last_us"), F.col("_prev_us"))
-    safe = F.col("success") & (last_fail.isNull() | (last_fail + F.lit(width) <= F.col("_us")))
+    safe = F.col("reset") | F.col("success") & (last_fail.isNull() | (last_fail + F.lit(width) <= F.col("_us")))
     return x2.withColumn("_safe", safe).drop("_us", "_b", "_last_us", "_prev_us")
 
 
-# Segments longer than this are folded by pointer doubling (no single task
-# reads them); shorter ones stream through one task each.
-JUMP_THRESHOLD = 1_000_000
-
-
 def lockouts_batch(attempts: DataFrame, users: DataFrame, max_failures: int = MAX_FAILURES,
-                   lock_minutes: int = LOCK_MINUTES, partitions: int | None = None,
-                   jump_threshold: int = JUMP_THRESHOLD) -> DataFrame:
+                   lock_minutes: int = LOCK_MINUTES) -> DataFrame:
     """Batch twin: one output row per attempt with its outcome and the state
     after it. ``attempts``: event_id, user_id, ts, success.
 
     A user's history is cut at safe resets (see :func:`_safe_resets`) into
-    segments numbered with a distributed running count; each
-    (user, segment) is folded on its own, streaming sorted rows through
-    ``mapInPandas`` with the state carried across Arrow batches."""
-    lock_us = lock_minutes * 60 * 1_000_000
+    segments numbered with a distributed running count; the fold of every
+    segment is found by pointer doubling (:mod:`.lockout_jumps`)."""
     x = _safe_resets(_attach_account(attempts, users), lock_minutes)
     x = cumulative_sum(x, ["user_id"], ["ts", "event_id"],
                        F.when(F.col("_safe"), 1).otherwise(0), "segment").drop("_safe")
-    keys = ["user_id", "segment"]
-    long_segments = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) \
-        .where(F.col("_n") > jump_threshold).select(*keys)
-    jumped = None
-    if long_segments.limit(1).count():       # the doubling rounds run only when needed
-        jumped = fold_by_jumps(x.join(long_segments, keys, "left_semi"), max_failures, lock_minutes)
-        x = x.join(long_segments, keys, "left_anti")
-    x = (x.repartition(partitions, *keys) if partitions else x.repartition(*keys)) \
-        .sortWithinPartitions("user_id", "segment", "ts", "event_id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, failed, locked = None, 0, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            u = pdf["user_id"].values.astype(np.int64)
-            g = pdf["segment"].values.astype(np.int64)
-            starts = np.r_[True, (u[1:] != u[:-1]) | (g[1:] != g[:-1])]
-            starts[0] = last_key != (u[0], g[0])
-            out, failed, locked = _fold_rows(pdf, starts, failed, locked, max_failures, lock_us)
-            last_key = (u[-1], g[-1])
-            yield out
-
-    folded = x.mapInPandas(run, ATTEMPT_OUT)
-    return folded if jumped is None else folded.unionByName(jumped)
+    return fold_by_jumps(x, max_failures, lock_minutes)
 
 
 def lockouts(attempts: DataFrame, users: DataFrame, max_failures: int = MAX_FAILURES,
-             lock_minutes: int = LOCK_MINUTES) -> DataFrame:
-    """Streaming form: per-user state across micro-batches. ``attempts`` is a
-    streaming frame (event_id, user_id, ts, success); ``users`` a static
-    frame. Output mode append; rows within a micro-batch are folded in
-    (time, event id) order."""
+             lock_minutes: int = LOCK_MINUTES, lateness: str = LATENESS) -> DataFrame:
+    """Streaming form, output mode append. ``attempts`` is a streaming frame
+    (event_id, user_id, ts, success, and ``reset`` if it has password resets);
+    ``users`` a static frame. An attempt is decided once the watermark has
+    passed it, in (time, event id) order; a user without counted failures has
+    no state (:mod:`.replay`)."""
     lock_us = lock_minutes * 60 * 1_000_000
-    x = _attach_account(attempts, users)
 
-    def step(key, pdfs, state):
-        if state.exists:
-            failed, locked = state.get
-            locked = None if locked is None or pd.isna(locked) else int(locked)
-        else:
-            failed, locked = 0, None
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"])
-        out, failed, locked = _fold(rows, int(failed), locked, max_failures, lock_us)
-        state.update((int(failed), locked))
-        yield out
-
-    return x.groupBy("user_id").applyInPandasWithState(
-        step, ATTEMPT_OUT, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    def fold(key, state, rows, now):
+        failed, until = state or (0, None)
+        out = []
+        for ts, event_id, success, reset, verified, suspended in rows:
+            if reset:
+                failed, until, outcome = 0, None, "RESET"
+            elif until is not None and until > ts:
+                outcome = "LOCKED"
+            elif suspended or not verified:
+                outcome = "SUSPENDED" if suspended else "UNVERIFIED"
+            elif success:
+                failed, until, outcome = 0, None, "OK"
+            else:
+                failed += 1
+                locks = failed >= max_failures
+                outcome = "LOCKED_NOW" if locks else "FAILED"
+                until = ts + lock_us if locks else until
+            out.append((event_id, key[0], ts, outcome, failed, until))
+        cols = list(zip(*out)) or [[]] * 6
+        frame = pd.DataFrame({"event_id": pd.Series(cols[0], dtype="int64"), "user_id": pd.Series(cols[1], dtype="int64"),
+                              "ts": times(cols[2]), "outcome": pd.Series(cols[3], dtype="object"),
+                              "failed_attempts": pd.Series(cols[4], dtype="int32"), "locked_until": times(cols[5])})
+        return ((failed, until) if failed else None), None, frame
+
+    x = _attach_account(attempts, users)
+    return replay(x, ["user_id"], ["event_id", "success", "reset", "email_verified", "is_suspended"],
+                  ATTEMPT_OUT, fold, lateness)

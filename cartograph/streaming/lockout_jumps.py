@@ -1,5 +1,5 @@
-"""STR-1 for very large segments: the lockout fold as a path, marked by
-pointer doubling, so no user's history is read by a single task.
+"""STR-1 in bulk: the lockout fold as a path, marked by pointer doubling, so no
+user's history is read by a single task.
 
 Within a segment (state starts at no failures, no lock) the fold visits two
 kinds of steps:
@@ -27,21 +27,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartograph.operators.common import cumulative_sums, stash
+from cartograph.operators.common import cumulative_sums, drop_stash, stash
 
 G = ["user_id", "segment"]
 
 
 def fold_by_jumps(x: DataFrame, max_failures: int, lock_minutes: int) -> DataFrame:
     """Outcomes for the attempts of ``x`` (user_id, segment, event_id, ts,
-    success, email_verified, is_suspended), in the output shape of the
+    success, reset, email_verified, is_suspended), in the output shape of the
     sequential fold."""
     lock = F.expr(f"INTERVAL {lock_minutes} MINUTES")
-    idle = x.where(~F.col("email_verified") | F.col("is_suspended")).select(
+    counted = F.col("email_verified") & ~F.col("is_suspended") & ~F.col("reset")
+    idle = x.where(~counted).select(
         "event_id", "user_id", "ts",
-        F.when(F.col("is_suspended"), F.lit("SUSPENDED")).otherwise(F.lit("UNVERIFIED")).alias("outcome"),
+        F.when(F.col("reset"), F.lit("RESET")).when(F.col("is_suspended"), F.lit("SUSPENDED"))
+        .otherwise(F.lit("UNVERIFIED")).alias("outcome"),
         F.lit(0).alias("failed_attempts"), F.lit(None).cast("timestamp_ntz").alias("locked_until"))
-    act = x.where(F.col("email_verified") & ~F.col("is_suspended")) \
+    act = x.where(counted) \
         .select(*G, "event_id", "ts", "success")
 
     # pass A: position, successes so far, and D (first attempt >= t + lock)
@@ -94,13 +96,16 @@ def fold_by_jumps(x: DataFrame, max_failures: int, lock_minutes: int) -> DataFra
         reached = path.join(jump, [*G, "v"]).select(*G, F.col("j").alias("v"))
         grown = stash(path.unionByName(reached).distinct(), "lock_path")
         new_count = grown.count()
+        drop_stash(path)
         path = grown
         if new_count == count:
             break
         count = new_count
         j2 = jump.select(*G, F.col("v").alias("_m"), F.col("j").alias("_j2"))
-        jump = stash(jump.withColumnRenamed("j", "_m").join(j2, [*G, "_m"])
-                     .select(*G, "v", F.col("_j2").alias("j")), "lock_jump")
+        squared = stash(jump.withColumnRenamed("j", "_m").join(j2, [*G, "_m"])
+                        .select(*G, "v", F.col("_j2").alias("j")), "lock_jump")
+        drop_stash(jump)
+        jump = squared
 
     # path steps with what the outcome rules need
     steps = path.join(size, G).where(F.col("v") < (F.col("n") + 1) * 2) \

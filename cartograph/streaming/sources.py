@@ -1,8 +1,8 @@
 """Streaming sources over the driver tables.
 
 A folder of parquet files is read as a stream with the table's fixed schema
-(no inference), a bounded number of files per micro-batch, so state and batch
-sizes stay bounded however much history is waiting.
+(no inference); the caller bounds the files per micro-batch where a long history
+is waiting.
 """
 
 from __future__ import annotations
@@ -13,11 +13,14 @@ from cartograph.session import checkpoint_dir
 from cartograph.sources.tables import DRIVER_SCHEMAS, table_path
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
-    """Stream the files of one driver table (``events`` by default use)."""
-    return (spark.readStream.schema(DRIVER_SCHEMAS[name])
-            .option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(table_path(sf_dir, name)))
+def table_stream(spark: SparkSession, sf_dir: str, name: str,
+                 files_per_trigger: int | None = None) -> DataFrame:
+    """Stream the files of one driver table, at most ``files_per_trigger`` of
+    them in a micro-batch if given."""
+    reader = spark.readStream.schema(DRIVER_SCHEMAS[name])
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(table_path(sf_dir, name))
 
 
 def checkpoint_location(spark: SparkSession, query_name: str) -> str:

@@ -1,8 +1,8 @@
 """STR-2: one-time code matching on streams (JON-6 as a stream).
 
 Codes and attempts arrive as one stream of events keyed by (user, purpose).
-``applyInPandasWithState`` keeps the code in force per key (id, code, issue
-time, consumed flag); each micro-batch is replayed in (time, kind, id) order:
+The state keeps the code in force per key (id, code, issue time, consumed
+flag); events are replayed in (time, kind, id) order:
 an issue replaces the code in force (voiding the previous one), an attempt
 is valid when its code equals the code in force within its lifetime (a code
 past its lifetime is reported as none), and the first valid attempt consumes
@@ -12,16 +12,15 @@ the code. The batch twin is
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+
+from cartograph.streaming.replay import LATENESS, replay, times
 
 TTL_MINUTES = 15  # fixed value: lifetime of a one-time code
 MATCH_OUT = ("attempt_id long, user_id long, purpose string, attempted_at timestamp_ntz, "
              "token_id long, valid boolean, matched boolean")
-TOKEN_STATE = "token_id long, code string, issued_us long, consumed boolean"
 
 
 def token_events(issued: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -33,43 +32,32 @@ def token_events(issued: DataFrame, attempts: DataFrame) -> DataFrame:
     return i.unionByName(a)
 
 
-def match_tokens_stream(events: DataFrame, ttl_minutes: int = TTL_MINUTES) -> DataFrame:
-    """Streaming matcher over :func:`token_events` rows (append mode)."""
+def match_tokens_stream(events: DataFrame, ttl_minutes: int = TTL_MINUTES, lateness: str = LATENESS) -> DataFrame:
+    """Streaming matcher over :func:`token_events` rows (append mode). An
+    attempt is answered once the watermark has passed it; a code leaves the
+    state when its lifetime is over (:mod:`.replay`)."""
     ttl_us = ttl_minutes * 60 * 1_000_000
 
-    def step(key, pdfs, state):
-        if state.exists:
-            tid, code, issued_us, consumed = state.get
-        else:
-            tid, code, issued_us, consumed = None, None, None, False
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "kind", "id"])
-        ts_us = rows["ts"].values.astype("datetime64[us]").astype(np.int64)
-        out = {k: [] for k in ("attempt_id", "attempted_at", "token_id", "valid", "matched")}
-        for j, (kind, rid, rcode) in enumerate(zip(rows["kind"], rows["id"], rows["code"])):
+    def fold(key, state, rows, now):
+        tid, code, issued, used = state or (None, None, None, False)
+        out = []
+        for ts, kind, rid, rcode in rows:
             if kind == 0:
-                tid, code, issued_us, consumed = int(rid), rcode, int(ts_us[j]), False
+                tid, code, issued, used = rid, rcode, ts, False
                 continue
-            fresh = tid is not None and ts_us[j] <= issued_us + ttl_us
+            fresh = tid is not None and ts <= issued + ttl_us
             valid = fresh and rcode == code
-            matched = bool(valid and not consumed)
-            if matched:
-                consumed = True
-            out["attempt_id"].append(int(rid))
-            out["attempted_at"].append(rows["ts"].iat[j])
-            out["token_id"].append(tid if fresh else None)
-            out["valid"].append(bool(valid))
-            out["matched"].append(matched)
-        if tid is not None:
-            state.update((int(tid), code, int(issued_us), bool(consumed)))
-        res = pd.DataFrame({
-            "attempt_id": pd.Series(out["attempt_id"], dtype="int64"),
-            "user_id": pd.Series([key[0]] * len(out["attempt_id"]), dtype="int64"),
-            "purpose": pd.Series([key[1]] * len(out["attempt_id"]), dtype="object"),
-            "attempted_at": pd.Series(out["attempted_at"], dtype="datetime64[ns]"),
-            "token_id": pd.Series(out["token_id"], dtype="Int64"),
-            "valid": pd.Series(out["valid"], dtype="bool"),
-            "matched": pd.Series(out["matched"], dtype="bool")})
-        yield res
-
-    return events.groupBy("user_id", "purpose").applyInPandasWithState(
-        step, MATCH_OUT, TOKEN_STATE, "append", GroupStateTimeout.NoTimeout)
+            out.append((rid, ts, tid if fresh else None, valid, valid and not used))
+            used = used or valid
+        cols = list(zip(*out)) or [[]] * 5
+        n = len(out)
+        frame = pd.DataFrame({
+            "attempt_id": pd.Series(cols[0], dtype="int64"), "user_id": pd.Series([key[0]] * n, dtype="int64"),
+            "purpose": pd.Series([key[1]] * n, dtype="object"), "attempted_at": times(cols[1]),
+            "token_id": pd.Series(cols[2], dtype="Int64"), "valid": pd.Series(cols[3], dtype="bool"),
+            "matched": pd.Series(cols[4], dtype="bool")})
+        if tid is None or issued + ttl_us < now:
+            return None, None, frame
+        return (tid, code, issued, used), issued + ttl_us, frame
+
+    return replay(events, ["user_id", "purpose"], ["kind", "id", "code"], MATCH_OUT, fold, lateness)

@@ -15,7 +15,7 @@ WITH_ORACLE = sorted(n for n, q in QUERIES.items() if q.oracle)
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in DRIVER_TABLES + ("benchmark",):
+    for t in DRIVER_TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     return c
 

@@ -1,6 +1,7 @@
 """Streams against their batch twins. The events table is split into daily
 files in a scratch folder so the streams run many micro-batches in time
 order and carry state across them."""
+import datetime as dt
 import os
 
 import pytest
@@ -56,7 +57,63 @@ def test_lockout_stream_equals_batch(spark, event_files):
     bshop = Shop(spark, SF_SMALL)
     batch = lockouts_batch(bshop.logins, bshop.users)
     cols = ["event_id", "outcome", "failed_attempts", "locked_until"]
-    assert _collect(streamed, cols) == _collect(batch, cols)
+    last = Shop(spark, SF_SMALL).logins.agg(F.max("ts")).first()[0]
+    due = batch.where(F.col("ts") < F.lit(last - dt.timedelta(minutes=11)))
+    got = _collect(streamed, cols)
+    assert set(_collect(due, cols)) <= set(got) <= set(_collect(batch, cols)) and len(got) == len(set(got))
+
+
+def test_lockout_stream_takes_late_rows_in_their_place(spark, tmp_path):
+    """Failures that arrive one micro-batch after a later success, and a reset."""
+    t0 = dt.datetime(2024, 1, 1, 10, 0)
+    users = spark.createDataFrame([(1, True, False)], "id long, email_verified boolean, is_suspended boolean")
+    schema = "event_id long, user_id long, ts timestamp_ntz, success boolean, reset boolean"
+    at = lambda i, m, ok=False, reset=False: (i, 1, t0 + dt.timedelta(minutes=m), ok, reset)
+    batches = [[at(5, 5, True)], [at(i, i) for i in range(5)], [at(6, 30)] + [at(i, 31 + i) for i in range(7, 11)],
+               [at(11, 42, True), at(12, 43, False, True), at(13, 44, True)], [(99, 2, t0 + dt.timedelta(days=1), False, False)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+    import shutil
+    flat = tmp_path / "in"
+    flat.mkdir()
+    for i in range(len(batches)):
+        name = next(n for n in os.listdir(tmp_path / f"b{i}") if n.endswith(".parquet"))
+        shutil.copy(tmp_path / f"b{i}" / name, flat / f"{i}.parquet")
+        os.utime(flat / f"{i}.parquet", (1000 + i, 1000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(flat))
+    got = {r.event_id: (r.outcome, r.failed_attempts)
+           for r in _run_to_table(lockouts(stream, users), "late_out").collect() if r.user_id == 1}
+    everything = spark.createDataFrame([r for b in batches for r in b], schema)
+    want = {r.event_id: (r.outcome, r.failed_attempts)
+            for r in lockouts_batch(everything, users).collect() if r.user_id == 1}
+    assert got == want
+    assert want[4] == ("LOCKED_NOW", 5) and want[5][0] == "LOCKED" and want[12] == ("RESET", 0) and want[13] == ("OK", 0)
+
+
+def test_token_state_is_empty_after_expiry(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1, 10, 0)
+    schema = "user_id long, purpose string, ts timestamp_ntz, kind int, id long, code string"
+    # the attempt arrives a micro-batch before its code
+    batches = [[(1, "P", t0 + dt.timedelta(minutes=3), 1, 10, "a")], [(1, "P", t0, 0, 1, "a")],
+               [(1, "P", t0 + dt.timedelta(minutes=9), 1, 11, "a")], [(2, "P", t0 + dt.timedelta(days=1), 1, 12, "x")],
+               [(2, "P", t0 + dt.timedelta(days=2), 1, 13, "x")]]
+    import shutil
+    flat = tmp_path / "in"
+    flat.mkdir()
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+        name = next(n for n in os.listdir(tmp_path / f"b{i}") if n.endswith(".parquet"))
+        shutil.copy(tmp_path / f"b{i}" / name, flat / f"{i}.parquet")
+        os.utime(flat / f"{i}.parquet", (1000 + i, 1000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(flat))
+    out = match_tokens_stream(stream)
+    q = out.writeStream.outputMode("append").format("memory").queryName("expiry_out").start()
+    q.processAllAvailable()
+    rows = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    q.stop()
+    got = {r.attempt_id: (r.token_id, r.valid, r.matched) for r in spark.table("expiry_out").collect()}
+    assert got == {10: (1, True, True), 11: (1, True, False), 12: (None, False, False)}
+    assert rows == 1  # only the last attempt waits; the code of user 1 is gone
 
 
 def test_token_stream_equals_batch(spark, event_files):
@@ -66,7 +123,12 @@ def test_token_stream_equals_batch(spark, event_files):
     bshop = Shop(spark, SF_SMALL)
     batch = match_tokens(bshop.tokens_issued, bshop.token_attempts)
     cols = ["attempt_id", "token_id", "valid", "matched"]
-    assert _collect(streamed, cols) == _collect(batch, cols)
+    last = bshop.token_attempts.agg(F.max("attempted_at")).first()[0]
+    due = batch.where(F.col("attempted_at") < F.lit(last - dt.timedelta(minutes=40)))
+    as_text = lambda rows: sorted(map(str, rows))
+    got = as_text(tuple(r) for r in streamed.select(*cols).collect())
+    assert set(as_text(tuple(r) for r in due.select(*cols).collect())) <= set(got)
+    assert set(got) <= set(as_text(tuple(r) for r in batch.select(*cols).collect()))
 
 
 def test_rate_stream_equals_batch_up_to_watermark(spark, event_files):
@@ -75,7 +137,6 @@ def test_rate_stream_equals_batch_up_to_watermark(spark, event_files):
     bshop = Shop(spark, SF_SMALL)
     batch = rate_violations_batch(bshop.logins, 1)
     last = bshop.logins.agg(F.max("ts")).first()[0]
-    import datetime as dt
     cutoff = last - dt.timedelta(minutes=3)
     cols = ["user_id", "window_start", "requests"]
     assert _collect(streamed, cols) == _collect(batch.where(F.col("window_start") < F.lit(cutoff)), cols)
@@ -106,7 +167,6 @@ def test_trending_stream_equals_batch_up_to_watermark(spark, event_files, scratc
     batch = trending_windows_batch(bshop.search_events)
     got = spark.read.parquet(out)
     last = bshop.search_events.agg(F.max("searched_at")).first()[0]
-    import datetime as dt
     cutoff = last - dt.timedelta(minutes=10) - dt.timedelta(hours=1)
     cols = ["window_start", "term", "users", "rank"]
     exp = batch.where(F.col("window_start") <= F.lit(cutoff))

@@ -17,7 +17,7 @@ from cartograph.plans.registry import load_all  # noqa: E402
 from cartograph.session import get_session  # noqa: E402
 from cartograph.sources.shop import DRIVER_TABLES  # noqa: E402
 
-ALL_TABLES = DRIVER_TABLES + ("embeddings", "pages", "benchmark", "conversations")
+ALL_TABLES = DRIVER_TABLES + ("embeddings", "pages", "conversations")
 
 
 def norm(v):
