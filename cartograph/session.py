@@ -8,7 +8,7 @@ Every job in the library runs with the same few session rules:
 * adaptive query execution with skew-join splitting, so a hot key (a seller or
   user holding a third of all rows) is split at runtime;
 * streaming state kept in RocksDB, off the executor heap;
-* Arrow batches to Python of at most 2,000 rows and 16 MB;
+* Arrow batches to Python of at most 1,000 rows and 8 MB;
 * no web UI.
 
 ``checkpoint_dir`` reads ``spark.checkpoint.dir`` from the session. Only a
@@ -32,8 +32,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # texts can be long: bound what one Arrow batch holds on either side
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     # streaming state (lockout counters, codes in force, window counts) in
     # RocksDB instead of executor heap
     "spark.sql.streaming.stateStore.providerClass":
