@@ -56,7 +56,8 @@ def targets(sizes: DataFrame, repeats: int = REPEATS, weights: tuple = WEIGHTS)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        repeats: int = REPEATS, weights: tuple = WEIGHTS, row_col: str | None = None) -> DataFrame:
+        repeats: int = REPEATS, weights: tuple = WEIGHTS, row_col: str | None = None,
+        scratch: Scratch | None = None) -> DataFrame:
     """One row per document: ``(<id>, size, source_size, target, taken)`` and
     ``row_col`` if given.
 
@@ -71,7 +72,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     x = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
                     F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")).cast("binary")).alias("shuffle"),
                     *extra)
-    scratch = Scratch(docs.sparkSession, "mixing")
+    scratch = scratch or Scratch(docs.sparkSession, "mixing")
     x = scratch.save(x, "sizes")  # the texts are read once
     per_source = x.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     n, budget = per_source.agg(F.sum("n"), F.sum("source_size")).first()
@@ -96,14 +97,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                          "q.size", "q.source_size", "q.target", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed(docs: DataFrame, **names) -> DataFrame:
+def mixed(docs: DataFrame, scratch: Scratch | None = None, **names) -> DataFrame:
     """``docs`` with each document as often as the mix takes it (0 to
     ``repeats`` times), in the columns of ``docs``. Arguments as :func:`mix`."""
-    scratch = Scratch(docs.sparkSession, "mixing")
+    scratch = scratch or Scratch(docs.sparkSession, "mixing")
     row, times = fresh(docs, "row"), fresh(docs, "times")
     # stored, so that a row number is the same wherever it is read
     rows = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    took = mix(rows, row_col=row, **names).where("taken > 0") \
+    took = mix(rows, row_col=row, scratch=scratch, **names).where("taken > 0") \
         .select(row, F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))).alias(times))
     return rows.join(took, row).select(*docs.columns)
 

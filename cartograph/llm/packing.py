@@ -158,7 +158,7 @@ class Packed:
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = 0,
-         capacity: int = CAPACITY) -> Packed:
+         capacity: int = CAPACITY, scratch: Scratch | None = None) -> Packed:
     """Encode and pack every document of ``docs``.
 
     One row per piece: ``(<id>, piece, start, length, ids_crc32, sequence_id,
@@ -167,7 +167,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     no rows. Which of several pieces of one length takes which place depends on
     how the input is split into tasks; the plan itself does not.
     """
-    scratch = Scratch(docs.sparkSession, "packing")
+    scratch = scratch or Scratch(docs.sparkSession, "packing")
     width = 2 if max(end + 1, Tokenizer.from_file(tokenizer).get_vocab_size()) <= 1 << 16 else 4
     x = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = scratch.save(x.mapInArrow(pieces_of(tokenizer, end, capacity, width),

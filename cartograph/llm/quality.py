@@ -116,7 +116,7 @@ def thresholds(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return q.groupBy(*keys).agg(F.max("all").alias("n"), *cols)
 
 
-def judged(rows: DataFrame, m: str, lang: str, source: str) -> DataFrame:
+def judged(rows: DataFrame, m: str, lang: str, source: str, scratch: Scratch) -> DataFrame:
     """``rows`` with booleans ``base_failed`` and ``kept`` (as columns ``m``_base, ``m``_kept)."""
     sketch = sketches(rows.select(F.col(lang).alias("lang"), F.col(source).alias("source"), m), m)
     levels = [thresholds(sketch, ["lang", "source"]), thresholds(sketch, ["lang"]), thresholds(sketch, [])]
@@ -127,7 +127,8 @@ def judged(rows: DataFrame, m: str, lang: str, source: str) -> DataFrame:
     by = by.join(lang_level, F.col("g.lang").eqNullSafe(F.col("lang1"))).withColumn("l2", whole)
     chosen = F.when(F.col("l0.n") >= LEAST_GROUP, F.col("l0")).when(F.col("l1.n") >= LEAST_GROUP, F.col("l1")).otherwise(F.col("l2"))
     limit, g = f"{m}_limit", f"{m}_group"
-    by = by.select(F.col("g").alias(g), chosen.alias(limit))
+    # stored, so that the planner knows how small the table of thresholds is
+    by = scratch.save(by.select(F.col("g").alias(g), chosen.alias(limit)), "thresholds")
     base = (F.col(f"{m}.n_words") < LEAST_WORDS) | (F.col(f"{m}.n_repeat_words") * 100 > F.col(f"{m}.n_words") * MOST_REPEATED)
     fine = None
     for k, v in rates(m).items():
@@ -150,17 +151,18 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     scratch = Scratch(docs.sparkSession, "quality")
     rows = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
                                     measures(F.col(text_col)).alias("m")), "measures")
-    return judged(rows, "m", "lang", "source").select(
+    return judged(rows, "m", "lang", "source", scratch).select(
         F.col("id").alias(id_col), "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words",
         F.col("m_base").alias("base_failed"), F.col("m_kept").alias("kept"))
 
 
-def passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+            scratch: Scratch | None = None) -> DataFrame:
     """The documents of ``docs`` that :func:`rules` keeps, in its columns."""
-    scratch = Scratch(docs.sparkSession, "quality")
+    scratch = scratch or Scratch(docs.sparkSession, "quality")
     m = fresh(docs, "m")
     rows = scratch.save(docs.withColumn(m, measures(F.col(text_col))), "rows")
-    return judged(rows, m, lang_col, source_col).where(F.col(f"{m}_kept")).select(*[rows[c] for c in docs.columns])
+    return judged(rows, m, lang_col, source_col, scratch).where(F.col(f"{m}_kept")).select(*[rows[c] for c in docs.columns])
 
 
 def oracle(docs: str = "documents") -> str:

@@ -158,13 +158,13 @@ def classed(prints: DataFrame, scratch: Scratch, distance: int = DISTANCE) -> Da
     return prints.join(nodes.join(least, "label").select("fp", "label", "component_id"), "fp")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with one document of each class, the one with the smallest id.
 
     Of repeated rows with that id one stays. A class without any non-null id
     keeps one row too. The columns are those of ``docs``.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
+    scratch = scratch or Scratch(docs.sparkSession, "simhash")
     fp, row = fresh(docs, "fp"), fresh(docs, "row")
     # stored, so that a row number is the same wherever it is read
     rows = scratch.save(docs.withColumn(fp, fingerprint_column(text_col)).withColumn(row, F.monotonically_increasing_id()),

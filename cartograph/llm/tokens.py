@@ -45,11 +45,6 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 CUTS = ((f"([{LATIN}])([{re.escape(MARKS)}])", "\\1 \x01\\2"),
         (f"([^{SPACES}])\n([^{SPACES}])", "\\1 \x01\n \x01\\2"))
 LEAD, NONE = pa.scalar("\x01", pa.large_string()), pa.scalar("", pa.large_string())
-#: Parts kept between batches; past this many the table starts again.
-KEPT = 500_000
-#: Longer parts are not kept.
-KEPT_LENGTH = 64
-
 # Byte-level tokenizers write a byte that is no visible Latin-1 character as
 # the next character from U+0100 on.
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -69,7 +64,6 @@ class Encoder:
         # the lower-casing kind drops spaces, the other takes one into the token
         self.space = "" if self.lower else BYTES[32]
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
         self.end = array("I", [end]).tobytes()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -81,15 +75,9 @@ class Encoder:
 
     def _parts(self, parts: list[str]) -> list[bytes]:
         """Ids of different parts; one that starts with \\x01 follows no space."""
-        known = self.known
-        if len(known) > KEPT:
-            known.clear()
-        found = list(map(known.get, parts))
+        out: list[bytes] = [b""] * len(parts)
         tokenize, space, whole = self.model.tokenize, self.space, []
-        for i, ids in enumerate(found):
-            if ids is not None:
-                continue
-            p = parts[i]
+        for i, p in enumerate(parts):
             lead, text = ("", p[1:]) if p[:1] == "\x01" else (space, p)
             if LETTERS(text):
                 text = text.lower() if self.lower else text
@@ -99,17 +87,12 @@ class Encoder:
                 whole.append(i)
                 continue
             elif not text:
-                found[i] = known[p] = b""
                 continue
-            ids = found[i] = array("I", [t.id for t in tokenize(lead + text)]).tobytes()
-            if len(p) <= KEPT_LENGTH:
-                known[p] = ids
+            out[i] = array("I", [t.id for t in tokenize(lead + text)]).tobytes()
         texts = [parts[i][1:] if parts[i][0] == "\x01" else " " + parts[i] for i in whole]
         for i, ids in zip(whole, self._whole(texts)):
-            found[i] = ids
-            if len(parts[i]) <= KEPT_LENGTH:
-                known[parts[i]] = ids
-        return found
+            out[i] = ids
+        return out
 
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: empty), the end id after each, and the
@@ -158,7 +141,7 @@ def encoder(path: str, end: int = 0) -> Encoder:
 
 
 #: Bytes of text encoded at once; bounds the memory of a batch of long texts.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 
 
 def runs(texts: pa.Array):
