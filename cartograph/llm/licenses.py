@@ -69,7 +69,9 @@ def hashes(words: Column) -> Column:
 
 def texts(words: Column) -> Column:
     """Every shingle as text."""
-    return F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " "))
+    places = F.sequence(F.lit(0), F.size(words) - SHINGLE)
+    return F.when(F.size(words) < SHINGLE, F.array().cast("array<string>")).otherwise(
+        F.transform(places, lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " ")))
 
 
 def minimum(shingles: Column, band: Column) -> Column:

@@ -66,12 +66,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits, and its verdict; nulls if none does."""
-    rule = verdict = None
+    rule = verdict = F.lit(None).cast("string")
     for name, what in sorted(rules, key=lambda r: (len(r[0]), r[0])):
         domain, _, start = name.partition("/")
         fits = ((host == domain) | host.endswith("." + domain)) & path.startswith("/" + start)
-        rule = F.when(fits, F.lit(name)).otherwise(F.lit(None).cast("string") if rule is None else rule)
-        verdict = F.when(fits, F.lit(what)).otherwise(F.lit(None).cast("string") if verdict is None else verdict)
+        rule = F.when(fits, F.lit(name)).otherwise(rule)
+        verdict = F.when(fits, F.lit(what)).otherwise(verdict)
     return rule, verdict
 
 
