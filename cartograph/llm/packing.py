@@ -106,18 +106,15 @@ def pieces_of(path: str, end: int, capacity: int, width: int):
 
     def run(batches):
         encode, task, seen = encoder(path, end), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for b in batches:
-            ids, texts = b.column("id").to_pylist(), b.column("text")
-            for lo, hi in runs(texts):
-                rows = []
-                for doc, tokens in zip(ids[lo:hi], encode.batch(texts[lo:hi])):
-                    for k, start in enumerate(range(0, len(tokens), capacity)):
-                        part = tokens[start:start + capacity].astype("<u4").tobytes()
-                        n = len(part) // 4
-                        rows.append((doc, k, start, n, part if width == 4 else tokens[start:start + capacity].astype("<u2").tobytes(),
-                                     zlib.crc32(part), task, int(seen[n])))
-                        seen[n] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        for ids, texts in runs(batches):
+            rows = []
+            for doc, tokens in zip(ids, encode.batch(texts)):
+                for k, start in enumerate(range(0, len(tokens), capacity)):
+                    part = tokens[start:start + capacity].astype("<u4")
+                    n = len(part)
+                    rows.append((doc, k, start, n, part.astype(f"<u{width}").tobytes(), zlib.crc32(part), task, int(seen[n])))
+                    seen[n] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
     return run
 
 

@@ -140,17 +140,34 @@ def encoder(path: str, end: int = 0) -> Encoder:
     return _ENCODERS[path, end]
 
 
-#: Bytes of text encoded at once; bounds the memory of a batch of long texts.
-TEXT_BYTES = 4 << 20
-
-
-def runs(texts: pa.Array):
-    """Index ranges of ``texts`` of about ``TEXT_BYTES``."""
-    start = size = 0
-    for i, n in enumerate(pc.binary_length(texts.fill_null("")).to_pylist()):
-        size += n + 1
-        if size >= TEXT_BYTES:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+#: Bytes of text encoded at once: enough to find parts again, few enough to
+#: bound the memory of a batch of long texts.
+TEXT_BYTES = 12 << 20
+
+
+def runs(batches):
+    """Arrow batches of (id, text) as lists of ids and arrays of texts of about
+    ``TEXT_BYTES`` (a longer text is alone)."""
+    ids, texts, size = [], [], 0
+
+    def run():
+        nonlocal ids, texts, size
+        out = ids, pa.concat_arrays(texts)
+        ids, texts, size = [], [], 0
+        return out
+
+    for b in batches:
+        own, column = b.column("id").to_pylist(), b.column("text")
+        start = 0
+        for i, n in enumerate(pc.binary_length(column.fill_null("")).to_pylist()):
+            size += n + 1
+            if size >= TEXT_BYTES:
+                ids += own[start:i + 1]
+                texts.append(column[start:i + 1])
+                yield run()
+                start = i + 1
+        if start < len(own):
+            ids += own[start:]
+            texts.append(column[start:])
+    if ids:
+        yield run()

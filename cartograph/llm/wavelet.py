@@ -25,6 +25,7 @@ shard, so they live wherever Spark writes, commits and retries included.
 from __future__ import annotations
 
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -186,15 +187,13 @@ def shards_of(path: str, end: int, shard_tokens: int):
             ids, tokens, size, number = [], [], 0, number + 1
             return row
 
-        for b in batches:
-            own, texts = b.column("id").to_pylist(), b.column("text")
-            for lo, hi in runs(texts):
-                for doc, t in zip(own[lo:hi], encode.batch(texts[lo:hi])):
-                    ids.append(doc)
-                    tokens.append(t)
-                    size += len(t)
-                    if size >= shard_tokens:
-                        yield shard()
+        for own, texts in runs(batches):
+            for doc, t in zip(own, encode.batch(texts)):
+                ids.append(doc)
+                tokens.append(t)
+                size += len(t)
+                if size >= shard_tokens:
+                    yield shard()
         if ids:
             yield shard()
     return run
@@ -219,22 +218,23 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
         .write.parquet(path)
 
 
-def documents_of(batches):
-    """mapInArrow: payloads to one row per document."""
-    schema = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("place", pa.int32()), ("id", pa.int64()),
-                        ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-    for b in batches:
-        for part, number, nulls, payload in zip(*(b.column(c).to_pylist() for c in ("part", "number", "null_ids", "payload"))):
-            m = Matrix(payload)
-            tokens, starts = m.tokens().astype("<u4"), np.concatenate(([0], m.ends[:-1]))
-            ids = m.doc_ids.tolist()
-            for i in nulls:
-                ids[i] = None
-            k = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * k, pa.int32()), pa.array([number] * k, pa.int32()), pa.array(range(k), pa.int32()),
-                 pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(m.ends - starts, pa.int64()),
-                 pa.array([tokens[s:e].tobytes() for s, e in zip(starts, m.ends)], pa.binary())], schema=schema)
+def documents_of(digest: bool):
+    """mapInArrow: payloads to one row per document, with its ids or their checksum."""
+    def run(batches):
+        for b in batches:
+            for part, number, nulls, payload in zip(*(b.column(c).to_pylist() for c in ("part", "number", "null_ids", "payload"))):
+                m = Matrix(payload)
+                tokens, starts = m.tokens().astype("<u4"), np.concatenate(([0], m.ends[:-1]))
+                ids = m.doc_ids.tolist()
+                for i in nulls:
+                    ids[i] = None
+                own = [tokens[s:e] for s, e in zip(starts, m.ends)]
+                last = pa.array([zlib.crc32(t) for t in own], pa.int64()) if digest else pa.array([t.tobytes() for t in own], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * len(ids), pa.int32()), pa.array([number] * len(ids), pa.int32()), pa.array(ids, pa.int64()),
+                     pa.array(starts, pa.int64()), pa.array(m.ends - starts, pa.int64()), last],
+                    names=["part", "number", "id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
+    return run
 
 
 def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
@@ -252,9 +252,8 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     first = sizes.withColumn("shards", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(parts, "part") \
         .select("part", "number", (F.col("parts") + F.col("shards")).alias("first"))
     rows = shards.select("part", "number", "null_ids", "payload").mapInArrow(
-        documents_of, "part int, number int, place int, id long, start long, n_tokens long, ids binary")
-    if digest:
-        rows = rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+        documents_of(digest),
+        f"part int, number int, id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
     return rows.join(first, ["part", "number"]).withColumn("start", F.col("first") + F.col("start")) \
         .select("id", "start", "n_tokens", "ids_crc32" if digest else "ids")
 
