@@ -41,9 +41,8 @@ class Scratch:
 
 
 def fresh(df: DataFrame, name: str) -> str:
-    """``name``, made longer until ``df`` has no such column."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
+    """``name``, made longer until no column of ``df`` starts with it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
         name += "_"
     return name
 

@@ -54,8 +54,8 @@ def sample():
 
 @pytest.mark.parametrize("rows", [sample(), sample()[120:123], []])
 def test_matches_sql_and_plain_counts(spark, rows):
-    df = spark.createDataFrame([(*r, "x", 1) for r in rows],
-                               "doc_id long, text string, lang string, source string, m string, kept int")
+    df = spark.createDataFrame([(*r, "x", 1, "g", "l") for r in rows], "doc_id long, text string, lang string, "
+                               "source string, m string, kept int, m_group string, m_limit string")
     got = rows_of(quality.rules(df))
     assert got == by_oracle(rows)
     assert sorted((r[0], *r[1:6]) for r in got if r[0] is not None) == sorted(
