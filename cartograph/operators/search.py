@@ -55,6 +55,8 @@ def match_all_terms(postings: DataFrame, queries: DataFrame, id_col: str = "quer
         .where(F.size("qset") > 0)
     sets = keyed.select("qset").distinct()
     terms = sets.select("qset", F.size("qset").alias("n_terms"), F.explode("qset").alias("term"))
+    # only postings of terms that some query holds
+    postings = postings.join(terms.select("term").distinct(), "term", "left_semi")
     freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     ranked = terms.join(freq, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rarest = ranked.groupBy("qset", "n_terms").agg(

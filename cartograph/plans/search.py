@@ -45,17 +45,17 @@ def fts_2(spark, sf_dir):
 
 
 @register("fts_2_search_events", oracle=f"""
-    WITH q AS (SELECT event_id AS query_id, {lexemes_sql('query')} AS v FROM shop_search_events),
+    WITH q AS (SELECT query, {lexemes_sql('query')} AS v FROM (SELECT DISTINCT query FROM shop_search_events)),
     d AS (SELECT id AS doc_id, {lexemes_sql("coalesce(name, '') || ' ' || coalesce(description, '')")}
                  AS v FROM shop_products)
-    SELECT q.query_id, d.doc_id FROM q, d WHERE len(q.v) > 0 AND list_has_all(d.v, q.v)""")
+    SELECT q.query, d.doc_id FROM q, d WHERE len(q.v) > 0 AND list_has_all(d.v, q.v)""")
 def fts_2_events(spark, sf_dir):
+    """Products that match each different search text; events look theirs up."""
     shop = Shop(spark, sf_dir)
     postings = stash(S.build_postings(shop.products, "id", ["name", "description"]),
                      "product_postings")
-    queries = shop.search_events.select(F.col("event_id").alias("query_id"),
-                                        F.col("query").alias("text"))
-    return S.match_all_terms(postings, queries)
+    queries = shop.search_events.select("query").distinct()
+    return S.match_all_terms(postings, queries, "query", "query").withColumnRenamed("query_id", "query")
 
 
 SEARCH_Q = "Red Rings"
