@@ -107,22 +107,28 @@ class Encoder:
         for pattern, put in CUTS:
             marked = pc.replace_substring_regex(marked, pattern, put)
         cut = pc.split_pattern(pc.binary_join_element_wise(LEAD, marked, NONE), " ")
+        del marked
         first = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
-        table = self._parts(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        at = coded.indices.to_numpy().astype(np.int64)
+        del cut
+        at, parts = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        del coded
+        table = self._parts(parts)
         at[first[odd]] = len(table) + np.arange(len(odd))
         table += self._whole([texts[int(i)].as_py() for i in odd])
         table.append(self.end)
         last = np.append(first[1:], len(at))
         at = np.insert(at, last, len(table) - 1)
-        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        start = np.cumsum(size) - size
+        # a batch has far under 2 ** 31 ids
+        size = np.fromiter(map(len, table), np.int32, len(table)) // 4
+        start = np.cumsum(size, dtype=np.int32) - size
         each = size[at]
-        end = np.cumsum(each)
-        place = np.repeat((start[at] - (end - each)).astype(np.int32), each)  # a batch has far under 2 ** 31 ids
+        end = np.cumsum(each, dtype=np.int32)
+        place = np.repeat(start[at] - end + each, each)
         place += np.arange(len(place), dtype=np.int32)
-        return np.frombuffer(b"".join(table), "<u4")[place], end[last + np.arange(n)]
+        out = np.frombuffer(b"".join(table), "<u4")[place], end[last + np.arange(n)].astype(np.int64)
+        pa.default_memory_pool().release_unused()
+        return out
 
     def batch(self, texts) -> list[np.ndarray]:
         """One uint32 array of ids, the end id included, for every text."""
