@@ -28,7 +28,9 @@ BLOCK_WORDS = ["casino", "poker-online", "slots-bonus", "sportsbet", "betting-ti
                "porn-tube", "xxx-cams", "sexchat", "escort-dates", "hookup", "spam-mail", "spamlinks", "linkfarm",
                "link-farm", "ads-server", "adtracker", "click-track", "popunder-ads", "free-iphone", "win-prize",
                "free-money", "payday-loan", "crypto-doubler", "warez", "crackz", "torrent-keygen", "free-download-crack",
-               "replica-watches", "seo-backlinks", "clickbait", "malware-load"]
+               "replica-watches", "seo-backlinks", "clickbait", "malware-load", "pills-store", "buy-pills",
+               "my-pills", "online-casino", "free-slots", "bets-online", "sex-videos", "adult-chat", "ad-network",
+               "track-clicks", "spam-blog", "torrent-movies", "fast-loans", "poker-room"]
 ALLOW_WORDS = ["library", "museum", "university", "city-council", "weather", "newspaper", "daily-news", "magazine", "science",
                "physics", "biology", "medicine-journal", "history", "archive", "encyclopedia", "dictionary", "recipes",
                "cooking", "garden", "travel", "maps", "hiking", "school", "teachers", "students", "research", "institute",
@@ -40,11 +42,12 @@ PLACES = ["www.{}.org/en/{}", "blog.{}.net/{}.html", "{}.example.org/de/{}", "m.
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """``(url, 1 for block)``: every word at two of the places, in turn."""
+    """``(url, 1 for block)``: every word at each of the places, so that the
+    places themselves tell nothing."""
     rows = []
     for label, words in ((1, BLOCK_WORDS), (0, ALLOW_WORDS)):
         for i, w in enumerate(words):
-            rows += [("https://" + PLACES[(i + k) % len(PLACES)].format(w, 100 + 7 * i), label) for k in (0, 1)]
+            rows += [("https://" + place.format(w, 100 + 7 * i), label) for place in PLACES]
     return rows
 
 
