@@ -1,24 +1,28 @@
-"""Near-duplicate vectors by randomised-rotation binary codes.
-
-A unit vector o is rotated at random and kept as the signs of its coordinates:
-the code s, with s / sqrt(D) the nearest corner of the unit cube's sphere, and
-the correction factor f = <s / sqrt(D), P o>. For another unit vector q,
-<s / sqrt(D), P q> / f estimates <o, q> without bias over the rotation, and
-its error stays within e * sqrt((1 - f^2) / f^2 / (D - 1)) but for a
-probability that falls with e. Codes of ``ROTATIONS`` rotations are kept and
-their estimates averaged. A pair whose upper bound is under the threshold is
-dropped; every other pair is computed exactly, in double precision.
-
-Which pairs are looked at: the first ``BANDS * bits`` bits of the codes are cut
-into bands, and vectors that agree in a band share a bucket. Two vectors at the
-threshold agree in a bit with probability 1 - arccos(t) / pi, so the number of
-bands follows from the bits of a band and the chance of a miss, ``MISS``. Bands
-have more bits the more vectors there are, so that buckets stay small.
-
-A pair is counted in the first band in which it agrees. A bucket of more than
-``MOST`` vectors is dealt into tiles of pairs of its parts. Buckets return
-counts and a tree of links, never pairs. Equal vectors are one node with a
-number of copies from the start.
+"""Near-duplicate vectors by exact angle bounds and randomised-rotation codes.
+
+Every pair of vectors is decided; a bound only ever drops pairs that cannot be
+a link.
+
+A few vectors of the table are pivots. Vectors lie in blocks of their nearest
+pivot, at most about ``MOST`` to a block, and a block keeps the least and the
+greatest angle of its members to each pivot. Angles obey the triangle
+inequality, so two blocks whose angles to some pivot lie further apart than
+the threshold's angle hold no link between them; all other pairs of blocks,
+and each block with itself, are a tile. Which vectors are pivots changes the
+number of tiles, not the result.
+
+Inside a tile, a unit vector o is rotated at random and kept as the signs of
+its coordinates: the code s, with c = s / sqrt(D) the nearest corner of the
+unit cube's sphere, and the factor f = <c, P o>. A unit vector q at an angle of
+at most t to o has an angle of at most arccos(f) + t to the code, so a pair with
+a smaller <c, P q> is dropped. Where few pairs are left they are computed in
+double precision. Else the products are taken in single precision, and those
+that its rounding error leaves open again in double precision.
+
+Tiles return counts and a tree of links, never pairs. Equal vectors are one
+node with a number of copies from the start. Vectors without clusters leave
+nothing for the pivots to drop: then the products grow with the square of the
+number of different vectors.
 """
 
 from __future__ import annotations
@@ -34,15 +38,14 @@ from pyspark.sql import functions as F
 from cartograph.llm.common import Scratch, components
 
 THRESHOLD = 0.9
-ROTATIONS = 3
-#: Standard errors within which an estimate is trusted.
+#: Standard errors that hold the estimate by a code (see the tests); no pair is
+#: dropped by them.
 ERRORS = 4.5
-#: Probability that a pair at the threshold shares no band.
-MISS = 1e-3
-#: Vectors in a bucket that the bits of a band aim at.
-BUCKET = 128
-LEAST_BITS = 8
-MOST = 1024
+#: Vectors of a block.
+MOST = 4096
+#: Fewest and most pivots, and the vectors they are picked from.
+PIVOTS = (16, 256)
+SAMPLE = 1024
 SEED = 29
 
 
@@ -52,11 +55,6 @@ def rotations(dim: int, count: int) -> np.ndarray:
     return np.stack([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(count)])
 
 
-def bands_for(bits: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
-    agree = (1 - math.acos(threshold) / math.pi) ** bits
-    return math.ceil(math.log(miss) / math.log(1 - agree))
-
-
 _ROTATED: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -74,89 +72,122 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def codes(x: np.ndarray, count: int, bits: int, bands: int):
-    """Signs for the bands and for the estimates, and the factors."""
-    dim = x.shape[1]
-    need = max(count, -(-bits * bands // dim))
-    turned = x @ np.concatenate(rotated(dim, need), axis=1)
-    signs = turned >= 0
-    t = turned[:, :count * dim].reshape(len(x), count, dim)
-    factors = np.abs(t).sum(axis=2) / math.sqrt(dim)
-    return signs, factors
+def pick_pivots(vectors: list, count: int) -> dict[int, np.ndarray]:
+    """Up to ``count`` unit vectors per length, each far from those before it."""
+    found = {}
+    for dim in {len(v) for v in vectors}:
+        x = unit(np.array([v for v in vectors if len(v) == dim]))
+        at, nearest = [0], x @ x[0]
+        while len(at) < min(count, len(x)):
+            at.append(int(nearest.argmin()))
+            nearest = np.maximum(nearest, x @ x[at[-1]])
+        found[dim] = x[at]
+    return found
+
 
+def angles(x: np.ndarray, pivots: dict[int, np.ndarray]) -> np.ndarray:
+    """Angle of every row to every pivot of its length; without any, one column of zeros."""
+    own = pivots.get(x.shape[1])
+    return np.zeros((len(x), 1)) if own is None else np.arccos(np.clip(x @ own.T, -1, 1))
 
-def coded(count: int, bits: int, bands: int, kind: str):
-    """mapInArrow: (cid, vector) to (cid, dim, vector as ``kind``, code, factors, keys)."""
-    schema = pa.schema([("cid", pa.int64()), ("dim", pa.int32()), ("vector", pa.binary()), ("code", pa.binary()),
-                        ("factors", pa.binary()), ("keys", pa.list_(pa.int32()))])
+
+def nearest_pivot(pivots: dict[int, np.ndarray], kind: str):
+    """mapInArrow: (cid, copies, vector) to (cid, copies, dim, pivot, vector as ``kind``)."""
+    schema = pa.schema([("cid", pa.int64()), ("copies", pa.int64()), ("dim", pa.int32()), ("pivot", pa.int32()), ("vector", pa.binary())])
 
     def run(batches):
-        weights = 1 << np.arange(bits)
         for b in batches:
-            cid = b.column("cid").to_numpy()
+            cid, copies = b.column("cid").to_numpy(), b.column("copies").to_numpy()
             vectors = b.column("vector").to_pylist()
             dims = np.array([len(v) for v in vectors])
             for dim in np.unique(dims):
-                own = np.flatnonzero(dims == dim)
-                for i in range(0, len(own), 4096):
-                    at = own[i:i + 4096]
-                    raw = np.array([vectors[j] for j in at], kind)
-                    x = unit(raw)
-                    signs, factors = codes(x, count, bits, bands)
-                    keys = signs[:, :bits * bands].reshape(len(at), bands, bits) @ weights
-                    packed = np.packbits(signs[:, :count * dim], axis=1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cid[at]), pa.array([dim] * len(at), pa.int32()), pa.array([r.tobytes() for r in raw], pa.binary()),
-                         pa.array([r.tobytes() for r in packed], pa.binary()),
-                         pa.array([r.tobytes() for r in factors.astype(np.float32)], pa.binary()),
-                         pa.array(keys.astype(np.int32).tolist(), pa.list_(pa.int32()))], schema=schema)
+                at = np.flatnonzero(dims == dim)
+                raw = np.array([vectors[j] for j in at], kind)
+                pivot = angles(unit(raw), pivots).argmin(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cid[at]), pa.array(copies[at]), pa.array([dim] * len(at), pa.int32()), pa.array(pivot.astype(np.int32)),
+                     pa.array([r.tobytes() for r in raw], pa.binary())], schema=schema)
     return run
 
 
-def tile_links(threshold: float, count: int, errors: float, kind: str):
-    """applyInPandas on a tile: links counted and a tree of them, per member."""
+def block_of(pivots: dict[int, np.ndarray], kind: str):
+    """applyInPandas on the members of a block: one row with all of them."""
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        dim, band, left, right = int(key[0]), int(key[1]), int(key[3]), int(key[4])
+        dim = int(key[0])
         pdf = pdf.sort_values("cid")
-        cid, copies = pdf["cid"].to_numpy(), pdf["copies"].to_numpy()
-        part = pdf["part"].to_numpy()
-        x = unit(np.frombuffer(b"".join(pdf["vector"]), kind).reshape(-1, dim))
-        code = np.frombuffer(b"".join(pdf["code"]), np.uint8).reshape(len(x), -1)
-        factors = np.frombuffer(b"".join(pdf["factors"]), np.float32).reshape(len(x), count)
-        keys = np.stack(pdf["keys"].to_numpy())[:, :band]
-        signs = np.unpackbits(code, axis=1)[:, :count * dim].astype(np.float32) * 2 - 1
-        turned = (x @ np.concatenate(rotated(dim, count), axis=1)).astype(np.float32)
-        first, second = (np.arange(len(x)),) * 2 if left == right else (np.flatnonzero(part == left), np.flatnonzero(part == right))
-        links, a, b = np.zeros(len(x), np.int64), [], []
-        spread = np.sqrt(np.maximum(0, 1 - factors ** 2) / factors ** 2 / max(1, dim - 1))
-        bound = errors * np.sqrt((spread ** 2).sum(axis=1)) / count
-        scaled = [signs[:, r * dim:(r + 1) * dim] / (math.sqrt(dim) * count * factors[:, r:r + 1]) for r in range(count)]
-        for i in range(0, len(first), 256):
-            rows = first[i:i + 256]
-            # the estimates of <o, q>: o (rows) by its code, q (second) in full
-            estimate = sum(scaled[r][rows] @ turned[second, r * dim:(r + 1) * dim].T for r in range(count))
-            p, q = np.nonzero(estimate + bound[rows, None] >= threshold)
-            p, q = rows[p], second[q]
-            if left == right:
-                p, q = p[p < q], q[p < q]
-            for k in range(0, len(p), 1 << 16):
-                pp, qq = p[k:k + (1 << 16)], q[k:k + (1 << 16)]
-                good = np.einsum("ij,ij->i", x[pp], x[qq]) >= threshold
-                if band:
-                    good[good] = ~(keys[pp[good]] == keys[qq[good]]).any(axis=1)
-                a.append(pp[good])
-                b.append(qq[good])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        links += np.bincount(a, copies[b], len(x)).astype(np.int64) + np.bincount(b, copies[a], len(x)).astype(np.int64)
-        root = np.arange(len(x))
-        while len(a):
-            new = root.copy()
-            np.minimum.at(new, a, root[b])
-            np.minimum.at(new, b, root[a])
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
+        vectors = b"".join(pdf["vector"])
+        to = angles(unit(np.frombuffer(vectors, kind).reshape(-1, dim)), pivots)
+        return pd.DataFrame({"dim": [dim], "block": [pdf["cid"].iloc[0]], "low": [to.min(axis=0).tolist()], "high": [to.max(axis=0).tolist()],
+                             "cids": [pdf["cid"].to_numpy("<i8").tobytes()], "copies": [pdf["copies"].to_numpy("<i8").tobytes()],
+                             "vectors": [vectors]})
+    return run
+
+
+def united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root`` (every node's smallest known node of its component) with links a - b."""
+    while True:
+        a, b = root[a], root[b]
+        open_ = a != b
+        if not open_.any():
+            return root
+        a, b = a[open_], b[open_]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+#: Pairs computed at once in double precision.
+PAIRS = 1 << 16
+
+
+def tile_links(threshold: float, kind: str):
+    """applyInPandas on a tile of one or two blocks: links counted and a tree
+    of them, per member."""
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        dim, n = int(pdf["dim"].iloc[0]), len(pdf["cids"].iloc[0]) // 8
+        cid, copies = (np.frombuffer(b"".join(pdf[c]), "<i8") for c in ("cids", "copies"))
+        raw = np.frombuffer(b"".join(pdf["vectors"]), kind).reshape(-1, dim)
+        x = unit(raw)
+        one = len(pdf) == 1
+        second = slice(0, n) if one else slice(n, len(x))
+        base = second.start
+        turned = x @ rotated(dim, 1)[0]
+        signs = np.where(turned[:n] >= 0, 1, -1).astype(np.float32)
+        factor = np.minimum(1, np.abs(turned[:n]).sum(axis=1) / math.sqrt(dim))
+        turned, single = (turned[second] / math.sqrt(dim)).astype(np.float32), x.astype(np.float32)
+        # more than single precision can be off in a product of unit vectors
+        slack = (dim + 16) * 2.0 ** -23
+        least = np.cos(np.minimum(math.pi, np.arccos(factor) + math.acos(max(-1, min(1, threshold))))) - slack
+        least = least.astype(np.float32)
+        links, root = np.zeros(len(x), np.int64), np.arange(len(x))
+
+        def exact(p, q):
+            good = [np.einsum("ij,ij->i", x[p[k:k + PAIRS]], x[q[k:k + PAIRS]]) >= threshold for k in range(0, len(p), PAIRS)]
+            return np.concatenate(good) if good else np.zeros(0, bool)
+
+        for i in range(0, n, 256):
+            rows = slice(i, min(n, i + 256))
+            maybe = signs[rows] @ turned.T >= least[rows, None]
+            if one:
+                maybe &= np.arange(n) > np.arange(rows.start, rows.stop)[:, None]
+            left = np.count_nonzero(maybe)
+            if 32 * left > maybe.size:
+                product = single[rows] @ single[second].T
+                maybe &= product >= threshold - slack
+                p, q = np.nonzero(maybe & (product < threshold + slack))
+                good = exact(p + i, q + base)
+                maybe[p[~good], q[~good]] = False
+                p, q = np.nonzero(maybe)
+                p, q = p + i, q + base
+            else:
+                p, q = np.nonzero(maybe)
+                p, q = p + i, q + base
+                good = exact(p, q)
+                p, q = p[good], q[good]
+            if len(p):
+                links += np.bincount(p, copies[q], len(x)).astype(np.int64) + np.bincount(q, copies[p], len(x)).astype(np.int64)
+                root = united(root, p, q)
         own = links > 0
         return pd.DataFrame({"cid": cid[own], "root": cid[root[own]], "links": links[own]})
     return run
@@ -189,22 +220,28 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # stored, so that the number of a class is the same wherever it is read
     classes = scratch.save(good.groupBy("vector").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
                            .withColumn("cid", F.monotonically_increasing_id()), "classes")
-    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, classes.count()) / BUCKET)))
-    bands = bands_for(bits, threshold)
-    code = scratch.save(classes.select("cid", "vector").mapInArrow(
-        coded(ROTATIONS, bits, bands, kind), "cid long, dim int, vector binary, code binary, factors binary, keys array<int>"), "codes")
-    keyed = code.select("cid", "dim", F.posexplode("keys").alias("band", "key"))
-    by = ["dim", "band", "key"]
-    sizes = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1") \
-        .withColumn("parts", F.ceil(F.col("n") / most).cast("int"))
-    part = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
-    tiles = keyed.join(sizes, by).withColumn("part", part) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))) \
-        .select("cid", *by, "part", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"))
-    payload = code.drop("dim").join(classes.select("cid", "copies"), "cid")
+    few, many = PIVOTS
+    sample = [r.vector for r in classes.select("vector").orderBy(F.xxhash64("cid")).limit(SAMPLE).collect()]
+    pivots = pick_pivots(sample, min(many, max(few, 2 * classes.count() // most)))
+    near = scratch.save(classes.select("cid", "copies", "vector").mapInArrow(
+        nearest_pivot(pivots, kind), "cid long, copies long, dim int, pivot int, vector binary"), "near")
+    sizes = near.groupBy("dim", "pivot").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
+    blocks = scratch.save(
+        near.join(sizes, ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+        .groupBy("dim", "pivot", "part").applyInPandas(
+            block_of(pivots, kind), "dim int, block long, low array<double>, high array<double>, cids binary, copies binary, vectors binary"),
+        "blocks")
+    # the slack is far above the rounding error of an angle
+    apart = math.acos(max(-1, min(1, threshold))) + 1e-6
+    a, b = (blocks.select("dim", F.col("block").alias(f"{s}_block"), F.col("low").alias(f"{s}_low"), F.col("high").alias(f"{s}_high"))
+            for s in ("left", "right"))
+    gaps = F.zip_with("left_low", "right_high", lambda x, y: x - y), F.zip_with("right_low", "left_high", lambda x, y: x - y)
+    tiles = a.join(b, "dim").where("left_block <= right_block") \
+        .where((F.array_max(gaps[0]) <= apart) & (F.array_max(gaps[1]) <= apart)) \
+        .select("left_block", "right_block", F.explode(F.array_distinct(F.array("left_block", "right_block"))).alias("block"))
     found = scratch.save(
-        tiles.join(payload, "cid").groupBy(*by, "left", "right")
-        .applyInPandas(tile_links(threshold, ROTATIONS, ERRORS, kind), "cid long, root long, links long"), "links")
+        tiles.join(blocks.drop("low", "high"), "block").groupBy("left_block", "right_block")
+        .applyInPandas(tile_links(threshold, kind), "cid long, root long, links long"), "links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     label = components(found.where("cid != root").select(F.col("cid").alias("a"), F.col("root").alias("b")), scratch)
     nodes = classes.join(links, "cid", "left").join(label.withColumnRenamed("node", "cid"), "cid", "left") \

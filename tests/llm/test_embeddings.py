@@ -89,3 +89,19 @@ def test_estimates_are_unbiased_and_bounded():
         errors.append(e)
         inside += abs(e) <= embeddings.ERRORS * np.sqrt((1 - f * f) / f / f / (dim - 1))
     assert abs(np.mean(errors)) < 3 * np.std(errors) / 20 and inside >= 399
+
+
+@pytest.mark.parametrize("most", [4096, 100])
+def test_no_link_of_a_large_cluster_around_the_threshold_is_lost(spark, most):
+    rng = np.random.default_rng(7)
+    hot = rng.standard_normal(64)
+    x = np.concatenate([hot + 0.335 * rng.standard_normal((1200, 64)), rng.standard_normal((300, 64))]).astype(np.float32)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    unit = embeddings.unit(x)
+    cosines = unit @ unit.T
+    linked = cosines >= 0.9
+    np.fill_diagonal(linked, False)
+    assert linked.sum() > 100_000 and (abs(cosines - 0.9) < 0.01).sum() > 100_000
+    links = {r.vec_id: r.n_links for r in embeddings.near_duplicates(
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>"), most=most).collect()}
+    assert [links[i] for i in range(len(x))] == linked.sum(axis=1).tolist()
