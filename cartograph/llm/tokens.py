@@ -10,7 +10,7 @@ The cuts are before a space that precedes a visible character, between an ASCII
 or Latin-1 letter and an ASCII mark, and around a line end between visible
 characters. Parts that are all letters or all marks go to the library's model,
 other parts are encoded whole, and so is a text with a space before other white
-space, or at its end. ``tests/llm/test_tokens.py`` holds this against encoding
+space, or at its end, or with the string of an added token. ``tests/llm/test_tokens.py`` holds this against encoding
 whole texts.
 
 The cuts are exact for the two kinds of tokenizer used here, byte-level ones
@@ -53,11 +53,15 @@ BYTES = {b: chr(256 + i) for i, b in enumerate(_REST)}
 
 
 class Encoder:
-    """Ids of texts by the tokenizer file ``path``; ``end`` is put after each."""
+    """Ids of texts by the tokenizer file ``path``; ``end`` is put after each.
+    Strings of added tokens, like ``<|endoftext|>``, are ordinary text, or with
+    ``added`` those tokens, as in the library's plain call."""
 
-    def __init__(self, path: str, end: int = 0):
+    def __init__(self, path: str, end: int = 0, added: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        known = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.uncut = "|".join([UNCUT, *map(re.escape, known)])
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.lower = "Lowercase" in json.dumps(json.loads(self.tokenizer.to_str())["normalizer"])
@@ -101,7 +105,7 @@ class Encoder:
         if not n:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         texts = texts.fill_null("").cast(pa.large_string())
-        uncut = pc.match_substring_regex(texts, UNCUT)
+        uncut = pc.match_substring_regex(texts, self.uncut)
         odd = np.flatnonzero(uncut.to_numpy(zero_copy_only=False))
         marked = pc.if_else(uncut, NONE, texts) if len(odd) else texts
         for pattern, put in CUTS:
@@ -140,9 +144,10 @@ _ENCODERS: dict[tuple, Encoder] = {}
 
 
 def encoder(path: str, end: int = 0) -> Encoder:
-    """The worker's encoder for a file, loaded once."""
+    """The worker's encoder for a file, loaded once; its ids are those of the
+    library's plain call."""
     if (path, end) not in _ENCODERS:
-        _ENCODERS[path, end] = Encoder(path, end)
+        _ENCODERS[path, end] = Encoder(path, end, added=True)
     return _ENCODERS[path, end]
 
 

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from cartograph.llm import packing, wavelet
-from cartograph.llm.tokens import Encoder
+from cartograph.llm.tokens import Encoder, encoder
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 ENCODERS = {f: Encoder(public_tokenizers.path(f)) for f in FILES}
@@ -152,3 +152,34 @@ def test_plan_holds_every_length_and_packs_well(seed):
     assert len(patterns) <= 6 * cap + 6
     assert sum(t for t, _ in patterns) <= 1.3 * sum(n * c for n, c in counts.items()) / cap + sum(
         c for n, c in counts.items() if 2 * n > cap) + 2
+
+
+MARKED = [(1, "a <|endoftext|> b"), (2, "one<|startoftext|>two, 3\n<|endoftext|>"), (3, "A <|ENDOFTEXT|> b <|endoftext|"),
+          (4, "  <|endoftext|>  x"), (5, "plain words, no marker"), (6, "<|endoftext|>" * 1500), (7, None)]
+
+
+def plain(f, text):
+    return Tokenizer.from_file(public_tokenizers.path(f)).encode(text or "", add_special_tokens=False).ids + [0]
+
+
+@pytest.mark.parametrize("f", FILES)
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([" ", "  ", "\n", "a", "It's", "<|", "|>", "é", "12", "?!", "<|endoftext|>", "<|startoftext|>",
+                                 "<|EndOfText|>", "語"]), max_size=12))
+def test_operators_encode_as_the_plain_call(f, parts):
+    text = "".join(parts)
+    assert encoder(public_tokenizers.path(f)).batch([text, "next"])[0].tolist() == plain(f, text)
+
+
+def test_markers_in_token_files_and_packing(spark):
+    df = spark.createDataFrame(MARKED, "doc_id long, text string")
+    start = 0
+    got = {r.doc_id: r for r in wavelet.round_trip(df, public_tokenizers.path(FILES[0])).collect()}
+    for i, t in MARKED:
+        ids = np.array(plain(FILES[0], t), "<u4")
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    pieces = packing.pack(df, public_tokenizers.path(FILES[1])).pieces.collect()
+    for i, t in MARKED:
+        ids = np.array(plain(FILES[1], t), "<u4")
+        assert [(r.length, r.ids_crc32) for r in pieces if r.doc_id == i] == [(len(ids), zlib.crc32(ids.tobytes()))]
