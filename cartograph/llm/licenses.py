@@ -14,12 +14,17 @@ A band can only agree in a window that holds the shingle with the template's
 minimum, so texts, and then windows, without any such shingle are passed over
 before their minima are computed; that leaves no band out.
 
-Templates are a small table of reference texts. Only DataFrame functions are
-used on the documents.
+Templates are a small table of reference texts: ``TEMPLATES``, or what the
+caller gives; :func:`common_texts` has the common licenses, long ones cut into
+passages, so that a part of a license is found without its opening. Only
+DataFrame functions are used on the documents.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +60,87 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+_WARRANTY = ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+             "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+             "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+             "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+
+
+def _gnu(kind: str, version: str) -> str:
+    """So short that another kind or version leaves less than ``LEAST`` of it."""
+    return (f"under the terms of the GNU {kind} General Public License as published by the Free Software Foundation, either version "
+            f"{version} of the License")
+
+
+def _cc(name: str) -> str:
+    return f"This work is licensed under a Creative Commons {name} 4.0 International License."
+
+
+#: Notices beside ``TEMPLATES`` (``gpl-3.0`` in its place: its whole paragraph is
+#: found in those of other versions), and the texts of short licenses by paragraph.
+#: Three-clause BSD is the two-clause text with the clause of ``bsd-3-clause``.
+NOTICES = {
+    "mit-conditions": "The above copyright notice and this permission notice shall be included in all copies or substantial portions "
+                      "of the Software.",
+    "mit-warranty": _WARRANTY,
+    "apache-2.0-warranty": "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+                           "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or "
+                           "implied. See the License for the specific language governing permissions and limitations under the "
+                           "License.",
+    "bsd-2-clause": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+                    "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions "
+                    "and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-3-clause": "nor the names of its contributors may be used to endorse or promote products derived from this software without "
+                    "specific prior written permission.",
+    "bsd-warranty": "ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+                    "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF "
+                    "SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON "
+                    "ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+                    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "isc-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING "
+                    "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+                    "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR "
+                    "PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+                    "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "gnu-warranty": "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+                    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "gpl-2.0-only": "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "gpl-2.0-only-2": "under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the "
+                      "License",
+    "gpl-2.0": _gnu("", "2"),
+    "gpl-3.0": _gnu("", "3"),
+    "lgpl-2.0": _gnu("Library", "2"),
+    "lgpl-2.1": _gnu("Lesser", "2.1"),
+    "lgpl-3.0": _gnu("Lesser", "3"),
+    "agpl-3.0": _gnu("Affero", "3"),
+    "cc-by-sa-4.0": _cc("Attribution-ShareAlike"),
+    "cc-by-nd-4.0": _cc("Attribution-NoDerivatives"),
+    "cc-by-nc-4.0": _cc("Attribution-NonCommercial"),
+    "cc-by-nc-sa-4.0": _cc("Attribution-NonCommercial-ShareAlike"),
+    "cc-by-nc-nd-4.0": _cc("Attribution-NonCommercial-NoDerivatives"),
+    "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nd-4.0-line": "Licensed under CC BY-ND 4.0.",
+    "cc-by-4.0-line": "Licensed under CC BY 4.0.",
+}
+#: Words of a passage of a long text.
+PASSAGE = 200
+
+
+def passages(name: str, text: str) -> dict[str, str]:
+    """A text as ``name/000`` and so on, of ``PASSAGE`` words each; the last
+    one reaches back into the one before, so that no word is left out."""
+    words = re.findall(TOKEN, text.lower())
+    starts = [min(i, max(0, len(words) - PASSAGE)) for i in range(0, len(words), PASSAGE)]
+    return {f"{name}/{k:03}": " ".join(words[i:i + PASSAGE]) for k, i in enumerate(starts)}
+
+
+def common_texts() -> dict[str, str]:
+    """``TEMPLATES``, ``NOTICES`` and the passages of the files in ``license_texts``."""
+    found = TEMPLATES | NOTICES
+    for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        found = found | passages(f.stem, f.read_text(encoding="utf-8"))
+    return found
+
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0)
@@ -79,19 +165,22 @@ def minimum(shingles: Column, band: Column) -> Column:
     return F.array_min(F.transform(shingles, lambda x: F.struct(F.xxhash64(x, band).alias("v"), x.alias("x"))))
 
 
-def templates(spark, texts_by_name: dict[str, str] = TEMPLATES) -> list:
+def templates(spark, texts_by_name: dict[str, str] | DataFrame = TEMPLATES) -> list:
     """Per template: name, shingles m, their texts, and the minimum of each band."""
-    df = spark.createDataFrame(list(texts_by_name.items()), "license string, text string")
+    df = texts_by_name if isinstance(texts_by_name, DataFrame) else \
+        spark.createDataFrame(list(texts_by_name.items()), "license string, text string")
     x = df.select("license", let(tokens(F.col("text")), lambda w: F.struct(
         F.array_distinct(texts(w)).alias("texts"), hashes(w).alias("h"))).alias("t"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: minimum(F.col("t.h"), j))
     return x.select("license", F.size("t.h").alias("m"), "t.texts", bands.alias("bands")).collect()
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts_by_name: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+         texts_by_name: dict[str, str] | DataFrame = TEMPLATES) -> DataFrame:
     """One row per document and license found: ``(<id>, license, containment,
     at_word)``: the largest share of the template's shingles in one window, and
     the first word of the first window that holds ``LEAST`` of them.
+    ``texts_by_name`` has the templates, as a dict or a table ``(license, text)``.
 
     Null and empty texts, and those of fewer than five words, hold nothing.
     Rows with equal ids, or with null ids, are reported together. A template of
@@ -109,7 +198,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts_
     starts = {}
     for t in known:
         starts.setdefault(t.m, set()).update(b.x for b in t.bands)
-    marks = lambda values: F.array(*[F.lit(v).cast("long") for v in sorted(values)])
+    marks = lambda values: F.split(F.lit(",".join(map(str, sorted(values)))), ",").cast("array<bigint>")
     every = marks(set().union(*starts.values()))
     x = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
     x = x.withColumn("h", let(F.col("w"), hashes)).where(F.arrays_overlap("h", every))
@@ -132,9 +221,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts_
         .withColumnRenamed("id", id_col)
 
 
-def oracle(docs: str = "documents") -> str:
+def oracle(docs: str = "documents", texts_by_name: dict[str, str] = TEMPLATES) -> str:
     """DuckDB SQL that compares every window with every template of its length."""
-    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in texts_by_name.items())
     words = lambda c: f"regexp_extract_all(lower(coalesce({c}, '')), '{TOKEN}')"
     cut = f"array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s"
     return f"""

@@ -52,7 +52,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License templates found in every document."""
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents"), texts_by_name=licenses.common_texts())
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,5 +78,5 @@ QUERIES = {f.__name__: f for f in (op1_embedding_links, op2_quality_classifier,
 ORACLES = {
     "op4_quality_rules": quality.oracle(),
     "op6_mixing": mixing.oracle(),
-    "op7_license_scan": licenses.oracle(),
+    "op7_license_scan": licenses.oracle(texts_by_name=licenses.common_texts()),
 }

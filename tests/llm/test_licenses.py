@@ -1,4 +1,6 @@
 """License scan against exact containment in every window."""
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -48,3 +50,39 @@ def test_edges(spark):
     assert licenses.scan(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         licenses.scan(df, texts_by_name={"short": "four words are few"})
+
+
+def test_query_finds_parts_and_variants_of_common_licenses(spark, tmp_path):
+    from cartograph.llm.queries import op7_license_scan
+    known = licenses.common_texts()
+    gpl = (Path(licenses.__file__).parent / "license_texts/gpl-3.txt").read_text().split()
+    filler = " ".join(f"word{i}" for i in range(300))
+    docs = ["This program is free software: " + known["agpl-3.0"], "This library is free software; " + known["lgpl-2.1"],
+            known["cc-by-sa-4.0"], known["cc-by-nc-nd-4.0"], filler + " " + known["mit-warranty"], known["bsd-2-clause"],
+            known["bsd-2-clause"] + " 3. Neither the name of Example " + known["bsd-3-clause"],
+            filler + " " + " ".join(gpl[2000:2600]) + " " + filler, filler]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op7_license_scan(spark, str(tmp_path))
+    rows = rows_of(got)
+    con = duckdb.connect()
+    want = con.execute(f"select * from ({licenses.oracle(f"'{tmp_path}/documents.parquet/*.parquet'", known)})").fetchall()
+    assert rows == sorted((a, b, round(c, 9), d) for a, b, c, d in want)
+    found = {i: {k for j, k, *_ in rows if j == i} for i in range(len(docs))}
+    assert all(k in found[i] for i, k in enumerate(["agpl-3.0", "lgpl-2.1", "cc-by-sa-4.0", "cc-by-nc-nd-4.0", "mit-warranty",
+                                                    "bsd-2-clause", "bsd-3-clause"]))
+    assert "bsd-3-clause" not in found[5] and any(k.startswith("gpl-3/") for k in found[7]) and not found[8]
+
+
+def test_templates_from_a_table(spark):
+    known = spark.createDataFrame([("own", "these are the words of our own license")], "license string, text string")
+    df = spark.createDataFrame([(1, "x these are the words of our own license y"), (2, T["isc"])], "doc_id long, text string")
+    assert [(r.doc_id, r.license) for r in licenses.scan(df, texts_by_name=known).collect()] == [(1, "own")]
+
+
+def test_notices_tell_kinds_and_versions_apart(spark):
+    known = {k: v for k, v in (licenses.TEMPLATES | licenses.NOTICES).items() if k.startswith(("gpl", "lgpl", "agpl", "cc-"))}
+    end = ", or (at your option) any later version."
+    docs = [(k, f"This program is free software: you can redistribute it and/or modify it {v}{end}") for k, v in known.items()]
+    df = spark.createDataFrame(docs, "name string, text string")
+    got = licenses.scan(df, "name", texts_by_name=known).collect()
+    assert {(r.name, r.license) for r in got} == {(k, k) for k in known}
