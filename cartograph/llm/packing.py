@@ -119,7 +119,7 @@ def pieces_of(path: str, end: int, capacity: int, width: int):
 
 
 def placed_by(table: dict[int, np.ndarray]):
-    """mapInArrow: (length, before, rank, ...) to (sequence_id, offset, ...)."""
+    """mapInArrow: (length, before, task, rank, ...) to (sequence_id, offset, ...)."""
     def run(batches):
         for b in batches:
             length = b.column("length").to_numpy()
@@ -131,27 +131,27 @@ def placed_by(table: dict[int, np.ndarray]):
                 sequence[own], offset[own] = at[:, 1] + rank[own] - at[:, 0], at[:, 2]
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("piece"), b.column("start"), b.column("length"), b.column("ids_crc32"),
-                 pa.array(sequence), pa.array(offset)],
-                names=["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+                 pa.array(sequence), pa.array(offset), b.column("task"), b.column("rank")],
+                names=["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "task", "rank"])
     return run
 
 
 class Packed:
     """Result of :func:`pack`: ``pieces`` with their place, ``ids`` with tokens."""
 
-    def __init__(self, pieces: DataFrame, encoded: DataFrame, id_col: str, width: int):
-        self.pieces, self.encoded, self.id_col, self.width = pieces, encoded, id_col, width
+    def __init__(self, placed: DataFrame, encoded: DataFrame, id_col: str, width: int):
+        self.placed, self.encoded, self.id_col, self.width = placed, encoded, id_col, width
+        self.pieces = placed.drop("task", "rank").withColumnRenamed("id", id_col)
 
     def sequences(self) -> DataFrame:
         """``(sequence_id, ids, pieces)``: the packed sequences, ids as
-        little-endian integers of ``width`` bytes (2 if the vocabulary allows).
-        Assumes ids that name one document."""
-        key = [self.id_col, "piece"]
-        x = self.pieces.join(self.encoded.select(*key, "ids"), key)
-        parts = F.array_sort(F.collect_list(F.struct("offset", *key, "ids")))
+        little-endian integers of ``width`` bytes (2 if the vocabulary allows)."""
+        key = ["task", "length", "rank"]  # names one piece, whatever its id
+        x = self.placed.join(self.encoded.select(*key, "ids"), key)
+        parts = F.array_sort(F.collect_list(F.struct("offset", "id", "piece", "ids")))
         return x.groupBy("sequence_id").agg(parts.alias("parts")).select(
             "sequence_id", F.expr("aggregate(transform(parts, p -> p.ids), cast('' as binary), (a, b) -> concat(a, b))").alias("ids"),
-            F.transform("parts", lambda p: F.struct(p[self.id_col], p["piece"], p["offset"])).alias("pieces"))
+            F.transform("parts", lambda p: F.struct(p["id"].alias(self.id_col), p["piece"], p["offset"])).alias("pieces"))
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = 0,
@@ -176,5 +176,5 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     w = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = per_task.select("length", "task", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
     keyed = rows.select("id", "piece", "start", "length", "ids_crc32", "task", "rank").join(before, ["length", "task"])
-    out = keyed.mapInArrow(placed_by(table), "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return Packed(out.withColumnRenamed("id", id_col), rows.withColumnRenamed("id", id_col), id_col, width)
+    out = keyed.mapInArrow(placed_by(table), "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, task int, rank long")
+    return Packed(out, rows, id_col, width)

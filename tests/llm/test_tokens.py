@@ -183,3 +183,16 @@ def test_markers_in_token_files_and_packing(spark):
     for i, t in MARKED:
         ids = np.array(plain(FILES[1], t), "<u4")
         assert [(r.length, r.ids_crc32) for r in pieces if r.doc_id == i] == [(len(ids), zlib.crc32(ids.tobytes()))]
+
+
+def test_sequences_with_repeated_and_null_ids(spark):
+    rows = [(1, "word " * 3000)] * 3 + [(None, "first null"), (None, "second null"), (1, "other text"), (2, None)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path(FILES[1]))
+    got = [(np.frombuffer(r.ids, "<u2").tolist(), r.pieces) for r in packed.sequences().collect()]
+    assert all(len(ids) <= packing.CAPACITY for ids, _ in got)
+    want = sorted(ids[k:k + 2048] for ids in (plain(FILES[1], t) for _, t in rows) for k in range(0, len(ids), 2048))
+    cut = []
+    for ids, pieces in got:
+        at = [p.offset for p in pieces] + [len(ids)]
+        cut += [ids[a:b] for a, b in zip(at, at[1:])]
+    assert sorted(cut) == want and sorted(p.doc_id or 0 for _, q in got for p in q) == [0, 0, 1, 1, 1, 1, 1, 1, 1, 2]
