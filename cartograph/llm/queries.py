@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import (attention, embeddings, licenses, mixing, packing, pii, quality, simhash, urls, wavelet)
+from cartograph.llm import (attention, audit, embeddings, infill, licenses, mixing, packing, pii, quality, simhash, urls, wavelet)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,11 +72,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts of every document, digests of the reordered and the restored text."""
+    got = infill.transform(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step of every order of five filters, per source."""
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_embedding_links, op2_quality_classifier, op3_simhash, op4_quality_rules, op5_token_files,
-                                   op6_mixing, op7_license_scan, op8_url_filter, op9_pii, op10_packing)}
+                                   op6_mixing, op7_license_scan, op8_url_filter, op9_pii, op10_packing, op12_fill_in_middle,
+                                   op13_filter_audit)}
 
 ORACLES = {
     "op4_quality_rules": quality.oracle(),
     "op6_mixing": mixing.oracle(),
     "op7_license_scan": licenses.oracle(texts_by_name=licenses.common_texts()),
+    "op12_fill_in_middle": infill.oracle(),
+    "op13_filter_audit": audit.oracle(),
 }
