@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import (attention, audit, embeddings, infill, licenses, mixing, packing, pii, quality, simhash, urls, wavelet)
+from cartograph.llm import (attention, audit, embeddings, infill, licenses, mixing, neighbours, packing, pii, quality, simhash, urls, wavelet)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth vector."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cuts of every document, digests of the reordered and the restored text."""
     got = infill.transform(table(spark, sf_dir, "documents"))
@@ -85,8 +90,8 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_links, op2_quality_classifier, op3_simhash, op4_quality_rules, op5_token_files,
-                                   op6_mixing, op7_license_scan, op8_url_filter, op9_pii, op10_packing, op12_fill_in_middle,
-                                   op13_filter_audit)}
+                                   op6_mixing, op7_license_scan, op8_url_filter, op9_pii, op10_packing, op11_nearest_neighbours,
+                                   op12_fill_in_middle, op13_filter_audit)}
 
 ORACLES = {
     "op4_quality_rules": quality.oracle(),
