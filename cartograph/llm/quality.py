@@ -12,9 +12,11 @@ the sketch of a language is the sum of those of its sources. A quantile is exact
 up to the bucket (below 256: exact, above: within 1/128).
 
 The threshold of a rate is ``median + SPREADS * max(median - 10th percentile,
-least)``; half of a source's texts may be junk before it moves. Groups of fewer
-than ``LEAST_GROUP`` texts use the sketch merged over the language, languages of
-fewer than that the one merged over all texts.
+least)``; half of a source's texts may be junk before it moves. A group of n
+texts uses the mean of its own threshold, with weight n, and that of the
+sketch merged over its language, with weight ``PRIOR``; a language's is
+blended likewise with that of all texts. So a small group follows its language
+and a large one itself, with no size at which verdicts jump.
 
 Only DataFrame functions are used.
 """
@@ -32,7 +34,8 @@ LEAST_WORDS = 20
 #: Percent of words in repeated windows above which a text fails.
 MOST_REPEATED = 30
 SPREADS = 6
-LEAST_GROUP = 50
+#: Texts that a wider group's threshold counts for in a narrower one's.
+PRIOR = 50
 #: rate -> least spread: symbols, capitals, repeated lines and words equal to
 #: the one before a thousand, and word characters a hundred words.
 RATES = {"symbols": 30, "capitals": 20, "dup_lines": 60, "stutter": 30, "word_length": 20}
@@ -102,33 +105,46 @@ def sketches(rows: DataFrame, m: str) -> DataFrame:
         .groupBy("lang", "source", "rate", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def thresholds(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, n, <rate>...)``: texts and threshold of every rate per ``keys``."""
-    merged = sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """``(level, lang, source, n, <rate>...)``: texts and threshold of every
+    rate, for each language and source (level 0), language (1) and over all (2;
+    null where a level has no such column). The sketches of the three levels
+    are merged in one pass."""
+    keys = ["level", "lang", "source"]
+    x = F.col("rate"), F.col("bucket")
+    merged = sketch.groupingSets([["lang", "source", *x], ["lang", *x], list(x)], "lang", "source", *x).agg(
+        F.shiftright(F.grouping_id(), 2).alias("bits"), F.sum("n").alias("n"))
+    # grouping bits of (lang, source): 0, 1 or 3
+    merged = merged.withColumn("level", F.least(F.col("bits"), F.lit(2))).drop("bits")
     w = Window.partitionBy(*keys, "rate")
     upto = w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(w))
-    q = x.groupBy(*keys, "rate").agg(F.max("all").alias("all"),
-                                     F.min(F.when(F.col("upto") * 10 >= F.col("all"), F.col("bucket"))).alias("low"),
-                                     F.min(F.when(F.col("upto") * 2 >= F.col("all"), F.col("bucket"))).alias("mid"))
+    counted = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(w))
+    q = counted.groupBy(*keys, "rate").agg(F.max("all").alias("all"),
+                                           F.min(F.when(F.col("upto") * 10 >= F.col("all"), F.col("bucket"))).alias("low"),
+                                           F.min(F.when(F.col("upto") * 2 >= F.col("all"), F.col("bucket"))).alias("mid"))
     cols = [F.max(F.when(F.col("rate") == k, F.col("mid") + SPREADS * F.greatest(F.col("mid") - F.col("low"), F.lit(v))))
             .alias(k) for k, v in RATES.items()]
     return q.groupBy(*keys).agg(F.max("all").alias("n"), *cols)
 
 
+def blended(own: str, wider: str) -> Column:
+    """Struct of thresholds: those of ``own`` (with ``n``), shrunk towards ``wider``'s."""
+    limits = [F.expr(f"({own}.n * {own}.{k} + {PRIOR} * {wider}.{k}) div ({own}.n + {PRIOR})").alias(k) for k in RATES]
+    return F.struct(F.col(f"{own}.n").alias("n"), *limits)
+
+
 def judged(rows: DataFrame, m: str, lang: str, source: str, scratch: Scratch) -> DataFrame:
     """``rows`` with booleans ``base_failed`` and ``kept`` (as columns ``m``_base, ``m``_kept)."""
     sketch = sketches(rows.select(F.col(lang).alias("lang"), F.col(source).alias("source"), m), m)
-    levels = [thresholds(sketch, ["lang", "source"]), thresholds(sketch, ["lang"]), thresholds(sketch, [])]
-    by = levels[0]
-    by = by.select(F.struct("lang", "source").alias("g"), F.struct("n", *RATES).alias("l0"))
-    lang_level = levels[1].select(F.col("lang").alias("lang1"), F.struct("n", *RATES).alias("l1"))
-    whole = levels[2].select(F.struct("n", *RATES)).scalar()
-    by = by.join(lang_level, F.col("g.lang").eqNullSafe(F.col("lang1"))).withColumn("l2", whole)
-    chosen = F.when(F.col("l0.n") >= LEAST_GROUP, F.col("l0")).when(F.col("l1.n") >= LEAST_GROUP, F.col("l1")).otherwise(F.col("l2"))
+    levels = scratch.save(thresholds(sketch), "levels")
+    level = lambda i, name: levels.where(F.col("level") == i).select("lang", "source", F.struct("n", *RATES).alias(name))
+    whole = level(2, "l2").select("l2").scalar()
+    by_lang = level(1, "l1").withColumn("l2", whole).select(F.col("lang").alias("lang1"), blended("l1", "l2").alias("l1"))
+    by = level(0, "l0").join(by_lang, F.col("lang").eqNullSafe(F.col("lang1")))
+    by = by.select(F.struct("lang", "source").alias("g"), blended("l0", "l1").alias("limit"))
     limit, g = f"{m}_limit", f"{m}_group"
     # stored, so that the planner knows how small the table of thresholds is
-    by = scratch.save(by.select(F.col("g").alias(g), chosen.alias(limit)), "thresholds")
+    by = scratch.save(by.select(F.col("g").alias(g), F.col("limit").alias(limit)), "thresholds")
     base = (F.col(f"{m}.n_words") < LEAST_WORDS) | (F.col(f"{m}.n_repeat_words") * 100 > F.col(f"{m}.n_words") * MOST_REPEATED)
     fine = None
     for k, v in rates(m).items():
@@ -185,7 +201,8 @@ def oracle(docs: str = "documents") -> str:
   FROM (SELECT *, sum(n) OVER (PARTITION BY {k}rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {k}rate) AS total
         FROM (SELECT {k}rate, bucket, sum(n) AS n FROM sk GROUP BY {k}rate, bucket)) GROUP BY {k}rate) {group})"""
 
-    limits = {r: f"CASE WHEN g.n >= {LEAST_GROUP} THEN g.{r} WHEN l.n >= {LEAST_GROUP} THEN l.{r} ELSE a.{r} END" for r in RATES}
+    wide = {r: f"((l.n * l.{r} + {PRIOR} * a.{r}) // (l.n + {PRIOR}))" for r in RATES}
+    limits = {r: f"((g.n * g.{r} + {PRIOR} * {wide[r]}) // (g.n + {PRIOR}))" for r in RATES}
     fine = " AND ".join(f"({rate[r]}) <= {limits[r]}" for r in RATES)
     base = f"(n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words)"
     return f"""

@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from cartograph.llm import quality
 
@@ -71,3 +72,25 @@ def test_junk_goes_and_clean_stays(spark):
     assert not any(kept[i] for i in (203, 206, 207, 208, None))
     clean = [i for i, t, *_ in sample()[:120] if len(re.findall(r"\S+", t)) >= 20]
     assert all(kept[i] for i in clean if i != 3)
+
+
+def test_no_size_at_which_verdicts_jump(spark):
+    """A source whose texts use more symbols than its language grows from 40 to
+    60 texts: its threshold moves by small steps, also from 49 to 51."""
+    rng = random.Random(8)
+    word = lambda s="": "".join(rng.choice("abcde") for _ in range(5)) + s
+    text = lambda share: " ".join(word("$" if rng.random() < share else "") for _ in range(100))
+    base = [(text(0.0), "big") for _ in range(300)]
+    own = [(text(0.5), "small") for _ in range(60)]
+    limits = []
+    for n in (40, 48, 49, 50, 51, 52, 60):
+        rows = [(i, t, "en", s) for i, (t, s) in enumerate(base + own[:n])]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        m = df.select("lang", "source", quality.measures(F.col("text")).alias("m"))
+        levels = quality.thresholds(quality.sketches(m, "m"))
+        by = {(r.level, r.source): r for r in levels.collect()}
+        blend = lambda a, b: (a[0] * a[1] + quality.PRIOR * b) // (a[0] + quality.PRIOR)
+        of = lambda k: (by[k].n, by[k].symbols)
+        limits.append(blend(of((0, "small")), blend(of((1, None)), by[2, None].symbols)))
+    steps = [abs(b - a) for a, b in zip(limits[1:], limits[2:-1])]
+    assert max(steps) <= 0.03 * limits[0] and limits[-1] > limits[0]
