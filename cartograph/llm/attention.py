@@ -9,7 +9,8 @@ quality, and the score is that of the attention-weighted mean of the passages:
     score = sigmoid(c . sum(a h) + b)
 
 The model is fitted on a bounded sample of labelled documents
-(``MOST_FIT``, in order of a hash of their id); every text is scored whole.
+(``MOST_FIT``, in order of a hash of their id and text, with ``MOST_PASSAGES``
+passages of each); every text is scored whole.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ PASSAGE = 128
 EXTRA = 5
 WIDTH = 256 + EXTRA
 HIDDEN, GATE = 24, 16
-#: Most labelled documents that the model is fitted on.
+#: Most labelled documents that the model is fitted on, and most passages of one
+#: of them, evenly spread over its text. Scores are of all passages.
 MOST_FIT = 4000
+MOST_PASSAGES = 64
 ROUNDS = 150
 RATE = 0.02
 DECAY = 1e-4
@@ -114,23 +117,36 @@ def fit(x: np.ndarray, starts: np.ndarray, label: np.ndarray, rounds: int = ROUN
     return m
 
 
-def encoded_column(text: Column) -> Column:
-    """A text's passages as the bytes of their float32 rows."""
+def encoded_column(text: Column, most: int) -> Column:
+    """A text's passages as the bytes of their float32 rows; of more than
+    ``most``, that many at even distances."""
     @F.arrow_udf("binary")
     def passages(raw: pa.Array) -> pa.Array:
-        return pa.array([encode(t.as_py()).tobytes() for t in raw], pa.binary())
+        out = []
+        for t in raw:
+            x = encode(t.as_py())
+            out.append(x[np.arange(min(most, len(x))) * len(x) // min(most, len(x))].tobytes())
+        return pa.array(out, pa.binary())
     return passages(text)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT) -> Model | None:
-    """Model of ``docs(id, text)`` by ``labels(id, label)``: at most ``most``
-    labels of 0 or 1, the first by a hash of their id, are taken and joined to
-    the texts, whose passages are encoded on the executors. None if there are
-    no such documents."""
+def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT, passages: int = MOST_PASSAGES) -> DataFrame:
+    """``(id, label, t, x)``: at most ``most`` labelled documents with at most
+    ``passages`` encoded passages each, in order of a hash of the id and then of
+    the text ``t``. Rows that repeat an id and text count once, so the bound
+    holds however often an id repeats; passages are encoded on the executors
+    before anything is shuffled, so a row is bounded as well."""
     chosen = labels.where(F.col("label").isin(0, 1)).select("id", F.col("label").cast("int").alias("label")) \
-        .orderBy(F.xxhash64("id"), "id", "label").limit(most)
-    rows = docs.join(F.broadcast(chosen), "id")  # ``most`` rows at most
-    got = rows.select("id", encoded_column(F.col("text")).alias("x"), "label").collect()
+        .distinct().orderBy(F.xxhash64("id"), "id", "label").limit(most)
+    rows = docs.join(F.broadcast(chosen), "id")  # ``most`` rows at most are broadcast
+    return rows.select("id", "label", F.xxhash64("text").alias("t"), encoded_column(F.col("text"), passages).alias("x")) \
+        .dropDuplicates(["id", "label", "t"]).orderBy(F.xxhash64("id"), "id", "t", "label").limit(most)
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT) -> Model | None:
+    """Model of ``docs(id, text)`` by ``labels(id, label)``, fitted on
+    :func:`sample`. None if there are no such documents."""
+    got = sample(docs, labels, most).collect()
     if not got:
         return None
     got.sort(key=lambda r: (r.id, r.x, r.label))
