@@ -10,13 +10,11 @@ next failure locks again at once.
 The fold is order-dependent and not a window sum. Both forms run it over rows
 sorted by (user, time, event id):
 
-* batch twin :func:`lockouts_batch`: a success with no failure of the same
-  user in the 15 minutes before cannot be locked, so it resets the state
-  whatever came before. These safe resets cut each user's history into
-  independent segments (found with time-sliced windows and a distributed
-  running count). Segments of any length are folded by pointer doubling
-  (:mod:`.lockout_jumps`): column expressions and joins, no task reads a
-  whole history;
+* batch twin :func:`lockouts_batch`: the attempts are cut into chunks by
+  (user, time); each chunk is summed up as a map from the states it can be
+  entered with to the states it leaves, the summaries are followed in order,
+  and every chunk is folded from its real entry (:mod:`.lockout_chunks`). No
+  task reads a whole history;
 * stream :func:`lockouts`: keyed state per user, the counter and the end of
   the lock; rows wait for the watermark and are folded in time order
   (:mod:`.replay`).
@@ -27,11 +25,10 @@ A row with ``reset`` (a password reset) clears the counter and the lock.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartograph.operators.common import cumulative_sum
-from cartograph.streaming.lockout_jumps import fold_by_jumps
+from cartograph.streaming.lockout_chunks import CHUNK, fold_in_chunks
 from cartograph.streaming.replay import LATENESS, replay, times
 
 # Fixed values from the reference: failures before a lock, lock length.
@@ -49,40 +46,21 @@ def _attach_account(attempts: DataFrame, users: DataFrame) -> DataFrame:
         .withColumn("is_suspended", F.coalesce("is_suspended", F.lit(False)))
 
 
-def _safe_resets(x: DataFrame, lock_minutes: int) -> DataFrame:
-    """Flag password resets, and successes that no lock can cover: no failure of the same user in
-    the ``lock_minutes`` before (a lock needs a counted failure at most that
-    long ago). Such a success always resets the state, so it starts an
-    independent segment. The last earlier failure is found per (user, time
-    slice of ``lock_minutes``), carrying in the previous slice's last failure,
-    so one user's history is spread over its slices."""
-    width = lock_minutes * 60 * 1_000_000
-    ev = x.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp_ltz"))) \
-        .withColumn("_b", F.floor(F.col("_us") / F.lit(width)).cast("long"))
-    fails = ev.where(~F.col("success") & ~F.col("reset"))
-    carried = fails.groupBy("user_id", "_b").agg(F.max(F.struct("_us", "event_id")).alias("_f")) \
-        .select("user_id", (F.col("_b") + 1).alias("_b"), F.col("_f._us").alias("_prev_us"))
-    w = Window.partitionBy("user_id", "_b").orderBy("_us", "event_id") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    in_slice = ev.withColumn("_last_us", F.max(F.when(~F.col("success") & ~F.col("reset"), F.col("_us"))).over(w))
-    x2 = in_slice.join(carried, ["user_id", "_b"], "left")
-    last_fail = F.greatest(F.col("_last_us"), F.col("_prev_us"))
-    safe = F.col("reset") | F.col("success") & (last_fail.isNull() | (last_fail + F.lit(width) <= F.col("_us")))
-    return x2.withColumn("_safe", safe).drop("_us", "_b", "_last_us", "_prev_us")
-
-
 def lockouts_batch(attempts: DataFrame, users: DataFrame, max_failures: int = MAX_FAILURES,
-                   lock_minutes: int = LOCK_MINUTES) -> DataFrame:
+                   lock_minutes: int = LOCK_MINUTES, chunk: int = CHUNK) -> DataFrame:
     """Batch twin: one output row per attempt with its outcome and the state
-    after it. ``attempts``: event_id, user_id, ts, success.
-
-    A user's history is cut at safe resets (see :func:`_safe_resets`) into
-    segments numbered with a distributed running count; the fold of every
-    segment is found by pointer doubling (:mod:`.lockout_jumps`)."""
-    x = _safe_resets(_attach_account(attempts, users), lock_minutes)
-    x = cumulative_sum(x, ["user_id"], ["ts", "event_id"],
-                       F.when(F.col("_safe"), 1).otherwise(0), "segment").drop("_safe")
-    return fold_by_jumps(x, max_failures, lock_minutes)
+    after it. ``attempts``: event_id, user_id, ts (neither null), success, and
+    ``reset`` if it has password resets. Attempts on suspended or unverified
+    accounts are never counted; all others are folded in chunks of about
+    ``chunk`` rows (:mod:`.lockout_chunks`)."""
+    x = _attach_account(attempts, users)
+    counted = F.col("email_verified") & ~F.col("is_suspended")
+    idle = x.where(~counted).select(
+        "event_id", "user_id", "ts",
+        F.when(F.col("reset"), F.lit("RESET")).when(F.col("is_suspended"), F.lit("SUSPENDED"))
+        .otherwise(F.lit("UNVERIFIED")).alias("outcome"),
+        F.lit(0).alias("failed_attempts"), F.lit(None).cast("timestamp_ntz").alias("locked_until"))
+    return fold_in_chunks(x.where(counted), max_failures, lock_minutes, chunk).unionByName(idle)
 
 
 def lockouts(attempts: DataFrame, users: DataFrame, max_failures: int = MAX_FAILURES,

@@ -564,7 +564,7 @@ import pytest  # noqa: E402
 
 
 @pytest.mark.parametrize("seed", [9, 21])
-def test_lockout_pointer_doubling_matches_fold(spark, seed):
+def test_lockout_of_a_long_history_matches_fold(spark, seed):
     rnd = random.Random(seed)
     t0 = TS(2024, 1, 1)
     rows, ver, sus, eid = [], {}, {}, 0
@@ -608,3 +608,44 @@ def test_upsert_and_resolve_keys(spark):
     ok, bad = CH.resolve_keys(rows, users, "email", "user_id")
     assert [(r.row_id, r.user_id) for r in ok.collect()] == [(1, 7)]
     assert sorted(r.row_id for r in bad.collect()) == [2, 3]
+
+
+def _lockout_states(rows):
+    """The reference loop with its state and password resets: {event: (outcome, failed, until)}."""
+    state, out = {}, {}
+    for e, u, ts, ok, reset in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        failed, until = state.get(u, (0, None))
+        if reset:
+            failed, until, outcome = 0, None, "RESET"
+        elif until and until > ts:
+            outcome = "LOCKED"
+        elif ok:
+            failed, until, outcome = 0, None, "OK"
+        else:
+            failed += 1
+            outcome = "LOCKED_NOW" if failed >= 5 else "FAILED"
+            until = ts + dt.timedelta(minutes=15) if failed >= 5 else until
+        state[u] = failed, until
+        out[e] = outcome, failed, until
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lockout_summaries_of_small_chunks(spark, seed):
+    """Chunks of a few rows: histories run over dozens of them, locks over
+    several, a user under attack fails always, and some passwords are reset."""
+    rnd = random.Random(seed)
+    rows, t0 = [], TS(2024, 1, 1)
+    for uid, n, step, ok in ((1, 400, [0, 1, 2, 3, 16], 0.0), (2, 300, [0, 0, 0, 1], 0.02), (3, 300, [1, 5, 14, 15, 16, 40], 0.2),
+                             *[(u, rnd.randint(0, 12), [0, 1, 15], 0.3) for u in range(4, 40)]):
+        minute = 0
+        for _ in range(n):
+            minute += rnd.choice(step)
+            rows.append((len(rows), uid, t0 + dt.timedelta(minutes=minute, seconds=rnd.choice([0, 0, 30])), rnd.random() < ok,
+                         uid != 1 and rnd.random() < 0.02))
+    users = spark.createDataFrame([(u, True, False) for u in range(40)], "id long, email_verified boolean, is_suspended boolean")
+    att = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, success boolean, reset boolean")
+    got = {r.event_id: (r.outcome, r.failed_attempts, r.locked_until)
+           for r in lockouts_batch(att, users, chunk=[7, 20, 60, 10 ** 6][seed]).collect()}
+    assert got == _lockout_states(rows)
+    assert lockouts_batch(att.limit(0), users).count() == 0
