@@ -8,12 +8,19 @@ taken, one product at a time, in request order. Done in bulk:
   plus ``-N`` (``a-1`` is candidate 1 of ``a``). So the only contested slugs
   are such child bases: the child's first request takes it unless a request
   of the parent reached index ``N`` earlier.
-* Contests are settled from small facts per requested base: its first
-  ``seq``, the number of existing slugs below ``N`` and the ``seq`` of the
-  parent's request at the few ranks that can reach ``N``. One small
-  ``applyInPandas`` per family walks the contests (one row per requested
-  base, never the requests themselves), parents before children and by
-  ``N``.
+* A contest is settled by counting. Let the parent's contested children,
+  in order of ``N``, be i = 0, 1, ...; ``h_i = N - (existing indices below
+  N) - i`` is the number of free indices below ``N`` that no child contests,
+  less one if the parent lost its own index 0 to its own parent, and
+  ``R_i`` the number of the parent's requests before the child's first one.
+  The parent reaches ``N`` in time exactly when ``R_i > h_i + L_i``, with
+  ``L_i`` the children before i that lost theirs. So with
+  ``v_i = R_i - h_i`` the count runs ``L <- L + (v_i > L)``. ``R`` and
+  ``h`` come from one running count; the runs are followed in rounds: a
+  round takes the next ``RUN`` children of every parent whose own contest is
+  settled, one row each, and stores what it settled. Rounds end when no
+  parent is left, after as many as there are numbers at the end of one slug
+  (``a-1-2``) and runs in one family.
 * Every base then has a fixed set of blocked indices (existing slugs plus
   contests lost). The ``r``-th request of the base (by ``seq``) gets the
   ``r``-th free index, ``r + #{j : g_j <= r}`` with ``g_j = t_j - j`` over
@@ -24,17 +31,18 @@ taken, one product at a time, in request order. Done in bulk:
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartograph.functions.text import slug_family, slugify
+from cartograph.functions.text import slugify
 from cartograph.operators.changes import new_ids
-from cartograph.operators.common import cumulative_sum
+from cartograph.operators.common import cumulative_sum, cumulative_sums, stash
 
 # a slug ending in "-N" (N without a leading zero): candidate N of the rest
 TAIL = r"^(.+)-([1-9][0-9]*)$"
-CLAIMS_OUT = "base string, t long"
+#: Contested children of one parent that a round settles in one row.
+RUN = 1 << 17
 
 
 def _candidate(base, index):
@@ -47,35 +55,50 @@ def _split_tail(col):
     return parent, n
 
 
-def _settle_family(links: pd.DataFrame, seqs: pd.DataFrame) -> pd.DataFrame:
-    """Contests of one family. ``links``: a row per child base (parent,
-    child, n, the child's first request (seq, id), child_taken, below =
-    existing parent slugs under n). ``seqs``: the parent's request
-    (seq, id) at the ranks that can matter. Requests are ordered by
-    (seq, request id); parents are settled before their children."""
-    at = {(p, int(r)): (int(q), int(i)) for p, r, q, i in
-          seqs[["of_parent", "rank", "seq", "request_id"]].itertuples(index=False, name=None)}
-    blocked: dict[str, set] = {}
-    out_b, out_t = [], []
-    links = links.assign(_plen=links["parent"].str.len()).sort_values(["_plen", "parent", "n"])
-    for p, c, n, s_c, id_c, c_taken, below in links[
-            ["parent", "child", "n", "child_first_seq", "child_first_id", "child_taken",
-             "below"]].itertuples(index=False, name=None):
-        if c_taken:
-            continue
-        extra = blocked.get(p, set())
-        k = int(n) - int(below) - sum(1 for x in extra if x < n)
-        at_k = at.get((p, k))
-        if at_k is not None and at_k < (int(s_c), int(id_c)):
-            blocked.setdefault(c, set()).add(0)       # parent reached it first
-            out_b.append(c)
-            out_t.append(0)
-        else:
-            blocked.setdefault(p, set()).add(int(n))  # the child's own first request
-            out_b.append(p)
-            out_t.append(int(n))
-    return pd.DataFrame({"base": pd.Series(out_b, dtype="object"),
-                         "t": pd.Series(out_t, dtype="int64")})
+def _lost(values: Column, start: Column) -> Column:
+    """For a run of contests ``v`` entered with ``L = start``: which are lost."""
+    @F.arrow_udf("array<boolean>")
+    def follow(values: pa.Array, start: pa.Array) -> pa.Array:
+        out = []
+        for run, count in zip(values.to_pylist(), start.to_pylist()):
+            flags = []
+            for v in run:
+                flags.append(v > count)
+                count += v > count
+            out.append(flags)
+        return pa.array(out, pa.list_(pa.bool_()))
+    return follow(values, start)
+
+
+def settle(contests: DataFrame, run: int = RUN) -> DataFrame:
+    """Contests ``(parent, child, i, n, v)`` (see the module) with ``lost``:
+    whether the parent took the child's first slug. ``i`` numbers a parent's
+    contests by ``n``, without gaps."""
+    number = F.floor(F.col("i") / run).cast("long")
+    runs = stash(contests.groupBy("parent", number.alias("run"))
+                 .agg(F.sort_array(F.collect_list(F.struct("i", "child", "n", "v"))).alias("members")), "slug_runs")
+    # parents whose own first slug is not contested begin with a count of 0; one
+    # that loses its own has one free index less, a count of -1
+    ready = runs.where("run = 0").join(contests.select(F.col("child").alias("parent")), "parent", "left_anti") \
+        .select("parent", "run", F.lit(0).cast("long").alias("start"))
+    settled = []
+    while True:
+        x = runs.join(ready, ["parent", "run"])
+        done = stash(x.withColumn("lost", _lost(F.transform("members", lambda m: m["v"]), F.col("start"))), "slug_settled")
+        if done.isEmpty():
+            break
+        each = done.select("parent", F.explode(F.arrays_zip("members", "lost")).alias("e")) \
+            .select("parent", "e.members.child", "e.members.n", "e.lost")
+        settled.append(each)
+        count = F.col("start") + F.size(F.filter("lost", lambda x: x))
+        onwards = done.select("parent", (F.col("run") + 1).alias("run"), count.cast("long").alias("start"))
+        own = each.select(F.col("child").alias("parent"), F.lit(0).cast("long").alias("run"),
+                          F.when(F.col("lost"), -1).otherwise(0).cast("long").alias("start"))
+        ready = onwards.unionByName(own)
+    out = contests.select("parent", "child", "n", F.lit(False).alias("lost")).limit(0)
+    for each in settled:
+        out = out.unionByName(each)
+    return out
 
 
 def assign_slugs(new: DataFrame, existing: DataFrame, seq: str = "seq",
@@ -84,8 +107,8 @@ def assign_slugs(new: DataFrame, existing: DataFrame, seq: str = "seq",
     already slugified name); ``existing``: ``slug``. Returns request_id, slug."""
     rows = new.select(F.col("request_id").cast("long").alias("request_id"),
                       F.col(seq).cast("long").alias("seq"), F.col(base_col).alias("base"))
-    bases = rows.groupBy("base").agg(F.min(F.struct("seq", "request_id")).alias("_f")) \
-        .select("base", F.col("_f.seq").alias("first_seq"), F.col("_f.request_id").alias("first_id"))
+    bases = stash(rows.groupBy("base").agg(F.min(F.struct("seq", "request_id")).alias("_f"), F.count(F.lit(1)).alias("requests"))
+                  .select("base", "requests", F.col("_f.seq").alias("first_seq"), F.col("_f.request_id").alias("first_id")), "slug_bases")
     base_keys = bases.select("base")
 
     # existing slugs as (base, index): s is index 0 of s and index N of its parent
@@ -102,67 +125,56 @@ def assign_slugs(new: DataFrame, existing: DataFrame, seq: str = "seq",
                          c_n.alias("n")) \
         .where(F.col("n").isNotNull()) \
         .join(base_keys.withColumnRenamed("base", "parent"), "parent", "left_semi")
-    links = links.join(t_idx.where(F.col("t") == 0).select(F.col("base").alias("child"))
-                       .withColumn("child_taken", F.lit(True)), "child", "left") \
-        .withColumn("child_taken", F.coalesce("child_taken", F.lit(False)))
-    # One running count per base serves two purposes (one pass, group ``g``):
-    # g=0: existing parent slugs below each contested n (link entries, kind 0,
-    #      sort before existing entries, kind 1, at equal index);
-    # g=1: the rank of every request by (seq, request id).
-    probe = links.select(F.col("parent").alias("base"), F.lit(0).alias("g"), F.col("n").alias("o1"),
-                         F.lit(0).cast("long").alias("o2"), F.col("child").alias("o3"),
-                         F.lit(0).alias("_w")) \
-        .unionByName(t_idx.select("base", F.lit(0).alias("g"), F.col("t").alias("o1"),
-                                  F.lit(1).cast("long").alias("o2"),
-                                  F.lit(None).cast("string").alias("o3"), F.lit(1).alias("_w"))) \
-        .unionByName(rows.select("base", F.lit(1).alias("g"), F.col("seq").alias("o1"),
-                                 F.col("request_id").alias("o2"), F.lit(None).cast("string").alias("o3"),
-                                 F.lit(1).alias("_w")))
-    counts = cumulative_sum(probe, ["base", "g"], ["o1", "o2", "o3"], "_w", "_c")
-    below = counts.where((F.col("g") == 0) & (F.col("o2") == 0)) \
-        .select(F.col("o3").alias("child"), F.col("_c").alias("below"))
-    ranked = counts.where(F.col("g") == 1).select(
-        "base", (F.col("_c") - 1).alias("rank"), F.col("o1").alias("seq"), F.col("o2").alias("request_id"))
-    links = links.join(below, "child")
-    # ranks of the parent that can reach n: [n - below - earlier - 1, n - below]
-    earlier = Window.partitionBy("parent").orderBy("n")
-    links = links.withColumn("_earlier", F.row_number().over(earlier) - 1) \
-        .withColumn("_hi", F.col("n") - F.col("below"))
-    # parent ranks that can matter: per parent, the union of the children's
-    # windows, merged into disjoint intervals first so that the rows fetched
-    # are bounded by the largest contested index, not by pairs of children
-    # and by the number of requests the parent has
-    held = rows.groupBy(F.col("base").alias("parent")).agg((F.count(F.lit(1)) - 1).alias("_last"))
-    win = links.join(held, "parent").select(
-        "parent", F.greatest(F.col("_hi") - F.col("_earlier") - 1, F.lit(0)).alias("lo"),
-        F.least("_hi", "_last").alias("_hi"), "child").where("lo <= _hi")
-    by_lo = Window.partitionBy("parent").orderBy("lo", "_hi", "child")
-    reach = F.max("_hi").over(by_lo.rowsBetween(Window.unboundedPreceding, -1))
-    starts_new = F.when(F.col("lo") > F.coalesce(reach, F.lit(-2)) + 1, 1).otherwise(0)
-    merged = win.withColumn("_new", starts_new) \
-        .withColumn("_grp", F.sum("_new").over(by_lo.rowsBetween(Window.unboundedPreceding, 0))) \
-        .groupBy("parent", "_grp").agg(F.min("lo").alias("lo"), F.max("_hi").alias("hi"))
-    wanted = merged.select("parent", F.explode(F.sequence("lo", "hi")).alias("rank"))
-    parent_seqs = wanted.join(ranked.withColumnRenamed("base", "parent"), ["parent", "rank"]) \
-        .withColumn("family", slug_family("parent"))
-    links = links.withColumn("family", slug_family("parent"))
-    lost = links.select("family", "parent", "child", "n", "child_first_seq", "child_first_id",
-                        "child_taken", "below").groupBy("family") \
-        .cogroup(parent_seqs.select("family", F.col("parent").alias("of_parent"), "rank", "seq",
-                                    "request_id").groupBy("family")) \
-        .applyInPandas(_settle_family, CLAIMS_OUT)
-
-    # blocked indices per base, then the r-th free index for the r-th request
+    # a child whose own slug exists has nothing to lose
+    links = links.join(t_idx.where(F.col("t") == 0).select(F.col("base").alias("child")), "child", "left_anti")
+    # a base that one request asks for has no ranks to count
+    several = rows.join(bases.where("requests > 1").select("base"), "base", "left_semi")
+    one = bases.where("requests = 1").select("base", F.col("first_id").alias("request_id"), "first_seq")
+    parents = links.select(F.col("parent").alias("base")).distinct()
+    asked = several.select("base", "seq", "request_id").unionByName(
+        one.join(parents, "base", "left_semi").select("base", F.col("first_seq").alias("seq"), "request_id"))
+    # One running count serves three purposes (groups ``g`` of a base):
+    # g=0: existing slugs and contests of the parent below each contested n
+    #      (contests, kind 0, sort before existing entries, kind 1, at equal index);
+    # g=1: the rank of every request by (seq, request id), and how many of the
+    #      parent's come before the child's first.
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    entry = lambda df, base, g, o1, o2, o3, w, k: df.select(
+        F.col(base).alias("base"), F.lit(g).alias("g"), o1.alias("o1"), o2.alias("o2"), o3.alias("o3"),
+        F.lit(w).alias("_w"), F.lit(k).alias("_k"))
+    probe = entry(links, "parent", 0, F.col("n"), zero, F.col("child"), 0, 1) \
+        .unionByName(entry(t_idx, "base", 0, F.col("t"), F.lit(1).cast("long"), none, 1, 0)) \
+        .unionByName(entry(links, "parent", 1, F.col("child_first_seq"), F.col("child_first_id"), F.col("child"), 0, 0)) \
+        .unionByName(entry(asked, "base", 1, F.col("seq"), F.col("request_id"), none, 1, 0))
+    counts = cumulative_sums(probe, ["base", "g"], ["o1", "o2", "o3"], {"_c": "_w", "_i": "_k"})
+    ranked = counts.where((F.col("g") == 1) & F.col("o3").isNull()).select(
+        "base", (F.col("_c") - 1).alias("rank"), F.col("o2").alias("request_id"))
+    at = counts.where(F.col("o3").isNotNull()).groupBy(F.col("base").alias("parent"), F.col("o3").alias("child")).agg(
+        *[F.max(F.when(F.col("g") == g, c)).alias(name) for name, g, c in
+          (("n", 0, F.col("o1")), ("below", 0, F.col("_c")), ("i", 0, F.col("_i") - 1), ("before", 1, F.col("_c")))])
+    contests = at.select("parent", "child", "i", "n", (F.col("before") - (F.col("n") - F.col("below") - F.col("i"))).alias("v"))
+    settled = settle(contests)
+    lost = settled.select(F.when(F.col("lost"), F.col("child")).otherwise(F.col("parent")).alias("base"),
+                          F.when(F.col("lost"), F.lit(0)).otherwise(F.col("n")).cast("long").alias("t"))
+
+    # blocked indices per base, then the r-th free index for the r-th request;
+    # a base without any has all its ranks free, and one that one request asks
+    # for takes the first free index
     blocked = t_idx.unionByName(lost).distinct()
     gaps = cumulative_sum(blocked, ["base"], ["t"], F.lit(1), "_j") \
         .select("base", (F.col("t") - (F.col("_j") - 1)).alias("v"), F.lit(0).alias("kind"),
                 F.lit(None).cast("long").alias("request_id"))
-    ranks = ranked.select("base", F.col("rank").alias("v"), F.lit(1).alias("kind"), "request_id")
-    counted = cumulative_sum(gaps.unionByName(ranks), ["base"], ["v", "kind", "request_id"],
+    held = base_keys.join(blocked.select("base").distinct(), "base", "left_semi")
+    ranks = ranked.join(bases.where("requests > 1").select("base"), "base", "left_semi")
+    free = ranks.join(held, "base", "left_anti").select("base", F.col("rank").alias("at"), "request_id")
+    met = ranks.join(held, "base", "left_semi").select("base", F.col("rank").alias("v"), F.lit(1).alias("kind"), "request_id")
+    counted = cumulative_sum(gaps.join(met.select("base").distinct(), "base", "left_semi").unionByName(met), ["base"], ["v", "kind", "request_id"],
                              F.when(F.col("kind") == 0, 1).otherwise(0), "_before") \
-        .where(F.col("kind") == 1)
-    return counted.select("request_id",
-                          _candidate(F.col("base"), F.col("v") + F.col("_before")).alias("slug"))
+        .where(F.col("kind") == 1).select("base", (F.col("v") + F.col("_before")).alias("at"), "request_id")
+    first = one.join(gaps.where("v <= 0").groupBy("base").agg(F.count(F.lit(1)).alias("at")), "base", "left") \
+        .select("base", F.coalesce("at", F.lit(0)).alias("at"), "request_id")
+    out = free.unionByName(counted).unionByName(first)
+    return out.select("request_id", _candidate(F.col("base"), F.col("at")).alias("slug"))
 
 
 def create_products(requests: DataFrame, products: DataFrame, categories: DataFrame,

@@ -649,3 +649,38 @@ def test_lockout_summaries_of_small_chunks(spark, seed):
            for r in lockouts_batch(att, users, chunk=[7, 20, 60, 10 ** 6][seed]).collect()}
     assert got == _lockout_states(rows)
     assert lockouts_batch(att.limit(0), users).count() == 0
+
+
+def test_slug_contests_in_rounds(spark):
+    """One family of 60,000 numbered children and 100,000 contests in runs of 20,000, which
+    depend on all those before, and a family with numbers within numbers; against the
+    reference loop."""
+    from cartograph.operators.slugs import settle
+    rnd = random.Random(6)
+    reqs = [(0, 0, "big")]
+    for n in range(1, 60_000):  # children in a random order, parent requests between them
+        reqs.append((len(reqs), rnd.randint(0, 10 ** 6), f"big-{n}"))
+    reqs += [(len(reqs) + i, rnd.randint(0, 10 ** 6), "big") for i in range(40_000)]
+    for n in range(2000):
+        name = "deep" + "".join(f"-{rnd.choice([1, 1, 2, 3])}" for _ in range(rnd.randint(0, 5)))
+        reqs.append((len(reqs), rnd.randint(0, 1000), name))
+    existing = ["big-5", "big-70", "deep-1-1", "deep-2"] + [f"big-{n}" for n in range(300, 400)]
+    new = spark.createDataFrame(reqs, "request_id long, seq long, base string")
+    got = {r.request_id: r.slug for r in assign_slugs(new, spark.createDataFrame([(x,) for x in existing], "slug string")).collect()}
+    taken, want, at = set(existing), {}, {}
+    for rid, _, base in sorted(reqs, key=lambda r: (r[1], r[0])):
+        c = at.get(base, 0)  # all smaller candidates are taken already
+        while (s := f"{base}-{c}" if c else base) in taken:
+            c += 1
+        at[base] = c
+        taken.add(s)
+        want[rid] = s
+    assert got == want
+    # the same counts, a run at a time
+    v = [rnd.randint(-3, i + 3) // rnd.choice([1, 2, 5]) for i in range(100_000)]
+    rows = spark.createDataFrame([("p", f"p-{i + 1}", i, i + 1, x) for i, x in enumerate(v)], "parent string, child string, i long, n long, v long")
+    lost, flags = 0, {}
+    for i, x in enumerate(v):
+        flags[i + 1] = x > lost
+        lost += x > lost
+    assert {r.n: r.lost for r in settle(rows, run=20_000).collect()} == flags
