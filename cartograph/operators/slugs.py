@@ -105,8 +105,8 @@ def assign_slugs(new: DataFrame, existing: DataFrame, seq: str = "seq",
                  base_col: str = "base") -> DataFrame:
     """Unique slug per new row. ``new``: request_id, ``seq``, ``base`` (an
     already slugified name); ``existing``: ``slug``. Returns request_id, slug."""
-    rows = new.select(F.col("request_id").cast("long").alias("request_id"),
-                      F.col(seq).cast("long").alias("seq"), F.col(base_col).alias("base"))
+    rows = stash(new.select(F.col("request_id").cast("long").alias("request_id"),
+                            F.col(seq).cast("long").alias("seq"), F.col(base_col).alias("base")), "slug_requests")
     bases = stash(rows.groupBy("base").agg(F.min(F.struct("seq", "request_id")).alias("_f"), F.count(F.lit(1)).alias("requests"))
                   .select("base", "requests", F.col("_f.seq").alias("first_seq"), F.col("_f.request_id").alias("first_id")), "slug_bases")
     base_keys = bases.select("base")
@@ -114,9 +114,9 @@ def assign_slugs(new: DataFrame, existing: DataFrame, seq: str = "seq",
     # existing slugs as (base, index): s is index 0 of s and index N of its parent
     taken = existing.select("slug").where(F.col("slug").isNotNull()).distinct()
     t_parent, t_n = _split_tail(F.col("slug"))
-    t_idx = taken.select(F.col("slug").alias("base"), F.lit(0).cast("long").alias("t")) \
-        .unionByName(taken.select(t_parent.alias("base"), t_n.alias("t")).where(F.col("t").isNotNull())) \
-        .join(base_keys, "base", "left_semi").distinct()
+    t_idx = stash(taken.select(F.col("slug").alias("base"), F.lit(0).cast("long").alias("t"))
+                  .unionByName(taken.select(t_parent.alias("base"), t_n.alias("t")).where(F.col("t").isNotNull()))
+                  .join(base_keys, "base", "left_semi").distinct(), "slug_taken")
 
     # requested bases that are the "-N" of another requested base
     c_parent, c_n = _split_tail(F.col("base"))
@@ -126,7 +126,7 @@ def assign_slugs(new: DataFrame, existing: DataFrame, seq: str = "seq",
         .where(F.col("n").isNotNull()) \
         .join(base_keys.withColumnRenamed("base", "parent"), "parent", "left_semi")
     # a child whose own slug exists has nothing to lose
-    links = links.join(t_idx.where(F.col("t") == 0).select(F.col("base").alias("child")), "child", "left_anti")
+    links = stash(links.join(t_idx.where(F.col("t") == 0).select(F.col("base").alias("child")), "child", "left_anti"), "slug_links")
     # a base that one request asks for has no ranks to count
     several = rows.join(bases.where("requests > 1").select("base"), "base", "left_semi")
     one = bases.where("requests = 1").select("base", F.col("first_id").alias("request_id"), "first_seq")
@@ -147,6 +147,7 @@ def assign_slugs(new: DataFrame, existing: DataFrame, seq: str = "seq",
         .unionByName(entry(links, "parent", 1, F.col("child_first_seq"), F.col("child_first_id"), F.col("child"), 0, 0)) \
         .unionByName(entry(asked, "base", 1, F.col("seq"), F.col("request_id"), none, 1, 0))
     counts = cumulative_sums(probe, ["base", "g"], ["o1", "o2", "o3"], {"_c": "_w", "_i": "_k"})
+    counts = stash(counts.select("base", "g", "o1", "o2", "o3", "_c", "_i"), "slug_counts")
     ranked = counts.where((F.col("g") == 1) & F.col("o3").isNull()).select(
         "base", (F.col("_c") - 1).alias("rank"), F.col("o2").alias("request_id"))
     at = counts.where(F.col("o3").isNotNull()).groupBy(F.col("base").alias("parent"), F.col("o3").alias("child")).agg(
@@ -160,7 +161,7 @@ def assign_slugs(new: DataFrame, existing: DataFrame, seq: str = "seq",
     # blocked indices per base, then the r-th free index for the r-th request;
     # a base without any has all its ranks free, and one that one request asks
     # for takes the first free index
-    blocked = t_idx.unionByName(lost).distinct()
+    blocked = stash(t_idx.unionByName(lost).distinct(), "slug_blocked")
     gaps = cumulative_sum(blocked, ["base"], ["t"], F.lit(1), "_j") \
         .select("base", (F.col("t") - (F.col("_j") - 1)).alias("v"), F.lit(0).alias("kind"),
                 F.lit(None).cast("long").alias("request_id"))
