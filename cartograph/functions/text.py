@@ -1,14 +1,19 @@
 """String rules as Column expressions (SCL-1, SCL-3, SCL-4, FTS tokens).
 
-Everything here is built from ``pyspark.sql.functions`` so it stays inside
-whole-stage code generation; nothing is a Python UDF.
+Built from ``pyspark.sql.functions``, so it stays inside whole-stage code
+generation; only the stemmer of :func:`lexemes` is an Arrow function
+(:mod:`.porter2`).
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cartograph.functions.porter2 import porter2, stems
+
 # English stop words removed before matching (the common
 # English stop list used by full-text engines).
 STOP_WORDS = (
@@ -92,53 +97,18 @@ def tokens(text) -> Column:
     return F.filter(arr, lambda t: t != "")
 
 
-def stem(word) -> Column:
-    """Suffix-rule stemmer. An approximation of the Snowball English stemmer,
-    covering plural and common verb/adverb endings only:
-
-    ``sses`` -> ``ss``; ``ies`` -> ``i``; trailing ``s`` (not ``ss``/``us``)
-    dropped; ``ing``, ``ed``, ``ly`` dropped when enough of the word remains.
-    """
-    w = _col(word)
-    n = F.length(w)
-    return (
-        F.when(w.endswith("sses"), F.substring(w, F.lit(1), n - 2))
-         .when(w.endswith("ies") & (n > 4), F.concat(F.substring(w, F.lit(1), n - 3), F.lit("i")))
-         .when(w.endswith("s") & ~w.endswith("ss") & ~w.endswith("us") & (n > 3),
-               F.substring(w, F.lit(1), n - 1))
-         .when(w.endswith("ing") & (n > 5), F.substring(w, F.lit(1), n - 3))
-         .when(w.endswith("ed") & (n > 4), F.substring(w, F.lit(1), n - 2))
-         .when(w.endswith("ly") & (n > 4), F.substring(w, F.lit(1), n - 2))
-         .otherwise(w))
-
-
-def stem_sql(w: str) -> str:
-    """The same stemmer as SQL text over column ``w`` (used by oracles)."""
-    return (f"CASE WHEN suffix({w}, 'sses') THEN substr({w}, 1, length({w}) - 2) "
-            f"WHEN suffix({w}, 'ies') AND length({w}) > 4 THEN substr({w}, 1, length({w}) - 3) || 'i' "
-            f"WHEN suffix({w}, 's') AND NOT suffix({w}, 'ss') AND NOT suffix({w}, 'us') "
-            f"AND length({w}) > 3 THEN substr({w}, 1, length({w}) - 1) "
-            f"WHEN suffix({w}, 'ing') AND length({w}) > 5 THEN substr({w}, 1, length({w}) - 3) "
-            f"WHEN suffix({w}, 'ed') AND length({w}) > 4 THEN substr({w}, 1, length({w}) - 2) "
-            f"WHEN suffix({w}, 'ly') AND length({w}) > 4 THEN substr({w}, 1, length({w}) - 2) "
-            f"ELSE {w} END")
-
-
 def lexemes(text) -> Column:
-    """FTS-1 document vector as an array: tokens, stop words removed, stemmed,
-    de-duplicated (PostgreSQL ``to_tsvector`` keeps positions; matching with
-    ``@@`` only needs presence)."""
-    # array_except is hash based (one probe per token) and also drops the
-    # empty tokens a leading separator leaves, so "" joins the stop list
+    """FTS-1 document vector as an array: tokens, stop words removed, stemmed
+    (:mod:`.porter2`), de-duplicated (PostgreSQL ``to_tsvector`` keeps
+    positions; matching with ``@@`` only needs presence)."""
+    # array_except is hash based (one probe per token), de-duplicates, and also
+    # drops the empty tokens a leading separator leaves, so "" joins the stop list
     stop = F.array(*[F.lit(s) for s in STOP_WORDS + [""]])
     raw = F.split(F.lower(F.coalesce(_col(text), F.lit(""))), TOKEN_SPLIT)
-    return F.array_distinct(F.transform(F.array_except(raw, stop), stem))
+    return F.array_distinct(stems(F.array_except(raw, stop)))
 
 
-def lexemes_sql(text_sql: str) -> str:
-    """DuckDB text computing :func:`lexemes` of the SQL expression
-    ``text_sql`` (used only by oracle queries)."""
-    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    toks = (f"list_filter(regexp_split_to_array(lower(coalesce({text_sql}, '')), '{TOKEN_SPLIT}'), "
-            f"lambda t: t <> '' AND NOT list_contains([{stop}], t))")
-    return f"list_distinct(list_transform({toks}, lambda w: {stem_sql('w')}))"
+def lexemes_of(text: str | None) -> list[str]:
+    """:func:`lexemes` of one given text (a search's own words)."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    return list(dict.fromkeys(porter2(w) for w in words if w not in STOP_WORDS))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartograph.functions.money import ORDER_STATUSES, stock_state, tracking_eta
-from cartograph.functions.text import lexemes, like_pattern_contains, trim
+from cartograph.functions.text import lexemes, lexemes_of, like_pattern_contains, trim
 from cartograph.operators.common import page, ts_lit
 
 # Fixed values from the reference: default page size, suggestions returned,
@@ -183,8 +183,10 @@ def with_search_vector(products: DataFrame) -> DataFrame:
 def matches_all_terms(vector: Column, q: str) -> Column:
     """FTS-2 for one query: every lexeme of ``q`` is in ``vector``; a query
     with no lexeme (only stop words) matches nothing."""
-    qlex = lexemes(F.lit(q))
-    return (F.size(qlex) > 0) & F.forall(qlex, lambda t: F.array_contains(vector, t))
+    terms = lexemes_of(q)
+    if not terms:
+        return F.lit(False)
+    return F.size(F.array_except(F.array(*map(F.lit, terms)), vector)) == 0
 
 
 def search_order(sort: str | None = None) -> list[Column]:

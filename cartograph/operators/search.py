@@ -5,9 +5,9 @@ The reference keeps a generated ``tsvector`` column with a GIN index and asks
 the vector is the :func:`cartograph.functions.text.lexemes` array, the index
 is a ``(term, doc_id)`` postings frame, and many queries are answered at once
 by joining query terms to postings and counting matched terms per
-(query, document). Lexemes approximate PostgreSQL's English configuration
-(tokenise, lower-case, stop words, suffix-rule stemming); results are exact
-for this definition, not for PostgreSQL's Snowball stemmer.
+(query, document). Lexemes follow PostgreSQL's English configuration:
+tokenise, lower-case, stop words, Porter2 stemming (see the README for how
+tokens differ).
 """
 
 from __future__ import annotations

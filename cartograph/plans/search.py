@@ -5,34 +5,35 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cartograph.functions.text import lexemes_sql
+from cartograph.functions.text import lexemes_of
 from cartograph.operators import catalog as C
 from cartograph.operators import search as S
 from cartograph.plans.registry import register
+from cartograph.plans.stems import lexeme_ctes
 from cartograph.operators.common import stash
 from cartograph.sources.shop import Shop
 from cartograph.sources.tables import load_table
 
-DOC_LEX = lexemes_sql("text")
+PRODUCT_TEXT = "coalesce(name, '') || ' ' || coalesce(description, '')"
+DOC_LEX = lexeme_ctes("d", "documents", "text", "doc_id")
 
 
 @register("fts_1_build_postings", bench=True, oracle=f"""
-    SELECT DISTINCT unnest({DOC_LEX}) AS term, doc_id FROM documents""")
+    WITH {DOC_LEX} SELECT unnest(v) AS term, doc_id FROM d""")
 def fts_1(spark, sf_dir):
     return S.build_postings(load_table(spark, sf_dir, "documents"), "doc_id", ["text"])
 
 
 @register("fts_1_term_frequency", oracle=f"""
-    SELECT term, count(*) AS docs FROM (SELECT DISTINCT unnest({DOC_LEX}) AS term, doc_id
-                                        FROM documents) t GROUP BY term""")
+    WITH {DOC_LEX} SELECT term, count(*) AS docs FROM (SELECT unnest(v) AS term, doc_id FROM d) t GROUP BY term""")
 def fts_1_df(spark, sf_dir):
     p = S.build_postings(load_table(spark, sf_dir, "documents"), "doc_id", ["text"])
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
 
 
 @register("fts_2_match_all_terms", bench=True, oracle=f"""
-    WITH q AS (SELECT item_id AS query_id, {lexemes_sql('text')} AS v FROM benchmark),
-    d AS (SELECT doc_id, {DOC_LEX} AS v FROM documents)
+    WITH {lexeme_ctes("q", "(SELECT item_id AS query_id, text FROM benchmark)", "text", "query_id")},
+    {DOC_LEX}
     SELECT q.query_id, d.doc_id FROM q, d
     WHERE len(q.v) > 0 AND list_has_all(d.v, q.v)""")
 def fts_2(spark, sf_dir):
@@ -45,9 +46,8 @@ def fts_2(spark, sf_dir):
 
 
 @register("fts_2_search_events", oracle=f"""
-    WITH q AS (SELECT query, {lexemes_sql('query')} AS v FROM (SELECT DISTINCT query FROM shop_search_events)),
-    d AS (SELECT id AS doc_id, {lexemes_sql("coalesce(name, '') || ' ' || coalesce(description, '')")}
-                 AS v FROM shop_products)
+    WITH {lexeme_ctes("q", "(SELECT DISTINCT query FROM shop_search_events)", "query", "query")},
+    {lexeme_ctes("d", "(SELECT id AS doc_id, name, description FROM shop_products)", PRODUCT_TEXT, "doc_id")}
     SELECT q.query, d.doc_id FROM q, d WHERE len(q.v) > 0 AND list_has_all(d.v, q.v)""")
 def fts_2_events(spark, sf_dir):
     """Products that match each different search text; events look theirs up."""
@@ -59,16 +59,15 @@ def fts_2_events(spark, sf_dir):
 
 
 SEARCH_Q = "Red Rings"
-_PROD_LEX = lexemes_sql("coalesce(name, '') || ' ' || coalesce(description, '')")
-_Q_LEX = lexemes_sql(f"'{SEARCH_Q}'")
+SEARCH_WITH = f"""WITH {lexeme_ctes("lex", "(SELECT id, name, description FROM shop_products)", PRODUCT_TEXT, "id")}"""
 SEARCH_WHERE = f"""
     is_active AND status = 'LIVE'
-    AND ((len({_Q_LEX}) > 0 AND list_has_all({_PROD_LEX}, {_Q_LEX}))
+    AND (id IN (SELECT id FROM lex WHERE list_has_all(v, {lexemes_of(SEARCH_Q)}))
          OR lower(name) LIKE '%{SEARCH_Q.lower()}%')
     AND stock_qty > 0"""
 
 
-@register("fts_4_search_products", oracle=f"""
+@register("fts_4_search_products", oracle=SEARCH_WITH + f"""
     SELECT id, name, CAST(price AS DOUBLE) AS price, stock_qty, CAST(rating_avg AS DOUBLE) AS rating_avg
     FROM shop_products WHERE {SEARCH_WHERE}
     ORDER BY rating_avg DESC, id ASC LIMIT 20""")
@@ -79,7 +78,7 @@ def fts_4(spark, sf_dir):
                        F.col("rating_avg").cast("double").alias("rating_avg"))
 
 
-@register("fts_4_search_total", oracle=f"""
+@register("fts_4_search_total", oracle=SEARCH_WITH + f"""
     SELECT count(*) AS total FROM shop_products WHERE {SEARCH_WHERE}""")
 def fts_4_total(spark, sf_dir):
     shop = Shop(spark, sf_dir)

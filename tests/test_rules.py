@@ -42,6 +42,61 @@ def test_stemmer_and_stop_words(spark):
     assert lex == ["babi", "sleep", "quiet", "ring"]
     only_stop = spark.createDataFrame([("the and of",)], "t string")
     assert only_stop.select(T.lexemes("t").alias("v")).first().v == []
+    texts = ["The babies are sleeping", None, "", "running RUNS ran", "a\u00e9b_c 3rd x2", "running\trunning"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", T.lexemes("t").alias("v")).collect()
+    assert {r.i: r.v for r in rows} == {i: T.lexemes_of(t) for i, t in enumerate(texts)}
+
+
+# words of the published Porter2 description, with their stems
+PORTER2 = """consign consigned consigning consignment:consign consist consisted consistency consistent consistently consisting
+consists:consist consolation consolations:consol consolatory:consolatori consolidate consolidated consolidating:consolid
+consoling:consol consolingly:consol consols:consol consonant:conson consort consorted consorting:consort
+conspicuous conspicuously:conspicu conspiracy:conspiraci conspirator conspirators conspire conspired conspiring:conspir
+constable constables:constabl constance constancy:constanc constant:constant knack knacks:knack knackeries:knackeri
+knag:knag knave knaves:knave knavish:knavish kneaded kneading:knead knee knees:knee kneel kneeled kneeling kneels:kneel
+knell:knell knelt:knelt knew:knew knick:knick knif:knif knife:knife knight knightly knights:knight knit knits knitted
+knitting:knit knives:knive knob knobs:knob knock knocked knocking knocks:knock knocker knockers:knocker knopp:knopp
+knot knots:knot
+skies:sky dying:die news:news inning innings:inning proceed proceeds:proceed generate generates generated generating:generat
+general generally:general generic generically:generic generous generously:generous communism communist:communism|communist
+ties:tie cries:cri gas:gas this:this gaps:gap kiwis:kiwi luxuriating:luxuri hopping:hop hoping:hope falling:fall
+agreed:agre feed:feed cry:cri by:by say:say happy:happi enjoy enjoyed:enjoy relational:relat conditional:condit
+rationalize:ration hopefulness:hope analogi:analog sensibility:sensibl adoption:adopt replacement:replac
+running runs:run controlled:control rolling:roll yielding:yield youth:youth boyish:boyish sayings:say"""
+
+
+def porter2_cases():
+    out = []
+    for part in re.findall(r"([^:]+):(\S+)", PORTER2.replace("\n", " ")):
+        words, stems = part[0].split(), part[1].split("|")
+        out += list(zip(words, stems if len(stems) > 1 else stems * len(words)))
+    return out
+
+
+def test_porter2_published_words():
+    from cartograph.functions.porter2 import porter2
+    assert [(w, porter2(w)) for w, _ in porter2_cases()] == porter2_cases()
+
+
+def test_porter2_and_its_sql_agree():
+    """The column function and the oracle's SQL on every word of the texts and on made-up words."""
+    import duckdb
+    from cartograph.functions import porter2 as P
+    from conftest import SF_SMALL
+    from cartograph.plans.stems import stem_ctes
+    rnd = random.Random(2)
+    con = duckdb.connect()
+    words = {w for t in con.execute(f"select text from '{SF_SMALL}/documents.parquet'").fetchall() for w in re.findall(r"[^\W_]+", t[0].lower())}
+    ends = [*P.STEP_2, *P.STEP_3, *P.STEP_4, "sses", "ied", "ies", "us", "ss", "s", "eed", "eedly", "ed", "edly", "ing", "ingly", "y", "e", "ll", "l"]
+    heads = ["", "gener", "commun", "arsen", "y", "ay", "syzy"]
+    for _ in range(20_000):
+        middle = "".join(rnd.choice("aeiouybdlmnrstvwxz") for _ in range(rnd.randint(0, 6)))
+        words.add(rnd.choice(heads) + middle + "".join(rnd.choice(ends) for _ in range(rnd.randint(0, 2))))
+    words = sorted((words | {w for w, _ in porter2_cases()} | set(P.WHOLE)) - {""})
+    con.execute("create table words(token varchar)")
+    con.execute("insert into words select unnest(?)", [words])
+    got = dict(con.execute(f"with {stem_ctes('select token from words')} select token, term from st").fetchall())
+    assert {w: (got[w], P.porter2(w)) for w in words if got[w] != P.porter2(w)} == {}
 
 
 def test_name_contains_wildcards_and_backslash(spark):
