@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cartograph.functions import money as M
 from cartograph.functions import text as T
 from cartograph.operators.analytics import authorise_order_access, decrement_stock
-from cartograph.operators.common import stash, ts_lit
+from cartograph.operators.common import stack_rows, stash, ts_lit
 
 NEVER = -(2 ** 62)  # a seq before every request
 
@@ -416,104 +416,128 @@ USER_FKS = (
     ("search_history", "user_id", "users", "CASCADE"),
     ("verification_tokens", "user_id", "users", "CASCADE"),
     ("notifications", "user_id", "users", "CASCADE"),
+    ("notification_preferences", "user_id", "users", "CASCADE"),
     ("device_tokens", "user_id", "users", "CASCADE"),
+    ("support_tickets", "user_id", "users", "CASCADE"),
+    ("support_messages", "sender_id", "users", "CASCADE"),
+    ("app_feedback", "user_id", "users", "SET NULL"),
     ("orders", "user_id", "users", "RESTRICT"),
     ("orders", "address_id", "addresses", "RESTRICT"),
     ("order_status_history", "changed_by", "users", "SET NULL"),
     ("products", "seller_id", "seller_profiles", "CASCADE"),
     ("review_responses", "seller_id", "seller_profiles", "CASCADE"),
+    ("payouts", "seller_id", "seller_profiles", "CASCADE"),
+    ("product_variants", "product_id", "products", "CASCADE"),
     ("cart_items", "cart_id", "carts", "CASCADE"),
     ("cart_items", "product_id", "products", "CASCADE"),
+    ("cart_items", "variant_id", "product_variants", "SET NULL"),
     ("reviews", "product_id", "products", "CASCADE"),
     ("wishlists", "product_id", "products", "CASCADE"),
+    ("order_items", "order_id", "orders", "CASCADE"),
     ("order_items", "product_id", "products", "SET NULL"),
+    ("order_items", "variant_id", "product_variants", "SET NULL"),
+    ("order_status_history", "order_id", "orders", "CASCADE"),
+    ("reviews", "order_id", "orders", "SET NULL"),
     ("review_responses", "review_id", "reviews", "CASCADE"),
     ("helpful_votes", "review_id", "reviews", "CASCADE"),
+    ("support_tickets", "order_id", "orders", "SET NULL"),
+    ("support_messages", "ticket_id", "support_tickets", "CASCADE"),
 )
 
 
-def _parent_first(fks) -> list[str]:
-    """Tables of the foreign-key graph, every parent before its children."""
-    tables: list[str] = []
-    for child, _, parent, _ in fks:
-        for t in (parent, child):
-            if t not in tables:
-                tables.append(t)
-    done: list[str] = []
-    while len(done) < len(tables):
-        for t in tables:
-            if t in done:
-                continue
-            parents = {p for c, _, p, _ in fks if c == t and p != t}
-            if parents <= set(done):
-                done.append(t)
+class Erasure:
+    """CHG-9: which rows go with a set of users, over any graph of foreign keys
+    (cycles and keys of a table to itself included).
+
+    The keys that go are found as a fixpoint, semi-naively: a round joins only
+    the keys that the round before found to the tables whose CASCADE keys point
+    at them, and stores what is new once, for all tables together, as
+    ``(table, id, user)``. Rounds end with the first that finds nothing, after
+    as many as the longest chain of keys. The user is the one asked for with
+    whom the row would go; a row may go with several.
+
+    A user is refused, and reported in ``restricted`` as ``(user_id,
+    blocked_by)``, when a RESTRICT key points at a row that would go with them;
+    ``doomed`` has the keys ``(table, id)`` that go with the others. Tables
+    absent from ``tables``, and keys without their column, are skipped.
+    ``keys`` names the key column of tables where that is not ``id``.
+    """
+
+    def __init__(self, tables: dict, user_ids: DataFrame, fks=USER_FKS, keys: dict | None = None):
+        self.tables, self.keys = tables, keys or {}
+        self.fks = [f for f in fks if f[0] in tables and f[1] in tables[f[0]].columns]
+        #: tables whose own keys others point at
+        self.parents = {p for _, _, p, _ in self.fks if p in tables} | {"users"}
+        asked = user_ids.select(F.lit("users").alias("table"), F.col("user_id").alias("id"), F.col("user_id").alias("user")) \
+            .where(F.col("id").isNotNull()).distinct()
+        found, new, at = [], stash(asked, "erase_keys"), {"users"}
+        while at and not new.isEmpty():
+            found.append(new)
+            ways = [(c, fk, p) for c, fk, p, action in self.fks if action == "CASCADE" and p in at and c in self.parents]
+            if not ways:
                 break
-        else:
-            raise ValueError("foreign keys form a cycle")
-    return done
+            known = stack_rows(*found)
+            reached = stack_rows(*[self._rows_of(c, fk, new.where(F.col("table") == p)) for c, fk, p in ways]).distinct()
+            new, at = stash(reached.join(known, ["table", "id", "user"], "left_anti"), "erase_keys"), {c for c, _, _ in ways}
+        closure = stack_rows(*found) if found else asked
+        hits = [self._pointing(c, fk, closure.where(F.col("table") == p)).select(F.col("user").alias("user_id"), F.lit(c).alias("blocked_by"))
+                for c, fk, p, action in self.fks if action == "RESTRICT"]
+        none = user_ids.limit(0).select("user_id", F.lit("").alias("blocked_by"))
+        self.restricted = stash(stack_rows(none, *hits).distinct(), "erase_restricted")
+        gone = closure.join(self.restricted.select(F.col("user_id").alias("user")), "user", "left_anti")
+        self.doomed = stash(gone.select("table", "id").distinct(), "erase_doomed")
+
+    def _pointing(self, child: str, fk: str, to: DataFrame) -> DataFrame:
+        return self.tables[child].join(to.select(F.col("id").alias("_to"), "user"), F.col(fk) == F.col("_to"))
+
+    def _rows_of(self, child: str, fk: str, to: DataFrame) -> DataFrame:
+        return self._pointing(child, fk, to).select(F.lit(child).alias("table"), F.col(self.keys.get(child, "id")).alias("id"), "user")
+
+    def _dead(self, table: str, name: str) -> DataFrame:
+        return self.doomed.where(F.col("table") == table).select(F.col("id").alias(name))
+
+    def _by(self, table: str) -> list[tuple[str, str]]:
+        """(column, table whose dead keys it is looked up in): rows of ``table`` go by any of them."""
+        if table in self.parents:
+            return [(self.keys.get(table, "id"), table)]
+        return [(fk, p) for c, fk, p, action in self.fks if c == table and action == "CASCADE"]
+
+    def gone(self, table: str) -> DataFrame:
+        """Rows of ``table`` that go."""
+        df, hit = self.tables[table], F.lit(False)
+        for i, (col, parent) in enumerate(self._by(table)):
+            df = df.join(self._dead(parent, f"_dead{i}"), df[col] == F.col(f"_dead{i}"), "left")
+            hit = hit | F.col(f"_dead{i}").isNotNull()
+        return df.where(hit).select(*[self.tables[table][c] for c in self.tables[table].columns])
+
+    def kept(self, table: str) -> DataFrame:
+        """Rows of ``table`` that stay, SET NULL columns blanked."""
+        df = self.tables[table]
+        for i, (col, parent) in enumerate(self._by(table)):
+            df = df.join(self._dead(parent, f"_dead{i}"), df[col] == F.col(f"_dead{i}"), "left_anti")
+        return self._blanked(df, table)
+
+    def _blanked(self, df: DataFrame, table: str) -> DataFrame:
+        columns = df.columns
+        for i, (fk, parent) in enumerate((fk, p) for c, fk, p, action in self.fks if c == table and action == "SET NULL"):
+            df = df.join(self._dead(parent, f"_null{i}"), df[fk] == F.col(f"_null{i}"), "left") \
+                .withColumn(fk, F.when(F.col(f"_null{i}").isNull(), F.col(fk)))
+        return df.select(*columns)
+
+    def blanked(self, table: str, fk: str) -> DataFrame:
+        """Rows of ``table`` that stay and lose their ``fk``."""
+        parent = next(p for c, f, p, action in self.fks if (c, f, action) == (table, fk, "SET NULL"))
+        df = self.tables[table]
+        for i, (col, up) in enumerate(self._by(table)):
+            df = df.join(self._dead(up, f"_dead{i}"), df[col] == F.col(f"_dead{i}"), "left_anti")
+        return df.join(self._dead(parent, "_null"), df[fk] == F.col("_null"), "left_semi")
 
 
 def erase_users(tables: dict, user_ids: DataFrame, fks=USER_FKS, keys: dict | None = None):
-    """CHG-9: delete users and follow the foreign-key actions. A user is
-    refused and reported when a RESTRICT child references them or a row of
-    theirs (an order their address) that would go with them.
-
-    Tables are walked parent before child. The keys that go from a table are
-    the rows that reference keys that went from its parents (``left_semi``);
-    they are stored once and used by the table itself and by its children, so
-    every table is scanned once per foreign key and once for its result. SET
-    NULL blanks the column. Tables absent from ``tables`` are skipped.
-    Returns ``(tables, restricted)``."""
-    keys = keys or {}
-    ids = user_ids.select(F.col("user_id").alias("id")).where(F.col("id").isNotNull()).distinct()
-    ids = stash(ids, "erase-asked")
-    hits = []
-    for child, fk, parent, action in fks:
-        if action != "RESTRICT" or child not in tables or fk not in tables[child].columns:
-            continue
-        refs = tables[child].select(F.col(fk).alias("id"))
-        if parent != "users":
-            # the users whose own rows of ``parent`` the child refers to
-            up = next((f for c, f, p, act in fks if c == parent and p == "users" and act == "CASCADE"), None)
-            if up is None or parent not in tables:
-                continue
-            refs = tables[parent].select(F.col(keys.get(parent, "id")).alias("id"), F.col(up).alias("_owner")) \
-                .join(refs, "id", "left_semi").select(F.col("_owner").alias("id"))
-        hits.append(ids.join(refs, "id", "left_semi")
-                    .select(F.col("id").alias("user_id"), F.lit(child).alias("blocked_by")))
-    restricted = user_ids.limit(0).select("user_id", F.lit("").alias("blocked_by"))
-    if hits:
-        restricted = hits[0]
-        for h in hits[1:]:
-            restricted = restricted.unionByName(h)
-        restricted = restricted.distinct()
-        ids = ids.join(restricted.select(F.col("user_id").alias("id")), "id", "left_anti")
-    doomed = {"users": stash(ids, "erase-users")}
-    out = dict(tables)
-    parents = {p for _, _, p, _ in fks}
-    for t in _parent_first(fks):
-        if t not in tables:
-            continue
-        df, pk = tables[t], keys.get(t, "id")
-        ways = [(fk, doomed[p]) for c, fk, p, action in fks if c == t and action == "CASCADE" and p in doomed]
-        if t != "users" and t in parents and ways:
-            gone = None
-            for fk, d in ways:
-                part = df.join(d.withColumnRenamed("id", fk), fk, "left_semi").select(F.col(pk).alias("id"))
-                gone = part if gone is None else gone.unionByName(part)
-            doomed[t] = stash(gone.distinct(), f"erase-{t}")
-        if t in doomed:
-            out[t] = df.join(doomed[t].withColumnRenamed("id", pk), pk, "left_anti")
-        else:
-            for fk, d in ways:
-                out[t] = out[t].join(d.withColumnRenamed("id", fk), fk, "left_anti")
-    for child, fk, parent, action in fks:
-        if action == "SET NULL" and child in out and parent in doomed:
-            d = doomed[parent].select(F.col("id").alias("_dead")).withColumn("_x", F.lit(True))
-            out[child] = out[child].join(d, out[child][fk] == d["_dead"], "left") \
-                .withColumn(fk, F.when(F.col("_x"), F.lit(None)).otherwise(F.col(fk))) \
-                .drop("_dead", "_x")
-    return out, restricted
+    """CHG-9: delete users and follow the foreign-key actions (see
+    :class:`Erasure`). Returns ``(tables, restricted)``."""
+    e = Erasure(tables, user_ids, fks, keys)
+    return {t: e.kept(t) for t in tables}, e.restricted
 
 
 # ------------------------------------------------------------ registration --

@@ -342,13 +342,16 @@ ERASE_SQL = """
     dc AS (SELECT id FROM shop_carts WHERE user_id IN (SELECT id FROM du)),
     dp AS (SELECT id FROM shop_products WHERE seller_id IN (SELECT id FROM ds)),
     dr AS (SELECT id FROM shop_reviews WHERE user_id IN (SELECT id FROM du)
-           OR product_id IN (SELECT id FROM dp))"""
+           OR product_id IN (SELECT id FROM dp)),
+    dv AS (SELECT id FROM shop_product_variants WHERE product_id IN (SELECT id FROM dp)),
+    dt AS (SELECT id FROM shop_support_tickets WHERE user_id IN (SELECT id FROM du))"""
 
 
 ERASE_KEYS = {"users": ["id"], "seller_profiles": ["id"], "carts": ["id"], "products": ["id"], "reviews": ["id"],
               "cart_items": ["cart_id", "product_id", "line_no", "src_order"], "wishlists": ["user_id", "product_id"],
               "helpful_votes": ["user_id", "review_id"], "search_history": ["event_id"],
-              "verification_tokens": ["token_id"]}
+              "verification_tokens": ["token_id"], "product_variants": ["id"], "support_tickets": ["id"], "support_messages": ["id"],
+              "notification_preferences": ["user_id"], "payouts": ["id"]}
 
 
 def _key_sql(cols):
@@ -371,6 +374,16 @@ def _key_sql(cols):
       WHERE user_id IN (SELECT id FROM du)
     UNION ALL SELECT 'verification_tokens', CAST(token_id AS VARCHAR) FROM shop_tokens_issued
       WHERE user_id IN (SELECT id FROM du)
+    UNION ALL SELECT 'product_variants', CAST(id AS VARCHAR) FROM dv
+    UNION ALL SELECT 'support_tickets', CAST(id AS VARCHAR) FROM dt
+    UNION ALL SELECT 'support_messages', CAST(id AS VARCHAR) FROM shop_support_messages
+      WHERE ticket_id IN (SELECT id FROM dt) OR sender_id IN (SELECT id FROM du)
+    UNION ALL SELECT 'notification_preferences', CAST(user_id AS VARCHAR) FROM shop_notification_preferences
+      WHERE user_id IN (SELECT id FROM du)
+    UNION ALL SELECT 'payouts', CAST(id AS VARCHAR) FROM shop_payouts WHERE seller_id IN (SELECT id FROM ds)
+    UNION ALL SELECT 'app_feedback.user_id', CAST(id AS VARCHAR) FROM shop_app_feedback WHERE user_id IN (SELECT id FROM du)
+    UNION ALL SELECT 'order_items.variant_id', CAST(order_id AS VARCHAR) || '|' || CAST(line_no AS VARCHAR)
+      FROM shop_order_lines WHERE variant_id IN (SELECT id FROM dv)
     UNION ALL SELECT 'order_items.product_id', CAST(order_id AS VARCHAR) || '|' || CAST(line_no AS VARCHAR)
       FROM shop_order_items WHERE product_id IN (SELECT id FROM dp)
     UNION ALL SELECT 'order_status_history.changed_by', CAST(request_id AS VARCHAR)
@@ -381,21 +394,19 @@ def chg_9(spark, sf_dir):
     tables = {"users": shop.users, "seller_profiles": shop.sellers, "carts": shop.carts,
               "products": shop.products, "reviews": shop.reviews, "cart_items": shop.cart_items,
               "wishlists": shop.wishlists, "helpful_votes": shop.helpful_votes,
-              "orders": shop.orders, "order_items": shop.order_items,
+              "orders": shop.orders, "order_items": shop.order_lines,
               "search_history": shop.search_events, "verification_tokens": shop.tokens_issued,
-              "order_status_history": shop.status_updates}
-    req = shop.flag_changes.where("value").select("user_id")
-    out, _ = C.erase_users(tables, req)
+              "order_status_history": shop.status_updates, "product_variants": shop.product_variants,
+              "support_tickets": shop.support_tickets, "support_messages": shop.support_messages,
+              "notification_preferences": shop.notification_preferences, "payouts": shop.payouts,
+              "app_feedback": shop.app_feedback}
+    e = C.Erasure(tables, shop.flag_changes.where("value").select("user_id"), keys={"notification_preferences": "user_id"})
     key = lambda cols: F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("key")
-    found = [tables[t].join(out[t].select(*cols), cols, "left_anti").select(F.lit(t).alias("table_name"), key(cols)).distinct()
-             for t, cols in ERASE_KEYS.items()]
-    for t, fk, cols in (("order_items", "product_id", ["order_id", "line_no"]),
-                        ("order_status_history", "changed_by", ["request_id"])):
-        found.append(out[t].where(F.col(fk).isNull()).select(F.lit(f"{t}.{fk}").alias("table_name"), key(cols)))
-    stacked = found[0]
-    for f in found[1:]:
-        stacked = stacked.unionByName(f)
-    return stacked
+    found = [e.gone(t).select(F.lit(t).alias("table_name"), key(cols)).distinct() for t, cols in ERASE_KEYS.items()]
+    found += [e.blanked(t, fk).select(F.lit(f"{t}.{fk}").alias("table_name"), key(cols)) for t, fk, cols in (
+        ("order_items", "product_id", ["order_id", "line_no"]), ("order_items", "variant_id", ["order_id", "line_no"]),
+        ("order_status_history", "changed_by", ["request_id"]), ("app_feedback", "user_id", ["id"]))]
+    return C.stack_rows(*found)
 
 
 @register("chg_9_restricted", oracle=ERASE_SQL + """

@@ -151,6 +151,25 @@ VIEWS: dict[str, str] = {
     "shop_wishlists": """
         SELECT user_id, event_id % (SELECT count(*) FROM {part}) AS product_id, ts AS added_at
         FROM {shop_events} WHERE event_type = 'purchase'""",
+    "shop_product_variants": """
+        SELECT p_partkey * 2 AS id, p_partkey AS product_id FROM {part} WHERE p_size % 3 <> 0
+        UNION ALL SELECT p_partkey * 2 + 1, p_partkey FROM {part} WHERE p_size % 3 = 1""",
+    "shop_order_lines": """
+        SELECT i.*, v.id AS variant_id FROM {shop_order_items} i
+        LEFT JOIN {shop_product_variants} v ON v.id = i.product_id * 2 + i.line_no % 2""",
+    "shop_support_tickets": """
+        SELECT event_id AS id, user_id, CASE WHEN k % 3 = 0 THEN NULL ELSE k END AS order_id, ts AS created_at
+        FROM {shop_events} WHERE event_type = 'error' AND event_id % 2 = 0""",
+    "shop_support_messages": """
+        SELECT id * 2 AS id, id AS ticket_id, user_id AS sender_id FROM {shop_support_tickets}
+        UNION ALL SELECT id * 2 + 1, id, (user_id * 7 + 1) % (SELECT count(*) FROM {customer}) FROM {shop_support_tickets}""",
+    "shop_notification_preferences": """
+        SELECT id AS user_id, id % 2 = 0 AS promotions FROM {shop_users}""",
+    "shop_payouts": """
+        SELECT id * 2 AS id, id AS seller_id FROM {shop_sellers}
+        UNION ALL SELECT id * 2 + 1, id FROM {shop_sellers} WHERE is_verified""",
+    "shop_app_feedback": """
+        SELECT event_id AS id, user_id, k AS stars FROM {shop_events} WHERE event_type = 'click' AND event_id % 3 = 0""",
     "shop_logins": """
         SELECT event_id, user_id, ts, event_type = 'signup' AS success
         FROM {events} WHERE event_type IN ('error', 'signup')""",

@@ -141,3 +141,47 @@ def test_erasure_follows_deeper_keys(spark):
     assert [r.id for r in out["addresses"].collect()] == [7]
     assert out["verification_tokens"].count() == 0
     assert {r.id: r.changed_by for r in out["order_status_history"].collect()} == {1: None, 2: 2}
+
+
+def test_erasure_reaches_every_table(spark):
+    """One row of every table hangs on user 1; every key of the list is followed."""
+    frame = lambda rows, cols: spark.createDataFrame(rows, cols)
+    ids = {t for c, _, p, _ in CH.USER_FKS for t in (c, p)}
+    t = {"users": frame([(1,), (2,)], "id long")}
+    for name in sorted(ids - {"users"}):
+        cols = {fk: p for c, fk, p, _ in CH.USER_FKS if c == name}
+        # row 1 points at row 1 of every parent, row 2 at row 2; orders are of user 2 alone
+        rows = [(i, *[2 if name == "orders" else i for _ in cols]) for i in (1, 2)]
+        t[name] = frame(rows, ", ".join(f"{c} long" for c in ("id", *cols)))
+    e = CH.Erasure(t, frame([(1,), (2,)], "user_id long"))
+    assert {tuple(r) for r in e.restricted.collect()} == {(2, "orders")}
+    stay = {"orders", "order_items", "order_status_history", "app_feedback"}
+    assert {n for n in t if [r.id for r in e.gone(n).collect()] == [1]} == set(t) - stay
+    for name in stay:
+        assert e.gone(name).count() == 0
+    left = {n: {r.id: r.asDict() for r in e.kept(n).collect()} for n in t}
+    assert all(set(rows) == ({1, 2} if n in stay else {2}) for n, rows in left.items())
+    assert left["order_items"][1] == {"id": 1, "order_id": 1, "product_id": None, "variant_id": None}
+    assert left["app_feedback"][1]["user_id"] is None and left["order_status_history"][1]["changed_by"] is None
+    assert [r.id for r in e.blanked("order_items", "variant_id").collect()] == [1]
+
+
+def test_erasure_over_cycles_and_several_owners(spark):
+    """Employees point at their manager and departments at a head, and back;
+    row 4 hangs on both users, of whom one is refused."""
+    frame = lambda rows, cols: spark.createDataFrame(rows, cols)
+    fks = (("staff", "user_id", "users", "CASCADE"), ("staff", "manager", "staff", "CASCADE"), ("staff", "dept", "depts", "CASCADE"),
+           ("depts", "head", "staff", "CASCADE"), ("audits", "staff_id", "staff", "RESTRICT"), ("notes", "staff_id", "staff", "CASCADE"))
+    t = {"users": frame([(1,), (2,), (3,)], "id long"),
+         "staff": frame([(1, 1, None, None), (2, None, 1, None), (3, None, 2, 7), (4, 2, 3, 8), (5, 2, None, 8), (6, 3, None, None), (7, None, None, 9)],
+                        "id long, user_id long, manager long, dept long"),
+         "depts": frame([(7, 3), (8, 5), (9, 4)], "id long, head long"),
+         "audits": frame([(1, 5)], "id long, staff_id long"), "notes": frame([(1, 7), (2, 5), (3, 2)], "id long, staff_id long")}
+    out, blocked = CH.erase_users(t, frame([(1,), (2,)], "user_id long"), fks)
+    assert [tuple(r) for r in blocked.collect()] == [(2, "audits")]
+    assert sorted(r.id for r in out["users"].collect()) == [2, 3]
+    assert sorted(r.id for r in out["staff"].collect()) == [5, 6]  # 1 to 4 by managers, 7 by the department of 4
+    assert [r.id for r in out["depts"].collect()] == [8]
+    assert [r.id for r in out["notes"].collect()] == [2]
+    empty, none = CH.erase_users(t, frame([], "user_id long"), fks)
+    assert empty["staff"].count() == 7 and none.count() == 0
