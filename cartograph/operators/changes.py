@@ -457,8 +457,8 @@ class Erasure:
     whom the row would go; a row may go with several.
 
     A user is refused, and reported in ``restricted`` as ``(user_id,
-    blocked_by)``, when a RESTRICT key points at a row that would go with them;
-    ``doomed`` has the keys ``(table, id)`` that go with the others. Tables
+    blocked_by)`` with the first tables found, when a RESTRICT key points at a
+    row that would go with them; ``doomed`` has the keys ``(table, id)`` that go with the others. Tables
     absent from ``tables``, and keys without their column, are skipped.
     ``keys`` names the key column of tables where that is not ``id``.
     """
@@ -470,9 +470,14 @@ class Erasure:
         self.parents = {p for _, _, p, _ in self.fks if p in tables} | {"users"}
         asked = user_ids.select(F.lit("users").alias("table"), F.col("user_id").alias("id"), F.col("user_id").alias("user")) \
             .where(F.col("id").isNotNull()).distinct()
-        found, new, at = [], stash(asked, "erase_keys"), {"users"}
-        while at and not new.isEmpty():
+        found, refused, new, at = [], [], stash(asked, "erase_keys"), {"users"}
+        while not new.isEmpty():
             found.append(new)
+            hits = [self._pointing(c, fk, new.where(F.col("table") == p)).select(F.col("user").alias("user_id"), F.lit(c).alias("blocked_by"))
+                    for c, fk, p, action in self.fks if action == "RESTRICT" and p in at]
+            if hits:  # nothing more is looked for on behalf of a refused user
+                refused.append(stash(stack_rows(*hits).distinct(), "erase_restricted"))
+                new = new.join(refused[-1].select(F.col("user_id").alias("user")), "user", "left_anti")
             ways = [(c, fk, p) for c, fk, p, action in self.fks if action == "CASCADE" and p in at and c in self.parents]
             if not ways:
                 break
@@ -480,10 +485,8 @@ class Erasure:
             reached = stack_rows(*[self._rows_of(c, fk, new.where(F.col("table") == p)) for c, fk, p in ways]).distinct()
             new, at = stash(reached.join(known, ["table", "id", "user"], "left_anti"), "erase_keys"), {c for c, _, _ in ways}
         closure = stack_rows(*found) if found else asked
-        hits = [self._pointing(c, fk, closure.where(F.col("table") == p)).select(F.col("user").alias("user_id"), F.lit(c).alias("blocked_by"))
-                for c, fk, p, action in self.fks if action == "RESTRICT"]
         none = user_ids.limit(0).select("user_id", F.lit("").alias("blocked_by"))
-        self.restricted = stash(stack_rows(none, *hits).distinct(), "erase_restricted")
+        self.restricted = stack_rows(none, *refused).distinct()
         gone = closure.join(self.restricted.select(F.col("user_id").alias("user")), "user", "left_anti")
         self.doomed = stash(gone.select("table", "id").distinct(), "erase_doomed")
 
