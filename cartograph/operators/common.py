@@ -62,11 +62,12 @@ def ts_lit(value) -> Column:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet under the session's shared checkpoint folder
     and read it back: cuts the lineage (a lost executor re-reads files
-    instead of recomputing) and later reads are columnar with pruning."""
+    instead of recomputing) and later reads are columnar with pruning. The
+    files go with :func:`drop_stash`, or when the driver ends."""
     import uuid
 
-    from cartograph.session import checkpoint_dir
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stash/{name}-{uuid.uuid4().hex}"
+    from cartograph.session import checkpoint_dir, temporary
+    path = temporary(df.sparkSession, f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stash/{name}-{uuid.uuid4().hex}") + "/rows"
     df.write.parquet(path)
     out = df.sparkSession.read.parquet(path)
     out._stash_path = path

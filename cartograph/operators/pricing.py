@@ -10,7 +10,10 @@ Two modes:
   request subtotal, discount PRC-4 when valid.
 
 The hard-coded codes are a three-row literal frame, broadcast (its size is
-fixed); the promo table is broadcast after a size check.
+fixed); the promo table is joined by AQE's own choice.
+
+Uses of a code: :func:`uses_before` counts the orders with the code before each
+order, which is what the use cap of PRC-3 asks at that moment.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartograph.functions.money import QUOTED_PROMOS, promo_discount, promo_is_valid
-from cartograph.operators.common import ts_lit
+from cartograph.operators.common import cumulative_sum, ts_lit
 
 
 def quote_promos(requests: DataFrame, promos: DataFrame | None = None, strict: bool = True,
@@ -44,3 +47,12 @@ def quote_promos(requests: DataFrame, promos: DataFrame | None = None, strict: b
     return x.select(*requests.columns, "quoted_code",
                     F.when(valid, promo_discount(F.col(subtotal_col))).alias("discount"),
                     "discount_type", valid.alias("valid"))
+
+
+def uses_before(orders: DataFrame) -> DataFrame:
+    """Orders with a promo code, with ``uses_count``: how many orders had used
+    the code before (by time, then id). A code that a third of all orders use is
+    spread over ranges of time."""
+    x = orders.where(F.col("promo_id").isNotNull())
+    return cumulative_sum(x, ["promo_id"], ["created_at", "id"], F.lit(1), "_used") \
+        .withColumn("uses_count", F.col("_used") - 1).drop("_used")

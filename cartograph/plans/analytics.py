@@ -262,6 +262,97 @@ def prc_4(spark, sf_dir):
     return x.select("order_id", "code", M.promo_discount("total").cast("double").alias("discount"))
 
 
+# A fifth of the stated caps (1000 and 500), so that they bind on these orders.
+CAP_SHARE = 5
+
+
+def _capped(promos):
+    return promos.withColumn("max_uses", (F.col("max_uses") / CAP_SHARE).cast("int"))
+
+
+@register("prc_3_use_cap", oracle=f"""
+    SELECT order_id, code, uses_count,
+           is_active AND (expires_at IS NULL OR expires_at >= created_at)
+             AND (max_uses IS NULL OR uses_count < max_uses // {CAP_SHARE}) AND total >= min_order AS valid
+    FROM (SELECT t.* EXCLUDE (uses_count), row_number() OVER (PARTITION BY code ORDER BY created_at, order_id) - 1 AS uses_count
+          FROM ({PROMO_JOIN_SQL}) t) u""")
+def prc_3_cap(spark, sf_dir):
+    """Validity of every order's code at that moment: the uses before it count."""
+    from cartograph.operators.pricing import uses_before
+    shop = Shop(spark, sf_dir)
+    promos = _capped(shop.promo_codes).drop("uses_count").withColumnRenamed("id", "promo_id")
+    x = uses_before(shop.orders).join(promos, "promo_id")
+    return x.select(F.col("id").alias("order_id"), "code", "uses_count", M.promo_is_valid("total", "created_at").alias("valid"))
+
+
+# ---------------------------------------------------------- kept rollups --
+def _at(spark, name):
+    import uuid
+
+    from cartograph.session import checkpoint_dir, temporary
+    return temporary(spark, f"{checkpoint_dir(spark).rstrip('/')}/rollups/{name}-{uuid.uuid4().hex}")
+
+
+_HIDDEN_SQL = """
+    ch AS (SELECT review_id, seq,
+                  CASE WHEN NOT coalesce(json_valid(body), false) THEN NULL
+                       WHEN NOT json_exists(body, '$.hidden') THEN true
+                       WHEN lower(json_extract_string(body, '$.hidden')) IN ('true', 'false')
+                       THEN CAST(json_extract_string(body, '$.hidden') AS BOOLEAN) END AS v
+           FROM shop_hide_changes),
+    last AS (SELECT review_id, arg_max(v, seq) AS v FROM ch WHERE v IS NOT NULL GROUP BY review_id),
+    rv AS (SELECT rv.product_id, rv.rating FROM shop_reviews rv LEFT JOIN last ON last.review_id = rv.id
+           WHERE NOT coalesce(last.v, rv.is_hidden))"""
+
+
+def _kept_reviews(spark, sf_dir):
+    """Changes of the reviews in three batches: all of them as new, then two of
+    requests to hide or show some, by the hour they came in."""
+    from cartograph.operators import changes as C
+    from cartograph.operators import rollups as R
+    shop = Shop(spark, sf_dir)
+    ok, _ = C.flag_from_body(shop.hide_changes, "hidden")
+    half = ok.agg(F.floor((F.min("seq") + F.max("seq")) / 2).alias("m")).first().m
+    yield shop, R.rating_changes(None, shop.reviews)
+    before = shop.reviews.select("id", "product_id", "rating", "is_hidden")
+    for part in (F.col("seq") <= half, F.col("seq") > half):
+        asked = ok.where(part)
+        # only the reviews that the batch touches
+        touched = before.join(asked.select(F.col("review_id").alias("id")).distinct(), "id", "left_semi")
+        after, _ = C.apply_flags(touched, asked, "id", "is_hidden", change_key="review_id")
+        yield shop, R.rating_changes(touched, after)
+        before = before.join(touched.select("id"), "id", "left_anti").unionByName(after.select(*before.columns))
+
+
+@register("agg_5_kept_ratings", oracle=f"""
+    WITH {_HIDDEN_SQL},
+    r AS (SELECT product_id, sum(rating) AS s, count(*) AS n FROM rv GROUP BY product_id)
+    SELECT p.id AS product_id, coalesce({_cents_sql('r.s', 'r.n')}, 0.0) AS rating_avg, coalesce(r.n, 0) AS review_count
+    FROM shop_products p LEFT JOIN r ON r.product_id = p.id""")
+def agg_5_kept(spark, sf_dir):
+    """Rating columns kept by deltas over hides and shows, one compaction in between."""
+    from cartograph.operators import rollups as R
+    table = R.ratings_table(spark, _at(spark, "ratings"))
+    for batch, (shop, changes) in enumerate(_kept_reviews(spark, sf_dir)):
+        table.append(batch, changes)
+        if batch == 1:
+            table.compact()
+    return R.rating_columns(shop.products, table).select("product_id", _dbl("rating_avg"), "review_count")
+
+
+@register("agg_6_kept_ratings", oracle=f"""
+    WITH {_HIDDEN_SQL},
+    r AS (SELECT p.seller_id, sum(rv.rating) AS s, count(*) AS n FROM rv JOIN shop_products p ON p.id = rv.product_id GROUP BY p.seller_id)
+    SELECT s.id AS seller_id, coalesce({_cents_sql('r.s', 'r.n')}, 0.0) AS rating_avg, coalesce(r.n, 0) AS review_count
+    FROM shop_sellers s LEFT JOIN r ON r.seller_id = s.id""")
+def agg_6_kept(spark, sf_dir):
+    from cartograph.operators import rollups as R
+    table = R.ratings_table(spark, _at(spark, "sellers"), "seller_id")
+    for batch, (shop, changes) in enumerate(_kept_reviews(spark, sf_dir)):
+        table.append(batch, R.seller_rating_changes(changes, shop.products))
+    return R.rating_columns(shop.sellers, table, "seller_id").select("seller_id", _dbl("rating_avg"), "review_count")
+
+
 # ------------------------------------------------------------ scalar rules --
 @register("scl_1_slugify", oracle="""
     SELECT id, CASE WHEN s = '' THEN 'product' ELSE s END AS slug FROM (
@@ -343,6 +434,38 @@ def prc_5(spark, sf_dir):
 AS_OF_PROMO = "1998-06-30 00:00:00"
 
 
+@register("prc_5_quote_promos_used", oracle=f"""
+    WITH u AS (SELECT promo_id, count(*) AS uses FROM shop_orders WHERE promo_id IS NOT NULL AND created_at <= TIMESTAMP '{AS_OF_PROMO}'
+               GROUP BY promo_id),
+    x AS (
+      SELECT r.request_id, r.code, r.subtotal, p.code AS quoted_code, p.discount_type,
+             coalesce(p.is_active AND (p.expires_at IS NULL OR p.expires_at >= TIMESTAMP '{AS_OF_PROMO}')
+                      AND (p.max_uses IS NULL OR coalesce(u.uses, 0) < p.max_uses // {CAP_SHARE})
+                      AND r.subtotal >= p.min_order, false) AS valid,
+             p.discount_value
+      FROM shop_promo_requests r LEFT JOIN shop_promo_codes p ON lower(r.code) = lower(p.code) LEFT JOIN u ON u.promo_id = p.id)
+    SELECT request_id, code, quoted_code,
+           CAST(CASE WHEN valid THEN CASE WHEN discount_type = 'PERCENT'
+                                          THEN round(subtotal * discount_value * 0.01, 2)
+                                          ELSE least(discount_value, subtotal) END END AS DOUBLE) AS discount,
+           discount_type, valid
+    FROM x""")
+def prc_5_used(spark, sf_dir):
+    """Strict quotes under the uses that a kept rollup has counted, a batch of orders per year."""
+    from cartograph.operators import rollups as R
+    from cartograph.operators.common import ts_lit
+    from cartograph.operators.pricing import quote_promos
+    shop = Shop(spark, sf_dir)
+    table = R.uses_table(spark, _at(spark, "uses"))
+    due = shop.orders.where(F.col("created_at") <= ts_lit(AS_OF_PROMO)).select("promo_id", "created_at")
+    for batch, part in enumerate((F.year("created_at") < 1996, F.year("created_at") >= 1996)):
+        table.append(batch, R.use_changes(None, due.where(part)))
+    promos = R.with_uses(_capped(shop.promo_codes), table.current())
+    req = shop.promo_requests.select("request_id", "code", "subtotal")
+    return quote_promos(req, promos, strict=True, as_of=AS_OF_PROMO).select(
+        "request_id", "code", "quoted_code", _dbl("discount"), "discount_type", "valid")
+
+
 @register("prc_5_quote_promos_strict", oracle=f"""
     WITH x AS (
       SELECT r.request_id, r.code, r.subtotal, p.code AS quoted_code, p.discount_type,

@@ -109,4 +109,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def temporary(spark: SparkSession, path: str) -> str:
+    """Have the folder ``path`` (made if need be) deleted when the driver ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
 _SCRATCH: dict[str, str] = {}

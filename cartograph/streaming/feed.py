@@ -2,11 +2,13 @@
 
 ``foreachBatch`` applies each micro-batch of status updates to two tables:
 the history (every valid update, appended) and the current status per order
-(upsert, the highest ``seq`` wins; a late update with an older ``seq`` reaches
-the history but never the current table). Both writes overwrite only the
-partitions they touch (dynamic partition overwrite), keyed by batch id for
-the history, so a micro-batch replayed after a failure rewrites the same
-files instead of appending twice.
+(the highest ``seq`` wins; a late update with an older ``seq`` reaches the
+history but never the current table). The history overwrites only its batch's
+partition. The current table is a base and deltas
+(:mod:`cartograph.operators.deltas`): a batch appends the latest row of the
+orders it touches, so its cost does not grow with the table, and
+:func:`compact_current` folds the deltas now and then. A micro-batch replayed
+after a failure rewrites the same files instead of counting twice.
 """
 
 from __future__ import annotations
@@ -17,15 +19,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cartograph.functions.money import ORDER_STATUSES
 from cartograph.operators.changes import parse_enum
+from cartograph.operators.deltas import DeltaTable
 from cartograph.streaming.sources import checkpoint_location
 from cartograph.streaming.windows import trending_pairs, trending_top_k
 
-# Buckets of the current-status table. Each micro-batch rewrites only the
-# buckets it touches, so size this so that a bucket stays small (for
-# billions of orders: thousands of buckets).
-CURRENT_BUCKETS = 1024
-
-
 def status_history(updates: DataFrame) -> DataFrame:
     """Valid updates (status upper-cased and in the domain) as history rows."""
     ok, _ = parse_enum(updates, "status", ORDER_STATUSES)
@@ -36,53 +33,40 @@ def merge_current(current: DataFrame, history_rows: DataFrame) -> DataFrame:
     """Current status per order: the row with the highest ``seq`` among the
     stored one and the new ones."""
     cols = ["order_id", "status", "seq", "changed_at"]
-    both = current.select(*cols).unionByName(history_rows.select(*cols))
-    return both.groupBy("order_id").agg(
-        F.max_by(F.struct("status", "seq", "changed_at"), "seq").alias("_r")) \
+    return latest(current.select(*cols).unionByName(history_rows.select(*cols)))
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """Per order the row with the highest ``seq``."""
+    return rows.groupBy("order_id").agg(
+        F.max_by(F.struct("status", "seq", "changed_at"), F.struct("seq", "changed_at", "status")).alias("_r")) \
         .select("order_id", "_r.status", "_r.seq", "_r.changed_at")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether ``path`` exists, asked of the file system it lies in."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def current_table(spark: SparkSession, path: str) -> DeltaTable:
+    """The current status per order at ``path``; :meth:`~DeltaTable.current` reads it."""
+    return DeltaTable(spark, path, "order_id long, status string, seq long, changed_at timestamp_ntz", latest)
 
 
-def _write_batch(spark: SparkSession, batch: DataFrame, batch_id: int, history_path: str,
-                 current_path: str, buckets: int = CURRENT_BUCKETS) -> None:
+def compact_current(spark: SparkSession, path: str) -> None:
+    """Fold the deltas of the current table into its base; run it between batches."""
+    current_table(spark, path).compact()
+
+
+def _write_batch(spark: SparkSession, batch: DataFrame, batch_id: int, history_path: str, current_path: str) -> None:
     rows = status_history(batch).withColumn("batch_id", F.lit(batch_id))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("batch_id").parquet(history_path)
-    touched = rows.select((F.col("order_id") % buckets).alias("bucket")).distinct()
-    # only a path that does not exist means "first batch"; any other error fails
-    # the batch and leaves the current table as it is
-    stored = spark.read.parquet(current_path).join(touched, "bucket", "left_semi") \
-        if path_exists(spark, current_path) else None
-    fresh = rows.drop("batch_id", "changed_by")
-    if stored is not None:
-        merged = merge_current(stored.drop("bucket"), fresh)
-    else:
-        merged = merge_current(fresh.limit(0), fresh)
-    # reading and overwriting the same folder: cut the lineage first
-    merged = merged.withColumn("bucket", F.col("order_id") % buckets).checkpoint()
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("bucket").parquet(current_path)
+    current_table(spark, current_path).append(batch_id, rows)
 
 
 def order_status_feed(updates: DataFrame, history_path: str, current_path: str,
-                      name: str = "order_status_feed", trigger_once: bool = False,
-                      buckets: int = CURRENT_BUCKETS) -> StreamingQuery:
+                      name: str = "order_status_feed", trigger_once: bool = False) -> StreamingQuery:
     """Start the feed over a streaming frame of updates
-    (request_id, order_id, status, seq, changed_at, changed_by).
-
-    When updates touch most buckets in every micro-batch, the rewrite costs
-    about the size of the current table each time. The alternative is
-    append-only: keep each batch's latest rows as their own partition, let
-    readers take ``max_by(seq)`` (:func:`merge_current`) over base plus
-    deltas, and fold the deltas into the base in a periodic compaction job."""
+    (request_id, order_id, status, seq, changed_at, changed_by)."""
     spark = updates.sparkSession
     w = updates.writeStream.foreachBatch(
-        lambda df, bid: _write_batch(spark, df, bid, history_path, current_path, buckets)) \
+        lambda df, bid: _write_batch(spark, df, bid, history_path, current_path)) \
         .option("checkpointLocation", checkpoint_location(spark, name)).queryName(name)
     if trigger_once:
         w = w.trigger(availableNow=True)

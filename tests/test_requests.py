@@ -110,23 +110,102 @@ def test_scan_refuses_files_that_drift(spark, scratch):
             check_schema(spark, path, ty.StructType([field]))
 
 
-def test_feed_keeps_the_current_table_when_it_cannot_be_read(spark, scratch):
+def _folders(path):
+    import os
+    return sorted(f"{k}/{int(n[1:])}" for k in ("base", "delta") if os.path.isdir(f"{path}/{k}") for n in os.listdir(f"{path}/{k}"))
+
+
+def test_feed_survives_a_stop_between_any_two_steps(spark, scratch):
+    """Batches and compactions, each replayed, stopped half way and run again:
+    the current table is always that of the updates so far."""
+    import os
     cols = "request_id long, order_id long, status string, seq long, changed_at timestamp_ntz, changed_by long"
     at = dt.datetime(2024, 1, 1)
-    batch = lambda i, o, s: spark.createDataFrame([(i, o, s, i, at, 1)], cols)
     history, current = f"{scratch}/h", f"{scratch}/c"
-    feed._write_batch(spark, batch(1, 5, "SHIPPED"), 0, history, current, 4)
-    feed._write_batch(spark, batch(2, 9, "DELIVERED"), 1, history, current, 4)
-    assert {r.order_id: r.status for r in spark.read.parquet(current).collect()} == {5: "SHIPPED", 9: "DELIVERED"}
-    import glob
-    import os
-    broken = f"{scratch}/b"
-    os.makedirs(f"{broken}/bucket=1")
-    with open(f"{broken}/bucket=1/part-0.parquet", "w") as f:
-        f.write("not parquet")
-    with pytest.raises(Exception):
-        feed._write_batch(spark, batch(3, 5, "DELIVERED"), 2, history, broken, 4)
-    assert glob.glob(f"{broken}/bucket=1/part-0.parquet")
+
+    def put(batch, *rows):
+        df = spark.createDataFrame([(i, o, s, i, at, 1) for i, o, s in rows], cols)
+        for _ in range(2):  # replayed after a failure
+            feed._write_batch(spark, df, batch, history, current)
+
+    def now():
+        return {r.order_id: r.status for r in feed.current_table(spark, current).current().collect()}
+
+    def half_written(folder):
+        """A writer that died before it committed."""
+        os.makedirs(f"{current}/{folder}", exist_ok=True)
+        with open(f"{current}/{folder}/part-0.parquet", "w") as f:
+            f.write("not parquet")
+
+    put(0, (1, 5, "SHIPPED"), (4, 9, "DELIVERED"))
+    half_written("delta/n0000000000000000001")
+    assert now() == {5: "SHIPPED", 9: "DELIVERED"}
+    put(1, (2, 5, "DELIVERED"), (3, 9, "SHIPPED"), (5, 7, "nonsense"))  # seq 3 comes late
+    assert now() == {5: "DELIVERED", 9: "DELIVERED"}
+    half_written("base/n0000000000000000001")
+    assert now() == {5: "DELIVERED", 9: "DELIVERED"}
+    feed.compact_current(spark, current)
+    feed.compact_current(spark, current)
+    assert now() == {5: "DELIVERED", 9: "DELIVERED"} and _folders(current) == ["base/1", "delta/0", "delta/1"]
+    put(1, (2, 5, "CANCELLED"))  # the base holds batch 1 already
+    put(2, (6, 7, "SHIPPED"))
+    assert now() == {5: "DELIVERED", 7: "SHIPPED", 9: "DELIVERED"}
+    feed.compact_current(spark, current)
+    assert now() == {5: "DELIVERED", 7: "SHIPPED", 9: "DELIVERED"} and _folders(current) == ["base/1", "base/2", "delta/2"]
+    put(3, (7, 7, "DELIVERED"))
+    feed.compact_current(spark, current)
+    assert _folders(current) == ["base/2", "base/3", "delta/3"] and now()[7] == "DELIVERED"
+    assert spark.read.parquet(history).count() == 5  # batch 1 was replayed with one row
+
+
+def test_rollups_equal_recomputed_after_every_batch(spark, scratch):
+    """New, hidden, shown, edited and deleted reviews; votes; promo orders; every
+    batch applied twice, a compaction after every second one."""
+    import random
+
+    from cartograph.operators import analytics as A
+    from cartograph.operators import quality as Q
+    from cartograph.operators import rollups as R
+    rnd = random.Random(4)
+    frame = lambda rows, cols: spark.createDataFrame(rows, cols)
+    products = frame([(p, p % 3) for p in range(6)], "id long, seller_id long")
+    sellers = frame([(s,) for s in range(4)], "id long")
+    cols, votes_cols, order_cols = "id long, product_id long, rating int, is_hidden boolean", "review_id long, user_id long", "id long, promo_id long"
+    per_product, per_seller = R.ratings_table(spark, f"{scratch}/p"), R.ratings_table(spark, f"{scratch}/s", "seller_id")
+    votes, uses = R.votes_table(spark, f"{scratch}/v"), R.uses_table(spark, f"{scratch}/u")
+    reviews, held, orders = {}, set(), []
+    for batch in range(4):
+        old = {}
+        for i in range(batch * 10, batch * 10 + 10):
+            reviews[i] = (i, rnd.randrange(5), rnd.randint(1, 5), rnd.random() < 0.3)
+        new_ids = set(range(batch * 10, batch * 10 + 10))
+        for i in rnd.sample(sorted(set(reviews) - new_ids), min(6, batch * 8)):
+            old[i] = reviews.pop(i)
+            if rnd.random() < 0.7:
+                reviews[i] = (i, old[i][1], rnd.randint(1, 5), rnd.random() < 0.5)
+        after = [reviews[i] for i in reviews if i in old or i in new_ids]
+        added = {(rnd.randrange(10), rnd.randrange(5)) for _ in range(8)} - held
+        gone = set(rnd.sample(sorted(held), min(3, len(held))))
+        bought = [(len(orders) + i, rnd.choice([1, 1, 2, None])) for i in range(7)]
+        for _ in range(2):
+            changes = R.rating_changes(frame(list(old.values()), cols), frame(after, cols))
+            per_product.append(batch, changes)
+            per_seller.append(batch, R.seller_rating_changes(changes, products))
+            votes.append(batch, R.vote_changes(frame(sorted(gone), votes_cols), frame(sorted(added), votes_cols)))
+            uses.append(batch, R.use_changes(None, frame(bought, order_cols)))
+        held = held - gone | added
+        orders += bought
+        if batch % 2:
+            for t in (per_product, per_seller, votes, uses):
+                t.compact()
+        now = frame(list(reviews.values()), cols)
+        rows = lambda df: sorted(map(tuple, df.collect()))
+        stored = R.rating_columns(products, per_product)
+        assert rows(stored) == rows(A.product_ratings(products, now))
+        assert Q.drift(stored, A.product_ratings(products, now), "products", ["product_id"], ["rating_avg", "review_count"]).count() == 0
+        assert rows(R.rating_columns(sellers, per_seller, "seller_id")) == rows(A.seller_ratings(sellers, products, now))
+        assert rows(R.vote_counts(votes)) == rows(A.helpful_votes(frame(sorted(held), votes_cols)))
+        assert rows(uses.current()) == rows(A.promo_uses(frame(orders, order_cols)))
 
 
 def test_erasure_follows_deeper_keys(spark):

@@ -11,7 +11,7 @@ from conftest import SF_SMALL
 from cartograph.operators.tokens import match_tokens
 from cartograph.sources.shop import Shop
 from cartograph.sources.tables import DRIVER_SCHEMAS, load_table
-from cartograph.streaming.feed import merge_current, order_status_feed, status_history, trending_stream
+from cartograph.streaming.feed import compact_current, current_table, merge_current, order_status_feed, status_history, trending_stream
 from cartograph.streaming.lockout import lockouts, lockouts_batch
 from cartograph.streaming.tokens import match_tokens_stream, token_events
 from cartograph.streaming.windows import (rate_violations, rate_violations_batch,
@@ -155,7 +155,9 @@ def test_status_feed_equals_batch(spark, event_files, scratch):
     assert _collect(got_hist, cols) == _collect(exp_hist, cols)
     empty = exp_hist.limit(0).select("order_id", "status", "seq", "changed_at")
     exp_cur = merge_current(empty, exp_hist)
-    assert _collect(spark.read.parquet(cur), cols) == _collect(exp_cur, cols)
+    assert _collect(current_table(spark, cur).current(), cols) == _collect(exp_cur, cols)
+    compact_current(spark, cur)
+    assert _collect(current_table(spark, cur).current(), cols) == _collect(exp_cur, cols)
 
 
 def test_trending_stream_equals_batch_up_to_watermark(spark, event_files, scratch):
