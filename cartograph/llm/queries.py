@@ -57,8 +57,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's address."""
-    model = urls.train(urls.labelled_table(spark))
-    return urls.judge(table(spark, sf_dir, "pages"), model)
+    return urls.judge(table(spark, sf_dir, "pages"), urls.train(urls.labelled_table(spark), group_col="word"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ EDGE = [None, "", "no scheme", "http://", "http://COM/", "http://com", "https://
 
 
 def test_rules_and_edges(spark):
-    model = urls.train(urls.labelled_table(spark))
+    model = urls.train(urls.labelled_table(spark), group_col="word")
     rows = [(i, u, "x", "y") for i, u in enumerate(EDGE)] + [(None, EDGE[7], "x", "y"), (1, EDGE[7], "x", "y")]
     df = spark.createDataFrame(rows, "page_id long, url string, host string, x string")
     got = urls.judge(df, model).collect()
@@ -38,7 +38,7 @@ def test_rules_and_edges(spark):
             continue
         assert (r.host, r.path) == plain(u)
         rule, verdict = plain_rule(*plain(u))
-        assert r.rule == rule and r.verdict == (verdict or ("block" if r.score >= 0.5 else "allow"))
+        assert r.rule == rule and r.verdict == (verdict or ("block" if r.score >= model.threshold else "allow"))
     assert urls.judge(df.limit(0), model).count() == 0
 
 
@@ -54,9 +54,44 @@ def test_pages_query(spark):
 
 
 def test_classifier_on_unseen_addresses(spark):
-    model = urls.train(urls.labelled_table(spark))
+    model = urls.train(urls.labelled_table(spark), group_col="word")
     bad = ["http://best-casino-bonus.org/en/5", "https://www.pills4you.org/7", "http://adult-tube.org/x", "http://warez-crack.info/en/1"]
     good = ["http://city-library.org/en/5", "https://www.school-music.org/7", "http://weather.org/de/x", "http://bookshop.info/en/1"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(bad + good)], "page_id long, url string")
     got = [r.verdict for r in sorted(urls.judge(df, model, rules=[]).collect(), key=lambda r: r.page_id)]
     assert got == ["block"] * 4 + ["allow"] * 4
+
+
+def test_scores_are_a_plain_logistic_function(spark):
+    """Every page's score from the model's weights at its n-grams' buckets."""
+    import math
+
+    from pyspark.sql import functions as F
+    by = urls.train(urls.labelled_table(spark), group_col="word")
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    weights = by.model.coefficients.toArray()
+    grams = urls.hashed(urls.judge(pages, by), "host", "path", "x").select("page_id", "score", "x", urls.ngrams(F.col("host"), F.col("path")).alias("g"))
+    for r in grams.collect():
+        want = 1 / (1 + math.exp(-(by.model.intercept + sum(weights[r.x.indices]))))
+        assert abs(r.score - want) < 1e-9 and len(r.x.indices) <= len(set(r.g))
+    plain_grams = lambda t, mark: [mark + t[i:i + n] for n in urls.SIZES for i in range(len(t) - n + 1)]
+    host, path = spark.range(1).select(*urls.host_and_path(F.lit("x://a.EX.com/de/123é/45?q"))).first()
+    got = spark.range(1).select(urls.ngrams(F.lit(host), F.lit(path))).first()[0]
+    assert got == plain_grams(f"^{host}$", "h") + plain_grams("/de/0é/0", "p")
+
+
+def test_planted_hosts_are_blocked_and_harmless_ones_are_not(spark):
+    by = urls.train(urls.labelled_table(spark), group_col="word")
+    assert by.precision >= 0.95 and by.recall >= 0.5
+    got = urls.judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), by).where("rule is null and verdict = 'block'")
+    assert {r.host for r in got.select("host").distinct().collect()} == {"blog.adult-x.example.net"}
+
+
+def test_label_tables_without_one_kind(spark):
+    pages = spark.createDataFrame([(1, "http://casino.org/"), (2, "http://a.net/es/")], "page_id long, url string")
+    for rows in ([], [("http://a.org", 1)], [("http://a.org", 0), (None, 0)], [("http://b.org", None), ("http://c.org", 7)]):
+        by = urls.train(spark.createDataFrame(rows, "url string, label int"))
+        assert by.model is None
+        assert [(r.verdict, r.score) for r in urls.judge(pages, by).orderBy("page_id").collect()] == [("allow", 0.0), ("block", 0.0)]
+    two = urls.train(spark.createDataFrame([("http://casino.org", 1), ("http://library.org", 0)] * 3, "url string, label int"))
+    assert two.model is not None and two.threshold >= 0.5
