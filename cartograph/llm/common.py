@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartograph.session import checkpoint_dir
+from cartograph.session import checkpoint_dir, temporary
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,11 +18,12 @@ WORD_CHAR = r"[^\x20\x09-\x0D]"
 class Scratch:
     """Intermediate tables of one run, stored as Parquet in the folder that
     ``spark.checkpoint.dir`` names. Storing cuts the lineage: after the loss
-    of an executor the rows are read again instead of computed again."""
+    of an executor the rows are read again instead of computed again. The
+    tables go with :meth:`close`, or when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.path = temporary(spark, f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"

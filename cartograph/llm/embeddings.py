@@ -11,13 +11,18 @@ the threshold's angle hold no link between them; all other pairs of blocks,
 and each block with itself, are a tile. Which vectors are pivots changes the
 number of tiles, not the result.
 
-Inside a tile, a unit vector o is rotated at random and kept as the signs of
-its coordinates: the code s, with c = s / sqrt(D) the nearest corner of the
-unit cube's sphere, and the factor f = <c, P o>. A unit vector q at an angle of
-at most t to o has an angle of at most arccos(f) + t to the code, so a pair with
-a smaller <c, P q> is dropped. Where few pairs are left they are computed in
-double precision. Else the products are taken in single precision, and those
-that its rounding error leaves open again in double precision.
+A unit vector o is rotated at random and stored as the signs of its
+coordinates, packed to bits: the code s, with c = s / sqrt(D) the nearest corner
+of the unit cube's sphere, and the factor f = <c, P o>. Both are made once per
+vector. Inside a tile, ``<c, P q> / f`` is an unbiased estimate of <o, q> for a
+rotated unit vector q, with a standard error of at most
+sqrt((1 - f^2) / f^2 / (D - 1)). A pair is dropped when its estimate lies under
+the threshold by ``ERRORS`` of them (a link is missed with a probability of 3e-10
+at most), or when it lies under what a link must reach for certain, as q at an
+angle of at most t to o has an angle of at most arccos(f) + t to the code;
+whichever drops more. The pairs that are left are recomputed: in double
+precision where they are few, else in single precision first and in double
+what its rounding error leaves open.
 
 Tiles return counts and a tree of links, never pairs. Equal vectors are one
 node with a number of copies from the start. Vectors without clusters leave
@@ -38,9 +43,8 @@ from pyspark.sql import functions as F
 from cartograph.llm.common import Scratch, components
 
 THRESHOLD = 0.9
-#: Standard errors that hold the estimate by a code (see the tests); no pair is
-#: dropped by them.
-ERRORS = 4.5
+#: Standard errors that the estimate by a code may be off.
+ERRORS = 6.2
 #: Vectors of a block.
 MOST = 4096
 #: Fewest and most pivots, and the vectors they are picked from.
@@ -91,9 +95,35 @@ def angles(x: np.ndarray, pivots: dict[int, np.ndarray]) -> np.ndarray:
     return np.zeros((len(x), 1)) if own is None else np.arccos(np.clip(x @ own.T, -1, 1))
 
 
+def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (packed bits) and factors of unit vectors."""
+    turned = x @ rotated(x.shape[1], 1)[0]
+    factor = np.minimum(1, np.abs(turned).sum(axis=1) / math.sqrt(x.shape[1]))
+    return np.packbits(turned >= 0, axis=1), factor
+
+
+def decode(codes: np.ndarray, dim: int) -> np.ndarray:
+    """Signs (1 or -1) of packed codes."""
+    return np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
+
+
+def estimates(signs: np.ndarray, factor: np.ndarray, turned: np.ndarray) -> np.ndarray:
+    """Unbiased estimates of the products of coded vectors with ``turned``
+    (rotated unit vectors), one row per code."""
+    return signs @ turned.T / (factor * math.sqrt(signs.shape[1]))[:, None]
+
+
+def least_estimate(factor: np.ndarray, dim: int, threshold: float, errors: float = ERRORS) -> np.ndarray:
+    """The estimate under which a pair is no link, by confidence or for certain."""
+    confident = threshold - errors * np.sqrt((1 - factor ** 2) / factor ** 2 / max(1, dim - 1))
+    certain = np.cos(np.minimum(math.pi, np.arccos(factor) + math.acos(max(-1, min(1, threshold))))) / factor
+    return np.maximum(confident, certain)
+
+
 def nearest_pivot(pivots: dict[int, np.ndarray], kind: str):
-    """mapInArrow: (cid, copies, vector) to (cid, copies, dim, pivot, vector as ``kind``)."""
-    schema = pa.schema([("cid", pa.int64()), ("copies", pa.int64()), ("dim", pa.int32()), ("pivot", pa.int32()), ("vector", pa.binary())])
+    """mapInArrow: (cid, copies, vector) to (cid, copies, dim, pivot, code, factor, vector as ``kind``)."""
+    schema = pa.schema([("cid", pa.int64()), ("copies", pa.int64()), ("dim", pa.int32()), ("pivot", pa.int32()), ("code", pa.binary()),
+                        ("factor", pa.float64()), ("vector", pa.binary())])
 
     def run(batches):
         for b in batches:
@@ -103,10 +133,11 @@ def nearest_pivot(pivots: dict[int, np.ndarray], kind: str):
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 raw = np.array([vectors[j] for j in at], kind)
-                pivot = angles(unit(raw), pivots).argmin(axis=1)
+                x = unit(raw)
+                pivot, (codes, factor) = angles(x, pivots).argmin(axis=1), encode(x)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cid[at]), pa.array(copies[at]), pa.array([dim] * len(at), pa.int32()), pa.array(pivot.astype(np.int32)),
-                     pa.array([r.tobytes() for r in raw], pa.binary())], schema=schema)
+                     pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(factor), pa.array([r.tobytes() for r in raw], pa.binary())], schema=schema)
     return run
 
 
@@ -119,7 +150,7 @@ def block_of(pivots: dict[int, np.ndarray], kind: str):
         to = angles(unit(np.frombuffer(vectors, kind).reshape(-1, dim)), pivots)
         return pd.DataFrame({"dim": [dim], "block": [pdf["cid"].iloc[0]], "low": [to.min(axis=0).tolist()], "high": [to.max(axis=0).tolist()],
                              "cids": [pdf["cid"].to_numpy("<i8").tobytes()], "copies": [pdf["copies"].to_numpy("<i8").tobytes()],
-                             "vectors": [vectors]})
+                             "codes": [b"".join(pdf["code"])], "factors": [pdf["factor"].to_numpy("<f8").tobytes()], "vectors": [vectors]})
     return run
 
 
@@ -152,14 +183,14 @@ def tile_links(threshold: float, kind: str):
         one = len(pdf) == 1
         second = slice(0, n) if one else slice(n, len(x))
         base = second.start
-        turned = x @ rotated(dim, 1)[0]
-        signs = np.where(turned[:n] >= 0, 1, -1).astype(np.float32)
-        factor = np.minimum(1, np.abs(turned[:n]).sum(axis=1) / math.sqrt(dim))
-        turned, single = (turned[second] / math.sqrt(dim)).astype(np.float32), x.astype(np.float32)
+        first = pdf.iloc[0]
+        factor = np.frombuffer(first["factors"], "<f8")
+        signs = decode(np.frombuffer(first["codes"], np.uint8).reshape(n, -1), dim)
+        turned, single = (x[second] @ rotated(dim, 1)[0]).astype(np.float32), x.astype(np.float32)
         # more than single precision can be off in a product of unit vectors
         slack = (dim + 16) * 2.0 ** -23
-        least = np.cos(np.minimum(math.pi, np.arccos(factor) + math.acos(max(-1, min(1, threshold))))) - slack
-        least = least.astype(np.float32)
+        least = (least_estimate(factor, dim, threshold) - slack / factor).astype(np.float32)
+        factor = factor.astype(np.float32)
         links, root = np.zeros(len(x), np.int64), np.arange(len(x))
 
         def exact(p, q):
@@ -168,7 +199,7 @@ def tile_links(threshold: float, kind: str):
 
         for i in range(0, n, 256):
             rows = slice(i, min(n, i + 256))
-            maybe = signs[rows] @ turned.T >= least[rows, None]
+            maybe = estimates(signs[rows], factor[rows], turned) >= least[rows, None]
             if one:
                 maybe &= np.arange(n) > np.arange(rows.start, rows.stop)[:, None]
             left = np.count_nonzero(maybe)
@@ -224,19 +255,24 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     sample = [r.vector for r in classes.select("vector").orderBy(F.xxhash64("cid")).limit(SAMPLE).collect()]
     pivots = pick_pivots(sample, min(many, max(few, 2 * classes.count() // most)))
     near = scratch.save(classes.select("cid", "copies", "vector").mapInArrow(
-        nearest_pivot(pivots, kind), "cid long, copies long, dim int, pivot int, vector binary"), "near")
+        nearest_pivot(pivots, kind), "cid long, copies long, dim int, pivot int, code binary, factor double, vector binary"), "near")
     sizes = near.groupBy("dim", "pivot").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
     blocks = scratch.save(
         near.join(sizes, ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
         .groupBy("dim", "pivot", "part").applyInPandas(
-            block_of(pivots, kind), "dim int, block long, low array<double>, high array<double>, cids binary, copies binary, vectors binary"),
+            block_of(pivots, kind), "dim int, block long, low array<double>, high array<double>, cids binary, copies binary, codes binary, "
+            "factors binary, vectors binary"),
         "blocks")
     # the slack is far above the rounding error of an angle
     apart = math.acos(max(-1, min(1, threshold))) + 1e-6
     a, b = (blocks.select("dim", F.col("block").alias(f"{s}_block"), F.col("low").alias(f"{s}_low"), F.col("high").alias(f"{s}_high"))
             for s in ("left", "right"))
     gaps = F.zip_with("left_low", "right_high", lambda x, y: x - y), F.zip_with("right_low", "left_high", lambda x, y: x - y)
-    tiles = a.join(b, "dim").where("left_block <= right_block") \
+    # every block meets every other of its length: in slices, so that no task has all pairs
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    a = a.withColumn("slice", F.pmod(F.xxhash64("left_block"), F.lit(slices)).cast("int"))
+    b = b.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    tiles = a.join(b, ["dim", "slice"]).where("left_block <= right_block") \
         .where((F.array_max(gaps[0]) <= apart) & (F.array_max(gaps[1]) <= apart)) \
         .select("left_block", "right_block", F.explode(F.array_distinct(F.array("left_block", "right_block"))).alias("block"))
     found = scratch.save(
@@ -253,3 +289,18 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def oracle(rows: str = "embeddings", threshold: float = THRESHOLD) -> str:
+    """DuckDB SQL for the rows of :func:`near_duplicates` over table ``rows``
+    (unique, non-null ids): all pairs, and their closure."""
+    return f"""
+WITH RECURSIVE x AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS e FROM {rows}),
+v AS (SELECT * FROM x WHERE e IS NOT NULL AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+      AND len(list_filter(e, lambda c: c <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      AND list_cosine_similarity(a.e, b.e) >= {threshold}),
+r(id, root) AS (SELECT vec_id, vec_id FROM x UNION SELECT r.id, p.b FROM r JOIN p ON p.a = r.root),
+n AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+SELECT id AS vec_id, CAST(coalesce(any_value(n_links), 0) AS BIGINT) AS n_links, min(root) AS component_id, id = min(root) AS kept
+FROM r LEFT JOIN n ON n.a = id GROUP BY id"""

@@ -93,6 +93,7 @@ QUERIES = {f.__name__: f for f in (op1_embedding_links, op2_quality_classifier,
                                    op12_fill_in_middle, op13_filter_audit)}
 
 ORACLES = {
+    "op1_embedding_links": embeddings.oracle(),
     "op4_quality_rules": quality.oracle(),
     "op6_mixing": mixing.oracle(),
     "op7_license_scan": licenses.oracle(texts_by_name=licenses.common_texts()),
