@@ -93,9 +93,10 @@ def str_4_current(spark, sf_dir):
     return merge_current(base, status_history(shop.status_updates)).select("order_id", "status", "seq")
 
 
-@register("str_5_trending_windows", oracle="""
-    WITH t AS (SELECT lower(trim(query)) AS term, user_id, searched_at AS ts FROM shop_search_events
-               WHERE lower(trim(query)) <> ''),
+@register("str_5_trending_windows", oracle=r"""
+    WITH t AS (SELECT * FROM (
+      SELECT lower(regexp_replace(query, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')) AS term, user_id, searched_at AS ts
+      FROM shop_search_events) WHERE term <> ''),
     w AS (SELECT time_bucket(INTERVAL 10 MINUTE, ts) - to_minutes(CAST(r.k * 10 AS BIGINT))
                    AS window_start, term, user_id
           FROM t, range(0, 6) r(k)),

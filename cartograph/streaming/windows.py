@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartograph.functions.text import trim
 RATE_LIMIT = 10            # fixed value: auth requests per minute (declared in config)
 RATE_WINDOW = "1 minute"
 
@@ -52,7 +53,7 @@ def trending_windows_batch(searches: DataFrame, window: str = TREND_WINDOW,
     are formed first, so a hot term is counted with map-side partial counts;
     the per-window top-k uses a ranked window (Spark plans a partial
     ``WindowGroupLimit`` before the shuffle)."""
-    terms = searches.select(F.lower(F.trim("query")).alias("term"), "user_id",
+    terms = searches.select(F.lower(trim("query")).alias("term"), "user_id",
                             F.col("searched_at").cast("timestamp_ltz").alias("ts")) \
         .where(F.col("term") != "")
     per = terms.groupBy(F.window("ts", window, slide).alias("w"), "term") \
@@ -71,7 +72,7 @@ def trending_pairs(searches: DataFrame, window: str = TREND_WINDOW, slide: str =
                    lateness: str = "10 minutes") -> DataFrame:
     """STR-5 stream, stateful part: distinct (window, term, user) triples,
     emitted when the watermark closes the window (append mode)."""
-    x = searches.select(F.lower(F.trim("query")).alias("term"), "user_id",
+    x = searches.select(F.lower(trim("query")).alias("term"), "user_id",
                         F.col("searched_at").cast("timestamp_ltz").alias("ts")) \
         .where(F.col("term") != "").withWatermark("ts", lateness)
     return x.groupBy(F.window("ts", window, slide).alias("w"), "term", "user_id").count()

@@ -175,3 +175,12 @@ def test_trending_stream_equals_batch_up_to_watermark(spark, event_files, scratc
     got = got.where(F.col("window_start") <= F.lit(cutoff))
     assert _collect(got, cols) == _collect(exp, cols)
     assert got.count() > 0
+
+
+def test_trending_terms_trim_like_the_batch_rule(spark):
+    """A trailing tab or line end makes no term of its own, in TRD-1 and STR-5."""
+    from cartograph.operators.catalog import trending
+    at = dt.datetime(2024, 1, 1, 10)
+    rows = spark.createDataFrame([(1, "Cot\t", at), (2, "\n cot ", at), (3, "\x0b", at)], "user_id long, query string, searched_at timestamp_ntz")
+    assert {(r.term, r.users) for r in trending_windows_batch(rows).collect()} == {("cot", 2)}
+    assert [(r.term, r.users) for r in trending(rows, "2024-01-02 00:00:00", "7 days", 8).collect()] == [("cot", 2)]
