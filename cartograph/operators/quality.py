@@ -65,6 +65,27 @@ def orphans(child: DataFrame, table: str, fk: str, parent: DataFrame, pk: str =
     return _out(lost, table, f"fk:{fk}->{parent_table}", _key(key), F.col(fk))
 
 
+def orphans_of(parent: DataFrame, parent_table: str, children: list[tuple], pk: str = "id") -> DataFrame:
+    """DQ-4 for every key that points at one parent: ``children`` lists (frame,
+    table, foreign key, key columns). The references are stacked (a child with
+    several keys to this parent is scanned once) and meet one scan of the
+    parent in one anti join."""
+    of = parent.schema[pk].dataType
+    scans: dict[str, list] = {}
+    for child in children:
+        scans.setdefault(child[1], []).append(child)
+    stacked = []
+    for table, keys in scans.items():
+        df, refs = keys[0][0], [(fk, key) for _, _, fk, key in keys]
+        pairs = F.array(*[F.struct(F.lit(f"fk:{fk}->{parent_table}").alias("rule"), _key(key).alias("key"),
+                                   F.col(fk).cast(of).alias("ref"), F.col(fk).cast("string").alias("value"))
+                          for fk, key in refs])
+        stacked.append(df.select(F.lit(table).alias("table_name"), F.inline(pairs))
+                       .where(F.col("value").isNotNull()))
+    return stack_violations(*stacked).join(parent.select(F.col(pk).alias("ref")), "ref", "left_anti") \
+        .select(*VIOLATION_COLS)
+
+
 def domain(df: DataFrame, table: str, col: str, values, key="id") -> DataFrame:
     """DQ-5: non-null values outside the enumerated domain."""
     bad = df.where(F.col(col).isNotNull() & ~F.col(col).isin(*values))

@@ -12,7 +12,7 @@ tokens differ).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartograph.functions.text import lexemes
@@ -71,3 +71,55 @@ def match_all_terms(postings: DataFrame, queries: DataFrame, id_col: str = "quer
     verified = present.groupBy("qset", "doc_id", "n_terms").agg(F.count(F.lit(1)).alias("_m")) \
         .where(F.col("_m") == F.col("n_terms")).select("qset", "doc_id")
     return keyed.join(single.unionByName(verified), "qset").select("query_id", "doc_id")
+
+
+def _grams(text: str, n: int) -> Column:
+    """The different pieces of ``n`` characters of a text column."""
+    at = F.sequence(F.lit(1), F.char_length(text) - (n - 1))
+    pieces = F.transform(at, lambda i: F.substring(F.col(text), i, F.lit(n)))
+    return F.when(F.char_length(text) >= n, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
+
+def names_containing(products: DataFrame, patterns: DataFrame, pattern_col: str = "query",
+                     name_col: str = "name") -> DataFrame:
+    """FTS-3 for many patterns at once: every product with the (different)
+    patterns its name contains, upper and lower case alike; ``%`` and ``_``
+    stay wildcards, a backslash stands for itself, an empty pattern matches
+    every name. A null pattern or name matches nothing.
+
+    Wildcards cut a pattern into literal runs. A name that matches holds every
+    piece of three characters of every run, so the pattern meets only the names
+    with the rarest of them, and those are verified with LIKE. Where no run has
+    three characters, pieces of two or of one take their place; a pattern of
+    wildcards alone meets every name. All lengths go through the same join, so
+    no pattern is left out. Names are matched once per different lower-case
+    name; counts of names per piece are pre-aggregated and only for pieces that
+    some pattern holds.
+    """
+    asked = patterns.select(pattern_col).distinct().where(F.col(pattern_col).isNotNull()) \
+        .withColumn("_p", F.lower(pattern_col))
+    runs = F.split("_p", "[%_]+")
+    longest = F.array_max(F.transform(runs, F.char_length))
+    wanted = asked.select("_p").distinct().withColumn("_n", F.least(longest, F.lit(3)))
+    pieces = F.flatten(F.transform(runs, lambda run: F.when(
+        (F.char_length(run) >= F.col("_n")) & (F.col("_n") > 0),
+        F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(run) - F.col("_n") + 1, F.lit(1))),
+                    lambda i: F.substring(run, i, F.col("_n")))).otherwise(F.array().cast("array<string>"))))
+    held = wanted.select("_p", F.explode(F.when(F.col("_n") == 0, F.array(F.lit("")))
+                                         .otherwise(F.array_distinct(pieces))).alias("_g"))
+    names = products.where(F.col(name_col).isNotNull()).select(F.lower(name_col).alias("_name")).distinct()
+    grams = F.concat(F.array(F.lit("")), _grams("_name", 1), _grams("_name", 2), _grams("_name", 3))
+    postings = names.select("_name", F.explode(grams).alias("_g")) \
+        .join(held.select("_g").distinct(), "_g", "left_semi")
+    freq = postings.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
+    # a piece that no name holds counts 0 and its pattern meets nothing
+    rarest = held.join(freq, "_g", "left").groupBy("_p") \
+        .agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "_g")).alias("_r")) \
+        .where("_r._df > 0").select("_p", F.col("_r._g").alias("_g"))
+    like = F.concat(F.lit("%"), F.replace("_p", F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    plain = ~F.col("_p").rlike("[%_]")
+    hits = postings.join(rarest, "_g") \
+        .where(F.when(plain, F.contains("_name", "_p")).otherwise(F.like(F.col("_name"), like))) \
+        .select("_name", "_p")
+    texts = hits.join(asked, "_p").select("_name", pattern_col)
+    return products.withColumn("_name", F.lower(name_col)).join(texts, "_name").drop("_name")

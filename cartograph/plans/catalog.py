@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cartograph.functions.json import first_image_url
 from cartograph.operators import catalog as C
-from cartograph.operators.common import first_n, page, stack_rows
+from cartograph.operators.common import deep_page, first_n, page, stack_rows
+from cartograph.operators.search import names_containing
 from cartograph.plans.registry import register
 from cartograph.sources.shop import Shop
 from cartograph.sources.tables import load_table
@@ -73,6 +74,14 @@ def fil_3(spark, sf_dir):
                                            min_price=990, max_price=None, stock=True))
 
 
+@register("fil_3_category_and_price", oracle=f"""
+    SELECT {PRODUCT_OUT_SQL} FROM shop_products
+    WHERE category_id = (SELECT id FROM shop_categories WHERE slug = 'economy') AND price <= 1100""")
+def fil_3_category(spark, sf_dir):
+    shop = Shop(spark, sf_dir)
+    return _product_out(C.optional_filters(shop.products, shop.categories, category="economy", max_price=1100))
+
+
 @register("fil_4_in_category", oracle="""
     SELECT id, name, category_id FROM shop_products
     WHERE category_id = (SELECT id FROM shop_categories WHERE slug = 'promo')""")
@@ -127,6 +136,12 @@ def fil_8(spark, sf_dir):
         .select("id", "user_id", "status", "created_at")
 
 
+@register("fil_8_orders_of_user", oracle="""
+    SELECT id, user_id, status, created_at FROM shop_orders WHERE user_id = 1""")
+def fil_8_user(spark, sf_dir):
+    return C.orders_of(Shop(spark, sf_dir).orders, 1, "All").select("id", "user_id", "status", "created_at")
+
+
 @register("fil_9_visible_reviews", oracle="""
     SELECT id, product_id, rating, created_at FROM shop_reviews WHERE NOT is_hidden""")
 def fil_9(spark, sf_dir):
@@ -134,6 +149,12 @@ def fil_9(spark, sf_dir):
         .select("id", "product_id", "rating", "created_at")
 
 
+@register("fil_9_reviews_of_product", oracle="""
+    SELECT id, product_id, rating, created_at FROM shop_reviews WHERE NOT is_hidden AND product_id = 41""")
+def fil_9_product(spark, sf_dir):
+    return C.visible_reviews(Shop(spark, sf_dir).reviews, 41).select("id", "product_id", "rating", "created_at")
+
+
 @register("fil_10_products_of_seller", oracle="""
     SELECT p.id, p.name, p.status, u.email AS seller_email
     FROM shop_products p JOIN shop_sellers s ON s.id = p.seller_id
@@ -181,6 +202,18 @@ def fts_3(spark, sf_dir):
     return C.name_contains(Shop(spark, sf_dir).products, "Ri_g").select("id", "name")
 
 
+@register("fts_3_names_containing", oracle="""
+    SELECT q.query, p.id AS product_id
+    FROM (SELECT DISTINCT query FROM shop_search_events WHERE query IS NOT NULL
+          UNION SELECT DISTINCT prefix FROM shop_prefix_requests) q
+    JOIN shop_products p ON lower(p.name) LIKE '%' || lower(q.query) || '%'""")
+def fts_3_batch(spark, sf_dir):
+    """Every different search text and prefix (some with wildcards) at once."""
+    shop = Shop(spark, sf_dir)
+    texts = shop.search_events.select("query").union(shop.prefix_requests.select("prefix")).distinct()
+    return names_containing(shop.products, texts, "query").select("query", F.col("id").alias("product_id"))
+
+
 @register("fts_5_suggest", oracle="""
     SELECT request_id, prefix, name, rank FROM (
       SELECT r.request_id, r.prefix, n.name,
@@ -205,6 +238,15 @@ def srt_1(spark, sf_dir):
         .select("id", "name", "created_at")
 
 
+@register("srt_1_deep_page", oracle="""
+    SELECT order_id, line_no, CAST(unit_price AS DOUBLE) AS unit_price FROM shop_order_items
+    ORDER BY unit_price DESC NULLS FIRST, order_id, line_no LIMIT 20 OFFSET 5000""")
+def srt_1_deep(spark, sf_dir):
+    return deep_page(Shop(spark, sf_dir).order_items,
+                     [("unit_price", True), ("order_id", False), ("line_no", False)], 250, 20) \
+        .select("order_id", "line_no", _dbl("unit_price"))
+
+
 @register("srt_2_search_order", oracle=f"""
     SELECT {PRODUCT_OUT_SQL} FROM shop_products WHERE is_active AND status = 'LIVE'
     ORDER BY price DESC, rating_avg DESC, id ASC LIMIT 20 OFFSET 20""")

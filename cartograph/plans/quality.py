@@ -108,10 +108,21 @@ FK_RULES = [("shop_reviews", "product_id", "shop_products", "id"),
             ("shop_cart_items", "product_id", "shop_products", "id"),
             ("shop_sellers", "user_id", "shop_users", "id"),
             ("shop_status_updates", "order_id", "shop_orders", "id"),
-            ("shop_status_updates", "changed_by", "shop_users", "id")]
+            ("shop_status_updates", "changed_by", "shop_users", "id"),
+            ("shop_wishlists", "user_id", "shop_users", "id"),
+            ("shop_search_events", "user_id", "shop_users", "id"),
+            ("shop_tokens_issued", "user_id", "shop_users", "id"),
+            ("shop_support_tickets", "user_id", "shop_users", "id"),
+            ("shop_support_tickets", "order_id", "shop_orders", "id"),
+            ("shop_support_messages", "ticket_id", "shop_support_tickets", "id"),
+            ("shop_support_messages", "sender_id", "shop_users", "id"),
+            ("shop_product_variants", "product_id", "shop_products", "id"),
+            ("shop_payouts", "seller_id", "shop_sellers", "id"),
+            ("shop_app_feedback", "user_id", "shop_users", "id")]
 FK_KEYS = {"shop_cart_items": ["src_order", "line_no"], "shop_status_updates": ["request_id"],
            "shop_order_items": ["order_id", "line_no"], "shop_wishlists": ["user_id", "product_id"],
-           "shop_helpful_votes": ["user_id", "review_id"]}
+           "shop_helpful_votes": ["user_id", "review_id"], "shop_search_events": ["event_id"],
+           "shop_tokens_issued": ["token_id"]}
 
 
 def _fk_sql(child, fk, parent, pk):
@@ -125,9 +136,10 @@ def _fk_sql(child, fk, parent, pk):
 @register("dq_4_orphans", oracle="\nUNION ALL ".join(_fk_sql(*r) for r in FK_RULES))
 def dq_4(spark, sf_dir):
     shop = Shop(spark, sf_dir)
-    return Q.stack_violations(*[
-        Q.orphans(shop[c], c, fk, shop[p], pk, key=FK_KEYS.get(c, "id"), parent_table=p)
-        for c, fk, p, pk in FK_RULES])
+    parents: dict[str, list] = {}
+    for c, fk, p, _ in FK_RULES:
+        parents.setdefault(p, []).append((shop[c], c, fk, FK_KEYS.get(c, "id")))
+    return Q.stack_violations(*[Q.orphans_of(shop[p], p, children) for p, children in parents.items()])
 
 
 DOMAIN_RULES = [("shop_orders", "status", M.ORDER_STATUSES),
