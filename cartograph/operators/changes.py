@@ -204,7 +204,11 @@ def judge_cart_events(items: DataFrame, events: DataFrame, products: DataFrame |
     (seq of the last remove of the line or clear of its cart), ``_set`` (the
     last set in effect after it).
 
-    One exchange by cart: the windows over (cart, product) reuse it.
+    Two levels, so that a hot cart or line is no single task: events lie in
+    ``CART_SLICES`` equal ranges of ``seq`` (stored lines before them). Each
+    (cart, slice) and (line, slice) is summed up map-side by its last clear,
+    add and remove; windows over those few summaries carry them from slice to
+    slice, and windows over rows stay within one slice.
     """
     s = F.col(seq)
     # duplicate lines of one product are merged first: quantities summed,
@@ -229,21 +233,60 @@ def judge_cart_events(items: DataFrame, events: DataFrame, products: DataFrame |
     ev = ev.withColumn("reason", reason).drop("_pid")
     x = ev.unionByName(start.withColumn("reason", F.lit(None).cast("string")))
     ok = F.col("reason").isNull()
-    cart, line = Window.partitionBy("cart_id"), Window.partitionBy("cart_id", "product_id")
-    so_far = Window.unboundedPreceding, Window.currentRow
-    clear = F.when(ok & (F.col("action") == "clear"), s)
-    x = x.repartition("cart_id") \
-        .withColumn("_clear", F.max(clear).over(cart.orderBy(seq).rowsBetween(*so_far))) \
-        .withColumn("_last_clear", F.max(clear).over(cart))
+    lo, width = _slices(events, seq)
+    x = x.withColumn("_slice", F.when(F.col("_stored"), F.lit(-1))
+                     .otherwise(F.floor((s - lo) / width).cast("int")))
     when = lambda a: F.when(ok & (F.col("action") == a), s)
-    before = line.orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    gone = F.coalesce(F.greatest(F.max(when("remove")).over(before), F.col("_clear")), F.lit(NEVER - 1))
-    x = x.withColumn("_held", F.coalesce(F.max(when("add")).over(before) > gone, F.lit(False)))
+    cart, line = ["cart_id"], ["cart_id", "product_id"]
+    x = _carried(x, cart, {"_clear": when("clear")})
+    x = _carried(x, line, {"_add": when("add"), "_remove": when("remove")})
+    here = Window.partitionBy(*cart, "_slice").orderBy(seq)
+    cleared = F.max(when("clear")).over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    x = x.withColumn("_clear", F.greatest("_clear", cleared))
+    before = Window.partitionBy(*line, "_slice").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda a: F.greatest(f"_{a}", F.max(when(a)).over(before))
+    gone = F.coalesce(F.greatest(last("remove"), F.col("_clear")), F.lit(NEVER - 1))
+    x = x.withColumn("_held", F.coalesce(last("add") > gone, F.lit(False)))
     x = x.withColumn("reason", F.when(ok & F.col("action").isin("set", "remove") & ~F.col("_held"),
                                       F.lit("LINE_NOT_FOUND")).otherwise(F.col("reason")))
-    kill = F.greatest(F.max(when("remove")).over(line), F.col("_last_clear"))
-    x = x.withColumn("_kill", F.coalesce(kill, F.lit(NEVER - 1)))
-    return x.withColumn("_set", F.max(F.when(s > F.col("_kill"), when("set"))).over(line))
+    # a remove of a line that is not held kills nothing that was not gone before
+    x = x.withColumn("_kill", F.coalesce(F.greatest("_remove_all", "_clear_all"), F.lit(NEVER - 1)))
+    sets = x.where(F.col("reason").isNull() & (F.col("action") == "set") & (s > F.col("_kill"))) \
+        .groupBy(*line).agg(F.max(s).alias("_set"))
+    return _left(x, sets, line).drop("_slice", "_clear", "_add", "_remove", "_clear_all", "_add_all", "_remove_all")
+
+
+CART_SLICES = 1024  # ranges of seq; a cart or line has at most that many summaries
+
+
+def _slices(events: DataFrame, seq: str):
+    """Start and width of the ranges of ``seq`` (as scalar subqueries)."""
+    ends = events.select(F.col(seq).cast("bigint").alias("_s"))
+    lo = ends.agg(F.coalesce(F.min("_s"), F.lit(0).cast("bigint"))).scalar()
+    width = ends.agg(F.coalesce((F.max("_s") - F.min("_s")) / CART_SLICES + 1, F.lit(1.0))).scalar()
+    return lo, width
+
+
+def _carried(x: DataFrame, keys: list[str], latest: dict) -> DataFrame:
+    """``x`` with, per output of ``latest``, its maximum over the earlier slices
+    of the same keys, and over all slices (``_all``)."""
+    sums = x.groupBy(*keys, "_slice").agg(*[F.max(v).alias(f"{n}_s") for n, v in latest.items()])
+    w = Window.partitionBy(*keys)
+    earlier = w.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(*keys, "_slice", *[c for n in latest for c in (
+        F.max(f"{n}_s").over(earlier).alias(n), F.max(f"{n}_s").over(w).alias(f"{n}_all"))])
+    return _left(x, carried, [*keys, "_slice"])
+
+
+def _left(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on ``keys`` in which null meets null."""
+    y = y.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                 *[c for c in y.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return x.join(y, on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def fold_cart(items: DataFrame, events: DataFrame, seq: str = "seq", products: DataFrame | None = None):

@@ -5,6 +5,7 @@ import random
 import re
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from cartograph.functions import money as M
@@ -224,7 +225,9 @@ def _fold_cart_python(start, events):
     return lines
 
 
-def test_fold_cart_matches_sequential_fold(spark):
+@pytest.mark.parametrize("slices", [1024, 3])
+def test_fold_cart_matches_sequential_fold(spark, monkeypatch, slices):
+    monkeypatch.setattr(CH, "CART_SLICES", slices)
     rnd = random.Random(7)
     items, events, expected = [], [], {}
     seq = 0
