@@ -567,7 +567,7 @@ def src_2_rejects(spark, sf_dir):
     return bad.select("row_id", "reason")
 
 
-@register("jon_6_match_tokens", oracle="""
+MATCH_TOKENS_SQL = """
     WITH m AS (
       SELECT a.attempt_id, a.user_id, a.purpose, a.attempted_at,
              CASE WHEN a.attempted_at <= t.issued_at + INTERVAL 15 MINUTE THEN t.token_id END
@@ -580,7 +580,10 @@ def src_2_rejects(spark, sf_dir):
                FROM m WHERE valid GROUP BY token_id)
     SELECT m.attempt_id, m.user_id, m.purpose, m.attempted_at, coalesce(m.token_id, -1) AS token_id,
            m.valid, coalesce(m.valid AND m.attempt_id = f.first_attempt, false) AS matched
-    FROM m LEFT JOIN firsts f ON f.token_id = m.token_id""")
+    FROM m LEFT JOIN firsts f ON f.token_id = m.token_id"""
+
+
+@register("jon_6_match_tokens", oracle=MATCH_TOKENS_SQL)
 def jon_6(spark, sf_dir):
     """Code matching; an attempt without a code in force shows token_id -1."""
     shop = Shop(spark, sf_dir)

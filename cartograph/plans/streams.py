@@ -1,4 +1,5 @@
-"""Batch twins of the streaming rules (STR-1, STR-3, STR-4, STR-5).
+"""Batch twins of the streaming rules (STR-1, STR-3, STR-4, STR-5), and STR-2 as
+a stream over the events table.
 
 The streaming forms live in :mod:`cartograph.streaming`; tests run them on
 the same tables and compare with these batch results. STR-2's batch twin is
@@ -7,12 +8,18 @@ the same tables and compare with these batch results. STR-2's batch twin is
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from cartograph.plans.changes import MATCH_TOKENS_SQL
 from cartograph.plans.registry import register
+from cartograph.session import checkpoint_dir, temporary
 from cartograph.sources.shop import Shop
 from cartograph.streaming.feed import merge_current, status_history
 from cartograph.streaming.lockout import lockouts_batch
+from cartograph.streaming.sources import table_stream
+from cartograph.streaming.tokens import closing_event, replay_tokens, token_events
 from cartograph.streaming.windows import rate_violations_batch, trending_windows_batch
 
 
@@ -55,6 +62,19 @@ def str_1_locks(spark, sf_dir):
         .agg(F.count(F.lit(1)).alias("locks"))
 
 
+@register("str_2_match_tokens", oracle=MATCH_TOKENS_SQL)
+def str_2(spark, sf_dir):
+    """Code matching as a stream over the events table, read to its end."""
+    batch = Shop(spark, sf_dir)
+    live = Shop(spark, sf_dir, overrides={"events": table_stream(spark, sf_dir, "events")})
+    run = f"str_2/{uuid.uuid4().hex}"
+    folder = temporary(spark, f"{checkpoint_dir(spark).rstrip('/')}/{run}")
+    events = token_events(live.tokens_issued, live.token_attempts) \
+        .unionByName(closing_event(token_events(batch.tokens_issued, batch.token_attempts), f"{folder}/closing"))
+    return replay_tokens(events, f"{folder}/answers", f"{run}/state") \
+        .withColumn("token_id", F.coalesce("token_id", F.lit(-1).cast("bigint")))
+
+
 @register("str_3_rate_violations", oracle="""
     SELECT user_id, date_trunc('minute', ts) AS window_start, count(*) AS requests
     FROM shop_logins GROUP BY 1, 2 HAVING count(*) > 10""")

@@ -1,22 +1,27 @@
 """STR-2: one-time code matching on streams (JON-6 as a stream).
 
 Codes and attempts arrive as one stream of events keyed by (user, purpose).
-The state keeps the code in force per key (id, code, issue time, consumed
-flag); events are replayed in (time, kind, id) order:
-an issue replaces the code in force (voiding the previous one), an attempt
-is valid when its code equals the code in force within its lifetime (a code
-past its lifetime is reported as none), and the first valid attempt consumes
-the code. The batch twin is
+Events wait in a typed list state until the watermark has passed them; then they
+are replayed in (time, kind, id) order against the code in force (a typed value
+state: id, code, issue time, consumed flag): an issue replaces the code in force
+(voiding the previous one), an attempt is valid when its code equals the code in
+force within its lifetime (a code past its lifetime is reported as none), and
+the first valid attempt consumes the code. One event-time timer wakes a key when
+its next waiting event is due, another when its code's lifetime is over; new
+events are appended, nothing is rewritten before it is due. The batch twin is
 :func:`cartograph.operators.tokens.match_tokens`.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-from cartograph.streaming.replay import LATENESS, replay, times
+from cartograph.streaming.replay import LATENESS, str_last, times
+from cartograph.streaming.windows import event_time
 
 TTL_MINUTES = 15  # fixed value: lifetime of a one-time code
 MATCH_OUT = ("attempt_id long, user_id long, purpose string, attempted_at timestamp_ntz, "
@@ -35,29 +40,102 @@ def token_events(issued: DataFrame, attempts: DataFrame) -> DataFrame:
 def match_tokens_stream(events: DataFrame, ttl_minutes: int = TTL_MINUTES, lateness: str = LATENESS) -> DataFrame:
     """Streaming matcher over :func:`token_events` rows (append mode). An
     attempt is answered once the watermark has passed it; a code leaves the
-    state when its lifetime is over (:mod:`.replay`)."""
-    ttl_us = ttl_minutes * 60 * 1_000_000
+    state when its lifetime is over. Rows later than ``lateness`` are dropped
+    by the watermark."""
+    x = event_time(events).select("user_id", "purpose", "ts", "kind", "id", "code").withWatermark("ts", lateness)
+    return x.groupBy("user_id", "purpose").transformWithStateInPandas(
+        TokenMatcher(ttl_minutes * 60 * 1_000_000), MATCH_OUT, "append", "EventTime")
 
-    def fold(key, state, rows, now):
-        tid, code, issued, used = state or (None, None, None, False)
+
+class TokenMatcher(StatefulProcessor):
+    """Replay of one (user, purpose); times are microseconds."""
+
+    def __init__(self, ttl_us: int):
+        self.ttl = ttl_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts long, kind int, id long, code string")
+        self.force = handle.getValueState("in_force", "token_id long, code string, issued long, used boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = []
+        for pdf in rows:
+            ts = pdf["ts"].values.astype("datetime64[us]").astype(np.int64).tolist()
+            codes = [None if pd.isna(c) else c for c in pdf["code"].tolist()]
+            new += list(zip(ts, pdf["kind"].tolist(), pdf["id"].tolist(), codes))
+        self.waiting.appendList(new)
+        self._wake(min(r[0] for r in new) // 1000 + 1, timerValues)
+        yield self._answers(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self._settle(key, timerValues)
+
+    def close(self) -> None:
+        pass
+
+    def _wake(self, at_ms: int, timer_values) -> None:
+        """Wake the key at ``at_ms`` or, if that has passed, next time."""
+        self.handle.registerTimer(max(at_ms, timer_values.getCurrentWatermarkInMs() + 1))
+
+    def _settle(self, key, timer_values) -> pd.DataFrame:
+        now = timer_values.getCurrentWatermarkInMs() * 1000
+        rows = [tuple(r) for r in self.waiting.get()]
+        due = sorted((r for r in rows if r[0] <= now), key=lambda r: (r[0], r[1], r[2], str_last(r[3])))
+        tid, code, issued, used = self.force.get() if self.force.exists() else (None, None, None, False)
         out = []
-        for ts, kind, rid, rcode in rows:
+        for ts, kind, rid, given in due:
             if kind == 0:
-                tid, code, issued, used = rid, rcode, ts, False
+                tid, code, issued, used = rid, given, ts, False
                 continue
-            fresh = tid is not None and ts <= issued + ttl_us
-            valid = fresh and rcode == code
+            fresh = tid is not None and ts <= issued + self.ttl
+            valid = fresh and code is not None and given == code
             out.append((rid, ts, tid if fresh else None, valid, valid and not used))
             used = used or valid
-        cols = list(zip(*out)) or [[]] * 5
-        n = len(out)
-        frame = pd.DataFrame({
-            "attempt_id": pd.Series(cols[0], dtype="int64"), "user_id": pd.Series([key[0]] * n, dtype="int64"),
-            "purpose": pd.Series([key[1]] * n, dtype="object"), "attempted_at": times(cols[1]),
-            "token_id": pd.Series(cols[2], dtype="Int64"), "valid": pd.Series(cols[3], dtype="bool"),
-            "matched": pd.Series(cols[4], dtype="bool")})
-        if tid is None or issued + ttl_us < now:
-            return None, None, frame
-        return (tid, code, issued, used), issued + ttl_us, frame
-
-    return replay(events, ["user_id", "purpose"], ["kind", "id", "code"], MATCH_OUT, fold, lateness)
+        if tid is None or issued + self.ttl < now:
+            self.force.clear()
+        elif due:
+            self.force.update((tid, code, issued, used))
+            self._wake((issued + self.ttl) // 1000 + 1, timer_values)
+        if due:
+            later = [r for r in rows if r[0] > now]
+            if later:
+                self.waiting.put(later)
+                self._wake(min(r[0] for r in later) // 1000 + 1, timer_values)
+            else:
+                self.waiting.clear()
+        return self._answers(key, out)
+
+    @staticmethod
+    def _answers(key, out: list) -> pd.DataFrame:
+        ids, at, tokens, valid, matched = list(zip(*out)) or [[]] * 5
+        return pd.DataFrame({
+            "attempt_id": pd.Series(ids, dtype="int64"), "user_id": pd.Series([key[0]] * len(out), dtype="int64"),
+            "purpose": pd.Series([key[1]] * len(out), dtype="object"), "attempted_at": times(at),
+            "token_id": pd.Series(tokens, dtype="Int64"), "valid": pd.Series(valid, dtype="bool"),
+            "matched": pd.Series(matched, dtype="bool")})
+
+
+def replay_tokens(events: DataFrame, path: str, name: str = "token_matches") -> DataFrame:
+    """Run the matcher over all that the stream of :func:`token_events` rows
+    holds now, write the answers to ``path`` and return them. What the
+    watermark has not passed stays in the state; a closing event of a later time
+    (:func:`closing_event`) brings out the rest."""
+    from cartograph.streaming.sources import checkpoint_location
+    spark = events.sparkSession
+    match_tokens_stream(events).writeStream.outputMode("append").format("parquet").option("path", path) \
+        .option("checkpointLocation", checkpoint_location(spark, name)) \
+        .trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(MATCH_OUT).parquet(path)
+
+
+def closing_event(events: DataFrame, path: str) -> DataFrame:
+    """A stream of one attempt of nobody, a day after the last of ``events``
+    (batch rows of :func:`token_events`), kept at ``path``."""
+    spark = events.sparkSession
+    late = events.agg((F.coalesce(F.max("ts"), F.lit("1970-01-01").cast("timestamp_ntz"))
+                       + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    late.select(F.lit(-1).cast("bigint").alias("user_id"), F.lit("CLOSE").alias("purpose"), "ts",
+                F.lit(1).alias("kind"), F.lit(-1).cast("bigint").alias("id"), F.lit(None).cast("string").alias("code")) \
+        .write.parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
