@@ -20,7 +20,7 @@ from cartograph.streaming.feed import merge_current, status_history
 from cartograph.streaming.lockout import lockouts_batch
 from cartograph.streaming.sources import table_stream
 from cartograph.streaming.tokens import closing_event, replay_tokens, token_events
-from cartograph.streaming.windows import rate_violations_batch, trending_windows_batch
+from cartograph.streaming.windows import rate_violations_batch, trending_panes_batch, trending_windows_batch
 
 
 LOCKOUT_SQL = """
@@ -113,7 +113,7 @@ def str_4_current(spark, sf_dir):
     return merge_current(base, status_history(shop.status_updates)).select("order_id", "status", "seq")
 
 
-@register("str_5_trending_windows", oracle=r"""
+TRENDING_SQL = r"""
     WITH t AS (SELECT * FROM (
       SELECT lower(regexp_replace(query, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')) AS term, user_id, searched_at AS ts
       FROM shop_search_events) WHERE term <> ''),
@@ -123,6 +123,16 @@ def str_4_current(spark, sf_dir):
     per AS (SELECT window_start, term, count(DISTINCT user_id) AS users FROM w GROUP BY 1, 2)
     SELECT window_start, term, users, rank FROM (
       SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY users DESC, term) AS rank
-      FROM per) x WHERE rank <= 8""")
+      FROM per) x WHERE rank <= 8"""
+
+
+@register("str_5_trending_windows", oracle=TRENDING_SQL)
 def str_5(spark, sf_dir):
     return trending_windows_batch(Shop(spark, sf_dir).search_events)
+
+
+@register("str_5_trending_panes", oracle=TRENDING_SQL)
+def str_5_panes(spark, sf_dir):
+    """The same from mergeable sketches per pane. Estimates, which are exact for
+    the up to some hundred users of a term and window that these tables hold."""
+    return trending_panes_batch(Shop(spark, sf_dir).search_events)

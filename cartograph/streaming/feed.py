@@ -21,7 +21,7 @@ from cartograph.functions.money import ORDER_STATUSES
 from cartograph.operators.changes import parse_enum
 from cartograph.operators.deltas import DeltaTable
 from cartograph.streaming.sources import checkpoint_location
-from cartograph.streaming.windows import trending_pairs, trending_top_k
+from cartograph.streaming.windows import trending_pairs, trending_sketches, trending_top_estimates, trending_top_k
 
 def status_history(updates: DataFrame) -> DataFrame:
     """Valid updates (status upper-cased and in the domain) as history rows."""
@@ -74,14 +74,16 @@ def order_status_feed(updates: DataFrame, history_path: str, current_path: str,
 
 
 def trending_stream(searches: DataFrame, out_path: str, k: int = 8, name: str = "trending",
-                    trigger_once: bool = False) -> StreamingQuery:
+                    trigger_once: bool = False, sketches: bool = False) -> StreamingQuery:
     """STR-5: sliding-window trending terms written per micro-batch
-    (partitioned by batch id, idempotent on replay)."""
+    (partitioned by batch id, idempotent on replay). Users are counted exactly,
+    or with ``sketches`` estimated from one sketch per pane and term."""
     spark = searches.sparkSession
-    pairs = trending_pairs(searches)
+    pairs = trending_sketches(searches, lateness="10 minutes") if sketches else trending_pairs(searches)
+    top = trending_top_estimates if sketches else trending_top_k
 
     def sink(df, bid):
-        trending_top_k(df, k).withColumn("batch_id", F.lit(bid)) \
+        top(df, k).withColumn("batch_id", F.lit(bid)) \
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy("batch_id").parquet(out_path)
 

@@ -84,3 +84,36 @@ def trending_top_k(pairs: DataFrame, k: int = TREND_K) -> DataFrame:
     term) and ranking is complete for every window in the batch."""
     per = pairs.groupBy("w", "term").agg(F.count(F.lit(1)).alias("users"))
     return _top_k(per, k)
+
+
+SKETCH_LG_K = 12  # 4,096 buckets: a standard error of 1.04 / 64, about 1.6 %
+
+
+def trending_sketches(searches: DataFrame, window: str = TREND_WINDOW, slide: str = TREND_SLIDE,
+                      lateness: str | None = None, lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """STR-5 over panes: users per sliding window and term, estimated. One
+    distinct-count sketch per pane of ``slide`` and term, merged into the windows
+    that cover the pane, instead of a row per (window, term, user). ``slide``
+    must divide ``window``. On a stream (give ``lateness``) the state holds one
+    sketch per (pane, term) and per (window, term), whatever the number of users;
+    both go once the watermark has passed them."""
+    x = searches.select(F.lower(trim("query")).alias("term"), "user_id",
+                        F.col("searched_at").cast("timestamp_ltz").alias("ts")).where(F.col("term") != "")
+    if lateness:
+        x = x.withWatermark("ts", lateness)
+    panes = x.groupBy(F.window("ts", slide).alias("pane"), "term") \
+        .agg(F.hll_sketch_agg("user_id", lg_k).alias("_users"))
+    return panes.groupBy(F.window(F.window_time("pane"), window, slide).alias("w"), "term") \
+        .agg(F.hll_sketch_estimate(F.hll_union_agg("_users")).alias("users"))
+
+
+def trending_panes_batch(searches: DataFrame, window: str = TREND_WINDOW, slide: str = TREND_SLIDE,
+                         k: int = TREND_K) -> DataFrame:
+    """STR-5 batch twin over panes: the top ``k`` terms by estimated users."""
+    return _top_k(trending_sketches(searches, window, slide), k)
+
+
+def trending_top_estimates(counted: DataFrame, k: int = TREND_K) -> DataFrame:
+    """STR-5 over panes, per micro-batch: a closed window's terms all arrive in
+    the same batch."""
+    return _top_k(counted, k)

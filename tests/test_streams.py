@@ -14,7 +14,8 @@ from cartograph.sources.tables import DRIVER_SCHEMAS, load_table
 from cartograph.streaming.feed import compact_current, current_table, merge_current, order_status_feed, status_history, trending_stream
 from cartograph.streaming.lockout import lockouts, lockouts_batch
 from cartograph.streaming.tokens import match_tokens_stream, token_events
-from cartograph.streaming.windows import (rate_violations, rate_violations_batch,
+from cartograph.streaming.windows import (rate_violations, rate_violations_batch, trending_panes_batch,
+                                          trending_sketches,
                                           trending_windows_batch)
 
 
@@ -184,3 +185,30 @@ def test_trending_terms_trim_like_the_batch_rule(spark):
     rows = spark.createDataFrame([(1, "Cot\t", at), (2, "\n cot ", at), (3, "\x0b", at)], "user_id long, query string, searched_at timestamp_ntz")
     assert {(r.term, r.users) for r in trending_windows_batch(rows).collect()} == {("cot", 2)}
     assert [(r.term, r.users) for r in trending(rows, "2024-01-02 00:00:00", "7 days", 8).collect()] == [("cot", 2)]
+
+
+def test_trending_sketches_stay_within_their_error(spark):
+    """Up to 30,000 users of a term: three standard errors; few users: exact."""
+    users = spark.range(30000).selectExpr(
+        "id AS user_id", "CASE WHEN id % 2 = 0 THEN 'Big ' WHEN id % 50 = 1 THEN 'mid' ELSE 'rest' END AS query",
+        "timestamp_ntz'2024-01-01 10:00:00' + make_dt_interval(0, 0, id % 90, id % 60) AS searched_at")
+    few = users.where("user_id < 300").withColumn("query", F.lit("few"))
+    rows = users.unionByName(few).unionByName(few)
+    exact = {(r.w.start, r.term): r.n for r in rows.selectExpr("lower(trim(query)) AS term", "user_id", "CAST(searched_at AS timestamp_ltz) AS ts")
+             .groupBy(F.window("ts", "1 hour", "10 minutes").alias("w"), "term").agg(F.countDistinct("user_id").alias("n")).collect()}
+    got = {(r.w.start, r.term): r.users for r in trending_sketches(rows).collect()}
+    assert got.keys() == exact.keys() and max(exact.values()) > 9000
+    assert all(abs(got[w] - n) <= 3 * 0.01625 * n for w, n in exact.items())
+    assert all(got[w] == n for w, n in exact.items() if w[1] == "few")
+
+
+def test_trending_panes_stream_equals_batch_up_to_watermark(spark, event_files, scratch):
+    out = os.path.join(scratch, "panes")
+    trending_stream(_stream_shop(spark, event_files).search_events, out, k=8, name="panes_test", trigger_once=True,
+                    sketches=True).awaitTermination()
+    searches = Shop(spark, SF_SMALL).search_events
+    cutoff = searches.agg(F.max("searched_at")).first()[0] - dt.timedelta(minutes=70)
+    cols = ["window_start", "term", "users", "rank"]
+    got = spark.read.parquet(out).where(F.col("window_start") <= F.lit(cutoff))
+    assert _collect(got, cols) == _collect(trending_panes_batch(searches).where(F.col("window_start") <= F.lit(cutoff)), cols)
+    assert got.count() > 0
