@@ -51,6 +51,10 @@ _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _REST = [b for b in range(256) if b not in _PLAIN]
 BYTES = {b: chr(256 + i) for i, b in enumerate(_REST)}
 
+#: Parts whose ids a worker keeps for later batches, the first that it meets
+#: (frequent ones come early), and the longest kept: at most some 100 MB.
+MOST_SEEN, SEEN_CHARS = 250_000, 32
+
 
 class Encoder:
     """Ids of texts by the tokenizer file ``path``; ``end`` is put after each.
@@ -69,6 +73,7 @@ class Encoder:
         self.space = "" if self.lower else BYTES[32]
         self.model = self.tokenizer.model
         self.end = array("I", [end]).tobytes()
+        self.seen: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -78,6 +83,16 @@ class Encoder:
         return out
 
     def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of different parts, of which earlier batches may have had some."""
+        out = list(map(self.seen.get, parts))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(new, self._new([parts[i] for i in new])):
+            out[i] = ids
+            if len(parts[i]) <= SEEN_CHARS and len(self.seen) < MOST_SEEN:
+                self.seen[parts[i]] = ids
+        return out
+
+    def _new(self, parts: list[str]) -> list[bytes]:
         """Ids of different parts; one that starts with \\x01 follows no space."""
         out: list[bytes] = [b""] * len(parts)
         tokenize, space, whole = self.model.tokenize, self.space, []
