@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cartograph.functions.money import ORDER_STATUSES, stock_state, tracking_eta
 from cartograph.functions.text import lexemes, lexemes_of, like_pattern_contains, trim
-from cartograph.operators.common import page, ts_lit
+from cartograph.operators.common import cumulative_sums, page, ts_lit
 
 # Fixed values from the reference: default page size, suggestions returned,
 # shortest suggestion prefix (trimmed length).
@@ -239,33 +239,81 @@ def suggest(products: DataFrame, prefixes: DataFrame, k: int = SUGGESTION_LIMIT,
     backslash stands for itself.
     Names are ranked by name (the reference has no order).
 
-    Every prefix is equi-joined on its literal head (the text before the
-    first wildcard) to the prefixes of each distinct lower-cased name, so no
-    prefix is compared with every name; wildcard prefixes are then filtered
-    with LIKE. Distinct prefixes are matched once and the top ``k`` per
-    prefix (a partial ``WindowGroupLimit`` before the shuffle) are joined
-    back to the requests.
+    Names and prefixes are sorted together by their lower-case bytes, over
+    ranges: running counts give every name its place and every prefix the run
+    of places of its names, so no prefix meets the names one by one and no name
+    is taken apart. The first ``k`` by name are kept for every aligned block of
+    ``SPAN``, ``SPAN`` ** 2, ... places, and a run is put together from at most
+    2 * ``SPAN`` blocks of each size. Rows shuffled grow with names and
+    prefixes, whatever their lengths. Prefixes with a wildcard meet the names
+    that start with their literal head, verified by LIKE. Distinct prefixes are
+    matched once; their top ``k`` are joined back to the requests.
     """
     reqs = prefixes.where(F.length(trim(prefix_col)) >= MIN_PREFIX) \
         .select(F.col(id_col), F.col(prefix_col), F.lower(F.col(prefix_col)).alias("_lp"))
     wanted = reqs.select("_lp").distinct() \
-        .withColumn("_head", F.regexp_extract("_lp", "^([^%_]*)", 1)) \
-        .withColumn("_wild", F.col("_head") != F.col("_lp"))
-    names = products.where(F.col("is_active")).select("name").distinct() \
+        .withColumn("_head", F.regexp_extract("_lp", "^([^%_]*)", 1))
+    plain = F.col("_head") == F.col("_lp")
+    names = products.where(F.col("is_active") & F.col("name").isNotNull()).select("name").distinct() \
         .withColumn("_ln", F.lower("name"))
-    # heads of the lengths asked for (at most the longest prefix), no others
-    lengths = wanted.agg(F.coalesce(F.collect_set(F.length("_head")), F.array().cast("array<int>"))).scalar()
-    name_heads = names.withColumn("_ns", lengths) \
-        .select("name", "_ln", F.explode(F.filter("_ns", lambda n: n <= F.length("_ln"))).alias("_n")) \
-        .select("name", "_ln", F.expr("substring(_ln, 1, _n)").alias("_head"))
-    hits = wanted.join(name_heads, "_head") \
-        .where(~F.col("_wild") | F.like("_ln", F.concat(F.replace("_lp", F.lit("\\"), F.lit("\\\\")), F.lit("%")))) \
-        .select("_lp", "name").distinct()
+    hits = _by_places(names, wanted.where(plain).select("_lp"), k) \
+        .unionByName(_by_heads(names, wanted.where(~plain)))
     w = Window.partitionBy("_lp").orderBy(F.col("name"))
     top = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return reqs.join(top, "_lp").select(id_col, prefix_col, "name", "rank")
 
 
+#: Places joined into one block, and blocks into one of the next size.
+SPAN = 64
+
+
+def _by_places(names: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``(_lp, name)``: the first ``k`` by name of the names that start with each
+    ``_lp``, and some more of them."""
+    low, nothing = F.col("_lp").cast("binary"), F.lit(None).cast("string")
+    # no byte of UTF-8 is FF, so a prefix and FF come right after its names
+    rows = names.select(F.col("_ln").cast("binary").alias("_at"), F.lit(1).alias("_one"), "name", nothing.alias("_lp")) \
+        .unionByName(wanted.select(F.explode(F.array(low, F.concat(low, F.lit(b"\xff")))).alias("_at"),
+                                   F.lit(0).alias("_one"), nothing.alias("name"), "_lp"))
+    # a prefix that is itself a name comes before it
+    placed = cumulative_sums(rows, [], ["_at", "_one", "name"], {"_n": "_one"})
+    blocks = placed.where("_one = 1").select((F.col("_n") - 1).alias("_block"), "name")
+    runs = placed.where("_one = 0").groupBy("_lp").agg(F.min("_n").alias("_from"), F.max("_n").alias("_to"))
+    total = placed.agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
+    first = Window.partitionBy("_block").orderBy("name")
+    out = None
+    while True:
+        top = total <= SPAN
+        inner = F.ceil(F.col("_from") / SPAN), F.floor(F.col("_to") / SPAN)
+        whole = F.lit(top) | (inner[0] >= inner[1])
+        ends = F.when(whole, _span("_from", F.col("_to"))) \
+            .otherwise(F.concat(_span("_from", inner[0] * SPAN), _span(inner[1] * SPAN, F.col("_to"))))
+        met = runs.select("_lp", F.explode(ends).alias("_block")).join(blocks, "_block").select("_lp", "name")
+        out = met if out is None else out.unionByName(met)
+        if top:
+            return out
+        runs = runs.where(~whole).select("_lp", inner[0].alias("_from"), inner[1].alias("_to"))
+        blocks = blocks.withColumn("_block", F.floor(F.col("_block") / SPAN)) \
+            .withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).drop("_r")
+        total = -(-total // SPAN)
+
+
+def _span(start, stop: Column) -> Column:
+    """Whole numbers from ``start`` on and below ``stop``."""
+    start = F.col(start) if isinstance(start, str) else start
+    return F.when(start < stop, F.sequence(start, stop - 1)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _by_heads(names: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(_lp, name)``: names that a prefix with wildcards matches."""
+    lengths = wanted.agg(F.coalesce(F.collect_set(F.length("_head")), F.array().cast("array<int>"))).scalar()
+    heads = names.withColumn("_ns", lengths) \
+        .select("name", "_ln", F.explode(F.filter("_ns", lambda n: n <= F.length("_ln"))).alias("_n")) \
+        .select("name", "_ln", F.expr("substring(_ln, 1, _n)").alias("_head"))
+    return wanted.join(heads, "_head") \
+        .where(F.like("_ln", F.concat(F.replace("_lp", F.lit("\\"), F.lit("\\\\")), F.lit("%")))).select("_lp", "name")
+
+
 # ---------------------------------------------------------- ordering, top-k --
 def ordered_categories(categories: DataFrame) -> DataFrame:
     """SRT-3: categories by ``sort_order`` (id breaks ties)."""

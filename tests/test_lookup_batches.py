@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from cartograph.operators import catalog as C
 from cartograph.operators import quality as Q
 from cartograph.operators.common import deep_page
 from cartograph.operators.search import names_containing
@@ -73,3 +74,35 @@ def test_orphans_of_equals_orphans_per_key(spark):
                               Q.orphans(b, "b", "up", parents, key=["k", "l"], parent_table="p"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.count() == 5
+
+
+@pytest.mark.parametrize("span", [2, 64])
+def test_suggest_by_places_equals_reading_every_name(spark, monkeypatch, span):
+    monkeypatch.setattr(C, "SPAN", span)
+    rng = random.Random(11)
+    names = {"".join(rng.choice("aAbBé\U0010ffff_ ") for _ in range(rng.randrange(1, 7))) for _ in range(400)}
+    names |= {"ab", "AB", "aB" + "x" * 50, "b\U0010ffff\U0010ffffz"}
+    asked = {"".join(rng.choice("aAbBé\U0010ffff") for _ in range(rng.randrange(2, 5))) for _ in range(60)}
+    asked |= {"ab", "AB", "zz", "a_b", "%b", "b\U0010ffff", "  ", "a"}
+    asked = sorted(asked)
+    products = spark.createDataFrame([(n, i % 7 > 0) for i, n in enumerate(sorted(names))] + [(None, True), ("ab", True), ("ab", True)],
+                                     "name string, is_active boolean")
+    live = {r.name for r in products.where("is_active").collect()} - {None}
+    got = {}
+    for r in C.suggest(products, spark.createDataFrame(list(enumerate(asked)) + [(-1, None), (-2, "AB")],
+                                                       "request_id long, prefix string"), 4).collect():
+        got.setdefault(r.request_id, []).append((r["rank"], r.name))
+    for i, p in [*enumerate(asked), (-1, None), (-2, "AB")]:
+        hits = []
+        if p is not None and len(p.strip()) >= 2:
+            like = re.compile("".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in p.lower()) + ".*", re.S)
+            hits = sorted((n for n in live if like.fullmatch(n.lower())), key=lambda n: n.encode())[:4]
+        assert sorted(got.get(i, [])) == list(enumerate(hits, 1)), p
+
+
+def test_suggest_without_names_or_prefixes(spark):
+    products = spark.createDataFrame([], "name string, is_active boolean")
+    asked = spark.createDataFrame([(1, "ab"), (2, "a%")], "request_id long, prefix string")
+    assert C.suggest(products, asked).count() == 0
+    some = spark.createDataFrame([("abc", True)], "name string, is_active boolean")
+    assert C.suggest(some, asked.limit(0)).count() == 0
