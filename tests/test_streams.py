@@ -132,6 +132,34 @@ def test_token_stream_equals_batch(spark, event_files):
     assert set(got) <= set(as_text(tuple(r) for r in batch.select(*cols).collect()))
 
 
+def test_token_stream_keeps_no_state_per_user(spark, tmp_path):
+    """Many users with an event or two each, some of nobody and of no purpose."""
+    t0 = dt.datetime(2024, 1, 1, 10, 0)
+    at = lambda m: t0 + dt.timedelta(minutes=m)
+    users = [None, *range(2999)]
+    issued = spark.createDataFrame(
+        [(u, None if u == 7 else "P", at(i % 50), 10_000 + i, "a") for i, u in enumerate(users)],
+        "user_id long, purpose string, issued_at timestamp_ntz, token_id long, code string")
+    attempts = spark.createDataFrame(
+        [(u, None if u == 7 else "P", at(i % 50 + 5 + i % 3 * 6), i, "ab"[i % 7 == 6]) for i, u in enumerate(users)],
+        "user_id long, purpose string, attempted_at timestamp_ntz, attempt_id long, code string")
+    events = token_events(issued, attempts)
+    events.coalesce(1).write.parquet(str(tmp_path / "in" / "0"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in" / "*"))
+    q = match_tokens_stream(stream).writeStream.format("memory").queryName("buckets_out").start()
+    q.processAllAvailable()
+    waiting = max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"])
+    assert waiting < 2000  # 6,000 events of 3,000 users
+    late = events.select("user_id", "purpose", F.lit(at(60 * 24)).alias("ts"), "kind", F.lit(-1).cast("bigint").alias("id"), "code")
+    late.where("kind = 1 AND user_id = 5").coalesce(1).write.parquet(str(tmp_path / "in" / "1"))
+    q.processAllAvailable()
+    q.stop()
+    cols = ["attempt_id", "user_id", "purpose", "attempted_at", "token_id", "valid", "matched"]
+    as_text = lambda df: sorted(str(tuple(r)) for r in df.where("attempt_id >= 0").select(*cols).collect())
+    got = as_text(spark.table("buckets_out"))
+    assert got == as_text(match_tokens(issued, attempts)) and len(got) == 3000
+
+
 def test_rate_stream_equals_batch_up_to_watermark(spark, event_files):
     sshop = _stream_shop(spark, event_files)
     streamed = _run_to_table(rate_violations(sshop.logins, limit=1, lateness="2 minutes"), "rate_out")
