@@ -742,3 +742,19 @@ def test_slug_contests_in_rounds(spark):
         flags[i + 1] = x > lost
         lost += x > lost
     assert {r.n: r.lost for r in settle(rows, run=20_000).collect()} == flags
+
+
+def test_session_rules_bound_what_a_merged_task_reads(spark):
+    from cartograph.session import apply_session_rules
+    key, was = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark.conf.get(
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    try:
+        for asked, held in [("64MB", "16m"), ("67108864b", "16m"), ("1g", "16m"), ("8m", "8m"), ("512k", "512k")]:
+            spark.conf.set(key, asked)
+            apply_session_rules(spark)
+            assert spark.conf.get(key) == held
+        spark.conf.unset(key)
+        apply_session_rules(spark)
+        assert spark.conf.get(key) == "16m"
+    finally:
+        spark.conf.set(key, was)
