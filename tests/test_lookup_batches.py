@@ -76,6 +76,18 @@ def test_orphans_of_equals_orphans_per_key(spark):
     assert got.count() == 5
 
 
+def test_orphans_of_joins_no_names_and_keeps_texts_of_other_types(spark):
+    parents = spark.createDataFrame([(1,), (2,)], "id long")
+    a = spark.createDataFrame([(1, 1, 9), (2, None, 2), (3, 8, None)], "id int, up int, down long")
+    got = Q.orphans_of(parents, "p", [(a, "a", "up", "id"), (a, "a", "down", "id")])
+    below = got._jdf.queryExecution().optimizedPlan().toString().split("Join LeftAnti")[1]
+    assert "fk:" not in below
+    assert sorted(map(tuple, got.collect())) == [("a", "fk:down->p", "1", "9"), ("a", "fk:up->p", "3", "8")]
+    b = spark.createDataFrame([(1, "07"), (2, "1"), (3, None)], "id int, up string")
+    got = Q.orphans_of(parents, "p", [(b, "b", "up", "id"), (a, "a", "down", "id")])
+    assert sorted(map(tuple, got.collect())) == [("a", "fk:down->p", "1", "9"), ("b", "fk:up->p", "1", "07")]
+
+
 @pytest.mark.parametrize("span", [2, 64])
 def test_suggest_by_places_equals_reading_every_name(spark, monkeypatch, span):
     monkeypatch.setattr(C, "SPAN", span)
